@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .exact_dedup import exact_dedup
 from .mixing import capped_targets, cycle_weights, mix, word_count
+from .simhash import simhash_components
 from .token_counts import count_tokens
 from .tokenizer import public_spec
 
@@ -18,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(
         table(spark, sf_dir, "documents"),
@@ -36,6 +41,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_counts": op8_token_counts,
 }

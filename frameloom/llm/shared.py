@@ -68,3 +68,18 @@ def write_file(uri: str, content: bytes) -> None:
     with system.open_output_stream(part) as out:
         out.write(content)
     system.move(part, path)
+
+
+def slot(slots: int = 64) -> Column:
+    """A number that splits a hot key's rows; use it on rows that are then checkpointed."""
+    return F.pmod(F.spark_partition_id(), F.lit(slots))
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to found, which has one row for each key; rows has a column ``slot``.
+
+    However many rows share a key, its value is first brought to one row for each slot,
+    so the join with the rows meets at most a slot's share of them in one task.
+    """
+    told = rows.select("slot", *keys).distinct().join(found, keys, how)
+    return rows.join(told, ["slot", *keys])
