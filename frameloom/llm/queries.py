@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from ..session import table
 from .exact_dedup import exact_dedup
 from .mixing import capped_targets, cycle_weights, mix, word_count
+from .quality import classify
 from .simhash import simhash_components
 from .token_counts import count_tokens
 from .tokenizer import public_spec
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="quality", sample=1200)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -40,6 +45,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op7_source_mixing": op7_source_mixing,
