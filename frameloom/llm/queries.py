@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .exact_dedup import exact_dedup
 from .mixing import capped_targets, cycle_weights, mix, word_count
+from .packing import pack
 from .quality import classify
 from .simhash import simhash_components
 from .token_counts import count_tokens
@@ -28,6 +29,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_spec("byte_bpe_50k.json"), end_id=1, tiers=(2048, 1024, 512, 256))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(
         table(spark, sf_dir, "documents"),
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_packing": op4_packing,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_counts": op8_token_counts,
 }
