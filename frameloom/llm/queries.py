@@ -13,6 +13,7 @@ from .mixing import capped_targets, cycle_weights, mix, word_count
 from .packing import pack
 from .quality import classify
 from .simhash import simhash_components
+from .token_binary import token_binary
 from .token_counts import count_tokens
 from .tokenizer import public_spec
 
@@ -33,6 +34,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_spec("byte_bpe_50k.json"), end_id=1, tiers=(2048, 1024, 512, 256))
 
 
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary(table(spark, sf_dir, "documents"), public_spec("word_bpe_49k.json"), end_id=1)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(
         table(spark, sf_dir, "documents"),
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_packing": op4_packing,
+    "op5_token_binary": op5_token_binary,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_counts": op8_token_counts,
 }
