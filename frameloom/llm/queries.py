@@ -16,6 +16,7 @@ from .simhash import simhash_components
 from .token_binary import token_binary
 from .token_counts import count_tokens
 from .tokenizer import public_spec
+from .warc import archive
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), public_spec("word_bpe_49k.json"), end_id=1)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(
         table(spark, sf_dir, "documents"),
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_packing": op4_packing,
     "op5_token_binary": op5_token_binary,
+    "op6_warc": op6_warc,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_counts": op8_token_counts,
 }
