@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .mixing import capped_targets, cycle_weights, mix, word_count
 from .packing import pack
 from .quality import classify
@@ -59,6 +60,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_spec("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_html_text": op9_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
