@@ -10,8 +10,8 @@ no piece can influence the next one:
 * the sentencepiece model has no piece with a space mark behind another
   character, so a merge never crosses the start of a word.
 
-A piece of Latin-1 letters, perhaps with a full stop or comma behind, is one word
-for both JSON tokenizers' splitters, so it goes straight to the library's model.
+For both JSON tokenizers' splitters Latin-1 letters are one word and the punctuation behind
+them, apostrophes apart, is another, so such pieces go straight to the library's model.
 
 Texts where a space touches other white space or an end of the text, and texts
 with a special token's string or a literal space mark, are encoded whole instead.
@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 #: Text bytes that are worked on at a time, and pieces that a worker remembers.
 SLICE_BYTES = 4 << 20
 REMEMBERED = 400_000
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -83,32 +84,49 @@ class _Encoder:
             self.lead = "" if self.lower else " "
             self.letters = _byte_letters()
             self.model = model.model
-            self.marks = {m: self.library([m])[0] for m in ".,"}
+            self.space = "" if self.lower else self.letters[32]
+            self.line = self.library(["a\nb"])[0][1:-1]
         self._forget()
 
+    def _word(self, p: str) -> list[int] | None:
+        """Ids of a Latin-1 word, perhaps with punctuation behind; None if it is anything else."""
+        word = p.rstrip(PUNCTUATION)
+        tail = p[len(word) :]
+        lead = word[:1] == " "
+        if lead:
+            word = word[1:]
+        if not word.isalpha() or not (word.isascii() or max(word) <= "\xff"):
+            return None
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(self.space + word if lead else word)]
+        if tail:
+            if tail not in self.marks:
+                self.marks[tail] = self.library([tail])[0]
+            ids += self.marks[tail]
+        return ids
+
     def _by_model(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = []
         rest: list[str] = []
-        word_ids = self.model.tokenize
         for p in pieces:
-            word, mark = (p[:-1], p[-1]) if p[-1:] in self.marks else (p, "")
-            bare = word[1:] if word[:1] == " " else word
-            if not bare.isalpha() or max(bare) > "\xff":
-                out.append(None)
+            if "\n" in p:
+                # A single line feed between words is a token of its own, or none.
+                words = [self._word(x) for x in p.split("\n")]
+                ids = None if None in words else sum(([*self.line, *w] for w in words[1:]), words[0])
+            else:
+                ids = self._word(p)
+            out.append(ids)
+            if ids is None:
                 rest.append(p)
-                continue
-            if self.lower:
-                word = bare.lower()
-            if not bare.isascii():
-                word = word.encode().decode("latin-1").translate(self.letters)
-            elif not self.lower and bare is not word:
-                word = self.letters[32] + bare
-            out.append([t.id for t in word_ids(word)] + (self.marks[mark] if mark else []))
-        ids = iter(self.library(rest) if rest else [])
-        return [next(ids) if x is None else x for x in out]
+        found = iter(self.library(rest) if rest else [])
+        return [next(found) if x is None else x for x in out]
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.marks: dict[str, list[int]] = {}
         self.length = np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
