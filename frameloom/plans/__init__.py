@@ -1,0 +1,4 @@
+"""Queries that apply the operators to the supplied tables, with SQL twins."""
+
+from . import aggregates, regions, scalars  # noqa: F401
+from .common import ORACLE_SQL, QUERIES  # noqa: F401
