@@ -12,7 +12,7 @@ import numpy as np
 
 #: Rounds, rules that a round may add, and the share of a shard's symbols that a pair must reach.
 ROUNDS, RULES, RARE = 5, 4096, 1 / 8192
-_HASH_BITS = 20
+_HASH_BITS = 16
 
 
 def _frequent(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:

@@ -115,7 +115,10 @@ class _Encoder:
             if "\n" in p:
                 # A single line feed between words is a token of its own, or none.
                 words = [self._word(x) for x in p.split("\n")]
-                ids = None if None in words else sum(([*self.line, *w] for w in words[1:]), words[0])
+                ids = None if None in words else words[0]
+                for w in words[1:] if ids is not None else ():
+                    ids += self.line
+                    ids += w
             else:
                 ids = self._word(p)
             out.append(ids)
