@@ -21,7 +21,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, filesystem, shared_path, shuffle_partitions, text_or_empty
+from .shared import checkpointed, filesystem, lookup, shared_path, slot, text_or_empty
 from .tokenizer import TokenizerSpec, batches, encoder
 
 
@@ -62,7 +62,7 @@ def count_tokens(
     cache_path = cache_path or shared_path(spark, "token-cache")
     text = text_or_empty(text_col)
     digest = F.unhex(F.sha2(text, 256))
-    rows = checkpointed(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")))
+    rows = checkpointed(docs.select(F.col(id_col).alias("id"), slot().alias("slot"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")))
 
     def cached() -> DataFrame:
         if not _exists(cache_path):
@@ -82,8 +82,7 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays([digests, pa.array(encode.counts(column), pa.int64())], ["digest", "n_tokens"])
 
     wanted.mapInArrow(count, "digest binary, n_tokens long").withColumn("version", F.lit(version)).write.mode("append").parquet(cache_path)
-    counts = cached().repartition(shuffle_partitions(spark), "digest")
-    return rows.join(counts, "digest", "left").select(
+    return lookup(rows, cached(), ["digest"]).select(
         F.col("id").alias(id_col),
         "n_bytes",
         "n_tokens",
