@@ -142,7 +142,10 @@ def write_warc(
     told = lookup(rows, rows.select("digest", "n_bytes").distinct().join(best, ["digest", "n_bytes"], "left"), ["digest", "n_bytes"])
     # One row for each id and payload; the ids that revisit and what they refer to.
     revisits = told.where("id is distinct from response and response is not null").select(F.col("id").alias("own"), F.col("digest").alias("of"), "response").distinct()
-    sample = [r["html"].encode() for r in pages.where("n_bytes > 0").orderBy(F.xxhash64("id"), "id").limit(SAMPLES).select("html").collect()]
+    # Ids and digests of the sample first, so that no task sends its own candidates' pages to the driver.
+    some = rows.where("n_bytes > 0").select("id", "digest").distinct().orderBy(F.xxhash64("id"), "id", "digest").limit(SAMPLES)
+    picked = pages.join(F.broadcast(some.withColumnRenamed("id", "own").withColumnRenamed("digest", "of")), F.col("id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("of")), "left_semi")
+    sample = [r["html"].encode() for r in picked.dropDuplicates(["id", "digest"]).orderBy(F.xxhash64("id"), "id", "digest").select("html").collect()]
     dictionary = build_dictionary([record(i, "http://example.com/", p, _sha1(p), None, False, date) for i, p in enumerate(sample)]) if sample else b""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
