@@ -81,7 +81,9 @@ def count_tokens(
         for digests, column in batches(parts, "digest", "text"):
             yield pa.RecordBatch.from_arrays([digests, pa.array(encode.counts(column), pa.int64())], ["digest", "n_tokens"])
 
-    wanted.mapInArrow(count, "digest binary, n_tokens long").withColumn("version", F.lit(version)).write.mode("append").parquet(cache_path)
+    # Rows that repeat an id and its text come twice.
+    counted = wanted.mapInArrow(count, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counted.withColumn("version", F.lit(version)).write.mode("append").parquet(cache_path)
     return lookup(rows, cached(), ["digest"]).select(
         F.col("id").alias(id_col),
         "n_bytes",
