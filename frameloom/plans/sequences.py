@@ -549,11 +549,11 @@ def clip_meta(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("clip"), "lang", "source")).alias("meta"))
 
 
-@query("l05_clock_anchor", f"WITH {SEQ} SELECT clip, frame, epoch_ms(ts) - first_value(epoch_ms(ts)) OVER (PARTITION BY clip ORDER BY frame) + 500 AS media_ms FROM seq")
+@query("l05_clock_anchor", f"WITH {SEQ} SELECT clip, frame, epoch_us(ts) - first_value(epoch_us(ts)) OVER (PARTITION BY clip ORDER BY frame) + 500000 AS media_us FROM seq")
 def clock_anchor(spark: SparkSession, sf: str) -> DataFrame:
     """Media time is the anchor's plus the time since it."""
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return sequences(spark, sf).select("clip", "frame", (ms - F.first(ms).over(by_clip()) + 500).alias("media_ms"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return sequences(spark, sf).select("clip", "frame", (us - F.first(us).over(by_clip()) + 500000).alias("media_us"))
 
 
 @query("m03_export_frame", f"WITH {PTS}, b AS (SELECT min(x) AS lo, max(x) AS hi FROM pts) SELECT vid, {r6('lo + CAST(floor((x-lo)/(hi-lo)*16383+0.5) AS BIGINT) * (hi-lo)/16383.0')} AS x FROM pts, b WHERE frame = 3")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +27,14 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, unless they find it by PYTHONPATH or the working folder."""
+    root = Path(__file__).resolve().parent.parent
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if any(p and Path(p).resolve() == root for p in known) or getattr(spark.sparkContext, "_frameloom_sent", False):
+        return
+    folder = tempfile.mkdtemp()
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/frameloom_package", "zip", root, "frameloom"))
+    spark.sparkContext._frameloom_sent = True
