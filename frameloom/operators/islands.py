@@ -42,14 +42,12 @@ def frame_groups(rows: DataFrame, clip: str, frame: str, topology: str, most: in
 
 def run_lengths(bits: Column) -> Column:
     """Alternating run lengths of an array of 0 and 1, beginning with the zeros, so perhaps with 0."""
-    empty = F.struct(F.lit(0).alias("bit"), F.array(F.lit(0).cast("long")).alias("runs"))
-
-    def step(state: Column, bit: Column) -> Column:
-        runs, last = state["runs"], F.element_at(state["runs"], -1)
-        longer = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(last + 1))
-        return F.struct(bit.alias("bit"), F.when(bit == state["bit"], longer).otherwise(F.concat(runs, F.array(F.lit(1).cast("long")))).alias("runs"))
-
-    return F.aggregate(bits, empty, step, lambda s: s["runs"])
+    n = F.size(bits)
+    before = F.concat(F.array(F.lit(0)), bits)
+    turns = F.filter(F.transform(bits, lambda b, i: F.when(b != before[i], i)), lambda i: i.isNotNull())
+    ends = F.concat(turns, F.array(n))
+    starts = F.concat(F.array(F.lit(0)), turns)
+    return F.zip_with(ends, starts, lambda e, s: (e - s).cast("long"))
 
 
 def run_bits(runs: Column, size: Column) -> Column:

@@ -10,7 +10,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,17 +125,22 @@ def write_clips(frames: DataFrame, fps: float = 30.0, gop_length: int = 4) -> Da
 
     A clip's chunks are made one group at a time; only its finished chunks meet to be laid out, since a file is one row.
     """
-    gop = F.floor(F.col("frame") / gop_length)
-    rows = frames.withColumn("gop", gop)
+    box = F.array(F.min("x0"), F.min("y0"), F.min("z0"), F.max("x1"), F.max("y1"), F.max("z1")).cast("array<double>")
+    held = F.struct("frame", F.col("data").cast("binary").alias("data"))
+    groups = frames.groupBy("clip", F.floor(F.col("frame") / gop_length).alias("gop")).agg(box.alias("box"), F.array_sort(F.collect_list(held)).alias("f"))
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame")
-        box = tuple(part[c].min() for c in ("x0", "y0", "z0")) + tuple(part[c].max() for c in ("x1", "y1", "z1"))
-        first, pts = int(part["frame"].iloc[0]), int(round(part["frame"].iloc[0] * 1e6 / fps))
-        body = chunk(pts, len(part), box, [(0 if k == 0 else 1, 0, bytes(d)) for k, d in enumerate(part["data"])])
-        return pd.DataFrame({"clip": [part["clip"].iloc[0]], "frame": [first], "pts": [pts], "n": [len(part)], "box": [list(box)], "body": [body]})
-
-    made = rows.groupBy("clip", "gop").applyInPandas(one, "clip long, frame long, pts long, n long, box array<double>, body binary")
+    def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            rows = batch.to_pylist()
+            first = [r["f"][0]["frame"] for r in rows]
+            pts = [round(f * 1e6 / fps) for f in first]
+            bodies = [chunk(t, len(r["f"]), tuple(r["box"]), [(0 if k == 0 else 1, 0, x["data"] or b"") for k, x in enumerate(r["f"])]) for t, r in zip(pts, rows, strict=True)]
+            yield pa.RecordBatch.from_pydict({
+                "clip": batch.column("clip"), "frame": pa.array(first, pa.int64()), "pts": pa.array(pts, pa.int64()), "n": pa.array([len(r["f"]) for r in rows], pa.int64()),
+                "box": pa.array([r["box"] for r in rows], pa.list_(pa.float64())), "body": pa.array(bodies, pa.binary()),
+            })
+
+    made = groups.select("clip", "box", "f").mapInArrow(make, "clip long, frame long, pts long, n long, box array<double>, body binary")
 
     def lay(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
