@@ -43,8 +43,9 @@ def frame_groups(rows: DataFrame, clip: str, frame: str, topology: str, most: in
 def run_lengths(bits: Column) -> Column:
     """Alternating run lengths of an array of 0 and 1, beginning with the zeros, so perhaps with 0."""
     n = F.size(bits)
-    before = F.concat(F.array(F.lit(0)), bits)
-    turns = F.filter(F.transform(bits, lambda b, i: F.when(b != before[i], i)), lambda i: i.isNotNull())
+    # A lambda must not index another array: it would be made again for each element.
+    changed = F.zip_with(bits, F.slice(F.concat(F.array(F.lit(0)), bits), F.lit(1), n), lambda b, p: b != p)
+    turns = F.filter(F.transform(changed, lambda c, i: F.when(c, i)), lambda i: i.isNotNull())
     ends = F.concat(turns, F.array(n))
     starts = F.concat(F.array(F.lit(0)), turns)
     return F.zip_with(ends, starts, lambda e, s: (e - s).cast("long"))
