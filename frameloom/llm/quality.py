@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 CELL, STEP, EMBED, FILTERS, HIDDEN = 128, 4, 4, 16, 16
 LAGS = range(2, 25)
 #: Bytes that are scored at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 @dataclass
