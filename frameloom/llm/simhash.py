@@ -243,11 +243,11 @@ def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius:
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id of its component)."""
     rows = fingerprints(docs, words, 1, id_col, text_col).withColumnRenamed("f0", "p")
-    distinct = checkpointed(rows.groupBy("p").agg(F.min("id").alias("least")))
+    distinct = checkpointed(rows.groupBy("p").agg(F.min("id").alias("least")).withColumn("slot", slot()))
     roots = stars(links(distinct.select(F.col("p").alias("v"), "p"), ["p"], radius)).toDF("p", "root")
     known = distinct.join(roots, "p", "left").withColumn("root", F.coalesce("root", "p"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = known.select("p", "root").join(least, "root").select("p", "component_id")
+    found = lookup(known.select("slot", "p", "root"), least, ["root"]).select("p", "component_id")
     return lookup(rows, found, ["p"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("p"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -262,9 +262,9 @@ def near_duplicates(
     """
     names = [f"f{k}" for k in range(count)]
     rows = fingerprints(docs, words, count, id_col, text_col)
-    vertices = checkpointed(rows.groupBy(*names).agg(F.min("id").alias("least")).withColumn("v", F.monotonically_increasing_id()))
+    vertices = checkpointed(rows.groupBy(*names).agg(F.min("id").alias("least")).withColumn("v", F.monotonically_increasing_id()).withColumn("slot", slot()))
     roots = stars(links(vertices, names, radius, wide_radius)).toDF("v", "root")
     known = vertices.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = known.groupBy("root").agg(F.min("least").alias("keep_id"))
-    found = known.select(*names, "root").join(least, "root").select(*names, "keep_id")
+    found = lookup(known.select("slot", *names, "root"), least, ["root"]).select(*names, "keep_id")
     return lookup(rows, found, names).groupBy(F.col("id").alias(id_col)).agg(F.min("keep_id").alias("keep_id"))
