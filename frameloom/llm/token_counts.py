@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, filesystem, lookup, shared_path, slot, text_or_empty
+from .shared import checkpointed, lookup, shared_path, slot, text_or_empty
 from .tokenizer import TokenizerSpec, batches, encoder
 
 
@@ -35,13 +36,6 @@ def tokenizer_version(spec: TokenizerSpec) -> str:
     return body.hexdigest()
 
 
-def _exists(path: str) -> bool:
-    from pyarrow import fs
-
-    system, p = filesystem(path)
-    return system.get_file_info(p).type != fs.FileType.NotFound
-
-
 def count_tokens(
     docs: DataFrame,
     spec: TokenizerSpec,
@@ -65,9 +59,12 @@ def count_tokens(
     rows = checkpointed(docs.select(F.col(id_col).alias("id"), slot().alias("slot"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")))
 
     def cached() -> DataFrame:
-        if not _exists(cache_path):
+        try:
+            found = spark.read.schema("version string, digest binary, n_tokens long").parquet(cache_path)
+        except AnalysisException as e:  # a cache that nothing was appended to yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return spark.createDataFrame([], "digest binary, n_tokens long")
-        found = spark.read.schema("version string, digest binary, n_tokens long").parquet(cache_path)
         # Two runs at once may both have appended a digest; the counts are equal then.
         return found.where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
