@@ -37,8 +37,8 @@ from .shared import checkpointed, lookup, shuffle_partitions, slot
 from .tokenizer import batches
 
 LEAF, FAN = 16, 8
-#: Fingerprints below one 16-bit pattern from which it is split.
-CROWDED = 4096
+#: Fingerprints below one 16-bit pattern from which it is split: by further bits within three bits, else into sections.
+CROWDED, SECTION = 4096, 1 << 15
 #: Pairs that are compared at a time, and index rows that are searched at a time.
 PAIRS, ROWS = 1 << 21, 1 << 18
 
@@ -198,18 +198,26 @@ def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius:
 
     Two vertices are linked where one of their fingerprints differs in at most radius bits and, if wide_radius is
     given, all of them together in at most wide_radius bits. With a radius of at most three no link is lost;
-    a wider radius finds the pairs that agree on one of a fingerprint's 16-bit blocks.
+    a wider radius finds the pairs that agree on one of a fingerprint's 16-bit blocks, however many agree on it:
+    a crowded block's vertices are cut into sections, and every two sections are searched together.
     """
     n = shuffle_partitions(vertices.sparkSession)
     places = F.array(*(F.struct(F.lit(k).cast("long").alias("f"), _patterns(F.col(name)).alias("h"), F.col(name).alias("p")) for k, name in enumerate(prints)))
     others = prints if wide_radius is not None else []
     hung = vertices.select("v", *others, F.explode(places).alias("x")).select("v", *others, "x.f", "x.p", F.explode("x.h").alias("h"))
     hung = hung.select("v", *others, "p", (F.shiftleft("f", 56) + F.col("h.key")).alias("key"), "h.rest")
+    exact = radius <= 3
     # At most 4 * 65536 keys exist for each of a few fingerprints.
-    crowded = F.broadcast(hung.groupBy("key").count().where(F.col("count") > CROWDED).select("key", F.lit(True).alias("crowded")))
+    crowded = F.broadcast(hung.groupBy("key").count().where(F.col("count") > (CROWDED if exact else SECTION)).select("key", F.ceil(F.col("count") / SECTION).alias("sections")))
     hung = hung.join(crowded, "key", "left")
-    finer = F.array(*(F.col("key") + ((s + 1) << 20) + F.shiftleft(F.shiftrightunsigned("rest", 12 * s).bitwiseAND(F.lit(0xFFF)), 24) for s in range(4)))
-    hung = hung.select("v", *others, "p", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array("key"))).alias("key"))
+    if exact:
+        # Three differing bits leave one of four 12-bit blocks of the others alone.
+        split = F.array(*(F.col("key") + ((s + 1) << 20) + F.shiftleft(F.shiftrightunsigned("rest", 12 * s).bitwiseAND(F.lit(0xFFF)), 24) for s in range(4)))
+    else:
+        own = F.pmod(F.xxhash64("v"), F.col("sections"))
+        elsewhere = F.filter(F.sequence(F.lit(0).cast("long"), F.col("sections") - 1), lambda t: t != own)
+        split = F.transform(elsewhere, lambda t: F.col("key") + F.shiftleft(F.least(own, t), 20) + F.shiftleft(F.greatest(own, t), 38))
+    hung = hung.select("v", *others, "p", F.explode(F.when(F.col("sections").isNotNull(), split).otherwise(F.array("key"))).alias("key"))
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["v", "p", "key", *others]

@@ -152,6 +152,29 @@ def test_near_duplicates_keep_clean_documents(spark):
 # Quality.
 
 
+@pytest.mark.parametrize("radius,wide", [(3, None), (12, 20)])
+def test_crowded_blocks_lose_no_link(spark, monkeypatch, radius, wide):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 62, (60, 2), dtype=np.int64)
+    base[:, 0] &= ~np.int64(0xFFFF)  # all share a block of the first fingerprint
+    noise = [sum(1 << int(b) for b in rng.choice(60, 5, replace=False)) & ~0xFFFF for _ in range(60)]
+    rows = [(2 * i + k, int(a) ^ (n if k else 0), int(b) ^ (1 << 7 if k else 0)) for i, ((a, b), n) in enumerate(zip(base, noise, strict=True)) for k in (0, 1)]
+    vertices = spark.createDataFrame(rows, "v long, f0 long, f1 long")
+
+    def groups():
+        root = {v: v for v, _, _ in rows}
+        for r in simhash.links(vertices, ["f0", "f1"], radius, wide).collect():
+            a, b = root[r["a"]], root[r["b"]]
+            root = {v: min(a, b) if x in (a, b) else x for v, x in root.items()}
+        return root
+
+    whole = groups()
+    assert all(whole[2 * i] == whole[2 * i + 1] for i in range(60))
+    monkeypatch.setattr(simhash, "CROWDED", 8)
+    monkeypatch.setattr(simhash, "SECTION", 16)
+    assert groups() == whole
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{DATA[:-5]}0.01/documents.parquet"), spark.read.parquet(f"{DATA[:-5]}0.01/labels.parquet")
     got = quality.classify(docs, labels).join(labels.dropDuplicates(["doc_id"]), "doc_id").collect()
