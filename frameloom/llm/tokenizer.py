@@ -28,8 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at a time, and pieces that a worker remembers.
-SLICE_BYTES = 4 << 20
-REMEMBERED = 400_000
+SLICE_BYTES = 2 << 20
+REMEMBERED = 120_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
