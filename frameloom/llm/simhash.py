@@ -40,7 +40,7 @@ LEAF, FAN = 16, 8
 #: Fingerprints below one 16-bit pattern from which it is split: by further bits within three bits, else into sections.
 CROWDED, SECTION = 4096, 1 << 15
 #: Pairs that are compared at a time, and index rows that are searched at a time.
-PAIRS, ROWS = 1 << 21, 1 << 18
+PAIRS, ROWS = 1 << 19, 1 << 16
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
