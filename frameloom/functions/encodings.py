@@ -206,3 +206,11 @@ def loop_frame(raw: Column, low: int, high: int, mode: str) -> Column:
 
 def degrees(radians: Column) -> Column:
     return radians * 180.0 / pi
+
+
+def varint_hex(n: Column) -> Column:
+    """Unsigned LEB128 of at most five bytes, as hex digits; seven bits a byte, low ones first."""
+    n = n.cast("long")
+    more = sum(((n >= 1 << 7 * k).cast("int") for k in range(1, 5)), F.lit(0))
+    digit = lambda i: F.call_function("shiftright", n, i * 7).bitwiseAND(F.lit(127)) + F.when(i < more, 128).otherwise(0)
+    return F.array_join(F.transform(F.sequence(F.lit(0), more), lambda i: F.lpad(F.hex(digit(i)), 2, "0")), "")

@@ -145,3 +145,30 @@ def normal_gradient(n: Vector, u: Column, v: Column, fx: float, fy: float, cx: f
     d = nx * (u + 0.5 - cx) / fx + ny * (v + 0.5 - cy) / fy + nz
     ok = (size >= 0.2) & (F.abs(d) >= 0.15)
     return F.when(ok, -(nx / fx) / d).otherwise(F.lit(0.0)), F.when(ok, -(ny / fy) / d).otherwise(F.lit(0.0)), ok
+
+
+def value_noise(x: Column, y: Column, z: Column) -> Column:
+    """Smooth noise between 0 and 1 from hashed sines at the eight corners of a unit cell."""
+    cell = [F.floor(c) for c in (x, y, z)]
+    part = [c - i for c, i in zip((x, y, z), cell, strict=True)]
+    u, v, w = (p * p * (3 - 2 * p) for p in part)
+
+    def corner(i: int, j: int, k: int) -> Column:
+        s = F.sin((cell[0] + i) * 12.9898 + (cell[1] + j) * 78.233 + (cell[2] + k) * 37.719) * 43758.5453
+        return s - F.floor(s)
+
+    def between(a: Column, b: Column, t: Column) -> Column:
+        return a + (b - a) * t
+
+    front, back = (between(between(corner(0, 0, k), corner(1, 0, k), u), between(corner(0, 1, k), corner(1, 1, k), u), v) for k in (0, 1))
+    return between(front, back, w)
+
+
+def grow_interval(low: Column, high: Column, by: float) -> tuple[Column, Column]:
+    """An interval with both ends moved outward, or inward as far as its middle."""
+    middle = (low + high) / 2
+    return F.least(middle, low - by), F.greatest(middle, high + by)
+
+
+def mirror_interval(low: Column, high: Column, at: float) -> tuple[Column, Column]:
+    return 2 * at - high, 2 * at - low
