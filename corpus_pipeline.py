@@ -59,8 +59,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
-    return pack(docs, public_spec("byte_bpe_50k.json"), end_id=1, tiers=(2048, 1024, 512, 256))
+    """Pieces of sequences of at most 2048 tokens; workers that ran earlier stages have less memory left."""
+    return pack(docs, public_spec("byte_bpe_50k.json"), end_id=1, tiers=(2048, 1024, 512, 256), slice_bytes=2 << 20, remembered=120_000)
 
 
 STAGES = [

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizer import TokenizerSpec, batches, encoder
+from .tokenizer import REMEMBERED, SLICE_BYTES, TokenizerSpec, batches, encoder
 
 #: Windows of a step group hold so many tokens together, and so many groups are balanced at a time.
 STEP_TOKENS, STEP_POOL = 1 << 14, 8
@@ -164,10 +164,13 @@ def pack(
     tiers: tuple[int, ...] = (2048, 1024, 512, 256),
     id_col: str = "doc_id",
     text_col: str = "text",
+    slice_bytes: int = SLICE_BYTES,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, row.
 
     tiers: window sizes, powers of two; a sequence that isn't full is padded to the longest.
+    slice_bytes, remembered: text encoded at a time and pieces a worker remembers; less of both saves memory and costs time.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, row long, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long, tier int, step_group long"
@@ -175,7 +178,7 @@ def pack(
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(spec)
+        encode = encoder(spec, remembered)
         # A partition has fewer than 2^40 windows and documents.
         base = TaskContext.get().partitionId() << 40
         packer = Packer(tiers, base)
@@ -187,7 +190,7 @@ def pack(
             columns = list(zip(*packer.take(), strict=True)) or [[] for _ in range(10)]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], id_arrow), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], ["id", *names])
 
-        for doc_ids, texts in batches(parts, "id", "text"):
+        for doc_ids, texts in batches(parts, "id", "text", slice_bytes):
             id_arrow = doc_ids.type
             ids, before = encode.ids(texts, end_id)
             for doc, a, b in zip(doc_ids.to_pylist(), before[:-1].tolist(), before[1:].tolist(), strict=True):

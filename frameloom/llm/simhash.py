@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, words: int = 3, count: int = 1, id_col: str =
     names = [f"f{k}" for k in range(count)]
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in batches(parts, "id", "text"):
+        for ids, texts in batches(parts, "id", "text", 2 << 20):
             found = np.zeros((len(texts), count), np.int64)
             for i, text in enumerate(texts.cast(pa.large_binary()) if pa.types.is_large_string(texts.type) else texts.cast(pa.binary())):
                 hashes = shingle_hashes(text.as_py() or b"", words)

@@ -28,8 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at a time, and pieces that a worker remembers.
-SLICE_BYTES = 2 << 20
-REMEMBERED = 120_000
+SLICE_BYTES = 4 << 20
+REMEMBERED = 400_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -63,6 +63,7 @@ class _Encoder:
     def __init__(self, spec: TokenizerSpec) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.lead = ""
+        self.remembered = REMEMBERED
         if spec.library == "sentencepiece":
             import sentencepiece
 
@@ -159,7 +160,7 @@ class _Encoder:
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(place of each piece, pieces before each text)."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._forget()
         split = pc.split_pattern(texts, " ")
         offsets = np.asarray(split.offsets, np.int64)
@@ -221,15 +222,16 @@ class _Encoder:
 _ENCODERS: dict[TokenizerSpec, _Encoder] = {}
 
 
-def encoder(spec: TokenizerSpec) -> _Encoder:
+def encoder(spec: TokenizerSpec, remembered: int = REMEMBERED) -> _Encoder:
     """This worker's encoder; it outlives a task."""
     if spec not in _ENCODERS:
         _ENCODERS[spec] = _Encoder(spec)
+    _ENCODERS[spec].remembered = remembered
     return _ENCODERS[spec]
 
 
-def batches(parts: Iterable[pa.RecordBatch], id_name: str, text_name: str) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) of at most about SLICE_BYTES of text, or one text."""
+def batches(parts: Iterable[pa.RecordBatch], id_name: str, text_name: str, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of at most about slice_bytes of text, or one text."""
     for part in parts:
         ids, texts = part.column(id_name), part.column(text_name)
         if not len(texts):
@@ -238,6 +240,6 @@ def batches(parts: Iterable[pa.RecordBatch], id_name: str, text_name: str) -> It
         at = 0
         while at < len(texts):
             done = int(size[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(size, done + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(size, done + slice_bytes, "right")))
             yield ids.slice(at, to - at), texts.slice(at, to - at)
             at = to
