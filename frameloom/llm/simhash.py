@@ -21,6 +21,9 @@ link like any other. Texts with fewer words than a shingle hash their whole word
 sequence. Null ids are kept; a component of only null ids has a null component id.
 Repeated rows each get their row. An empty table gives an empty result. Other columns
 are not read.
+
+Near duplicates by Jaccard similarity take fingerprints as a search for candidates only:
+every link is checked on the two sets of shingles before it joins anything.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import stars
-from .shared import checkpointed, lookup, shuffle_partitions, slot
+from .shared import checkpointed, lookup, shuffle_partitions, slot, text_or_empty
 from .tokenizer import batches
 
 LEAF, FAN = 16, 8
@@ -100,6 +103,40 @@ def fingerprints(docs: DataFrame, words: int = 3, count: int = 1, id_col: str =
     return checkpointed(out.select("id", slot().alias("slot"), *names))
 
 
+def sets(docs: DataFrame, words: int, count: int) -> DataFrame:
+    """(id, t, slot, d0, d1, f0, f1, ...) of every row of (id, text, t): a digest and fingerprints of its set of shingles."""
+    id_type = docs.schema["id"].dataType.simpleString()
+    names = ["d0", "d1", *(f"f{k}" for k in range(count))]
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh128_digest
+
+        for keys, texts in batches(parts, "key", "text", 2 << 20):
+            found = np.zeros((len(texts), count + 2), np.int64)
+            for i, text in enumerate(texts.cast(pa.large_binary()) if pa.types.is_large_string(texts.type) else texts.cast(pa.binary())):
+                hashes = np.unique(shingle_hashes(text.as_py() or b"", words))
+                found[i, :2] = np.frombuffer(xxh128_digest(hashes.tobytes()), np.int64)
+                if len(hashes):
+                    found[i, 2:] = majority(hashes, count)
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(found[:, k]) for k in range(count + 2))], ["key", *names])
+
+    rows = docs.select(F.struct("id", "t").alias("key"), "text")
+    out = rows.mapInArrow(work, ", ".join([f"key struct<id:{id_type},t:string>", *(f"{n} long" for n in names)]))
+    return checkpointed(out.select("key.id", "key.t", slot().alias("slot"), *names))
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(v, s) of every row of (v, text): its distinct shingle hashes."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in batches(parts, "v", "text", 1 << 20):
+            found = [np.unique(shingle_hashes(text.as_py() or b"", words)).view(np.int64) for text in texts.cast(pa.large_binary())]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, np.concatenate(found))], ["v", "s"])
+
+    return docs.select("v", "text").mapInArrow(work, "v long, s array<long>")
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Place of each 64-bit word in the Gray order."""
     for s in (1, 2, 4, 8, 16, 32):
@@ -115,16 +152,26 @@ def _nodes(starts: np.ndarray, keys: np.ndarray, fan: int) -> np.ndarray:
     return np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % fan == 0)
 
 
-def forest(prints: np.ndarray, keys: np.ndarray, radius: int = 3, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, keys: np.ndarray, radius: int = 3, wide: np.ndarray | None = None, wide_radius: int = 0, groups: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links (child, root), as indices, that connect all fingerprints of equal key within radius of each other.
 
     wide: further words of each fingerprint; then a pair must also differ in at most wide_radius of these bits.
+    groups: a number for each fingerprint; members of a group count as connected from the start, and the links are
+    pairs that were found near themselves, the nearest first. every: all near pairs of different groups.
     """
     order = np.lexsort((gray_rank(prints), keys))
     prints, keys = prints[order], keys[order]
     wide = None if wide is None else wide[order]
     n = len(prints)
     label = np.arange(n)
+    if groups is not None:
+        groups = groups[order]
+        by = np.lexsort((groups, keys))
+        new = np.ones(n, bool)
+        new[1:] = (keys[by][1:] != keys[by][:-1]) | (groups[by][1:] != groups[by][:-1])
+        # The sort is stable, so a group's first member is its smallest.
+        label[by] = by[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
     # Levels from the leaves up: first member, end, and the bits set in all and in any member.
     levels = []
     all_set, any_set, node_keys, fan = prints, prints, keys, LEAF
@@ -168,16 +215,44 @@ def forest(prints: np.ndarray, keys: np.ndarray, radius: int = 3, wide: np.ndarr
             continue
         keep = (a < b) & (np.bitwise_count(prints[a] ^ prints[b]) <= radius)
         a, b = a[keep], b[keep]
-        if wide is not None:
-            keep = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= wide_radius
+        if groups is not None:
+            keep = label[a] != label[b]
             a, b = a[keep], b[keep]
+        if wide is not None:
+            far = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64)
+            keep = far <= wide_radius
+            a, b, far = a[keep], b[keep], far[keep]
+        if every:
+            pairs.append((a, b))
+            continue
+        if groups is not None and len(a):
+            near = np.argsort(far, kind="stable")
+            a, b = a[near], b[near]
         while len(a):
+            if groups is not None:
+                # Each component's nearest link; as no two links are equally near, they make no ring.
+                best = np.full(n, len(a))
+                np.minimum.at(best, label[a], np.arange(len(a)))
+                np.minimum.at(best, label[b], np.arange(len(a)))
+                best = np.unique(best[best < len(a)])
+                pairs.append((a[best], b[best]))
+                x, y = a[best], b[best]
+                while (label[x] != label[y]).any():
+                    np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
+                    while (label != label[label]).any():
+                        label = label[label]
+                open_ = label[a] != label[b]
+                a, b = a[open_], b[open_]
+                continue
             x, y = label[a], label[b]
             np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
             while (label != label[label]).any():
                 label = label[label]
             open_ = label[a] != label[b]
             a, b = a[open_], b[open_]
+    if groups is not None:
+        a, b = (np.concatenate([p[k] for p in pairs] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return order[a], order[b]
     child = np.flatnonzero(label != np.arange(n))
     return order[child], order[label[child]]
 
@@ -193,17 +268,19 @@ def _patterns(prints: Column) -> Column:
     return F.array(*out)
 
 
-def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius: int | None = None) -> DataFrame:
+def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius: int | None = None, wide: list[str] | None = None, group: str | None = None, every: bool = False) -> DataFrame:
     """(a, b) links between vertices; vertices: v, a long, and the columns ``prints``.
 
     Two vertices are linked where one of their fingerprints differs in at most radius bits and, if wide_radius is
     given, all of them together in at most wide_radius bits. With a radius of at most three no link is lost;
     a wider radius finds the pairs that agree on one of a fingerprint's 16-bit blocks, however many agree on it:
     a crowded block's vertices are cut into sections, and every two sections are searched together.
+    wide: the fingerprints that wide_radius is for, if not all. group: a column of longs; vertices of one group aren't
+    linked, and links are near pairs themselves, enough to connect all near groups or, with every, all there are.
     """
     n = shuffle_partitions(vertices.sparkSession)
     places = F.array(*(F.struct(F.lit(k).cast("long").alias("f"), _patterns(F.col(name)).alias("h"), F.col(name).alias("p")) for k, name in enumerate(prints)))
-    others = prints if wide_radius is not None else []
+    others = [*((wide or prints) if wide_radius is not None else []), *([group] if group else [])]
     hung = vertices.select("v", *others, F.explode(places).alias("x")).select("v", *others, "x.f", "x.p", F.explode("x.h").alias("h"))
     hung = hung.select("v", *others, "p", (F.shiftleft("f", 56) + F.col("h.key")).alias("key"), "h.rest")
     exact = radius <= 3
@@ -225,9 +302,10 @@ def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius:
         rows = 0
 
         def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-            v, p, key, *wide = columns
-            words = np.stack(wide, 1).view(np.uint64) if wide else None
-            a, b = forest(p.view(np.uint64), key, radius, words, wide_radius or 0)
+            v, p, key, *rest = columns
+            groups = rest.pop() if group else None
+            words = np.stack(rest, 1).view(np.uint64) if rest else None
+            a, b = forest(p.view(np.uint64), key, radius, words, wide_radius or 0, groups, every)
             return pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], ["a", "b"])
 
         for part in parts:
@@ -259,20 +337,64 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col:
     return lookup(rows, found, ["p"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("p"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 3, count: int = 6, radius: int = 12, wide_radius: int = 50, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per distinct id: id, keep_id (smallest id of its group), by ``count`` fingerprints.
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per distinct id: id, keep_id (smallest id of its group).
 
-    One fingerprint of 64 bits rarely differs in three bits or fewer where a fifth of the five-word shingles
-    differ. Several make the distance sharp: of 6 * 64 bits, 50 differ at a five-word similarity
-    of about 0.8. They also offer 24 blocks, one of which such a pair shares almost always.
+    Groups are connected by pairs of texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+    Candidates agree on one of 4 * ``count`` blocks of 16 bits and differ in at most as many bits of the first four
+    fingerprints as such a pair does, and 3.2 standard deviations more; the angle of two sets that are as similar gives the
+    share of bits. A pair at 0.8 shares none of 64 blocks in under one case of a hundred. All candidates are settled:
+    links of a forest are verified until no round joins anything, then all candidates that are still apart.
     """
     names = [f"f{k}" for k in range(count)]
-    rows = fingerprints(docs, words, count, id_col, text_col)
-    vertices = checkpointed(rows.groupBy(*names).agg(F.min("id").alias("least")).withColumn("v", F.monotonically_increasing_id()).withColumn("slot", slot()))
-    roots = stars(links(vertices, names, radius, wide_radius)).toDF("v", "root")
-    known = vertices.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    least = known.groupBy("root").agg(F.min("least").alias("keep_id"))
-    found = lookup(known.select("slot", *names, "root"), least, ["root"]).select(*names, "keep_id")
-    return lookup(rows, found, names).groupBy(F.col("id").alias(id_col)).agg(F.min("keep_id").alias("keep_id"))
+    wide = names[:4]
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most = lambda bits: int(bits * share + 3.2 * np.sqrt(bits * share * (1 - share)))
+    docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("t", F.md5("text"))
+    rows = sets(docs, words, count)
+    firsts = [F.first(n).alias(n) for n in names]
+    vertices = checkpointed(rows.groupBy("d0", "d1").agg(F.min("id").alias("least"), F.min("t").alias("t"), *firsts).withColumn("v", F.monotonically_increasing_id()).withColumn("slot", slot()))
+    now = links(vertices.select("v", *names, F.col("v").alias("label")), names, most(64) + 4, most(256), wide, "label")
+    now = checkpointed(_nearest(now))
+    roots = stars(now).toDF("v", "root")
+    linked = checkpointed(now.select(F.col("a").alias("v")).union(now.select("b")).distinct().join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")).join(vertices.select("v", "t", *names), "v").withColumn("slot", slot()))
+    texts = docs.select("t", "text").join(linked.select("v", "t"), "t").dropDuplicates(["v"])
+    known = checkpointed(shingle_sets(texts, words))
+    joined = None
+    every = False
+    while not now.isEmpty():
+        good = _verified(now, known, similarity)
+        told = good.isEmpty()
+        joined = good if joined is None else checkpointed(joined.union(good).distinct())
+        labels = stars(joined).toDF("v", "label")
+        if every:
+            break
+        # Where a round joined nothing, its links may hide others: all are looked at.
+        every = told
+        state = checkpointed(linked.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
+        apart = state.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("root")
+        left = lookup(state, apart, ["root"]).select("v", *names, "label")
+        now = links(left, names, most(64) + 4, most(256), wide, "label", every)
+        now = checkpointed(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() if every else _nearest(now))
+    roots = stars(joined).toDF("v", "root") if joined is not None else roots
+    settled = vertices.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    least = settled.groupBy("root").agg(F.min("least").alias("keep_id"))
+    found = lookup(settled.select("slot", "d0", "d1", "root"), least, ["root"]).select("d0", "d1", "keep_id")
+    return lookup(rows, found, ["d0", "d1"]).groupBy(F.col("id").alias(id_col)).agg(F.min("keep_id").alias("keep_id"))
+
+
+def _nearest(links: DataFrame) -> DataFrame:
+    """Distinct (a, b), a the greater; of each vertex's links up to four."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    # Which links stay matters for speed only.
+    few = both.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(4))).agg(F.min("b").alias("b"))
+    return few.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _verified(links: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets in known, (v, s), are similar."""
+    pairs = checkpointed(links.select("a", "b", slot().alias("slot")))
+    for c in ("a", "b"):
+        pairs = lookup(pairs, known.select(F.col("v").alias(c), F.col("s").alias("s" + c)), [c])
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return checkpointed(pairs.where(shared * 1.0 >= (F.size("sa") + F.size("sb") - shared) * F.lit(similarity) - 1e-9).select("a", "b"))

@@ -149,6 +149,49 @@ def test_near_duplicates_keep_clean_documents(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def five_words(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_duplicates_hold_the_similarity(spark):
+    """Appended, replaced and scattered edits at a five-word Jaccard of 0.8 to 0.85 are grouped, those just below are not."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, near, far = [], [], []
+    for kind in ("append", "replace", "scatter"):
+        for g in range(80):
+            base = [word() for _ in range(404)]
+            low = g % 4 == 3
+            copy = list(base)
+            if kind == "append":
+                copy += [word() for _ in range(108 if low else rng.randrange(75, 99))]
+            elif kind == "replace":
+                k = 48 if low else rng.randrange(33, 41)
+                copy[100 : 100 + k] = [word() for _ in range(k)]
+            else:
+                for i in range(10 if low else 8):
+                    copy[20 + 35 * i] = word()
+            a, b = five_words(" ".join(base)), five_words(" ".join(copy))
+            similar = len(a & b) / len(a | b)
+            assert 0.7 < similar < 0.8 if low else 0.8 <= similar <= 0.86
+            (far if low else near).append(len(rows))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i, _ in rows[::2])
+    assert not any(got[i + 1] == i for i in far)
+    assert sum(got[i + 1] == i for i in near) >= 0.97 * len(near)
+
+
+def test_near_pairs_that_a_forest_hides(spark):
+    """Of a chain only neighbours are similar enough; candidates that are not must not keep the links from it."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(i, " ".join(words[20 * i : 20 * i + 304])) for i in range(30)] + [(100 + i, " ".join(rng.sample(words, 300))) for i in range(30)]
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 30 else i for i, _ in rows}
+
+
 # Quality.
 
 
