@@ -45,17 +45,19 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("own_id"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["own_id"]), "left_semi")
+    """The document of smallest id of each group of near copies; texts that share an id are judged apart."""
+    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("own_id"), "text_md5")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["own_id"]) & (F.md5(text_or_empty("text")) == found["text_md5"]), "left_semi")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, or up to three times."""
-    mixed = mix(docs, word_count("text"), F.col("source"), lambda names, sizes: capped_targets(sizes, cycle_weights(len(names))), max_repeat=3, seed=7)
-    times = _free("copies", docs)
-    told = mixed.groupBy(F.col("doc_id").alias("own_id")).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
-    return docs.join(told, docs["doc_id"].eqNullSafe(told["own_id"])).withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*(docs[c] for c in docs.columns))
+    key, times = _free("row_key", docs), _free("copies", docs)
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").alias("own_id"), F.md5(text_or_empty("text")).alias("text_md5"), F.col("source").alias("own_source")))
+    mixed = mix(keyed, word_count("text"), F.col("source"), lambda names, sizes: capped_targets(sizes, cycle_weights(len(names))), max_repeat=3, seed=7, id_col=key)
+    told = mixed.groupBy(*(F.col(f"{key}.{c}") for c in ("own_id", "text_md5", "own_source"))).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    same = docs["doc_id"].eqNullSafe(told["own_id"]) & (F.md5(text_or_empty("text")) == told["text_md5"]) & docs["source"].eqNullSafe(told["own_source"])
+    return docs.join(told, same).withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*(docs[c] for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

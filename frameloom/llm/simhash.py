@@ -338,9 +338,10 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct id: id, keep_id (smallest id of its group).
+    """One row per distinct id and text: id, text_md5 (null as the empty text), keep_id (smallest id of its group), kept.
 
-    Groups are connected by pairs of texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+    One row of each group is kept: of those with the smallest id the one with the smallest digest; null ids come last.
+    Rows of different texts are judged apart even where they share an id. Groups are connected by pairs of texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
     Candidates agree on one of 4 * ``count`` blocks of 16 bits and differ in at most as many bits of the first four
     fingerprints as such a pair does, and 3.2 standard deviations more; the angle of two sets that are as similar gives the
     share of bits. A pair at 0.8 shares none of 64 blocks in under one case of a hundred. All candidates are settled:
@@ -353,7 +354,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("t", F.md5("text"))
     rows = sets(docs, words, count)
     firsts = [F.first(n).alias(n) for n in names]
-    vertices = checkpointed(rows.groupBy("d0", "d1").agg(F.min("id").alias("least"), F.min("t").alias("t"), *firsts).withColumn("v", F.monotonically_increasing_id()).withColumn("slot", slot()))
+    vertices = checkpointed(rows.groupBy("d0", "d1").agg(F.min(_place("id", "t")).alias("least"), F.min("t").alias("t"), *firsts).withColumn("v", F.monotonically_increasing_id()).withColumn("slot", slot()))
     now = links(vertices.select("v", *names, F.col("v").alias("label")), names, most(64) + 4, most(256), wide, "label")
     now = checkpointed(_nearest(now))
     roots = stars(now).toDF("v", "root")
@@ -378,9 +379,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
         now = checkpointed(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() if every else _nearest(now))
     roots = stars(joined).toDF("v", "root") if joined is not None else roots
     settled = vertices.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    least = settled.groupBy("root").agg(F.min("least").alias("keep_id"))
-    found = lookup(settled.select("slot", "d0", "d1", "root"), least, ["root"]).select("d0", "d1", "keep_id")
-    return lookup(rows, found, ["d0", "d1"]).groupBy(F.col("id").alias(id_col)).agg(F.min("keep_id").alias("keep_id"))
+    least = settled.groupBy("root").agg(F.min("least").alias("best"))
+    found = lookup(settled.select("slot", "d0", "d1", "root"), least, ["root"]).select("d0", "d1", "best")
+    kept = F.col("best").eqNullSafe(_place("id", "t"))
+    return lookup(rows, found, ["d0", "d1"]).select(F.col("id").alias(id_col), F.col("t").alias("text_md5"), F.col("best.id").alias("keep_id"), kept.alias("kept")).distinct()
+
+
+def _place(id_: str, digest: str) -> Column:
+    """The order in which a group's rows are kept."""
+    return F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), F.col(digest).alias("t"))
 
 
 def _nearest(links: DataFrame) -> DataFrame:

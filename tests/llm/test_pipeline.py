@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipe
-from frameloom.llm import quality
+from frameloom.llm import mixing, quality
 
 DATA = "/root/testdata/sf0.001"
 
@@ -76,5 +76,21 @@ def test_odd_rows(spark, tmp_path):
         assert stage(spark, docs.where("false"), DATA).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Null and repeated ids: unrelated texts stay, near copies go, and each row has its own place in the mix."""
+    word = lambda k, n: " ".join(f"t{k}w{i}" for i in range(n))
+    first = word(0, 200)
+    rows = [(1, first, "a"), (None, first + " more", "a"), (None, word(1, 200), "a"), (None, word(1, 200) + " more", "b"), (None, word(2, 200), "b"), (5, word(3, 200), "a"), (5, first + " other", "b"), (5, word(4, 200), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [(r["doc_id"], r["text"]) for r in pipe.near_dedup(spark, docs, DATA).collect()]
+    pair = min(rows[2:4], key=lambda r: hashlib.md5(r[1].encode()).hexdigest())
+    assert Counter(kept) == Counter((r[0], r[1]) for r in [rows[0], pair, rows[4], rows[5], rows[7]])
+    docs = spark.createDataFrame([(k % 2 or None, word(k, 40), "abc"[k % 3]) for k in range(60)], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs.withColumn("k", F.col("text")), mixing.word_count("text"), F.col("source"), lambda names, sizes: mixing.capped_targets(sizes, mixing.cycle_weights(len(names))), max_repeat=3, seed=7, id_col="k")
+    want = mixed.groupBy(F.element_at("members", 1).alias("source")).agg(F.sum("taken").alias("n")).collect()
+    got = pipe.mixture(spark, docs, DATA).groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in got} == {r["source"]: r["n"] for r in want if r["n"]}
+
+
 def test_run(spark):
     assert pipe.run(spark, DATA).count() > 0
