@@ -345,7 +345,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
     Candidates agree on one of 4 * ``count`` blocks of 16 bits and differ in at most as many bits of the first four
     fingerprints as such a pair does, and 3.2 standard deviations more; the angle of two sets that are as similar gives the
     share of bits. A pair at 0.8 shares none of 64 blocks in under one case of a hundred. All candidates are settled:
-    links of a forest are verified until no round joins anything, then all candidates that are still apart.
+    links of a forest are verified until few pairs are apart or no round joins anything, then all candidates that are still apart.
     """
     names = [f"f{k}" for k in range(count)]
     wide = names[:4]
@@ -370,11 +370,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
         labels = stars(joined).toDF("v", "label")
         if every:
             break
-        # Where a round joined nothing, its links may hide others: all are looked at.
-        every = told
         state = checkpointed(linked.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
-        apart = state.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("root")
-        left = lookup(state, apart, ["root"]).select("v", *names, "label")
+        n = F.col("n").cast("double")
+        apart = checkpointed(
+            state.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.count("*").alias("labels"), (F.sum(n) * F.sum(n) - F.sum(n * n)).alias("pairs")).where("labels > 1")
+        )
+        # A round's links may hide others: all are looked at once they are few, or where a round joined nothing.
+        every = told or (apart.agg(F.sum("pairs")).first()[0] or 0.0) <= 8.0 * vertices.count()
+        left = lookup(state, apart.select("root"), ["root"]).select("v", *names, "label")
         now = links(left, names, most(64) + 4, most(256), wide, "label", every)
         now = checkpointed(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() if every else _nearest(now))
     roots = stars(joined).toDF("v", "root") if joined is not None else roots
