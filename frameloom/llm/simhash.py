@@ -42,8 +42,8 @@ from .tokenizer import batches
 LEAF, FAN = 16, 8
 #: Fingerprints below one 16-bit pattern from which it is split: by further bits within three bits, else into sections.
 CROWDED, SECTION = 4096, 1 << 15
-#: Pairs that are compared at a time, and index rows that are searched at a time.
-PAIRS, ROWS = 1 << 19, 1 << 16
+#: Pairs that are compared at a time, index rows that are searched at a time, and hashes whose bits are counted at a time.
+PAIRS, ROWS, COUNTED = 1 << 19, 1 << 16, 1 << 13
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -62,15 +62,47 @@ def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
     return np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64)
 
 
-def majority(hashes: np.ndarray, count: int = 1) -> np.ndarray:
-    """For each of ``count`` independent families, the 64 bits set in over half its hashes, as a signed number."""
-    votes = np.zeros((count, 64), np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        part = hashes[i : i + (1 << 14)]
-        all_ = np.stack([family(part, k) for k in range(count)]).astype("<u8", copy=False)
-        bits = np.unpackbits(all_.view(np.uint8).reshape(count, -1, 8), axis=2, bitorder="little")
-        votes += bits.sum(1, dtype=np.int32)
-    return np.packbits(2 * votes > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0]
+def majority(hashes: list[np.ndarray], count: int = 1) -> np.ndarray:
+    """Of each array of hashes, for each of ``count`` independent families the 64 bits set in over half of them, as a signed number."""
+    out = np.zeros((len(hashes), count), np.int64)
+    sizes = np.array([len(h) for h in hashes])
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    at = 0
+    while at < len(order):
+        # Arrays of like size are counted together, filled up with zeros; a long one is counted in parts.
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * sizes[order[to]] <= COUNTED:
+            to += 1
+        some, n = order[at:to], sizes[order[to - 1]]
+        votes = np.zeros((count, len(some), 64), np.int64)
+        for i in range(0, n, COUNTED):
+            width = min(COUNTED, n - i)
+            part = np.zeros((len(some), width), np.uint64)
+            for row, k in zip(part, some, strict=True):
+                row[: max(0, sizes[k] - i)] = hashes[k][i : i + width]
+            real = i + np.arange(width) < sizes[some][:, None]
+            votes += _set_bits(np.stack([np.where(real, family(part, k), np.uint64(0)) for k in range(count)]))
+        out[some] = np.packbits(2 * votes > sizes[some][:, None], axis=2, bitorder="little").view("<i8")[:, :, 0].T
+        at = to
+    return out
+
+
+def _set_bits(words: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set along the last axis; adders count all bits of three words at once."""
+    total = np.zeros((*words.shape[:-1], 64), np.int64)
+    level, weight = words, 1
+    while level.shape[-1]:
+        carries = []
+        while (third := level.shape[-1] // 3) > 0:
+            a, b, c = (level[..., k * third : (k + 1) * third] for k in range(3))
+            ab = a ^ b
+            carries.append((a & b) | (ab & c))
+            level = np.concatenate([ab ^ c, level[..., 3 * third :]], -1)
+        bits = np.unpackbits(np.ascontiguousarray(level).astype("<u8", copy=False).view(np.uint8).reshape(*level.shape, 8), axis=-1, bitorder="little")
+        total += weight * bits.sum(-2, dtype=np.int64)
+        level, weight = np.concatenate([words[..., :0], *carries], -1), 2 * weight
+    return total
 
 
 def family(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -84,6 +116,10 @@ def family(hashes: np.ndarray, k: int) -> np.ndarray:
     return hashes
 
 
+def _bytes(texts: pa.Array) -> pa.Array:
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+
+
 def fingerprints(docs: DataFrame, words: int = 3, count: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, slot, f0, f1, ...): ``count`` independent fingerprints of every row, as signed longs."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -91,11 +127,7 @@ def fingerprints(docs: DataFrame, words: int = 3, count: int = 1, id_col: str =
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches(parts, "id", "text", 2 << 20):
-            found = np.zeros((len(texts), count), np.int64)
-            for i, text in enumerate(texts.cast(pa.large_binary()) if pa.types.is_large_string(texts.type) else texts.cast(pa.binary())):
-                hashes = shingle_hashes(text.as_py() or b"", words)
-                if len(hashes):
-                    found[i] = majority(hashes, count)
+            found = majority([shingle_hashes(text.as_py() or b"", words) for text in _bytes(texts)], count)
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(found[:, k]) for k in range(count))], ["id", *names])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -112,12 +144,9 @@ def sets(docs: DataFrame, words: int, count: int) -> DataFrame:
         from xxhash import xxh128_digest
 
         for keys, texts in batches(parts, "key", "text", 2 << 20):
-            found = np.zeros((len(texts), count + 2), np.int64)
-            for i, text in enumerate(texts.cast(pa.large_binary()) if pa.types.is_large_string(texts.type) else texts.cast(pa.binary())):
-                hashes = np.unique(shingle_hashes(text.as_py() or b"", words))
-                found[i, :2] = np.frombuffer(xxh128_digest(hashes.tobytes()), np.int64)
-                if len(hashes):
-                    found[i, 2:] = majority(hashes, count)
+            hashes = [np.unique(shingle_hashes(text.as_py() or b"", words)) for text in _bytes(texts)]
+            digests = np.array([np.frombuffer(xxh128_digest(h.tobytes()), np.int64) for h in hashes]).reshape(-1, 2)
+            found = np.concatenate([digests, majority(hashes, count)], 1)
             yield pa.RecordBatch.from_arrays([keys, *(pa.array(found[:, k]) for k in range(count + 2))], ["key", *names])
 
     rows = docs.select(F.struct("id", "t").alias("key"), "text")
@@ -130,7 +159,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in batches(parts, "v", "text", 1 << 20):
-            found = [np.unique(shingle_hashes(text.as_py() or b"", words)).view(np.int64) for text in texts.cast(pa.large_binary())]
+            found = [np.unique(shingle_hashes(text.as_py() or b"", words)).view(np.int64) for text in _bytes(texts)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, np.concatenate(found))], ["v", "s"])
 
@@ -257,15 +286,14 @@ def forest(prints: np.ndarray, keys: np.ndarray, radius: int = 3, wide: np.ndarr
     return order[child], order[label[child]]
 
 
-def _patterns(prints: Column) -> Column:
-    """The four (pattern, other 48 bits) of a fingerprint."""
-    out = []
-    for b in range(4):
-        value = F.shiftrightunsigned(prints, 16 * b).bitwiseAND(F.lit(0xFFFF))
-        low = prints.bitwiseAND(F.lit((1 << 16 * b) - 1)) if b else F.lit(0).cast("long")
-        high = F.shiftleft(F.shiftrightunsigned(prints, 16 * (b + 1)), 16 * b) if b < 3 else F.lit(0).cast("long")
-        out.append(F.struct((value + (b << 16)).cast("long").alias("key"), high.bitwiseOR(low).alias("rest")))
-    return F.array(*out)
+def _hung(vertices: DataFrame, prints: list[str], others: list[str], rest: bool) -> DataFrame:
+    """vertices below each of their patterns: v, others, p, key (fingerprint, block and its 16 bits) and, if wanted, the other 48 bits."""
+    each = vertices.select("v", *others, F.posexplode(F.array(*prints)).alias("f", "p"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("b"))
+    key = F.expr("shiftleft(CAST(f AS BIGINT), 56) + shiftleft(CAST(b AS BIGINT), 16) + (shiftrightunsigned(p, 16 * b) & 65535L)")
+    # The fourth block's upper part is none: a shift by 64 would be one by 0.
+    others48 = F.expr("(p & (shiftleft(1L, 16 * b) - 1L)) | IF(b < 3, shiftleft(shiftrightunsigned(p, 16 * b + 16), 16 * b), 0L)")
+    return each.select("v", *others, "p", key.alias("key"), *([others48.alias("rest")] if rest else []))
 
 
 def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius: int | None = None, wide: list[str] | None = None, group: str | None = None, every: bool = False) -> DataFrame:
@@ -279,11 +307,9 @@ def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius:
     linked, and links are near pairs themselves, enough to connect all near groups or, with every, all there are.
     """
     n = shuffle_partitions(vertices.sparkSession)
-    places = F.array(*(F.struct(F.lit(k).cast("long").alias("f"), _patterns(F.col(name)).alias("h"), F.col(name).alias("p")) for k, name in enumerate(prints)))
     others = [*((wide or prints) if wide_radius is not None else []), *([group] if group else [])]
-    hung = vertices.select("v", *others, F.explode(places).alias("x")).select("v", *others, "x.f", "x.p", F.explode("x.h").alias("h"))
-    hung = hung.select("v", *others, "p", (F.shiftleft("f", 56) + F.col("h.key")).alias("key"), "h.rest")
     exact = radius <= 3
+    hung = _hung(vertices, prints, others, exact)
     # At most 4 * 65536 keys exist for each of a few fingerprints.
     crowded = F.broadcast(hung.groupBy("key").count().where(F.col("count") > (CROWDED if exact else SECTION)).select("key", F.ceil(F.col("count") / SECTION).alias("sections")))
     hung = hung.join(crowded, "key", "left")
@@ -355,13 +381,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
     rows = sets(docs, words, count)
     firsts = [F.first(n).alias(n) for n in names]
     vertices = checkpointed(rows.groupBy("d0", "d1").agg(F.min(_place("id", "t")).alias("least"), F.min("t").alias("t"), *firsts).withColumn("v", F.monotonically_increasing_id()).withColumn("slot", slot()))
-    now = links(vertices.select("v", *names, F.col("v").alias("label")), names, most(64) + 4, most(256), wide, "label")
+    now = links(vertices.select("v", *names, F.col("v").alias("label")), names, most(48), most(256), wide, "label")
     now = checkpointed(_nearest(now))
     roots = stars(now).toDF("v", "root")
     linked = checkpointed(now.select(F.col("a").alias("v")).union(now.select("b")).distinct().join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")).join(vertices.select("v", "t", *names), "v").withColumn("slot", slot()))
     texts = docs.select("t", "text").join(linked.select("v", "t"), "t").dropDuplicates(["v"])
     known = checkpointed(shingle_sets(texts, words))
-    joined = None
+    joined = labels = None
     every = False
     while not now.isEmpty():
         good = _verified(now, known, similarity)
@@ -378,10 +404,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
         # A round's links may hide others: all are looked at once they are few, or where a round joined nothing.
         every = told or (apart.agg(F.sum("pairs")).first()[0] or 0.0) <= 8.0 * vertices.count()
         left = lookup(state, apart.select("root"), ["root"]).select("v", *names, "label")
-        now = links(left, names, most(64) + 4, most(256), wide, "label", every)
+        now = links(left, names, most(48), most(256), wide, "label", every)
         now = checkpointed(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() if every else _nearest(now))
-    roots = stars(joined).toDF("v", "root") if joined is not None else roots
-    settled = vertices.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    settled = vertices.join(roots if labels is None else labels.withColumnRenamed("label", "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = settled.groupBy("root").agg(F.min("least").alias("best"))
     found = lookup(settled.select("slot", "d0", "d1", "root"), least, ["root"]).select("d0", "d1", "best")
     kept = F.col("best").eqNullSafe(_place("id", "t"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.llm import ann, exact_dedup, html_text, mixing, packing, quality, repair, simhash, token_binary, token_counts, warc
+from frameloom.llm import ann, components, exact_dedup, html_text, mixing, packing, quality, repair, simhash, token_binary, token_counts, warc
 from frameloom.llm.tokenizer import encoder, public_spec
 
 DATA = "/root/testdata/sf0.001"
@@ -110,6 +110,29 @@ def test_fingerprints_and_components(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("count", [1, 3])
+def test_majority_counts_every_bit(monkeypatch, count):
+    monkeypatch.setattr(simhash, "COUNTED", 64)
+    rng = np.random.default_rng(count)
+    hashes = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (0, 1, 2, 3, 5, 31, 64, 65, 1000, 4)]
+    got = simhash.majority(hashes, count)
+    for i, h in enumerate(hashes):
+        for k in range(count):
+            f = simhash.family(h, k).tolist()
+            assert int(got[i, k]) % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in f) > len(f))
+
+
+def test_stars_find_components(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(190)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)] + [(3050, 3000 + i) for i in range(50)]
+    root = {v: v for link in links for v in link}
+    for a, b in links:
+        a, b = root[a], root[b]
+        root = {v: min(a, b) if r in (a, b) else r for v, r in root.items()}
+    got = components.stars(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["hi"]: r["lo"] for r in got} == {v: r for v, r in root.items() if v != r} and len(got) == len({r["hi"] for r in got})
+
+
 @pytest.mark.parametrize("bits,n", [(64, 300), (12, 900)])
 def test_forest_is_complete(bits, n):
     rng = np.random.default_rng(bits)
