@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, slot
 
 
 def stars(links: DataFrame) -> DataFrame:
@@ -14,22 +14,22 @@ def stars(links: DataFrame) -> DataFrame:
     links: two columns a, b of vertices. Large stars hang a vertex's larger neighbours on its
     smallest one, small stars its smaller neighbours; links never grow in number, and rounds
     grow with the logarithm of the number of vertices. A round is one checkpoint; the last is the one that
-    leaves stars only. A centre that has no smaller neighbour needs no partner in the join of the large stars,
-    so its links move only where the others are too many to broadcast, and adaptive execution splits them then.
+    leaves stars only. What a centre's links hang on next reaches them through slots, so no task meets all of them.
     """
     a, b = links.columns
     now = checkpointed(
-        links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
+        links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct().withColumn("slot", slot())
     )
     while True:
         ends = now.select(F.col("hi").alias("u"), F.lit(1).alias("up")).union(now.select("lo", F.lit(0)))
         # In a star a vertex hangs on one other, or others hang on it.
         if ends.groupBy("u").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 0 and n > 1").isEmpty():
-            return now
+            return now.drop("slot")
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u").toDF("lo", "m")
-        large = now.join(least, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        told = now.select("slot", "lo").distinct().join(least, "lo")
+        large = now.join(told, ["slot", "lo"], "left").select("hi", F.coalesce("m", "lo").alias("lo"))
         small = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
         now = checkpointed(
-            small.select("hi", "m").union(small.select("lo", "m")).toDF("hi", "lo").where(F.col("hi") != F.col("lo")).distinct()
+            small.select("hi", "m").union(small.select("lo", "m")).toDF("hi", "lo").where(F.col("hi") != F.col("lo")).distinct().withColumn("slot", slot())
         )

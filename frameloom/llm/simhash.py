@@ -22,13 +22,13 @@ sequence. Null ids are kept; a component of only null ids has a null component i
 Repeated rows each get their row. An empty table gives an empty result. Other columns
 are not read.
 
-Near duplicates by Jaccard similarity take fingerprints as a search for candidates only:
-every link is checked on the two sets of shingles before it joins anything.
+Near duplicates by Jaccard similarity take fingerprints as a search for candidate groups only:
+within a group every link is checked on the two sets of shingles before it joins anything.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,10 @@ from .tokenizer import batches
 LEAF, FAN = 16, 8
 #: Fingerprints below one 16-bit pattern from which it is split: by further bits within three bits, else into sections.
 CROWDED, SECTION = 4096, 1 << 15
-#: Pairs that are compared at a time, index rows that are searched at a time, and hashes whose bits are counted at a time.
-PAIRS, ROWS, COUNTED = 1 << 19, 1 << 16, 1 << 13
+#: Pairs that are compared at a time, index rows or bytes that are searched at a time, and hashes whose bits are counted at a time.
+PAIRS, ROWS, BYTES, COUNTED = 1 << 19, 1 << 16, 1 << 25, 1 << 13
+#: Texts, and hashes of their shingles, of a section of a candidate group.
+TEXTS, HASHES = 4096, 1 << 22
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -181,26 +183,28 @@ def _nodes(starts: np.ndarray, keys: np.ndarray, fan: int) -> np.ndarray:
     return np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % fan == 0)
 
 
-def forest(prints: np.ndarray, keys: np.ndarray, radius: int = 3, wide: np.ndarray | None = None, wide_radius: int = 0, groups: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links (child, root), as indices, that connect all fingerprints of equal key within radius of each other.
+def forest(
+    prints: np.ndarray, keys: np.ndarray, radius: int = 3, wide: np.ndarray | None = None, wide_radius: int = 0, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as indices, that connect all fingerprints of equal key within radius of each other.
 
     wide: further words of each fingerprint; then a pair must also differ in at most wide_radius of these bits.
-    groups: a number for each fingerprint; members of a group count as connected from the start, and the links are
-    pairs that were found near themselves, the nearest first. every: all near pairs of different groups.
+    check: tells which of the pairs (a, b), as indices, are links after all; the nearest are asked about first, and
+    pairs that are connected already never are. Without it links are (child, root).
     """
     order = np.lexsort((gray_rank(prints), keys))
     prints, keys = prints[order], keys[order]
     wide = None if wide is None else wide[order]
     n = len(prints)
     label = np.arange(n)
-    if groups is not None:
-        groups = groups[order]
-        by = np.lexsort((groups, keys))
-        new = np.ones(n, bool)
-        new[1:] = (keys[by][1:] != keys[by][:-1]) | (groups[by][1:] != groups[by][:-1])
-        # The sort is stable, so a group's first member is its smallest.
-        label[by] = by[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    checked: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join(x: np.ndarray, y: np.ndarray) -> None:
+        while (label[x] != label[y]).any():
+            np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
+            while (label != label[label]).any():
+                label[:] = label[label]
+
     # Levels from the leaves up: first member, end, and the bits set in all and in any member.
     levels = []
     all_set, any_set, node_keys, fan = prints, prints, keys, LEAF
@@ -242,50 +246,44 @@ def forest(prints: np.ndarray, keys: np.ndarray, radius: int = 3, wide: np.ndarr
             if keep.any():
                 stack.append((level - 1, a[keep], b[keep]))
             continue
-        keep = (a < b) & (np.bitwise_count(prints[a] ^ prints[b]) <= radius)
+        keep = (a < b) & (label[a] != label[b]) & (np.bitwise_count(prints[a] ^ prints[b]) <= radius)
         a, b = a[keep], b[keep]
-        if groups is not None:
-            keep = label[a] != label[b]
-            a, b = a[keep], b[keep]
         if wide is not None:
             far = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64)
-            keep = far <= wide_radius
-            a, b, far = a[keep], b[keep], far[keep]
-        if every:
-            pairs.append((a, b))
-            continue
-        if groups is not None and len(a):
-            near = np.argsort(far, kind="stable")
+            near = np.flatnonzero(far <= wide_radius)
+            near = near[np.argsort(far[near], kind="stable")]
             a, b = a[near], b[near]
+        if check is None:
+            join(a, b)
+            continue
+        most = 1
         while len(a):
-            if groups is not None:
-                # Each component's nearest link; as no two links are equally near, they make no ring.
-                best = np.full(n, len(a))
-                np.minimum.at(best, label[a], np.arange(len(a)))
-                np.minimum.at(best, label[b], np.arange(len(a)))
-                best = np.unique(best[best < len(a)])
-                pairs.append((a[best], b[best]))
-                x, y = a[best], b[best]
-                while (label[x] != label[y]).any():
-                    np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
-                    while (label != label[label]).any():
-                        label = label[label]
-                open_ = label[a] != label[b]
-                a, b = a[open_], b[open_]
-                continue
-            x, y = label[a], label[b]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while (label != label[label]).any():
-                label = label[label]
-            open_ = label[a] != label[b]
-            a, b = a[open_], b[open_]
-    if groups is not None:
-        a, b = (np.concatenate([p[k] for p in pairs] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            # Of each component's pairs the nearest ``most``; more of them where these were no links.
+            asked = (_rank(label[a]) < most) | (_rank(label[b]) < most)
+            x, y = a[asked], b[asked]
+            good = check(order[x], order[y])
+            checked.append((x[good], y[good]))
+            join(x[good], y[good])
+            left = ~asked & (label[a] != label[b])
+            a, b, most = a[left], b[left], 4 * most
+    if check is not None:
+        a, b = (np.concatenate([c[k] for c in checked] or [np.zeros(0, np.int64)]) for k in (0, 1))
         return order[a], order[b]
     child = np.flatnonzero(label != np.arange(n))
     return order[child], order[label[child]]
 
 
+def _rank(groups: np.ndarray) -> np.ndarray:
+    """Of each member, how many of its group come before it."""
+    by = np.argsort(groups, kind="stable")
+    new = np.ones(len(groups), bool)
+    new[1:] = groups[by][1:] != groups[by][:-1]
+    at = np.arange(len(groups))
+    out = np.empty(len(groups), np.int64)
+    out[by] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return out
+
+
 def _hung(vertices: DataFrame, prints: list[str], others: list[str], rest: bool) -> DataFrame:
     """vertices below each of their patterns: v, others, p, key (fingerprint, block and its 16 bits) and, if wanted, the other 48 bits."""
     each = vertices.select("v", *others, F.posexplode(F.array(*prints)).alias("f", "p"))
@@ -296,18 +294,16 @@ def _hung(vertices: DataFrame, prints: list[str], others: list[str], rest: bool)
     return each.select("v", *others, "p", key.alias("key"), *([others48.alias("rest")] if rest else []))
 
 
-def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius: int | None = None, wide: list[str] | None = None, group: str | None = None, every: bool = False) -> DataFrame:
-    """(a, b) links between vertices; vertices: v, a long, and the columns ``prints``.
+def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius: int | None = None, wide: list[str] | None = None) -> DataFrame:
+    """(a, b) links that connect near vertices; vertices: v, a long, and the columns ``prints``.
 
-    Two vertices are linked where one of their fingerprints differs in at most radius bits and, if wide_radius is
-    given, all of them together in at most wide_radius bits. With a radius of at most three no link is lost;
+    Two vertices are near where one of their fingerprints differs in at most radius bits and, if wide_radius is
+    given, all of them, or those of ``wide``, together in at most wide_radius bits. With a radius of at most three no pair is lost;
     a wider radius finds the pairs that agree on one of a fingerprint's 16-bit blocks, however many agree on it:
     a crowded block's vertices are cut into sections, and every two sections are searched together.
-    wide: the fingerprints that wide_radius is for, if not all. group: a column of longs; vertices of one group aren't
-    linked, and links are near pairs themselves, enough to connect all near groups or, with every, all there are.
     """
     n = shuffle_partitions(vertices.sparkSession)
-    others = [*((wide or prints) if wide_radius is not None else []), *([group] if group else [])]
+    others = (wide or prints) if wide_radius is not None else []
     exact = radius <= 3
     hung = _hung(vertices, prints, others, exact)
     # At most 4 * 65536 keys exist for each of a few fingerprints.
@@ -317,41 +313,55 @@ def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius:
         # Three differing bits leave one of four 12-bit blocks of the others alone.
         split = F.array(*(F.col("key") + ((s + 1) << 20) + F.shiftleft(F.shiftrightunsigned("rest", 12 * s).bitwiseAND(F.lit(0xFFF)), 24) for s in range(4)))
     else:
-        own = F.pmod(F.xxhash64("v"), F.col("sections"))
-        elsewhere = F.filter(F.sequence(F.lit(0).cast("long"), F.col("sections") - 1), lambda t: t != own)
-        split = F.transform(elsewhere, lambda t: F.col("key") + F.shiftleft(F.least(own, t), 20) + F.shiftleft(F.greatest(own, t), 38))
+        split = F.transform(_meetings(F.col("v"), F.col("sections")), lambda m: F.col("key") + F.shiftleft(m["low"], 20) + F.shiftleft(m["high"], 38))
     hung = hung.select("v", *others, "p", F.explode(F.when(F.col("sections").isNotNull(), split).otherwise(F.array("key"))).alias("key"))
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["v", "p", "key", *others]
-        held: list[list[np.ndarray]] = [[] for _ in names]
-        rows = 0
-
-        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-            v, p, key, *rest = columns
-            groups = rest.pop() if group else None
-            words = np.stack(rest, 1).view(np.uint64) if rest else None
-            a, b = forest(p.view(np.uint64), key, radius, words, wide_radius or 0, groups, every)
-            return pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], ["a", "b"])
-
-        for part in parts:
-            for h, name in zip(held, names, strict=True):
-                h.append(np.asarray(part.column(name)))
-            rows += part.num_rows
-            if rows < ROWS:
-                continue
-            whole = [np.concatenate(h) for h in held]
-            # The last key may go on in the next batch.
-            cut = int(np.searchsorted(whole[2], whole[2][-1]))
-            if cut:
-                yield out([c[:cut] for c in whole])
-            held, rows = [[c[cut:].copy()] for c in whole], len(whole[2]) - cut
-        if rows:
-            yield out([np.concatenate(h) for h in held])
+        for v, p, key, *rest in _by_key(parts, ["v", "p", "key", *others]):
+            words = np.stack([np.asarray(c) for c in rest], 1).view(np.uint64) if rest else None
+            a, b = forest(np.asarray(p).view(np.uint64), np.asarray(key), radius, words, wide_radius or 0)
+            v = np.asarray(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], ["a", "b"])
 
     return hung.repartition(n, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
 
+def _meetings(v: Column, sections: Column) -> Column:
+    """The pairs of sections, (low, high), in which a vertex is searched: its own with each other, or with itself if there is one only."""
+    own = F.pmod(F.xxhash64(v), sections)
+    elsewhere = F.filter(F.sequence(F.lit(0).cast("long"), sections - 1), lambda t: (t != own) | (sections == 1))
+    return F.transform(elsewhere, lambda t: F.struct(F.least(own, t).alias("low"), F.greatest(own, t).alias("high")))
+
+
+def _by_key(parts: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[pa.Array]]:
+    """Columns of about ROWS rows, or of BYTES; names hold ``key``, which batches are ordered by, and a key's rows stay together."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    at = names.index("key")
+
+    def whole() -> list[pa.Array]:
+        return [c.combine_chunks() for c in pa.Table.from_batches(held).select(names).columns]
+
+    for part in parts:
+        if not part.num_rows:
+            continue
+        held.append(part)
+        rows, size = rows + part.num_rows, size + part.get_total_buffer_size()
+        if rows < ROWS and size < BYTES:
+            continue
+        # The last key may go on in the next batch.
+        last = part.column("key")[-1].as_py()
+        if held[0].column("key")[0].as_py() == last:
+            continue
+        columns = whole()
+        cut = int(np.searchsorted(np.asarray(columns[at]), last))
+        yield [c.slice(0, cut) for c in columns]
+        kept = pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(cut, len(c)))) for c in columns], names)
+        held, rows, size = [kept], kept.num_rows, kept.get_total_buffer_size()
+    if held:
+        yield whole()
+
+
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id of its component)."""
     rows = fingerprints(docs, words, 1, id_col, text_col).withColumnRenamed("f0", "p")
@@ -367,46 +377,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
     """One row per distinct id and text: id, text_md5 (null as the empty text), keep_id (smallest id of its group), kept.
 
     One row of each group is kept: of those with the smallest id the one with the smallest digest; null ids come last.
-    Rows of different texts are judged apart even where they share an id. Groups are connected by pairs of texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+    Rows of different texts are judged apart even where they share an id. Groups are connected by pairs of texts whose sets of shingles
+    have a Jaccard similarity of at least ``similarity``.
+
     Candidates agree on one of 4 * ``count`` blocks of 16 bits and differ in at most as many bits of the first four
     fingerprints as such a pair does, and 3.2 standard deviations more; the angle of two sets that are as similar gives the
-    share of bits. A pair at 0.8 shares none of 64 blocks in under one case of a hundred. All candidates are settled:
-    links of a forest are verified until few pairs are apart or no round joins anything, then all candidates that are still apart.
+    share of bits. A pair at 0.8 shares none of 64 blocks in under one case of a hundred. Candidates connect texts into candidate groups, and
+    within a group every pair that isn't connected by links yet and differs in few enough of all bits is checked on the sets themselves.
+    A large group is cut into sections, and every two sections meet in one task.
     """
     names = [f"f{k}" for k in range(count)]
-    wide = names[:4]
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = lambda bits: int(bits * share + 3.2 * np.sqrt(bits * share * (1 - share)))
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("t", F.md5("text"))
     rows = sets(docs, words, count)
     firsts = [F.first(n).alias(n) for n in names]
-    vertices = checkpointed(rows.groupBy("d0", "d1").agg(F.min(_place("id", "t")).alias("least"), F.min("t").alias("t"), *firsts).withColumn("v", F.monotonically_increasing_id()).withColumn("slot", slot()))
-    now = links(vertices.select("v", *names, F.col("v").alias("label")), names, most(48), most(256), wide, "label")
-    now = checkpointed(_nearest(now))
-    roots = stars(now).toDF("v", "root")
-    linked = checkpointed(now.select(F.col("a").alias("v")).union(now.select("b")).distinct().join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")).join(vertices.select("v", "t", *names), "v").withColumn("slot", slot()))
-    texts = docs.select("t", "text").join(linked.select("v", "t"), "t").dropDuplicates(["v"])
-    known = checkpointed(shingle_sets(texts, words))
-    joined = labels = None
-    every = False
-    while not now.isEmpty():
-        good = _verified(now, known, similarity)
-        told = good.isEmpty()
-        joined = good if joined is None else checkpointed(joined.union(good).distinct())
-        labels = stars(joined).toDF("v", "label")
-        if every:
-            break
-        state = checkpointed(linked.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
-        n = F.col("n").cast("double")
-        apart = checkpointed(
-            state.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.count("*").alias("labels"), (F.sum(n) * F.sum(n) - F.sum(n * n)).alias("pairs")).where("labels > 1")
-        )
-        # A round's links may hide others: all are looked at once they are few, or where a round joined nothing.
-        every = told or (apart.agg(F.sum("pairs")).first()[0] or 0.0) <= 8.0 * vertices.count()
-        left = lookup(state, apart.select("root"), ["root"]).select("v", *names, "label")
-        now = links(left, names, most(48), most(256), wide, "label", every)
-        now = checkpointed(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() if every else _nearest(now))
-    settled = vertices.join(roots if labels is None else labels.withColumnRenamed("label", "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    vertices = rows.groupBy("d0", "d1").agg(F.min(_place("id", "t")).alias("least"), F.min("t").alias("t"), *firsts)
+    vertices = checkpointed(vertices.withColumn("v", F.monotonically_increasing_id()).withColumn("slot", slot()))
+    # A pair that shares a block differs in the other 48 bits only.
+    candidates = stars(links(vertices.select("v", *names), names, most(48), most(256), names[:4]))
+    grouped = candidates.select(F.col("hi").alias("v"), F.col("lo").alias("root")).union(candidates.select("lo", "lo").distinct())
+    roots = stars(_verified(docs, vertices.join(grouped, "v").select("v", "t", "root", *names), names, words, similarity, most(64), most(64 * count)))
+    settled = vertices.join(roots.select(F.col("hi").alias("v"), F.col("lo").alias("root")), "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = settled.groupBy("root").agg(F.min("least").alias("best"))
     found = lookup(settled.select("slot", "d0", "d1", "root"), least, ["root"]).select("d0", "d1", "best")
     kept = F.col("best").eqNullSafe(_place("id", "t"))
@@ -418,18 +410,36 @@ def _place(id_: str, digest: str) -> Column:
     return F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), F.col(digest).alias("t"))
 
 
-def _nearest(links: DataFrame) -> DataFrame:
-    """Distinct (a, b), a the greater; of each vertex's links up to four."""
-    both = links.select("a", "b").union(links.select("b", "a"))
-    # Which links stay matters for speed only.
-    few = both.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(4))).agg(F.min("b").alias("b"))
-    return few.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _verified(docs: DataFrame, grouped: DataFrame, names: list[str], words: int, similarity: float, radius: int, wide_radius: int) -> DataFrame:
+    """(a, b) links that connect all vertices of a candidate group, (v, t, root, names), whose sets of shingles are similar."""
+    n = shuffle_partitions(docs.sparkSession)
+    texts = docs.select("t", "text").join(grouped.select("v", "t"), "t")
+    known = shingle_sets(texts, words).dropDuplicates(["v"])
+    members = checkpointed(grouped.join(known, "v").withColumn("slot", slot()))
+    size = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("s").cast("long")).alias("hashes"))
+    sections = size.select("root", F.greatest(F.ceil(F.col("n") / TEXTS), F.ceil(F.col("hashes") / HASHES)).alias("sections"))
+    dealt = lookup(members, sections, ["root"]).select("v", "s", *names, "root", F.explode(_meetings(F.col("v"), F.col("sections"))).alias("m"))
+    # Two groups of one key would only be searched together.
+    dealt = dealt.select("v", "s", *names, F.xxhash64("root", "m.low", "m.high").alias("key"))
 
-
-def _verified(links: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose sets in known, (v, s), are similar."""
-    pairs = checkpointed(links.select("a", "b", slot().alias("slot")))
-    for c in ("a", "b"):
-        pairs = lookup(pairs, known.select(F.col("v").alias(c), F.col("s").alias("s" + c)), [c])
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return checkpointed(pairs.where(shared * 1.0 >= (F.size("sa") + F.size("sb") - shared) * F.lit(similarity) - 1e-9).select("a", "b"))
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, key, s, *prints in _by_key(parts, ["v", "key", "s", *names]):
+            ends = np.asarray(s.offsets).tolist()
+            flat = s.values.to_numpy(zero_copy_only=False)
+
+            def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                good = np.zeros(len(a), bool)
+                for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                    x, y = flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]  # noqa: B023
+                    if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
+                        both = np.sort(np.concatenate([x, y]))
+                        shared = int((both[1:] == both[:-1]).sum())
+                        good[k] = shared >= similarity * (len(both) - shared) - 1e-9
+                return good
+
+            bits = np.stack([np.asarray(c) for c in prints], 1).view(np.uint64)
+            a, b = forest(bits[:, 0].copy(), np.asarray(key), radius, bits, wide_radius, similar)
+            v = np.asarray(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], ["a", "b"])
+
+    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")

@@ -133,6 +133,34 @@ def test_stars_find_components(spark):
     assert {r["hi"]: r["lo"] for r in got} == {v: r for v, r in root.items() if v != r} and len(got) == len({r["hi"] for r in got})
 
 
+def test_forest_asks_until_all_links_are_found():
+    """Random pairs are links after all; what they connect is connected, and nothing else."""
+    rng = np.random.default_rng(3)
+    wide = rng.integers(0, 1 << 10, (300, 2), dtype=np.uint64)
+    keys = rng.integers(0, 4, 300)
+    linked = np.triu(rng.random((300, 300)) < 0.004, 1)
+    linked &= (np.bitwise_count(wide[:, None] ^ wide[None, :]).sum(2) <= 12) & (keys[:, None] == keys[None, :])
+    asked = set()
+
+    def check(a, b):
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        new = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert len(new) == len(a) and not new & asked
+        asked.update(new)
+        return linked[a, b]
+
+    a, b = simhash.forest(wide[:, 0].copy(), keys, 64, wide, 12, check)
+
+    def labels(pairs):
+        root = list(range(300))
+        for i, j in pairs:
+            x, y = root[i], root[j]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    assert labels(zip(a.tolist(), b.tolist(), strict=True)) == labels(np.argwhere(linked).tolist()) and 0 < len(a) < 300
+
+
 @pytest.mark.parametrize("bits,n", [(64, 300), (12, 900)])
 def test_forest_is_complete(bits, n):
     rng = np.random.default_rng(bits)
@@ -206,8 +234,10 @@ def test_near_duplicates_hold_the_similarity(spark):
     assert sum(got[i + 1] == i for i in near) >= 0.97 * len(near)
 
 
-def test_near_pairs_that_a_forest_hides(spark):
+@pytest.mark.parametrize("section", [4096, 7])
+def test_near_pairs_that_a_forest_hides(spark, monkeypatch, section):
     """Of a chain only neighbours are similar enough; candidates that are not must not keep the links from it."""
+    monkeypatch.setattr(simhash, "TEXTS", section)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(1000)]
     rows = [(i, " ".join(words[20 * i : 20 * i + 304])) for i in range(30)] + [(100 + i, " ".join(rng.sample(words, 300))) for i in range(30)]
