@@ -300,7 +300,7 @@ def test_quality_gradient():
     y = np.array([0, 1, 1, 0])
 
     def loss():
-        p = quality._forward(w, data, starts, repeats)["p"]
+        p = quality._probability(w, np.maximum.reduceat(quality._forward(w, data, starts, repeats)["h"], starts[:-1]))
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
     g = quality._gradient(w, data, starts, quality._forward(w, data, starts, repeats), y)
@@ -315,6 +315,41 @@ def test_quality_gradient():
         assert abs((up - down) / (2 * e) - g[name][at]) < 1e-3 * max(1, abs(g[name][at]))
 
 
+def naive_score(w, text):
+    """The network on one text, chunk by chunk."""
+    cells = max(1, -(-len(text) // quality.CELL))
+    data = np.frombuffer(text + bytes(cells * quality.CELL - len(text)), np.uint8)
+    steps = w["embed"][data].astype(float).reshape(-1, quality.STEP * quality.EMBED)
+    units = []
+    for c in range(cells):
+        at = [i for i in range(32 * c, min(len(steps), 32 * c + 64)) if data[4 * i]]
+        a = [np.maximum(steps[i] @ w["first"] + w["bias"] + (steps[i + 1] @ w["second"] if i + 1 < len(steps) else 0), 0) for i in at]
+        chars = [i for i in range(128 * c, min(len(data), 128 * c + 256)) if data[i]]
+        repeats = max(sum(i >= lag and data[i] == data[i - lag] for i in chars) for lag in quality.LAGS) * 4 / max(len(chars), 64)
+        v = np.append(np.sum(a, 0) / len(a) if a else np.zeros(quality.FILTERS), repeats)
+        units.append(np.maximum(v @ w["hidden"] + w["hidden_bias"], 0))
+    return 1 / (1 + np.exp(-(np.max(units, 0) @ w["out"] + w["out_bias"])))
+
+
+def test_quality_scores_depend_on_the_text_alone(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [b"a", b"the ", b"zq", b"\n", b"0.5 ", "é".encode(), b"word of more "]
+    texts = [b"", b"x", bytes(rng.integers(97, 123, 256, dtype=np.uint8)), *(b"".join(words[i] for i in rng.integers(0, len(words), n)) for n in (5, 40, 128, 700, 3000))]
+    net = quality.fit(texts, [0, 1, 1, 0, 1, 0, 1, 0], epochs=3)
+    alone = np.array([quality.scores(net, [t])[0] for t in texts])
+    assert np.allclose(alone, [naive_score(net.weights, t) for t in texts], atol=1e-5)
+    for _ in range(5):
+        order = rng.permutation(len(texts))
+        assert np.array_equal(quality.scores(net, [texts[i] for i in order]), alone[order])
+    for block in (256, 384, 1024, 5120):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        assert np.array_equal(quality.scores(net, texts), alone)
+    import pyarrow as pa
+
+    column = pa.array([None, *["ä" * 300, "", "b"]]).slice(1)
+    assert [b.tobytes() for b in quality._buffers(column)] == [("ä" * 300).encode(), b"", b"b"]
+
+
 # Tokenizers, counts, packing and files.
 
 
