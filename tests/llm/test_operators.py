@@ -521,6 +521,52 @@ def test_mix(spark, odd, empty):
     assert run(odd).count() == odd.count() and run(empty).count() == 0
 
 
+def least_cost(patterns, quotas, repeat):
+    """Most words that fill the quotas, and their least cost, by trying every split of small patterns."""
+    import itertools
+
+    best = None
+    splits = [[x for x in itertools.product(range(repeat * w + 1), repeat=len(m)) if sum(x) <= repeat * w] for m, w in patterns]
+    for split in itertools.product(*splits):
+        got = [0] * len(quotas)
+        for (m, _), x in zip(patterns, split, strict=True):
+            for s, n in zip(m, x, strict=True):
+                got[s] += n
+        if all(g <= q for g, q in zip(got, quotas, strict=True)):
+            cost = sum(k * min(w, max(0, sum(x) - k * w)) for (_, w), x in zip(patterns, split, strict=True) for k in range(repeat))
+            best = min(best or (0, 0), (-sum(got), cost))
+    return best
+
+
+def test_mix_of_overlapping_sources(spark):
+    """One-word documents, so what the mix takes is the flow itself: as much as can be, at the least cost of repetition."""
+    rng = random.Random(12)
+    for k in range(4):
+        groups = [(["a"], rng.randrange(1, 5)), (["a", "b"], rng.randrange(1, 4)), (["b"], rng.randrange(1, 4))]
+        quotas = [rng.randrange(3, 10), rng.randrange(3, 10)]
+        rows = [(i, "w", m) for i, m in enumerate(m for m, n in groups for _ in range(n))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+        got = mixing.mix(docs, mixing.word_count("text"), F.col("sources"), lambda names, sizes: quotas, max_repeat=3, seed=k).collect()  # noqa: B023
+        want = least_cost([([ord(s) - 97 for s in m], n) for m, n in groups], quotas, 3)
+        assert (-sum(r["taken"] for r in got), sum(c * (c - 1) // 2 for c in (r["copies"] for r in got))) == want
+
+
+def test_mix_comes_near_whatever_the_sizes(spark):
+    """A few long documents, ids that repeat or are null, and sizes without small change."""
+    rng = random.Random(13)
+    rows = [(None if i % 3 else i % 50, "w " * rng.choice([7, 90, 3000]), "abc"[i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = lambda names, sizes: mixing.capped_targets(sizes, mixing.cycle_weights(len(names)))
+    run = lambda d: mixing.mix(d, mixing.word_count("text"), F.col("source"), plan, seed=3).collect()
+    got = run(docs)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["members"][0]] += r["taken"]
+        target[r["members"][0]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 90 for s in target)
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in run(docs.repartition(5, "text"))) == Counter((r["doc_id"], r["size"], r["taken"]) for r in got)
+
+
 # Pages.
 
 
