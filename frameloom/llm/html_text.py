@@ -1,21 +1,23 @@
-"""Main text of web pages, with nearest-URL page differencing.
+"""Main text of web pages, by nearest-URL page differencing.
 
-A page's markup is read into blocks, each in a zone: chrome (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments, as elements, roles or
-class and id words say so), declared (inside ``article`` or ``main``) or open (the rest).
+A page's markup is read into lines, one for each block, each in a zone: chrome (menus, headers, footers,
+sidebars, notices, adverts, forms, reader comments, as elements, roles or class and id words say so), declared (inside
+``article`` or ``main``) or open (the rest). Every page is compared with its nearest page: within a host, pages are ordered by
+URL path and id, neighbours are paired, the last of an odd number joining the pair before it; all their lines are aligned by
+longest common subsequence, and shared lines go.
 
-A page that declares its article consists of the declared blocks. For other pages the open blocks are
-compared with the nearest page: within a host, pages are ordered by URL path and id, neighbours are
-paired, the last of an odd number joining the pair before it; their blocks are aligned by longest common
-subsequence, and shared lines go. A page whose lines are all shared, as a copy's are, keeps them. Differencing alone would delete
-paragraphs that two articles share, which are content, and keep menus that change from page to page.
+Zones mend what differencing alone gets wrong: paragraphs that two articles share are content, so shared lines in a declared zone stay; menus,
+adverts and footers that change from page to page are chrome, so they go though nothing shares them. A page of which
+declared lines hold at least as many characters as its other lines left consists of the declared ones; else, as where only
+a teaser is declared, both stay. A page whose open lines are all shared, as a copy's are, keeps them if nothing is declared.
 
-A host's ranks come from a range-partitioned sort of keys and line hashes, so a host with a third of all
-pages is spread over many tasks, and a pair is a group of two or three pages.
+Pages are ordered by thin rows of keys and line hashes, written once; a host's ranks come from a range-partitioned sort, so a host with a
+third of all pages is spread over many tasks, and a pair is a group of two or three pages. Only line numbers that
+differencing takes from open zones are joined back to the pages.
 
 Cases: null and empty html gives an empty text, and so does a page of chrome alone. A null or malformed
-URL has the empty host and path. Rows with a null id are kept; repeated rows each get their row and are
-each other's nearest pages. An unclosed comment, script or tag ends with the page. An empty table gives an
+URL has the empty host and path. Rows with a null id are kept; rows that repeat id, URL and html are one page in the order, and
+each gets its row. An unclosed comment, script or tag ends with the page. An empty table gives an
 empty result. Other columns are not read.
 """
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, stored
+from .shared import checkpointed, shuffle_partitions, stored
 
 # Elements that begin a block, elements that are never main text, and words of class and id that say so.
 BLOCKS = frozenset(
@@ -46,6 +48,11 @@ WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu modal"
     " nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar".split()
 )
+# Words that may stand beside one of these in a class or id without giving it another sense.
+NEUTRAL = frozenset(
+    "area article articles bar block body bottom box btn button buttons center col column container content footer form fixed global group header holder icons inner item items left level"
+    " links list main media mobile outer page panel post posts primary right row secondary section site sticky stories sub thread top widget wrap wrapper".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A list item or cell ends an open one of its kind.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -58,34 +65,47 @@ _MARKUP = re.compile(
     re.I | re.S,
 )
 _NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
-OPEN, DECLARED, HEADER, OUT = 0, 1, 2, 3
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+OPEN, DECLARED, HEADER, FORM, OUT = range(5)
+
+
+def _chrome_words(value: str) -> bool:
+    """Whether one of the names in a class or id consists of a word for chrome, perhaps with neutral ones."""
+    for name in value.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if not WORDS.isdisjoint(parts) and all(p in WORDS or p in NEUTRAL for p in parts):
+            return True
+    return False
 
 
 def _zone(name: str, rest: str, outer: int) -> int:
     """Zone of an element in a zone."""
-    if outer == OUT or name in CHROME:
+    if outer == OUT and name != "main":
         return OUT
+    if name in CHROME:
+        return FORM if name == "form" and outer != OUT else OUT
+    inner = DECLARED if name in ("article", "main") else outer
     if "=" in rest:
         for key, *value in _NAMED.findall(rest):
-            value = "".join(value).lower()
+            value = "".join(value)
             if key.lower() == "role":
-                if value.strip() in ROLES:
+                if value.strip().lower() in ROLES:
                     return OUT
-                if value.strip() == "main":
-                    outer = DECLARED
-            elif name not in ("html", "body", "article", "main") and not WORDS.isdisjoint(_WORD.findall(value)):
+                if value.strip().lower() == "main":
+                    inner = DECLARED
+            elif name not in ("html", "body", "main") and _chrome_words(value):
                 return OUT
     if name == "header":
         return HEADER if outer in (DECLARED, HEADER) else OUT
-    if outer == HEADER:
+    if outer == HEADER and inner == HEADER:
         return DECLARED if name in HEADINGS else HEADER
-    return DECLARED if name in ("article", "main") else outer
+    return inner
 
 
-def page_blocks(html: str) -> tuple[list[str], list[str]]:
-    """(declared blocks, open blocks) of a page, in page order, white space as single spaces."""
-    found: tuple[list[str], list[str]] = ([], [])
+def page_lines(html: str) -> tuple[list[str], list[int]]:
+    """(lines, their zones) of a page, in page order, white space as single spaces."""
+    lines: list[str] = []
+    zones: list[int] = []
     stack: list[tuple[str, int]] = []
     zone, part, at = OPEN, [], 0
 
@@ -93,10 +113,11 @@ def page_blocks(html: str) -> tuple[list[str], list[str]]:
         text = " ".join("".join(part).split())
         part.clear()
         if text:
-            found[1 if zone == OPEN else 0].append(text)
+            lines.append(text)
+            zones.append(zone)
 
     for m in _MARKUP.finditer(html):
-        if zone < HEADER and m.start() > at:
+        if m.start() > at:
             text = html[at : m.start()]
             part.append(unescape(text) if "&" in text else text)
         at = m.end()
@@ -117,11 +138,10 @@ def page_blocks(html: str) -> tuple[list[str], list[str]]:
                 if stack[k][0] == name:
                     if name not in BLOCKS and any(s in BLOCKS for s, _ in stack[k + 1 :]):
                         break  # an inline element's end doesn't close blocks
-                    zone_before = stack[k][1]
-                    if zone_before != zone:
+                    if stack[k][1] != zone:
                         close()
+                    zone = stack[k][1]
                     del stack[k:]
-                    zone = zone_before
                     break
             continue
         block = name in BLOCKS
@@ -136,11 +156,33 @@ def page_blocks(html: str) -> tuple[list[str], list[str]]:
             if not (m["rest"] or "").endswith("/") or block:
                 stack.append((name, zone))
                 zone = inner
-    if zone < HEADER and at < len(html):
+    if at < len(html):
         text = html[at:]
         part.append(unescape(text) if "&" in text else text)
     close()
-    return found
+    return lines, zones
+
+
+def main_text(lines: list[str], zones: list[int], gone: set[int] | frozenset[int] = frozenset()) -> str:
+    """The lines of a page that are left; gone: the numbers of open lines that differencing deletes."""
+    kept = [(x, z) for k, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == DECLARED or (z == OPEN and k not in gone)]
+    size = [sum(len(x) for x, z in kept if z == zone) for zone in (OPEN, DECLARED)]
+    return "\n".join(x for x, z in kept if z == DECLARED or size[DECLARED] < size[OPEN])
+
+
+def shared_open(codes: list[np.ndarray], zones: list[list[int]]) -> list[list[int]]:
+    """Of neighbouring pages, given as line hashes and zones, the numbers of the open lines that differencing deletes."""
+    shared: list[set[int]] = [set() for _ in codes]
+    for k in range(len(codes) - 1):
+        i, j = shared_lines(codes[k], codes[k + 1])
+        shared[k] |= set(i)
+        shared[k + 1] |= set(j)
+    out = []
+    for gone, zone in zip(shared, zones, strict=True):
+        open_ = {k for k, z in enumerate(zone) if z == OPEN}
+        whole = open_ <= gone and DECLARED not in zone
+        out.append([] if whole else sorted(gone & open_))
+    return out
 
 
 def _last_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,13 +247,13 @@ def _by_matches(a: list[int], places: dict[int, list[int]]) -> list[tuple[int, i
 
 
 def _pairs(pages: DataFrame) -> DataFrame:
-    """pages (id, url, hashes, ...) with ``host`` and ``pair``: neighbours by path share a pair's number."""
+    """pages (id, url, digest, ...) with ``host`` and ``pair``: neighbours by path share a pair's number."""
     n = shuffle_partitions(pages.sparkSession)
     url = F.coalesce("url", F.lit(""))
     keyed = pages.withColumn("host", F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))).withColumn(
         "path", F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     )
-    order = ["host", "path", "id", "url", "text_hash"]
+    order = ["host", "path", "id", "url", "digest"]
     # The id's upper bits number the partition, the lower 33 the row in it.
     ordered = stored(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "page-order")
     part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
@@ -227,50 +269,47 @@ def _pairs(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: id, url, text, n_chars."""
+    from xxhash import xxh64_intdigest
+
     id_type = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.md5("html"))
+
+    def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            codes, zones = [], []
+            for html in batch.column("html"):
+                lines, zone = page_lines(html.as_py())
+                codes.append(np.array([xxh64_intdigest(x) for x in lines], np.uint64).view(np.int64))
+                zones.append(bytes(zone))
+            found = [pa.array(codes, pa.list_(pa.int64())), pa.array(zones, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url", "digest")), *found], ["id", "url", "digest", "codes", "zones"])
 
-    def parsed(declared: bool):
-        def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in parts:
-                keep, out = [], []
-                for i, html in enumerate(batch.column("html")):
-                    main, rest = page_blocks(html.as_py())
-                    if declared == bool(main or not rest):
-                        keep.append(i)
-                        out.append("\n".join(main) if declared else rest)
-                some = batch.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("id"), some.column("url"), pa.array(out, pa.string() if declared else pa.list_(pa.string()))], ["id", "url", "found"]
-                )
-
-        return work
-
-    text = rows.mapInArrow(parsed(True), f"id {id_type}, url string, found string").withColumnRenamed("found", "text")
-    undeclared = rows.mapInArrow(parsed(False), f"id {id_type}, url string, found array<string>").withColumnRenamed("found", "lines")
+    thin = rows.mapInArrow(hashed, f"id {id_type}, url string, digest string, codes array<long>, zones binary")
     # Written once, as sorting by range would read the pages again to find its bounds.
-    hashed = stored(undeclared, "open-pages").withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("text_hash", F.xxhash64("lines"))
+    thin = stored(thin.groupBy("id", "url", "digest").agg(F.first("codes").alias("codes"), F.first("zones").alias("zones")), "page-lines")
 
     def difference(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            ids, urls, texts = [], [], []
+            told: list[tuple] = []
             for members in batch.column("members").to_pylist():
                 members.sort(key=lambda m: m["rank"])
-                codes = [np.array(m["hashes"], np.int64) for m in members]
-                shared: list[set[int]] = [set() for _ in members]
-                for k in range(len(members) - 1):
-                    i, j = shared_lines(codes[k], codes[k + 1])
-                    shared[k] |= set(i)
-                    shared[k + 1] |= set(j)
-                for m, gone in zip(members, shared, strict=True):
-                    left = [x for k, x in enumerate(m["lines"]) if k not in gone]
-                    ids.append(m["id"])
-                    urls.append(m["url"])
-                    texts.append("\n".join(left or m["lines"]))
+                gone = shared_open([np.array(m["codes"], np.int64) for m in members], [list(m["zones"]) for m in members])
+                told += [(m["id"], m["url"], m["digest"], g) for m, g in zip(members, gone, strict=True) if g]
             kind = batch.schema.field("members").type.value_type.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["id", "url", "text"])
+            columns = zip(*told, strict=True) if told else ((), (), (), ())
+            types = (kind, pa.string(), pa.string(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["own_id", "own_url", "own_digest", "gone"])
 
     # Two or three pages at most share a pair.
-    pairs = _pairs(hashed).groupBy("host", "pair").agg(F.collect_list(F.struct("rank", "id", "url", "lines", "hashes")).alias("members"))
-    compared = pairs.select("members").mapInArrow(difference, f"id {id_type}, url string, text string")
-    return text.unionByName(compared).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+    pairs = _pairs(thin).groupBy("host", "pair").agg(F.collect_list(F.struct("rank", "id", "url", "digest", "codes", "zones")).alias("members"))
+    told = checkpointed(pairs.select("members").mapInArrow(difference, f"own_id {id_type}, own_url string, own_digest string, gone array<int>"))
+    same = F.col("id").eqNullSafe(F.col("own_id")) & F.col("url").eqNullSafe(F.col("own_url")) & (F.col("digest") == F.col("own_digest"))
+
+    def left(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            texts = [main_text(*page_lines(html.as_py()), set(gone.as_py() or ())) for html, gone in zip(batch.column("html"), batch.column("gone"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
+
+    compared = rows.join(told, same, "left").select("id", "url", "html", "gone").mapInArrow(left, f"id {id_type}, url string, text string")
+    return compared.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -563,22 +563,41 @@ def test_mix_comes_near_whatever_the_sizes(spark):
     for r in got:
         taken[r["members"][0]] += r["taken"]
         target[r["members"][0]] = r["target"]
-    assert all(abs(taken[s] - target[s]) <= 90 for s in target)
+    # Of ids that are null all rows of a size stand together, so a source may lack up to half a long document.
+    assert all(abs(taken[s] - target[s]) <= 1500 for s in target)
     assert Counter((r["doc_id"], r["size"], r["taken"]) for r in run(docs.repartition(5, "text"))) == Counter((r["doc_id"], r["size"], r["taken"]) for r in got)
 
 
 # Pages.
 
 
+def zoned(html):
+    lines, zones = html_text.page_lines(html)
+    return [[x for x, z in zip(lines, zones, strict=True) if z == zone] for zone in (html_text.DECLARED, html_text.OPEN)]
+
+
 def test_page_zones():
-    declared, rest = html_text.page_blocks(
+    declared, rest = zoned(
         '<html><head><title>t</title></head><body><header>site</header><nav><a>menu</a></nav><article><h1>A &amp; B</h1><p><b>one<br>two</b>  three<p class="ad">buy'
         '<p>more <span class="ad">x</span>text<div id="comments"><p>reader</div><form>f</form><script>var a="</p>";</script></article><div class="cookie-notice">n</div><footer>f</footer></body></html>'
     )
     assert declared == ["A & B", "one two three", "more", "text"] or declared == ["A & B", "one two three", "more text"]
     assert rest == []
-    assert html_text.page_blocks("") == ([], []) and html_text.page_blocks("<p>a<!-- b") == ([], ["a"])
-    assert html_text.page_blocks("<p>1 &lt; 2&nbsp;&quot;x") == ([], ['1 < 2 "x'])
+    assert zoned("") == [[], []] and zoned("<p>a<!-- b") == [[], ["a"]]
+    assert zoned("<p>1 &lt; 2&nbsp;&quot;x") == [[], ['1 < 2 "x']]
+
+
+def test_class_words_are_whole_names():
+    main = zoned('<main><p class="social-science">a</p><div id="related-work">b</div><div class="x related-posts">no</div><div id="siteFooter">no</div><p class="no-ads">c</p></main>')
+    assert main == [["a", "b", "c"], []]
+    assert zoned('<div class="has-sidebar"><article>body</article></div>')[0] == ["body"]
+    assert zoned('<form><label>q</label><article>body</article></form>')[0] == ["body"]
+    assert zoned('<div class="sidebar"><main>body</main></div>')[0] == ["body"]
+    assert zoned('<aside><article>teaser</article></aside><p>body</p>') == [[], ["body"]]
+    text = lambda html: html_text.main_text(*html_text.page_lines(html))
+    assert text('<h1>Title</h1><p>the body of the page</p><article class="comment">a reader says</article>') == "Title\nthe body of the page"
+    assert text('<h1>Title</h1><p>the body of the page</p><article>teaser</article>') == "Title\nthe body of the page\nteaser"
+    assert text('<p>open</p><article>longer declared text</article>') == "longer declared text"
 
 
 def test_shared_lines_is_longest():
@@ -606,16 +625,75 @@ def test_differencing(spark):
     page = lambda lines: "<div>" + "".join(f"<p>{x}</p>" for x in lines) + "</div>"
     rows = [
         (1, "http://h/a/1", page(["menu", "first article", "end"])), (2, "http://h/a/2", page(["menu", "second article", "end"])), (3, "http://h/a/3", page(["menu", "third", "end"])),
-        (4, "http://alone/x", page(["menu", "kept whole"])), (5, "http://copy/1", page(["same"])), (6, "http://copy/2", page(["same"])), (7, None, None), (8, "http://h/b", "<article>declared<nav>no</nav></article>"),
-        (None, "::", page(["null id"])), (5, "http://copy/1", page(["same"])),
+        (4, "http://alone/x", page(["menu", "kept whole"])), (5, "http://copy/1", page(["same"])), (6, "http://copy/2", page(["same"])), (7, None, None), (8, "http://h8/b", "<article>declared<nav>no</nav></article>"),
+        (None, "::", page(["null id"])), (5, "http://copy/1", page(["same"])), (9, "http://z/1", "<p>shared menu</p><article>shared passage<p>one</article>"), (10, "http://z/2", "<p>shared menu</p><article>shared passage<p>two</article>"),
     ]
     pages = frame(spark, "page_id long, url string, html string", rows)
     got = Counter((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect())
-    texts = {1: "first article", 2: "second article", 3: "third", 4: "menu\nkept whole", 5: "same", 6: "same", 7: "", 8: "declared", None: "null id"}
+    texts = {1: "first article", 2: "second article", 3: "third", 4: "menu\nkept whole", 5: "same", 6: "same", 7: "", 8: "declared", None: "null id", 9: "shared passage\none", 10: "shared passage\ntwo"}
     assert got == Counter((i, u, texts[i], len(texts[i])) for i, u, _ in rows)
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+def brute_force_texts(rows):
+    """Whole pages, without Spark: hosts in turn, pages in order of path, pairs by place, textbook alignment."""
+    from urllib.parse import urlsplit
+
+    hosts = defaultdict(list)
+    for i, u, h in sorted(set(rows)):
+        hosts[urlsplit(u).netloc.lower()].append((urlsplit(u).path, i, u, h))
+    out = {}
+    for pages in hosts.values():
+        pages.sort()
+        groups = [pages[k : k + 2] for k in range(0, len(pages), 2)]
+        if len(groups) > 1 and len(groups[-1]) == 1:
+            last = groups.pop()
+            groups[-1] += last
+        for group in groups:
+            parsed = [html_text.page_lines(h) for *_, h in group]
+            gone = [set() for _ in group]
+            for k in range(len(group) - 1):
+                a, b = parsed[k][0], parsed[k + 1][0]
+                best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+                for x in range(len(a) - 1, -1, -1):
+                    for y in range(len(b) - 1, -1, -1):
+                        best[x][y] = best[x + 1][y + 1] + 1 if a[x] == b[y] else max(best[x + 1][y], best[x][y + 1])
+                x = y = 0
+                while x < len(a) and y < len(b):
+                    if a[x] == b[y]:
+                        gone[k].add(x)
+                        gone[k + 1].add(y)
+                        x, y = x + 1, y + 1
+                    elif best[x + 1][y] >= best[x][y + 1]:
+                        x += 1
+                    else:
+                        y += 1
+            for (_, i, u, _), (lines, zones), less in zip(group, parsed, gone, strict=True):
+                open_ = {k for k, z in enumerate(zones) if z == html_text.OPEN}
+                if open_ <= less and html_text.DECLARED not in zones:
+                    less = set()
+                kept = [(x, z) for k, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == html_text.DECLARED or (k in open_ and k not in less)]
+                size = [sum(len(x) for x, z in kept if z == zone) for zone in (html_text.OPEN, html_text.DECLARED)]
+                out[i, u] = "\n".join(x for x, z in kept if z == html_text.DECLARED or size[1] < size[0])
+    return out
+
+
+def test_extract_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(150):
+        host, site = rng.choice([("a.com", 1), ("B.com", 2), ("c.org", 3)])
+        body = "".join(f"<p>{i} says {rng.random()}</p>" for _ in range(rng.randrange(4)))
+        menu = f"<p>home of {site}</p><ul><li>one<li>two {site}</ul>"
+        wrap = rng.choice(["<div>{}</div>", "<article>{}</article>", "<div class='ad'>x</div><section>{}</section>"])
+        rows.append((i, f"http://{host}/{rng.randrange(40)}/x", menu + wrap.format(body + "<p>shared passage</p>") + f"<footer>f{i}</footer><p>end of {site}</p>"))
+    got = {(r["page_id"], r["url"]): r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == brute_force_texts(rows)
+    supplied = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    got = {(r["page_id"], r["url"]): r["text"] for r in html_text.extract(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}
+    assert got == brute_force_texts(supplied)
+
+
 # Nearest neighbours.
 
 
