@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Equal vectors are one node with its k + 1 smallest ids, so copies neither crowd the graph nor
-hide each other. Nodes are hashed into shards of about SHARD_ROWS. A shard's graph is flat
+hide each other. Nodes are hashed into as many shards as there are shuffle partitions, fewer where nodes are few and more where a
+shard would outgrow a task's memory, and each shard is a partition of its own. A shard's graph is flat
 arrays: for each layer a matrix of neighbour numbers and one of similarities. Layers are built from
 the top down; nodes enter a layer in blocks, which search the graph so far and each other, keep
 neighbours that are closer to them than to an already kept one, and are linked back. Queries are
@@ -23,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, slot
+from .shared import checkpointed, shuffle_partitions, slot
 
-SHARD_ROWS = 16_384
+#: A shard has at most so many bytes of vectors, and so many rows at least where that makes more shards than tasks.
+SHARD_BYTES, SHARD_ROWS = 1 << 28, 8192
 #: Neighbours in the lowest and other layers, beam widths while building and searching, and nodes or queries at a time.
 LINKS, UPPER_LINKS, BUILD_BEAM, BEAM, BLOCK = 32, 16, 64, 128, 256
 
@@ -165,8 +167,9 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as doubles."""
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    """Vectors of one length as doubles, each scaled by a power of two, which no cosine feels, so that squares neither overflow nor vanish."""
+    v = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0))[1][:, None])
 
 
 def _best(shard: tuple, graph: Graph, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
@@ -205,7 +208,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     # One row for each vector length.
     shards, base = {}, 0
     for r in nodes.groupBy("d").count().orderBy("d").collect():
-        shards[r["d"]] = (base, -(-r["count"] // SHARD_ROWS))
+        least = -(-r["count"] * r["d"] * 8 // SHARD_BYTES)
+        shards[r["d"]] = (base, max(least, min(shuffle_partitions(spark), -(-r["count"] // SHARD_ROWS))))
         base += shards[r["d"]][1]
     out_schema = f"query_id {id_type}, {id_col} {id_type}, score double"
     if not shards:
@@ -243,7 +247,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
                     columns = list(zip(*found, strict=True)) or [[], [], []]
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0], ids.type), pa.array(columns[1], ids.type), pa.array(columns[2], pa.float64())], ["query_id", id_col, "score"])
 
-    searched = placed.unionByName(dealt).repartition(base, "shard").sortWithinPartitions("shard", "kind", F.xxhash64("v"), "id").mapInArrow(work, out_schema)
+    searched = placed.unionByName(dealt).repartitionById(base, F.col("shard")).sortWithinPartitions("shard", "kind", F.xxhash64("v"), "id").mapInArrow(work, out_schema)
     # At most k rows for each query and shard.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     merged = searched.groupBy("query_id", id_col).agg(F.max("score").alias("score"))

@@ -697,7 +697,10 @@ def test_extract_against_brute_force(spark):
 # Nearest neighbours.
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("rows", [ann.SHARD_ROWS, 300])
+def test_nearest(spark, monkeypatch, rows):
+    """In one shard, and in as many as there are shuffle partitions."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", rows)
     rng = np.random.default_rng(4)
     vectors = {i: rng.normal(0, 1, 16).astype(np.float32).tolist() for i in range(1500)}
     for i in range(40, 60):
@@ -721,3 +724,9 @@ def test_nearest(spark):
     assert [i for _, i, _ in got[50]] == [40, 41, 42, 43, 44]
     assert [i for _, i, _ in got[2050]] == [2051] and set(got) == {*range(0, 1500, 50), 2050}
     assert ann.nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    rows = [(0, [3e200, 4e200]), (1, [4e-200, 3e-200]), (2, [-1e300, 0.0]), (3, [1e-310, 1e-310])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [3, 1, 2] and np.allclose([r["score"] for r in got], [7 / 50**0.5, 24 / 25, -3 / 5], atol=1e-12)
