@@ -3,14 +3,16 @@
 Documents are range-partitioned by id and written in ascending order; a partition becomes
 one or more shard files of about SHARD_IDS ids. A file holds, little-endian:
 
-    magic, version, bytes of a symbol, vocabulary size, end id, partition and number of the
-    shard, counts of documents, ids, symbols and rules; then
-    the rules (two uint32 each) and their expansion lengths (uint32),
-    for each document its id (int64) and whether that is null (uint8),
-    ends of the documents in ids and in symbols (uint64 each), the symbols, and
+    magic, version, bits of a symbol and of a rule's length, vocabulary size, end id, partition and number of the
+    shard, counts of documents, ids, symbols, rules and of the tokens that occur;
+    the tokens that occur (uint32), which are the first symbols; rules follow them in number;
+    for each document its id (int64), whether that is null (uint8), and its numbers of ids and of symbols (uint32 each);
+    the rules' left symbols, their right ones and their expansion lengths, then the documents' symbols, all as planes, and
     the CRC-32 of all before it.
 
-Any document can be decoded alone: its symbols are a slice, and each is expanded by the rules.
+Planes of n numbers of w bits are w // 8 runs of n bytes, the lowest first, and a run of n bits for each further bit, so a slice
+of them is a few slices of the file. A document's ids, or some of them, are read alone: its symbols are such a slice, and
+symbols are expanded by the rules.
 A file is written under another name and renamed, so a retried task replaces it whole.
 
 Cases: null and empty texts are a document of the end id alone. Null ids come first, and rows of one
@@ -22,8 +24,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,81 +32,129 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import repair
-from .shared import checkpointed, shared_path, shuffle_partitions, write_file
+from .shared import checkpointed, filesystem, shared_path, shuffle_partitions, write_file
 from .tokenizer import TokenizerSpec, batches, encoder
 
-MAGIC, VERSION = b"FLOOMIDS", 1
-HEADER = struct.Struct("<8s6I4Q")
+MAGIC, VERSION = b"FLOOMIDS", 2
+HEADER = struct.Struct("<8s7I5Q")
 SHARD_IDS = 4 << 20
 
 
-@dataclass
+def planes_size(n: int, width: int) -> int:
+    return width // 8 * n + width % 8 * -(-n // 8)
+
+
+def to_planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bits as byte and bit planes."""
+    parts = [((x >> (8 * k)) & 0xFF).astype(np.uint8) for k in range(width // 8)]
+    parts += [np.packbits(((x >> k) & 1).astype(np.uint8), bitorder="little") for k in range(width // 8 * 8, width)]
+    return b"".join(p.tobytes() for p in parts)
+
+
+def from_planes(read: Callable[[int, int], bytes], start: int, n: int, width: int, a: int, b: int) -> np.ndarray:
+    """The numbers a to b - 1 of n that begin at byte ``start``; read: bytes by place and length."""
+    out = np.zeros(b - a, np.uint32)
+    for k in range(width // 8):
+        out |= np.frombuffer(read(start + k * n + a, b - a), np.uint8).astype(np.uint32) << np.uint32(8 * k)
+    start, each = start + width // 8 * n, -(-n // 8)
+    for k in range(width % 8):
+        bits = np.unpackbits(np.frombuffer(read(start + k * each + a // 8, -(-b // 8) - a // 8), np.uint8), bitorder="little")
+        out |= bits[a % 8 : a % 8 + b - a].astype(np.uint32) << np.uint32(width // 8 * 8 + k)
+    return out
+
+
 class Shard:
-    """A shard file's content; ids() decodes any documents of it."""
-
-    part: int
-    number: int
-    vocabulary: int
-    end_id: int
-    doc_ids: list[int | None]
-    id_ends: np.ndarray
-    symbol_ends: np.ndarray
-    rules: np.ndarray
-    lengths: np.ndarray
-    symbols: np.ndarray
+    """A shard file; reads its tables, and of the symbols only those that are asked for."""
+
+    def __init__(self, read: Callable[[int, int], bytes]) -> None:
+        self._read = read
+        head = read(0, HEADER.size)
+        if len(head) < HEADER.size or head[:8] != MAGIC:
+            raise ValueError("not a token shard")
+        _, version, self._width, width, self.vocabulary, self.end_id, self.part, self.number, n_docs, n_ids, self._symbols, n_rules, n_tokens = HEADER.unpack(head)
+        if version != VERSION:
+            raise ValueError(f"token shard of version {version}")
+        at = HEADER.size
+
+        def take(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(read(at, n * np.dtype(kind).itemsize), kind)
+            at += out.nbytes
+            return out
+
+        def numbers(n: int, width: int) -> np.ndarray:
+            nonlocal at
+            at += planes_size(n, width)
+            return from_planes(read, at - planes_size(n, width), n, width, 0, n)
+
+        self.tokens = take("<u4", n_tokens)
+        ids, missing = take("<i8", n_docs).tolist(), take("u1", n_docs).tolist()
+        self.doc_ids = [None if m else x for x, m in zip(ids, missing, strict=True)]
+        self.id_ends, self.symbol_ends = (np.cumsum(take("<u4", n_docs), dtype=np.int64) for _ in range(2))
+        left, right, self.lengths = numbers(n_rules, self._width), numbers(n_rules, self._width), numbers(n_rules, width)
+        self.rules, self._start = np.stack([left, right], 1), at
+        if (int(self.id_ends[-1]) if n_docs else 0) != n_ids:
+            raise ValueError("damaged token shard")
 
     def ids(self, first: int = 0, last: int | None = None) -> np.ndarray:
         """Ids of the documents first to last - 1."""
         last = len(self.doc_ids) if last is None else last
         a = int(self.symbol_ends[first - 1]) if first else 0
         b = int(self.symbol_ends[last - 1]) if last else 0
-        return repair.expand(self.symbols[a:b], self.rules, self.lengths, self.vocabulary)
+        return self._expand(from_planes(self._read, self._start, self._symbols, self._width, a, b))
+
+    def part_of(self, doc: int, start: int, n: int) -> np.ndarray:
+        """Up to n ids of one document from its id number ``start`` on; only symbols that reach into them are expanded."""
+        a = int(self.symbol_ends[doc - 1]) if doc else 0
+        symbols = from_planes(self._read, self._start, self._symbols, self._width, a, int(self.symbol_ends[doc]))
+        ends = np.cumsum(np.concatenate([np.ones(len(self.tokens), np.int64), self.lengths])[symbols])
+        low, high = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + n) + 1
+        skip = start - (int(ends[low - 1]) if low else 0)
+        return self._expand(symbols[low:high])[skip : skip + n]
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        return self.tokens[repair.expand(symbols, self.rules, self.lengths, len(self.tokens))]
 
 
 def dump(part: int, number: int, vocabulary: int, end_id: int, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> bytes:
     """A shard file of ids; ends: the index behind each document's last id."""
-    symbols, symbol_ends, rules, lengths = repair.compress(ids, ends.astype(np.int64), vocabulary)
-    width = 3 if vocabulary + len(rules) <= 1 << 24 else 4
+    used = np.bincount(ids, minlength=1) > 0
+    tokens = np.flatnonzero(used).astype(np.uint32)
+    dense = (np.cumsum(used) - 1).astype(np.uint32)
+    symbols, symbol_ends, rules, lengths = repair.compress(dense[ids], ends.astype(np.int64), len(tokens))
+    width, long = int(len(tokens) + len(rules)).bit_length(), int(lengths.max(initial=0)).bit_length()
     body = b"".join(
         [
-            HEADER.pack(MAGIC, VERSION, width, vocabulary, end_id, part, number, len(doc_ids), len(ids), len(symbols), len(rules)),
-            rules.astype("<u4").tobytes(),
-            lengths.astype("<u4").tobytes(),
+            HEADER.pack(MAGIC, VERSION, width, long, vocabulary, end_id, part, number, len(doc_ids), len(ids), len(symbols), len(rules), len(tokens)),
+            tokens.astype("<u4").tobytes(),
             np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
             np.array([x is None for x in doc_ids], np.uint8).tobytes(),
-            ends.astype("<u8").tobytes(),
-            symbol_ends.astype("<u8").tobytes(),
-            np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes(),
+            np.diff(ends, prepend=0).astype("<u4").tobytes(),
+            np.diff(symbol_ends, prepend=0).astype("<u4").tobytes(),
+            to_planes(rules[:, 0], width),
+            to_planes(rules[:, 1], width),
+            to_planes(lengths, long),
+            to_planes(symbols, width),
         ]
     )
     return body + struct.pack("<I", zlib.crc32(body))
 
 
 def load(content: bytes) -> Shard:
-    """The shard of a file; ValueError if it isn't one, or not whole."""
+    """The shard of a whole file; ValueError if it isn't one, or not whole."""
     if len(content) < HEADER.size + 4 or content[:8] != MAGIC:
         raise ValueError("not a token shard")
-    if zlib.crc32(content[:-4]) != struct.unpack("<I", content[-4:])[0]:
-        raise ValueError("damaged token shard")
-    _, version, width, vocabulary, end_id, part, number, n_docs, n_ids, n_symbols, n_rules = HEADER.unpack_from(content)
-    if version != VERSION:
-        raise ValueError(f"token shard of version {version}")
-    at = HEADER.size
-
-    def take(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(content, kind, n, at)
-        at += out.nbytes
-        return out
-
-    rules, lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
-    doc_ids, missing = take("<i8", n_docs).tolist(), take("u1", n_docs).tolist()
-    id_ends, symbol_ends = take("<u8", n_docs).astype(np.int64), take("<u8", n_docs).astype(np.int64)
-    wide = np.zeros((n_symbols, 4), np.uint8)
-    wide[:, :width] = take("u1", width * n_symbols).reshape(-1, width)
-    if (int(id_ends[-1]) if n_docs else 0) != n_ids:
+    if zlib.crc32(memoryview(content)[:-4]) != struct.unpack("<I", content[-4:])[0]:
         raise ValueError("damaged token shard")
-    return Shard(part, number, vocabulary, end_id, [None if m else x for x, m in zip(doc_ids, missing, strict=True)], id_ends, symbol_ends, rules, lengths, wide.view("<u4").ravel())
+    view = memoryview(content)
+    return Shard(lambda at, n: view[at : at + n])
+
+
+def open_shard(uri: str) -> Shard:
+    """The shard of a file of which only what is asked for is read."""
+    system, path = filesystem(uri)
+    file = system.open_input_file(path)
+    return Shard(lambda at, n: file.read_at(n, at))
 
 
 def write_tokens(

@@ -426,7 +426,27 @@ def test_repair_round_trip():
         assert np.array_equal(repair.expand(symbols, rules, lengths, 10), ids)
         for a, b, x, y in zip([0, *at], at, [0, *ends], ends, strict=False):
             assert np.array_equal(repair.expand(symbols[a:b], rules, lengths, 10), ids[x:y])
+        assert len(rules) == 0 or lengths.tolist() == [len(repair.expand(np.array([10 + k], np.uint32), rules, lengths, 10)) for k in range(len(rules))]
+        for a, b in zip([0, *at], at, strict=False):  # nothing that pays is left
+            few = Counter(zip(symbols[a:b].tolist(), symbols[a + 1 : b].tolist(), strict=False))
+            assert max(few.values(), default=0) < 2 * repair.LEAST
     assert len(symbols) < n / 2 and len(rules)
+    # A run, and copies of one document.
+    run = np.full(30_000, 7, np.uint32)
+    symbols, _, rules, _ = repair.compress(run, np.array([30_000]), 10)
+    assert len(symbols) < 3 * repair.LEAST
+    one = rng.integers(0, 10, 500).astype(np.uint32)
+    symbols, at, rules, lengths = repair.compress(np.tile(one, 40), np.arange(500, 20_001, 500), 10)
+    assert len(symbols) == 40 and np.array_equal(repair.expand(symbols[:1], rules, lengths, 10), one)
+
+
+@pytest.mark.parametrize("width", [1, 7, 8, 13, 16, 17, 24])
+def test_planes(width):
+    x = np.random.default_rng(width).integers(0, 1 << width, 1001).astype(np.uint32)
+    content = b"123" + token_binary.to_planes(x, width)
+    assert len(content) == 3 + token_binary.planes_size(1001, width)
+    for a, b in ((0, 1001), (0, 0), (5, 6), (7, 900), (1000, 1001), (1001, 1001)):
+        assert np.array_equal(token_binary.from_planes(lambda at, n: content[at : at + n], 3, 1001, width, a, b), x[a:b])
 
 
 def test_token_binary(spark, odd, empty, tmp_path):
@@ -442,6 +462,12 @@ def test_token_binary(spark, odd, empty, tmp_path):
     files = sorted((tmp_path / "ids").glob("*.ids"))
     whole = token_binary.load(files[0].read_bytes())
     assert np.array_equal(np.concatenate([whole.ids(k, k + 1) for k in range(len(whole.doc_ids))]), whole.ids())
+    few = token_binary.open_shard(f"file://{files[0]}")
+    for k in range(len(whole.doc_ids)):
+        ids = whole.ids(k, k + 1)
+        assert np.array_equal(few.ids(k, k + 1), ids)
+        for start, n in ((0, 1), (0, len(ids)), (len(ids) // 2, 3), (len(ids) - 1, 5)):
+            assert np.array_equal(few.part_of(k, start, n), ids[start : start + n])
     with pytest.raises(ValueError, match="damaged"):
         token_binary.load(files[0].read_bytes()[:-5] + b"12345")
     assert token_binary.token_binary(empty, spec).count() == 0
