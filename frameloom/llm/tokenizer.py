@@ -10,8 +10,8 @@ no piece can influence the next one:
 * the sentencepiece model has no piece with a space mark behind another
   character, so a merge never crosses the start of a word.
 
-For both JSON tokenizers' splitters Latin-1 letters are one word and the punctuation behind
-them, apostrophes apart, is another, so such pieces go straight to the library's model.
+For both JSON tokenizers' splitters Latin-1 letters are one word and the ASCII punctuation behind
+them is another, so of such pieces only distinct words and distinct punctuation are encoded, the words straight by the library's model.
 
 Texts where a space touches other white space or an end of the text, and texts
 with a special token's string or a literal space mark, are encoded whole instead.
@@ -20,17 +20,19 @@ with a special token's string or a literal space mark, are encoded whole instead
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes that are worked on at a time, and pieces that a worker remembers.
+#: Text bytes that are worked on at a time, and words and other pieces that a worker remembers.
 SLICE_BYTES = 4 << 20
 REMEMBERED = 400_000
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Latin-1 letters, perhaps behind a space, and the ASCII punctuation after them.
+SIMPLE = r"^(?P<word> ?[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
 
 @dataclass(frozen=True)
@@ -78,77 +80,94 @@ class _Encoder:
 
             model = Tokenizer.from_file(spec.path)
             self.library = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-            self.pieces = self._by_model
+            self.pieces = None
             self.special = [t.content for t in model.get_added_tokens_decoder().values()]
             # Byte-level BPE without a normaliser keeps case and the space of a piece.
             self.lower = json.loads(model.to_str())["normalizer"] is not None
             self.lead = "" if self.lower else " "
-            self.letters = _byte_letters()
-            self.model = model.model
-            self.space = "" if self.lower else self.letters[32]
+            # What the model sees for a letter beyond ASCII.
+            self.letters = {chr(c): "".join(_byte_letters()[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+            self.space = "" if self.lower else _byte_letters()[32]
+            self.tokenize = model.model.tokenize
             self.line = self.library(["a\nb"])[0][1:-1]
         self._forget()
 
-    def _word(self, p: str) -> list[int] | None:
-        """Ids of a Latin-1 word, perhaps with punctuation behind; None if it is anything else."""
-        word = p.rstrip(PUNCTUATION)
-        tail = p[len(word) :]
-        lead = word[:1] == " "
-        if lead:
-            word = word[1:]
-        if not word.isalpha() or not (word.isascii() or max(word) <= "\xff"):
-            return None
-        if self.lower:
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(self.space + word if lead else word)]
-        if tail:
-            if tail not in self.marks:
-                self.marks[tail] = self.library([tail])[0]
-            ids += self.marks[tail]
-        return ids
-
-    def _by_model(self, pieces: list[str]) -> list[list[int]]:
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of Latin-1 words, perhaps behind a space."""
+        if self.space:
+            words = "\n".join(words).replace(" ", self.space).split("\n")
+        tokenize, letters = self.tokenize, self.letters
+        return [[t.id for t in tokenize(w if w.isascii() else "".join([letters.get(c, c) for c in w]))] for w in words]
+
+    def _rest(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of any pieces; words around single line feeds, which are a token of their own or none, are encoded as such."""
+        if self.pieces == self.library:
+            return self.library(pieces)
+        parts = pa.array([x for p in pieces if "\n" in p for x in p.split("\n")], pa.string())
+        simple = self._simple(parts) if len(parts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        known = iter(zip(*(x.tolist() for x in simple), strict=True))
         out: list[list[int] | None] = []
-        rest: list[str] = []
         for p in pieces:
-            if "\n" in p:
-                # A single line feed between words is a token of its own, or none.
-                words = [self._word(x) for x in p.split("\n")]
-                ids = None if None in words else words[0]
-                for w in words[1:] if ids is not None else ():
-                    ids += self.line
-                    ids += w
-            else:
-                ids = self._word(p)
+            some = [next(known) for _ in range(p.count("\n") + 1)] if "\n" in p else []
+            if not some or any(w < 0 for w, _ in some):
+                out.append(None)
+                continue
+            ids: list[int] = []
+            for k, pair in enumerate(some):
+                ids += self.line if k else []
+                for e in pair:
+                    ids += self.flat[self.start[e] : self.start[e] + self.length[e]].tolist()
             out.append(ids)
-            if ids is None:
-                rest.append(p)
-        found = iter(self.library(rest) if rest else [])
+        found = iter(self.library([p for p, x in zip(pieces, out, strict=True) if x is None]))
         return [next(found) if x is None else x for x in out]
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.marks: dict[str, list[int]] = {}
-        self.length = np.zeros(0, np.int64)
-        self.start = np.zeros(0, np.int64)
+        # What is known of words, punctuation and other pieces: the entry with their ids. Entry 0 has none.
+        self.known: list[dict[str, int]] = [{}, {"": 0}, {}]
+        self.length = np.zeros(1, np.int64)
+        self.start = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _places(self, pieces: list[str]) -> np.ndarray:
-        """Where the pieces' ids are kept; new pieces are encoded first."""
-        known = self.known
-        new = list(dict.fromkeys(p for p in pieces if p not in known))
-        ids: list[list[int]] = []
-        for i in range(0, len(new), 20_000):
-            ids += self.pieces(new[i : i + 20_000])
-        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(length.sum()))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, flat])
-        return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+    def _entries(self, kind: int, names: list[str], encode: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
+        """The entries of distinct names; new ones are encoded first."""
+        known = self.known[kind]
+        new = [n for n in names if n not in known]
+        if new:
+            ids = encode(new)
+            known.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.flat = np.concatenate([self.flat, flat])
+        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+
+    def _simple(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece that is a word with punctuation behind it the entries of both; -1 for others."""
+        parts = pc.extract_regex(pieces, SIMPLE)
+        is_one = np.asarray(parts.is_valid())
+        word, tail = parts.field("word").filter(pa.array(is_one)), parts.field("tail").filter(pa.array(is_one))
+        out = np.full((2, len(pieces)), -1, np.int64)
+        for k, (column, encode) in enumerate((((pc.utf8_lower(word) if self.lower else word), self._words), (tail, self.library))):
+            coded = column.dictionary_encode()
+            if len(coded):
+                out[k][is_one] = self._entries(k, coded.dictionary.to_pylist(), encode)[coded.indices.to_numpy(zero_copy_only=False)]
+        return out[0], out[1]
+
+    def _spans(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, and for each distinct piece where they start there and how many they are)."""
+        if self.pieces == self.library:
+            first, second = np.full(len(pieces), -1, np.int64), np.zeros(len(pieces), np.int64)
+        else:
+            first, second = self._simple(pieces)
+        others = np.flatnonzero(first < 0)
+        if len(others):
+            first[others], second[others] = self._entries(2, pieces.take(pa.array(others)).to_pylist(), self._rest), 0
+        both = np.stack([first, second], 1).ravel()
+        each = self.length[both]
+        flat = self.flat[np.repeat(self.start[both] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+        length = each.reshape(-1, 2).sum(1)
+        return flat, np.cumsum(length) - length, length
 
     def _whole(self, texts: pa.Array) -> np.ndarray:
         """Which texts the pieces can't stand for."""
@@ -158,21 +177,23 @@ class _Encoder:
             found = pc.or_(found, pc.match_substring(texts, s))
         return np.asarray(found.fill_null(True).to_numpy(zero_copy_only=False), bool)
 
-    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(place of each piece, pieces before each text)."""
-        if len(self.known) > self.remembered:
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each piece, pieces before each text, ids, and the start and number of those of each place)."""
+        if sum(map(len, self.known)) > self.remembered:
             self._forget()
         split = pc.split_pattern(texts, " ")
         offsets = np.asarray(split.offsets, np.int64)
         offsets -= offsets[0]
         coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        places = self._places([self.lead + p for p in names] if self.lead else names)[index]
+        names = coded.dictionary
+        places = coded.indices.to_numpy(zero_copy_only=False)
         if self.lead:
             # The first piece of a text has no space before it.
-            places[offsets[:-1]] = self._places([names[i] for i in index[offsets[:-1]].tolist()])
-        return places, offsets
+            first = names.take(pa.array(places[offsets[:-1]])).dictionary_encode()
+            places = places.copy()
+            places[offsets[:-1]] = len(names) + first.indices.to_numpy(zero_copy_only=False)
+            names = pa.concat_arrays([pc.binary_join_element_wise(self.lead, names, ""), first.dictionary])
+        return places, offsets, *self._spans(names)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text; no text is null."""
@@ -181,8 +202,8 @@ class _Encoder:
         if whole.any():
             n[whole] = [len(x) for x in self.library(texts.filter(pa.array(whole)).to_pylist())]
         if not whole.all():
-            places, offsets = self._split(texts.filter(pa.array(~whole)))
-            n[~whole] = np.add.reduceat(self.length[places], offsets[:-1])
+            places, offsets, _, _, each = self._split(texts.filter(pa.array(~whole)))
+            n[~whole] = np.add.reduceat(each[places], offsets[:-1])
         return n
 
     def ids(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +214,8 @@ class _Encoder:
         direct = self.library(texts.filter(pa.array(whole)).to_pylist()) if whole.any() else []
         n[whole] = [len(x) for x in direct]
         if not whole.all():
-            places, offsets = self._split(texts.filter(pa.array(~whole)))
-            length = self.length[places]
+            places, offsets, known, start, each = self._split(texts.filter(pa.array(~whole)))
+            length = each[places]
             n[~whole] = np.add.reduceat(length, offsets[:-1])
         before = np.concatenate([[0], np.cumsum(n + extra)])
         out = np.empty(before[-1], np.uint32)
@@ -205,8 +226,7 @@ class _Encoder:
         if not whole.all():
             total = int(length.sum())
             shift = np.cumsum(length) - length
-            source = np.repeat(self.start[places] - shift, length) + np.arange(total)
-            flat = self.flat[source]
+            flat = known[np.repeat(start[places] - shift, length) + np.arange(total)]
             if not whole.any():
                 mask = np.ones(len(out), bool)
                 if extra:
