@@ -13,6 +13,7 @@ import numpy as np
 
 #: Occurrences that pay for a rule: it takes two symbols and a length itself.
 LEAST = 8
+LAST = np.uint32(1 << 31)
 
 
 def _frequent(pairs: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -21,7 +22,7 @@ def _frequent(pairs: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.
     Pairs are counted in a hash table without a sort. A bucket counts its first pair; others that fall into it often enough wait for
     another turn, which has another hash.
     """
-    bits = max(8, min(22, int(len(pairs)).bit_length() + 1))
+    bits = max(8, min(20, int(len(pairs)).bit_length()))
     bucket = ((pairs * (np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * turn))) >> np.uint64(64 - bits)).astype(np.int32)
     owner = np.empty(1 << bits, np.int32)
     owner[bucket[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
@@ -44,15 +45,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.nda
     """
     symbols, ends = ids.astype(np.uint32), ends.astype(np.int64)
     rules, length = [np.zeros((0, 2), np.uint32)], np.ones(vocabulary, np.uint32)
-    # A document's last symbol begins no pair.
-    last = np.zeros(len(symbols), bool)
-    last[ends[ends > 0] - 1] = True
+    # A document's last symbol begins no pair and is marked.
+    symbols[ends[ends > 0] - 1] |= LAST
     # Places whose symbol and the next one are looked at as a pair.
-    at = np.flatnonzero(~last).astype(np.int32)
+    at = np.flatnonzero(symbols < LAST).astype(np.int32)
     turn = 0
     while len(at):
         turn += 1
-        pairs = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+        pairs = (symbols[at].astype(np.uint64) << np.uint64(32)) | (symbols[at + 1] & ~LAST)
         keys, place, waits = _frequent(pairs, turn)
         none = np.int32(len(keys))
         some = waits | (place < none)
@@ -84,11 +84,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.nda
         free[1:] &= ~(beside & took[:-1])
         free[:-1] &= ~(beside & took[1:])
         left = at[free]
-        symbols[taken] = (base + number[mine[took]]).astype(np.uint32)
-        last[taken] |= last[taken + 1]
+        symbols[taken] = (base + number[mine[took]]).astype(np.uint32) | (symbols[taken + 1] & LAST)
         keep = np.ones(len(symbols), bool)
         keep[taken + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        symbols = symbols[keep]
         ends -= np.searchsorted(taken, ends - 1)
         # Each place moves down by the taken ones before it.
         first = taken - np.arange(len(taken), dtype=np.int32)
@@ -96,17 +95,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.nda
         if 16 * (2 * len(first) + len(left)) > len(symbols):
             around = np.zeros(len(symbols), bool)
             around[first] = around[np.maximum(first - 1, 0)] = around[left] = True
-            at = np.flatnonzero(around & ~last).astype(np.int32)
+            at = np.flatnonzero(around & (symbols < LAST)).astype(np.int32)
         else:
             at = np.sort(np.concatenate([first, np.maximum(first - 1, 0), left]))
             new = np.ones(len(at), bool)
             new[1:] = at[1:] != at[:-1]
-            at = at[new & ~last[at]]
+            at = at[new & (symbols[at] < LAST)]
         keys = keys[often]
         new = np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         rules.append(new)
         length = np.concatenate([length, length[new[:, 0]] + length[new[:, 1]]])
-    return symbols, ends, np.concatenate(rules), length[vocabulary:]
+    return symbols & ~LAST, ends, np.concatenate(rules), length[vocabulary:]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarray:

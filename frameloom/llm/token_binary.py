@@ -46,8 +46,9 @@ def planes_size(n: int, width: int) -> int:
 
 def to_planes(x: np.ndarray, width: int) -> bytes:
     """Numbers of ``width`` bits as byte and bit planes."""
-    parts = [((x >> (8 * k)) & 0xFF).astype(np.uint8) for k in range(width // 8)]
-    parts += [np.packbits(((x >> k) & 1).astype(np.uint8), bitorder="little") for k in range(width // 8 * 8, width)]
+    x = np.ascontiguousarray(x, "<u4")
+    parts = [x.view(np.uint8)[k::4] for k in range(width // 8)]
+    parts += [np.packbits((x & np.uint32(1 << k)) != 0, bitorder="little") for k in range(width // 8 * 8, width)]
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -118,7 +119,8 @@ class Shard:
 
 def dump(part: int, number: int, vocabulary: int, end_id: int, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> bytes:
     """A shard file of ids; ends: the index behind each document's last id."""
-    used = np.bincount(ids, minlength=1) > 0
+    used = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    used[ids] = True
     tokens = np.flatnonzero(used).astype(np.uint32)
     dense = (np.cumsum(used) - 1).astype(np.uint32)
     symbols, symbol_ends, rules, lengths = repair.compress(dense[ids], ends.astype(np.int64), len(tokens))

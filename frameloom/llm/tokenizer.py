@@ -59,6 +59,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids in turn, number of those of each)."""
+    length = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), length
+
+
 class _Encoder:
     """ids() and counts() of Arrow string arrays; keeps the pieces it has met."""
 
@@ -73,6 +79,7 @@ class _Encoder:
             self.library = lambda texts: model.encode(texts, num_threads=1)
             self.pieces = self.library
             self.special = ["▁"]
+            self.line: list[int] = []
         else:
             import json
 
@@ -92,51 +99,60 @@ class _Encoder:
             self.line = self.library(["a\nb"])[0][1:-1]
         self._forget()
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        """Ids of Latin-1 words, perhaps behind a space."""
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of those of each) of Latin-1 words, perhaps behind a space."""
         if self.space:
             words = "\n".join(words).replace(" ", self.space).split("\n")
         tokenize, letters = self.tokenize, self.letters
-        return [[t.id for t in tokenize(w if w.isascii() else "".join([letters.get(c, c) for c in w]))] for w in words]
+        return _flat([[t.id for t in tokenize(w if w.isascii() else "".join([letters.get(c, c) for c in w]))] for w in words])
 
-    def _rest(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of any pieces; words around single line feeds, which are a token of their own or none, are encoded as such."""
+    def _rest(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any pieces; words around single line feeds, which are a token of their own or none, are encoded as such."""
         if self.pieces == self.library:
-            return self.library(pieces)
-        parts = pa.array([x for p in pieces if "\n" in p for x in p.split("\n")], pa.string())
-        simple = self._simple(parts) if len(parts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        known = iter(zip(*(x.tolist() for x in simple), strict=True))
-        out: list[list[int] | None] = []
-        for p in pieces:
-            some = [next(known) for _ in range(p.count("\n") + 1)] if "\n" in p else []
-            if not some or any(w < 0 for w, _ in some):
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for k, pair in enumerate(some):
-                ids += self.line if k else []
-                for e in pair:
-                    ids += self.flat[self.start[e] : self.start[e] + self.length[e]].tolist()
-            out.append(ids)
-        found = iter(self.library([p for p, x in zip(pieces, out, strict=True) if x is None]))
-        return [next(found) if x is None else x for x in out]
+            return _flat(self.library(pieces))
+        parts = np.array([p.count("\n") for p in pieces]) + 1
+        good = parts > 1
+        if good.any():
+            lines = "\n".join(p for p, g in zip(pieces, good.tolist(), strict=True) if g).split("\n")
+            word, tail = self._simple(pa.array(lines, pa.string()))
+            each = parts[good]
+            at = np.cumsum(each) - each
+            simple = np.minimum.reduceat(word, at) >= 0
+            good[good] = simple
+            entries = np.stack([np.ones(len(word), np.int64), word, tail], 1)
+            entries[at, 0] = 0
+            entries = entries[np.repeat(simple, each)].ravel()
+        other, number = _flat(self.library([p for p, g in zip(pieces, good.tolist(), strict=True) if not g]))
+        length = np.zeros(len(pieces), np.int64)
+        length[~good] = number
+        if not good.any():
+            return other, length
+        flat = self._gather(entries)
+        each = 3 * parts[good]
+        length[good] = np.add.reduceat(self.length[entries], np.cumsum(each) - each)
+        out, mine = np.empty(int(length.sum()), np.uint32), np.repeat(good, length)
+        out[mine], out[~mine] = flat, other
+        return out, length
+
+    def _gather(self, entries: np.ndarray) -> np.ndarray:
+        """The ids of the entries in turn."""
+        each = self.length[entries]
+        return self.flat[np.repeat(self.start[entries] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
 
     def _forget(self) -> None:
-        # What is known of words, punctuation and other pieces: the entry with their ids. Entry 0 has none.
+        # What is known of words, punctuation and other pieces: the entry with their ids. Entry 0 has none, entry 1 those of a line feed.
         self.known: list[dict[str, int]] = [{}, {"": 0}, {}]
-        self.length = np.zeros(1, np.int64)
-        self.start = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.flat = np.array(self.line, np.uint32)
+        self.length = np.array([0, len(self.flat)], np.int64)
+        self.start = np.zeros(2, np.int64)
 
-    def _entries(self, kind: int, names: list[str], encode: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
+    def _entries(self, kind: int, names: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The entries of distinct names; new ones are encoded first."""
         known = self.known[kind]
         new = [n for n in names if n not in known]
         if new:
-            ids = encode(new)
+            flat, length = encode(new)
             known.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length])
             self.flat = np.concatenate([self.flat, flat])
@@ -148,7 +164,7 @@ class _Encoder:
         is_one = np.asarray(parts.is_valid())
         word, tail = parts.field("word").filter(pa.array(is_one)), parts.field("tail").filter(pa.array(is_one))
         out = np.full((2, len(pieces)), -1, np.int64)
-        for k, (column, encode) in enumerate((((pc.utf8_lower(word) if self.lower else word), self._words), (tail, self.library))):
+        for k, (column, encode) in enumerate((((pc.utf8_lower(word) if self.lower else word), self._words), (tail, lambda x: _flat(self.library(x))))):
             coded = column.dictionary_encode()
             if len(coded):
                 out[k][is_one] = self._entries(k, coded.dictionary.to_pylist(), encode)[coded.indices.to_numpy(zero_copy_only=False)]
@@ -164,10 +180,8 @@ class _Encoder:
         if len(others):
             first[others], second[others] = self._entries(2, pieces.take(pa.array(others)).to_pylist(), self._rest), 0
         both = np.stack([first, second], 1).ravel()
-        each = self.length[both]
-        flat = self.flat[np.repeat(self.start[both] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
-        length = each.reshape(-1, 2).sum(1)
-        return flat, np.cumsum(length) - length, length
+        length = self.length[both].reshape(-1, 2).sum(1)
+        return self._gather(both), np.cumsum(length) - length, length
 
     def _whole(self, texts: pa.Array) -> np.ndarray:
         """Which texts the pieces can't stand for."""

@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -353,15 +354,21 @@ def test_quality_scores_depend_on_the_text_alone(monkeypatch):
 # Tokenizers, counts, packing and files.
 
 
-def library_ids(name, t):
+@cache
+def library(name):
     path = public_spec(name).path
     if name.endswith(".model"):
         import sentencepiece
 
-        return sentencepiece.SentencePieceProcessor(model_file=path).encode(t)
+        return sentencepiece.SentencePieceProcessor(model_file=path).encode
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+    model = Tokenizer.from_file(path)
+    return lambda t: model.encode(t, add_special_tokens=False).ids
+
+
+def library_ids(name, t):
+    return library(name)(t)
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
