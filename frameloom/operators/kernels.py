@@ -121,29 +121,6 @@ def smooth_meshes(points: DataFrame, edges: DataFrame, rounds: int) -> DataFrame
     return points.groupBy("frame").cogroup(edges.groupBy("frame")).applyInPandas(work, "frame long, vid long, x double, y double, z double")
 
 
-def bidirectional_ema(x: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-    """Mean of a forward and a backward exponential mean; alpha is each step's weight of the new value."""
-    def sweep(v: np.ndarray, a: np.ndarray) -> np.ndarray:
-        out = v.astype(float).copy()
-        for t in range(1, len(v)):
-            out[t] = out[t - 1] + a[t] * (v[t] - out[t - 1])
-        return out
-
-    # The step between two frames has one weight, whichever way it is taken.
-    back = sweep(x[::-1], np.concatenate([[1.0], alpha[1:][::-1]]))[::-1]
-    return (sweep(x, alpha) + back) / 2
-
-
-def smooth_clips(rows: DataFrame, alpha: float) -> DataFrame:
-    """(clip, frame, value) with the bidirectional mean of each clip."""
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame")
-        return part.assign(value=bidirectional_ema(part["value"].to_numpy(), np.full(len(part), alpha)))[["clip", "frame", "value"]]
-
-    return rows.groupBy("clip").applyInPandas(work, "clip long, frame long, value double")
-
-
 def adaptive_cuts(error: np.ndarray, limit: float, least: int, most: int) -> np.ndarray:
     """Run number of each frame: a run ends before a frame above the limit, if it has its least length, or at most."""
     run, length, out = 0, 0, np.zeros(len(error), int)

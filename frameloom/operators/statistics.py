@@ -2,32 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 1024
+
 
 def median_of_two(x: Column) -> Column:
     """Exact median, the mean of the two middle values for an even count; not-a-number doesn't count."""
     return F.median(F.when(~F.isnan(x), x))
 
 
-def nth(x: Column, place: Column) -> Column:
-    """The value at a zero-based place of the sorted non-null values."""
-    return F.element_at(F.sort_array(F.collect_list(x)), (place + 1).cast("int"))
+def upper_median(n: Column) -> Column:
+    """Place of the upper median of n sorted values, zero-based, as the other ranks are."""
+    return F.floor(n / 2)
+
+
+def nearest_rank(q: float) -> Callable[[Column], Column]:
+    """Place round(q (n - 1))."""
+    return lambda n: F.floor(F.lit(q) * (n - 1) + 0.5)
+
 
+def floor_rank(q: float) -> Callable[[Column], Column]:
+    """Place min(n - 1, floor(q n))."""
+    return lambda n: F.least(n - 1, F.floor(F.lit(q) * n))
 
-def upper_median(x: Column) -> Column:
-    return nth(x, F.floor(F.count(x) / 2))
 
+def ranks(rows: DataFrame, keys: list[str], x: str, **places: Callable[[Column], Column]) -> DataFrame:
+    """One row per key: keys and, for each name, the value of x at a place of the key's sorted non-null values.
 
-def nearest_rank(x: Column, q: float) -> Column:
-    """The value at round(q (n - 1))."""
-    return nth(x, F.floor(F.lit(q) * (F.count(x) - 1) + 0.5))
+    places: a zero-based place for the number of values. No key's values meet in one task: counts of equal-wide buckets
+    find the bucket of a place, twice, each time between the least and the largest value that are left, and
+    only the distinct values of that bucket are ordered. Rows with a null key are left out; without keys there is one row, none for an empty table.
+    """
+    by = keys or ["_all"]
+    r = rows.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"))
+    r = r if keys else r.withColumn("_all", F.lit(0))
+    told = F.explode(F.array(*(F.struct(F.lit(name).alias("which"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()))).alias("p")
+    state = r.groupBy(*by).agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    state = state.select(*by, "lo", "hi", F.lit(0).cast("long").alias("before"), told).select(*by, "lo", "hi", "before", "p.*")
+    same = [*by, "which", "place", "before"]
+    for _ in range(2):
+        width = F.col("hi") - F.col("lo")
+        bucket = F.when(width > 0, F.least(F.lit(BUCKETS - 1), F.floor((F.col("_x") - F.col("lo")) / width * BUCKETS))).otherwise(0)
+        inside = r.join(state, by).where("_x between lo and hi")
+        counts = inside.groupBy(*same, bucket.alias("b")).agg(F.count("*").alias("m"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+        state = _reached(counts, by, "b").select(*by, "which", "place", (F.col("run") - F.col("m")).alias("before"), "lo", "hi")
+    values = r.join(state, by).where("_x between lo and hi").groupBy(*same, "_x").agg(F.count("*").alias("m"))
+    found = _reached(values, by, "_x").groupBy(*by).agg(*(F.max(F.when(F.col("which") == name, F.col("_x"))).alias(name) for name in places))
+    return found if keys else found.drop("_all")
 
 
-def floor_rank(x: Column, q: float) -> Column:
-    """The value at min(n - 1, floor(q n))."""
-    return nth(x, F.least(F.count(x) - 1, F.floor(F.lit(q) * F.count(x))))
+def _reached(counts: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Of each key and place the row at which the running count passes the place."""
+    run = F.col("before") + F.sum("m").over(Window.partitionBy(*by, "which").orderBy(order))
+    return counts.withColumn("run", run).where("run > place and run - m <= place")
 
 
 def robust_fit(rows: DataFrame, keys: list[str], x: str, y: str, floor: float = 0.0, least: int = 3) -> DataFrame:
@@ -38,7 +69,7 @@ def robust_fit(rows: DataFrame, keys: list[str], x: str, y: str, floor: float =
 
     first = fit(rows)
     left = rows.join(first.drop("n"), keys).withColumn("_res", F.abs(F.col(y) - F.col("a") * F.col(x) - F.col("b")))
-    limit = left.groupBy(*keys).agg((3.0 * upper_median(F.col("_res")) + floor).alias("_limit"))
+    limit = ranks(left, keys, "_res", mad=upper_median).select(*keys, (3.0 * F.col("mad") + floor).alias("_limit"))
     inner = left.join(limit, keys).where(F.col("_res") <= F.col("_limit")).select(*keys, x, y)
     again = fit(inner).withColumnRenamed("n", "inliers")
     return first.select(*keys, "n").join(again, keys)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import exp
+from math import ceil, exp, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,11 +38,29 @@ def gaussian(x: Column, reach: int, sigma: float, w: WindowSpec) -> Column:
     return F.when(weight > 1e-6, total / weight)
 
 
-def ema(values: Column, keep: float) -> Column:
-    """Exponential mean over an array in order: keep of the mean so far, the rest of the new value."""
-    return F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.element_at(values, 1), lambda m, v: m * keep + v * (1 - keep))
-
-
-def ordered(keys: list[str], rows: DataFrame, order: str, value: str, name: str = "values") -> DataFrame:
-    """One row per key with the values as an array in order."""
-    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias(name))
+def last_ema(rows: DataFrame, keys: list[str], order: list[str], value: str, keep: float) -> DataFrame:
+    """(keys, ema): the exponential mean after each key's last row: keep of the mean so far, the rest of the new value.
+
+    A sum with weights by the distance from the end, so values are combined before they move.
+    """
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))) - 1
+    n = F.count("*").over(Window.partitionBy(*keys))
+    weighed = rows.select(*keys, value, back.alias("_back"), n.alias("_n"))
+    weight = F.pow(F.lit(keep), F.col("_back")) * F.when(F.col("_back") == F.col("_n") - 1, 1.0).otherwise(1.0 - keep)
+    return weighed.groupBy(*keys).agg(F.sum(F.col(value) * weight).alias("ema"))
+
+
+def ema_rows(rows: DataFrame, keys: list[str], place: str, value: str, keep: float, name: str = "ema") -> DataFrame:
+    """rows with the exponential mean up to each; place: a key's rows in order, numbered from 0 without gaps.
+
+    Rows are cut into chunks after which a value's weight is below a double's last bit, so a mean is its own chunk's part and the decayed end of
+    the one before, and a key with very many rows is spread over many tasks.
+    """
+    size = max(2, ceil(60 * log(2) / -log(keep)))
+    chunk, at = F.floor(F.col(place) / size), F.col(place) % size
+    first = F.when(F.col(place) == 0, 1.0).otherwise(1.0 - keep)
+    run = Window.partitionBy(*keys, "_chunk").orderBy(place)
+    part = rows.withColumn("_chunk", chunk).withColumn("_part", F.pow(F.lit(keep), at) * F.sum(F.col(value) * first * F.pow(F.lit(keep), -at)).over(run))
+    ends = part.where((F.col(place) + 1) % size == 0).select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.col("_part").alias("_end"))
+    whole = F.col("_part") + F.coalesce(F.col("_end"), F.lit(0.0)) * F.pow(F.lit(keep), at + 1)
+    return part.join(ends, [*keys, "_chunk"], "left").withColumn(name, whole).drop("_chunk", "_part", "_end")

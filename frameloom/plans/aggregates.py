@@ -113,13 +113,12 @@ def median(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f13_upper_median", "SELECT user_id, list_sort(list(value))[count(*)//2 + 1] AS v FROM events GROUP BY user_id")
 def upper_median(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("user_id").agg(S.upper_median(F.col("value")).alias("v"))
+    return S.ranks(table(spark, sf, "events"), ["user_id"], "value", v=S.upper_median)
 
 
 @query("f14_percentiles", "SELECT user_id, list_sort(list(value))[CAST(floor(0.9*(count(*)-1)+0.5) AS INT)+1] AS p90, list_sort(list(value))[CAST(least(count(*)-1, floor(0.95*count(*))) AS INT)+1] AS p95 FROM events GROUP BY user_id")
 def percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf, "events").groupBy("user_id").agg(S.nearest_rank(v, 0.9).alias("p90"), S.floor_rank(v, 0.95).alias("p95"))
+    return S.ranks(table(spark, sf, "events"), ["user_id"], "value", p90=S.nearest_rank(0.9), p95=S.floor_rank(0.95))
 
 
 @query("f15_robust_fit", f"WITH l AS (SELECT l_suppkey % 20 AS k, l_quantity AS x, l_extendedprice AS y FROM lineitem), f AS (SELECT k, count(*) AS n, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM l GROUP BY k HAVING count(*) >= 3), r AS (SELECT l.*, abs(y - a*x - b) AS res FROM l JOIN f USING (k)), m AS (SELECT k, 3 * list_sort(list(res))[count(*)//2 + 1] + 10 AS lim FROM r GROUP BY k), g AS (SELECT k, count(*) AS inliers, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM r JOIN m USING (k) WHERE res <= lim GROUP BY k HAVING count(*) >= 3) SELECT f.k, f.n, g.inliers, {r6('g.a', 3)} AS a, {r6('g.b', 2)} AS b FROM f JOIN g USING (k)")
@@ -156,7 +155,7 @@ def gradient_vote(spark: SparkSession, sf: str) -> DataFrame:
 # Triangles drawn on a 48 x 48 raster, by their x and y.
 _PX = lambda c: f"({c} + 0.6) / 1.2 * 48"
 _RASTER = (
-    f"{TRI}, px AS (SELECT tid, {_PX('ax')} AS ax, {_PX('ay')} AS ay, {_PX('bx')} AS bx, {_PX(chr(34) + 'by' + chr(34))} AS b_y, {_PX('cx')} AS cx, {_PX('cy')} AS cy, az, bz, cz FROM tri WHERE tid % 5 = 0),"
+    f"{TRI}, px AS (SELECT tid, {_PX('ax')} AS ax, {_PX('ay')} AS ay, {_PX('bx')} AS bx, {_PX(chr(34) + 'by' + chr(34))} AS b_y, {_PX('cx')} AS cx, {_PX('cy')} AS cy, az, bz, cz FROM tri),"
     " ar AS (SELECT *, (bx-ax)*(cy-ay)-(b_y-ay)*(cx-ax) AS area FROM px), gr AS (SELECT tid, ax, ay, bx, b_y, cx, cy, az, bz, cz, area, i AS gx, j AS gy FROM ar, range(48) r(i), range(48) s(j) WHERE area <> 0),"
     " w AS (SELECT *, ((bx-(gx+0.5))*(cy-(gy+0.5))-(b_y-(gy+0.5))*(cx-(gx+0.5)))*(1/area) AS w0, ((cx-(gx+0.5))*(ay-(gy+0.5))-(cy-(gy+0.5))*(ax-(gx+0.5)))*(1/area) AS w1 FROM gr),"
     " hit AS (SELECT tid, gx, gy, w0*az+w1*bz+(1-w0-w1)*cz AS z FROM w WHERE w0 >= 0 AND w1 >= 0 AND 1-w0-w1 >= 0)"
@@ -165,7 +164,7 @@ _RASTER = (
 
 def rasterized(spark: SparkSession, sf: str, size: int = 48) -> DataFrame:
     """(tid, gx, gy, z) of each pixel whose centre a triangle covers; a triangle is dealt to its bounding box only."""
-    t = triangles(spark, sf).where(F.col("tid") % 5 == 0)
+    t = triangles(spark, sf)
     px = {n + c: (F.col(n + c) + 0.6) / 1.2 * size for n in "abc" for c in "xy"}
     t = t.select("tid", "az", "bz", "cz", *(v.alias(k) for k, v in px.items()))
     c = F.col
@@ -225,7 +224,8 @@ def letterbox(spark: SparkSession, sf: str) -> DataFrame:
 def error_stats(spark: SparkSession, sf: str) -> DataFrame:
     d = G.length(G.minus(corners("a"), corners("b")))
     e = triangles(spark, sf).select("frame", d.alias("d"))
-    return e.groupBy("frame").agg(rounded(F.avg("d")).alias("mean"), rounded(S.floor_rank(F.col("d"), 0.95)).alias("p95"), rounded(F.max("d")).alias("worst"), rounded(F.count_if(F.col("d") > 0.15) * 100.0 / F.count("*")).alias("over"))
+    means = e.groupBy("frame").agg(rounded(F.avg("d")).alias("mean"), rounded(F.max("d")).alias("worst"), rounded(F.count_if(F.col("d") > 0.15) * 100.0 / F.count("*")).alias("over"))
+    return means.join(S.ranks(e, ["frame"], "d", p95=S.floor_rank(0.95)), "frame").select("frame", "mean", rounded(F.col("p95")).alias("p95"), "worst", "over")
 
 
 _LEN = "sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))"
@@ -240,7 +240,9 @@ def edge_stretch(spark: SparkSession, sf: str) -> DataFrame:
     u = edges(spark, sf).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct().join(end("p"), "p").join(end("q"), "q")
     gap = lambda cs: G.length(tuple(F.col("p" + c) - F.col("q" + c) for c in cs))
     r = u.select(gap(P).alias("now"), gap(("s0", "s1", "s2")).alias("rest")).where("rest > 0").select((F.col("now") / F.col("rest")).alias("r"), "now")
-    return r.agg(rounded(F.max("r")).alias("stretch"), rounded(S.floor_rank(F.col("r"), 0.999)).alias("p999"), rounded(F.max("now")).alias("longest"))
+    most = r.agg(rounded(F.max("r")).alias("stretch"), rounded(F.max("now")).alias("longest"))
+    # One row each.
+    return most.crossJoin(F.broadcast(S.ranks(r, [], "r", p999=S.floor_rank(0.999)))).select("stretch", rounded(F.col("p999")).alias("p999"), "longest")
 
 
 _DET = "(ax*(\"by\"*cz-bz*cy) - ay*(bx*cz-bz*cx) + az*(bx*cy-\"by\"*cx))/6.0"

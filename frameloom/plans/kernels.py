@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.encodings import rounded
 from ..operators import kernels as K
+from ..operators import windows as W
 from ..session import table
 from ..sources import container
 from .aggregates import edges
-from .common import points, query, sequences
+from .common import SEQ, points, query, r6, sequences
 from .scalars import P
 
 
@@ -55,9 +56,16 @@ def taubin(spark: SparkSession, sf: str) -> DataFrame:
     return smooth.select("frame", "vid", *(rounded(F.col(c)).alias(c) for c in P))
 
 
-@query("g10_bidirectional_ema")
+_SWEEP = "sum(b.value * pow(0.7, abs(a.frame - b.frame)) * CASE WHEN b.frame = {} THEN 1.0 ELSE 0.3 END)"
+
+
+@query("g10_bidirectional_ema", f"WITH {SEQ}, l AS (SELECT clip, max(frame) AS last FROM seq GROUP BY clip), f AS (SELECT a.clip, a.frame, {_SWEEP.format('0')} AS v FROM seq a JOIN seq b ON b.clip = a.clip AND b.frame <= a.frame GROUP BY ALL), r AS (SELECT a.clip, a.frame, {_SWEEP.format('any_value(l.last)').replace('any_value(l.last)', 'l.last')} AS v FROM seq a JOIN l USING (clip) JOIN seq b ON b.clip = a.clip AND b.frame >= a.frame GROUP BY ALL) SELECT f.clip, f.frame, {r6('(f.v + r.v) / 2', 4)} AS value FROM f JOIN r USING (clip, frame)")
 def bidirectional_ema(spark: SparkSession, sf: str) -> DataFrame:
-    return K.smooth_clips(sequences(spark, sf).select("clip", "frame", "value"), 0.3).select("clip", "frame", rounded(F.col("value"), 4).alias("value"))
+    """Mean of a forward and a backward exponential mean that give a new value the weight 0.3."""
+    s = sequences(spark, sf).select("clip", "frame", "value")
+    s = s.withColumn("back", F.max("frame").over(Window.partitionBy("clip")) - F.col("frame"))
+    both = W.ema_rows(W.ema_rows(s, ["clip"], "frame", "value", 0.7, "forth"), ["clip"], "back", "value", 0.7, "backward")
+    return both.select("clip", "frame", rounded((F.col("forth") + F.col("backward")) / 2, 4).alias("value"))
 
 
 @query("g22_adaptive_cut")
@@ -111,10 +119,8 @@ def align_chain(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("frame", "row", rounded(F.col("mean")).alias("mean"), rounded(F.col("spread")).alias("spread"))
 
 
-@query("f35_ema_by_type")
+@query("f35_ema_by_type", f"WITH o AS (SELECT user_id, event_type, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY ALL) SELECT user_id, event_type, {r6('list_reduce(v, lambda m, x: m * 0.9 + x * 0.1)', 4)} AS ema FROM o")
 def ema_by_type(spark: SparkSession, sf: str) -> DataFrame:
     """Exponential means of the values of each event type of a user."""
-    from ..operators.windows import ema, ordered
-
-    e = table(spark, sf, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")))
-    return ordered(["user_id", "event_type"], e, "n", "value").select("user_id", "event_type", rounded(ema(F.col("values"), 0.9), 4).alias("ema"))
+    e = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return W.last_ema(e, ["user_id", "event_type"], ["ts", "event_id"], "value", 0.9).select("user_id", "event_type", rounded(F.col("ema"), 4).alias("ema"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,26 +70,22 @@ _DIST = [f"sqrt((x-({p[0]}))*(x-({p[0]}))+(y-({p[1]}))*(y-({p[1]}))+(z-({p[2]}))
 _BRUSH = f"greatest(least({_DIST[0]}, {_DIST[1]}), -({_DIST[2]}))"
 
 
-def stroke_distances(spark: SparkSession, p: DataFrame) -> DataFrame:
-    """Signed distance of points to the strokes' union without the subtracted ones; the strokes are a configuration of a few rows."""
-    rows = [(sub, r, *at) for sub, r, at in STROKES]
-    strokes = spark.createDataFrame(rows, "sub boolean, radius double, px double, py double, pz double")
-    d = G.length((F.col("x") - F.col("px"), F.col("y") - F.col("py"), F.col("z") - F.col("pz"))) - F.col("radius")
-    each = p.crossJoin(F.broadcast(strokes)).groupBy("vid").agg(F.min(F.when(~F.col("sub"), d)).alias("add"), F.min(F.when(F.col("sub"), d)).alias("cut"))
-    return each.select("vid", F.greatest("add", -F.col("cut")).alias("brush"))
+def stroke_distance():
+    """Signed distance to the strokes' union without the subtracted ones; the strokes are a configuration and fold into one expression."""
+    d = [(sub, G.length((F.col("x") - x, F.col("y") - y, F.col("z") - z)) - radius) for sub, radius, (x, y, z) in STROKES]
+    least = lambda cut: reduce(F.least, [v for sub, v in d if sub is cut])
+    return F.greatest(least(False), -least(True))
 
 
 @query("d04_signed_distance", f"WITH {PTS} SELECT vid, {r6(_BOXD)} AS box, {r6(_BRUSH)} AS brush FROM pts")
 def signed_distance(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
-    return p.join(stroke_distances(spark, p), "vid").select("vid", *out(box=G.box_distance(xyz(), LOW, HIGH), brush=F.col("brush")))
+    return points(spark, sf).select("vid", *out(box=G.box_distance(xyz(), LOW, HIGH), brush=stroke_distance()))
 
 
 @query("d06_region_union", f"WITH {PTS} SELECT vid, {r6(f'least({_BOXD}, {_BRUSH})')} AS d, least({_BOXD}, {_BRUSH}) < 0 AS inside FROM pts")
 def region_union(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
-    volumes = p.select("vid", G.box_distance(xyz(), LOW, HIGH).alias("d")).unionByName(stroke_distances(spark, p).withColumnRenamed("brush", "d"))
-    return volumes.groupBy("vid").agg(F.min("d").alias("d")).select("vid", *out(d=F.col("d")), (F.col("d") < 0).alias("inside"))
+    d = F.least(G.box_distance(xyz(), LOW, HIGH), stroke_distance())
+    return points(spark, sf).select("vid", *out(d=d), (d < 0).alias("inside"))
 
 
 # Every fifth frame of a user's events is a keyframe.
@@ -231,11 +229,12 @@ _EDGES = "lasso(i, ax, ay, bx, b_y) AS (VALUES " + ", ".join(f"({i}, {a[0]}, {a[
 
 @query("d20_lasso", f"WITH {PTS}, {_EDGES} SELECT vid, sum(CASE WHEN (ay > y) <> (b_y > y) AND x < (bx-ax)*(y-ay)/(b_y-ay)+ax THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM pts, lasso GROUP BY vid")
 def lasso(spark: SparkSession, sf: str) -> DataFrame:
-    """Even-odd rule over the polygon's edges, a configuration of a few rows."""
-    edges = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(LASSO, LASSO[1:] + LASSO[:1], strict=True)], "ax double, ay double, bx double, by double")
-    c = F.col
-    crossing = ((c("ay") > c("y")) != (c("by") > c("y"))) & (c("x") < (c("bx") - c("ax")) * (c("y") - c("ay")) / F.nullif(c("by") - c("ay"), F.lit(0.0)) + c("ax"))
-    return points(spark, sf).crossJoin(F.broadcast(edges)).groupBy("vid").agg((F.count_if(crossing) % 2 == 1).alias("inside"))
+    """Even-odd rule over the polygon's edges, a configuration that folds into one expression."""
+    x, y, inside = F.col("x"), F.col("y"), F.lit(False)
+    for (ax, ay), (bx, by) in zip(LASSO, LASSO[1:] + LASSO[:1], strict=True):
+        if ay != by:
+            inside = inside != (((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax))
+    return points(spark, sf).select("vid", inside.alias("inside"))
 
 
 # Groups of four frames index a user's events.

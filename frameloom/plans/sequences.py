@@ -181,7 +181,7 @@ def effect_track(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g24_ema", f"WITH {SEQ}, o AS (SELECT clip, list(value ORDER BY frame) AS v FROM seq GROUP BY clip) SELECT clip, {r6('list_reduce(v, lambda m, x: m * 0.9 + x * 0.1)', 4)} AS ema FROM o")
 def ema(spark: SparkSession, sf: str) -> DataFrame:
-    return W.ordered(["clip"], sequences(spark, sf), "frame", V).select("clip", rounded(W.ema(F.col("values"), 0.9), 4).alias("ema"))
+    return W.last_ema(sequences(spark, sf), ["clip"], ["frame"], V, 0.9).select("clip", rounded(F.col("ema"), 4).alias("ema"))
 
 
 @query("g25_best_window", f"WITH {SEQ}, s AS (SELECT clip, frame, sum(value) OVER w AS s, count(*) OVER w AS n FROM seq WINDOW w AS (PARTITION BY clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)), k AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY floor(s * 1000 + 0.5) DESC, frame) AS k FROM s WHERE n = 5) SELECT clip, frame AS start, {r6('s', 3)} AS gain FROM k WHERE k = 1")
@@ -220,10 +220,10 @@ def morton_sort(spark: SparkSession, sf: str) -> DataFrame:
     return morton_keys(spark, sf).select("vid", (F.row_number().over(Window.partitionBy("frame").orderBy("key", "vid")) - 1).cast("long").alias("place"))
 
 
-@query("h04_permute", f"WITH {PTS} SELECT vid * 7 % (SELECT count(*) FROM pts) AS place, vid, x FROM pts WHERE vid % 2 = 0")
+@query("h04_permute", f"WITH {PTS} SELECT vid * 7 % (SELECT count(*) FROM pts) AS place, vid, x FROM pts")
 def permute(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    order = p.where("vid % 2 = 0").select("vid", (F.col("vid") * 7).alias("at")).crossJoin(F.broadcast(p.agg(F.count("*").alias("n")))).select("vid", (F.col("at") % F.col("n")).alias("place"))
+    order = p.select("vid", (F.col("vid") * 7).alias("at")).crossJoin(F.broadcast(p.agg(F.count("*").alias("n")))).select("vid", (F.col("at") % F.col("n")).alias("place"))
     return order.join(p.select("vid", "x"), "vid").select("place", "vid", "x")
 
 
@@ -232,9 +232,9 @@ def packet_sort(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("place"))
 
 
-@query("h06_newest_first", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+@query("h06_newest_first", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey")
 def newest_first(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_orderdate").limit(50)
+    return table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_orderdate")
 
 
 @query("h07_history_upsert", "WITH d AS (SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k, ts FROM events) SELECT event_type, user_id, event_id FROM d WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 200")
@@ -252,12 +252,10 @@ def natural_key(name: str):
     return F.array_join(F.transform(F.regexp_extract_all(F.col(name), F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), lambda s: F.when(s.rlike("^[0-9]"), F.lpad(s, 12, "0")).otherwise(s)), "")
 
 
-@query("a25_natural_sort", f"WITH n AS (SELECT 'frame' || (p_partkey * 37 % 1000) || '_' || p_size AS p_name, p_partkey FROM part), k AS (SELECT p_partkey, {_PAD} AS key FROM n) SELECT p_partkey, key, row_number() OVER (ORDER BY key, p_partkey) AS place FROM k ORDER BY key, p_partkey LIMIT 500")
+@query("a25_natural_sort", f"WITH n AS (SELECT 'frame' || (p_partkey * 37 % 1000) || '_' || p_size AS p_name, p_partkey FROM part), k AS (SELECT p_partkey, {_PAD} AS key FROM n) SELECT p_partkey, key FROM k ORDER BY key, p_partkey")
 def natural_sort(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("frame"), F.col("p_partkey") * 37 % 1000, F.lit("_"), F.col("p_size")).alias("name"))
-    first = n.select("p_partkey", natural_key("name").alias("key")).orderBy("key", "p_partkey").limit(500)
-    # The window numbers the 500 rows that are left.
-    return first.withColumn("place", F.row_number().over(Window.orderBy("key", "p_partkey")).cast("long"))
+    return n.select("p_partkey", natural_key("name").alias("key")).orderBy("key", "p_partkey")
 
 
 @query("h08_max_frames", "WITH k AS (SELECT p_partkey, p_name FROM part) SELECT p_partkey FROM k ORDER BY p_name, p_partkey LIMIT 30")
@@ -270,9 +268,9 @@ def shard_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return sequences(spark, sf).select("clip", "frame", (F.ntile(4).over(by_clip()) - 1).cast("long").alias("shard"))
 
 
-@query("h12_library_sort", "SELECT page_id, length(html) AS size FROM pages ORDER BY length(html) DESC, page_id LIMIT 60")
+@query("h12_library_sort", "SELECT page_id, length(html) AS size FROM pages ORDER BY length(html) DESC, page_id")
 def library_sort(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.length("html").cast("long").alias("size")).orderBy(F.desc("size"), "page_id").limit(60)
+    return table(spark, sf, "pages").select("page_id", F.length("html").cast("long").alias("size")).orderBy(F.desc("size"), "page_id")
 
 
 @query("h13_reference_frames", f"WITH {PTS}, k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY abs(x)*abs(y) DESC, vid) AS k FROM pts), t AS (SELECT frame, vid, k, abs(x)*abs(y)*sqrt(abs(z)) AS s FROM k WHERE k <= 8) SELECT frame, arg_max(vid, (s, -vid)) AS vid FROM t GROUP BY frame")
@@ -308,10 +306,10 @@ def geometry_copy(spark: SparkSession, sf: str) -> DataFrame:
     return t.where((F.col("frame") == 2) & ~in_box()).select("frame", "tid").unionByName(t.where((F.col("frame") == 3) & in_box()).select(F.lit(2).cast("long").alias("frame"), "tid"))
 
 
-@query("i03_piece_fragment", f"WITH {TRI}, u AS (SELECT frame AS piece, a AS v FROM tri UNION SELECT frame, b FROM tri UNION SELECT frame, c FROM tri) SELECT piece, v, dense_rank() OVER (ORDER BY piece, v) - 1 AS copy FROM u WHERE piece <= 1")
+@query("i03_piece_fragment", f"WITH {TRI}, u AS (SELECT frame AS piece, a AS v FROM tri UNION SELECT frame, b FROM tri UNION SELECT frame, c FROM tri) SELECT piece, v, dense_rank() OVER (ORDER BY piece, v) - 1 AS copy FROM u")
 def piece_fragment(spark: SparkSession, sf: str) -> DataFrame:
-    """Vertices doubled for each piece that uses them; two pieces' vertices are numbered."""
-    u = triangles(spark, sf).where("frame <= 1").select(F.col("frame").alias("piece"), F.explode(F.array("a", "b", "c")).alias("v")).distinct()
+    """Vertices doubled for each piece that uses them, and numbered piece by piece."""
+    u = triangles(spark, sf).select(F.col("frame").alias("piece"), F.explode(F.array("a", "b", "c")).alias("v")).distinct()
     counts = u.groupBy("piece").count()
     before = counts.withColumn("before", F.sum("count").over(Window.orderBy("piece")) - F.col("count")).drop("count")
     place = F.row_number().over(Window.partitionBy("piece").orderBy("v")) - 1
@@ -334,9 +332,9 @@ def merge_maps(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.concat_ws("|", merged["id"], merged["kind"]).alias("merged"))
 
 
-@query("i09_compact_mesh", f"WITH {TRI}, kt AS (SELECT * FROM tri WHERE tid % 3 = 0), {_COMPACT.format('kt')} SELECT frame, v, n FROM nn")
+@query("i09_compact_mesh", f"WITH {TRI}, {_COMPACT.format('tri')} SELECT frame, v, n FROM nn")
 def compact_mesh(spark: SparkSession, sf: str) -> DataFrame:
-    t = triangles(spark, sf).where("tid % 3 = 0")
+    t = triangles(spark, sf)
     uses = t.select("frame", "tid", F.posexplode(F.array("a", "b", "c")).alias("k", "v")).groupBy("frame", "v").agg(F.min(F.col("tid") * 3 + F.col("k")).alias("use"))
     return uses.select("frame", "v", (F.row_number().over(Window.partitionBy("frame").orderBy("use")) - 1).cast("long").alias("n"))
 
@@ -534,14 +532,19 @@ def probe_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy("clip", F.when(F.col("size") > 200, "texture").otherwise("geometry").alias("kind")).agg(F.count("*").alias("blocks"), F.sum("size").alias("bytes"))
 
 
-@query("a32_locate_dropped", "WITH w AS (SELECT doc_id, source || '/' || lang AS name, n_chars AS size FROM documents WHERE doc_id % 11 = 0), h AS (SELECT w.doc_id AS wanted, d.doc_id AS found, count(*) OVER (PARTITION BY w.doc_id) AS hits FROM w JOIN documents d ON d.source || '/' || d.lang = w.name AND d.n_chars = w.size AND abs(d.doc_id - w.doc_id) <= 500) SELECT wanted, min(found) AS found, any_value(hits) = 1 AS certain FROM h GROUP BY wanted")
+@query("a32_locate_dropped", "WITH w AS (SELECT doc_id, source || '/' || lang AS name, n_chars AS size FROM documents) SELECT w.doc_id AS wanted, min(d.doc_id) AS found, count(*) = 1 AS certain FROM w JOIN w d ON d.name = w.name AND d.size = w.size AND abs(d.doc_id - w.doc_id) <= 500 GROUP BY w.doc_id")
 def locate_dropped(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of the same name and size, near in time; one hit is certain."""
-    name = F.concat_ws("/", "source", "lang")
-    d = table(spark, sf, "documents").select(name.alias("name"), F.col("n_chars").alias("size"), "doc_id")
-    w = d.where("doc_id % 11 = 0").withColumnRenamed("doc_id", "wanted")
-    hits = w.join(d, ["name", "size"]).where(F.abs(F.col("doc_id") - F.col("wanted")) <= 500)
-    return hits.groupBy("wanted").agg(F.min("doc_id").alias("found"), (F.count("*") == 1).alias("certain"))
+    """Files of the same name and size, near in time; one hit is certain.
+
+    Times are cut into stretches as long as the reach, and each stretch is looked at with its neighbours, so a name and size that very many
+    files have are spread over many windows and no pairs are made.
+    """
+    d = table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang").alias("name"), F.col("n_chars").alias("size"), "doc_id")
+    own = F.floor(F.col("doc_id") / 500)
+    seen = d.select("*", own.alias("own"), F.explode(F.array(own - 1, own, own + 1)).alias("stretch"))
+    near = Window.partitionBy("name", "size", "stretch").orderBy("doc_id").rangeBetween(-500, 500)
+    hits = seen.select("own", "stretch", F.col("doc_id").alias("wanted"), F.min("doc_id").over(near).alias("found"), (F.count("*").over(near) == 1).alias("certain"))
+    return hits.where("own = stretch").select("wanted", "found", "certain")
 
 
 @query("b09_clip_meta", "SELECT doc_id, '{\"clip\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' AS meta FROM documents")
