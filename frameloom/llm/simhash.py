@@ -335,29 +335,29 @@ def _meetings(v: Column, sections: Column) -> Column:
 
 def _by_key(parts: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[pa.Array]]:
     """Columns of about ROWS rows, or of BYTES; names hold ``key``, which batches are ordered by, and a key's rows stay together."""
-    held: list[pa.RecordBatch] = []
+    held: list[list[pa.Array]] = []
     rows = size = 0
     at = names.index("key")
 
     def whole() -> list[pa.Array]:
-        return [c.combine_chunks() for c in pa.Table.from_batches(held).select(names).columns]
+        return [pa.concat_arrays(c) for c in zip(*held, strict=True)]
 
     for part in parts:
         if not part.num_rows:
             continue
-        held.append(part)
+        held.append([part.column(n) for n in names])
         rows, size = rows + part.num_rows, size + part.get_total_buffer_size()
         if rows < ROWS and size < BYTES:
             continue
         # The last key may go on in the next batch.
-        last = part.column("key")[-1].as_py()
-        if held[0].column("key")[0].as_py() == last:
+        last = held[-1][at][-1].as_py()
+        if held[0][at][0].as_py() == last:
             continue
         columns = whole()
         cut = int(np.searchsorted(np.asarray(columns[at]), last))
         yield [c.slice(0, cut) for c in columns]
-        kept = pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(cut, len(c)))) for c in columns], names)
-        held, rows, size = [kept], kept.num_rows, kept.get_total_buffer_size()
+        held = [[c.take(pa.array(np.arange(cut, len(c)))) for c in columns]]
+        rows, size = len(held[0][0]), sum(c.nbytes for c in held[0])
     if held:
         yield whole()
 

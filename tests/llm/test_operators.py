@@ -235,10 +235,25 @@ def test_near_duplicates_hold_the_similarity(spark):
     assert sum(got[i + 1] == i for i in near) >= 0.97 * len(near)
 
 
-@pytest.mark.parametrize("section", [4096, 7])
-def test_near_pairs_that_a_forest_hides(spark, monkeypatch, section):
+def test_keys_stay_together_in_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "ROWS", 10)
+    rng = random.Random(2)
+    keys = sorted(rng.randrange(12) for _ in range(200))
+    table = pa.table({"v": range(200), "s": [[k] * (k % 3) for k in keys], "key": keys})
+    got = [(k.to_pylist(), v.to_pylist(), s.to_pylist()) for k, v, s in simhash._by_key(iter(table.to_batches(max_chunksize=7)), ["key", "v", "s"])]
+    assert [k for part, _, _ in got for k in part] == keys and [v for _, part, _ in got for v in part] == list(range(200))
+    assert [s for _, _, part in got for s in part] == table["s"].to_pylist()
+    assert sum(len(set(part)) for part, _, _ in got) == len(set(keys)) and len(got) > 4
+
+
+@pytest.mark.parametrize("section,rows", [(4096, 1 << 16), (7, 20)])
+def test_near_pairs_that_a_forest_hides(spark, monkeypatch, section, rows):
     """Of a chain only neighbours are similar enough; candidates that are not must not keep the links from it."""
     monkeypatch.setattr(simhash, "TEXTS", section)
+    monkeypatch.setattr(simhash, "ROWS", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10" if rows == 20 else "10000")
     rng = random.Random(9)
     words = [f"w{i}" for i in range(1000)]
     rows = [(i, " ".join(words[20 * i : 20 * i + 304])) for i in range(30)] + [(100 + i, " ".join(rng.sample(words, 300))) for i in range(30)]
