@@ -319,9 +319,14 @@ def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius:
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v, p, key, *rest in _by_key(parts, ["v", "p", "key", *others]):
             words = np.stack([np.asarray(c) for c in rest], 1).view(np.uint64) if rest else None
-            a, b = forest(np.asarray(p).view(np.uint64), np.asarray(key), radius, words, wide_radius or 0)
+            child, root = forest(np.asarray(p).view(np.uint64), np.asarray(key), radius, words, wide_radius or 0)
             v = np.asarray(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], ["a", "b"])
+            # All hang on the smallest vertex, which the blocks of a group mostly share, so their links repeat each other.
+            roots, tree = np.unique(root, return_inverse=True)
+            least = v[roots]
+            np.minimum.at(least, tree, v[child])
+            a, b = np.concatenate([v[child], v[roots]]), np.concatenate([least[tree], least])
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     return hung.repartition(n, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
