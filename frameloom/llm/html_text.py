@@ -67,6 +67,8 @@ _MARKUP = re.compile(
 _NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 OPEN, DECLARED, HEADER, FORM, OUT = range(5)
+#: Pages with deleted lines up to which these are broadcast, and equal lines of two pages up to which each match is looked at.
+FEW, MATCHES = 20_000, 1 << 16
 
 
 def _chrome_words(value: str) -> bool:
@@ -208,7 +210,7 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
         places: dict[int, list[int]] = {}
         for k, h in enumerate(y.tolist()):
             places.setdefault(h, []).append(k)
-        if sum(len(places.get(h, ())) for h in x.tolist()) <= 1 << 20:
+        if sum(len(places.get(h, ())) for h in x.tolist()) <= MATCHES:
             pairs = _by_matches(x.tolist(), places)
         elif len(x) == 1:
             pairs = [(0, places[int(x[0])][0])]
@@ -311,5 +313,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(*page_lines(html.as_py()), set(gone.as_py() or ())) for html, gone in zip(batch.column("html"), batch.column("gone"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    compared = rows.join(told, same, "left").select("id", "url", "html", "gone").mapInArrow(left, f"id {id_type}, url string, text string")
+    # Mostly zones drop what is shared, too; then pages needn't move.
+    few = told.limit(FEW + 1).count()
+    joined = rows.join(F.broadcast(told) if few <= FEW else told, same, "left") if few else rows.withColumn("gone", F.lit(None).cast("array<int>"))
+    compared = joined.select("id", "url", "html", "gone").mapInArrow(left, f"id {id_type}, url string, text string")
     return compared.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
