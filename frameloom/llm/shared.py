@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder of this machine is set and used.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the session is a
+    local one, as in tests, a temporary folder of this machine is set and used.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/frameloom-shared")
+        told = spark.conf.get("spark.checkpoint.dir", "")
+        if not told and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(told or f"file://{tempfile.gettempdir()}/frameloom-shared")
     return spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/frameloom/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, with the scheme by which Spark finds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/frameloom/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
