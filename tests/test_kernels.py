@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from frameloom.functions import cameras as C
 from frameloom.functions import encodings as E
 from frameloom.operators import kernels as K
 from frameloom.operators import statistics as S
@@ -237,3 +238,18 @@ def test_late_packets_are_dropped(spark, tmp_path):
     row = lambda t: f'{{"clip": 1, "ts": "2024-01-01T00:{t:02d}:00Z", "bytes": 2}}'
     got = stream(spark, tmp_path, [[row(0), row(1)], [row(30)], [row(2), row(31)], [row(59)]], "clip long, ts timestamp, bytes long", lambda d: jobs.on_time_packets(d, "5 minutes", "10 minutes"), "append")
     assert [(r[2], r[3]) for r in sorted(got, key=lambda r: r[1].start)] == [(2, 4), (2, 4)]
+
+
+def test_cameras():
+    """The target is in the picture's middle, a point at the right edge of the view height is where it should be, and planes are at depth 0 and 1."""
+    for ortho in (False, True):
+        view, projection = C.orbit(0.3, -0.4, 2.0, (1.0, 2.0, 3.0), 1.5, ortho, 40.0)
+        clip = projection @ view
+        seen = lambda p: (lambda q: q[:3] / q[3])(clip @ np.append(p, 1.0))  # noqa: B023, E731
+        assert np.allclose(seen([1, 2, 3])[:2], 0) and np.allclose(view[:3, :3] @ view[:3, :3].T, np.eye(3))
+        half = 2.0 * np.tan(np.radians(20))
+        assert np.allclose(seen(np.array([1, 2, 3]) + 1.5 * half * view[0, :3])[:2], [1, 0]) and np.allclose(seen(np.array([1, 2, 3]) + half * view[1, :3])[:2], [0, 1])
+        for depth, z in ((0.02, 0), (40.0, 1)):
+            assert np.isclose(seen(np.array([1, 2, 3]) + (2.0 - depth) * view[2, :3])[2], z)
+        assert np.allclose(C.inverse(clip) @ clip, np.eye(4), atol=1e-9)
+    assert C.inverse(np.zeros((4, 4))) is None
