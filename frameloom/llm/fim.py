@@ -1,7 +1,6 @@
 """Fill-in-middle transformation over an index of distinct texts.
 
-Identical texts are grouped by verified content (SHA-256, byte length and an independent 64-bit
-hash agree; only one text of a group travels on). A group's unit boundaries, the code points after which a
+Identical texts are grouped by verified content (their SHA-256; only one text of a group travels on). A group's unit boundaries, the code points after which a
 unit ends, are computed once and kept as an Elias-Fano list of about two bits more than the
 logarithm of the mean unit length for each unit. Documents are joined back to the index without
 their own texts, and each selects its two seeded cuts from the list.
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from .shared import checkpointed, shuffle_partitions, text_or_empty
 
 HOT = 1024
-KEY = ["digest", "n_bytes", "proof", "slot"]
-_HEAD = struct.Struct("<QQB")
+KEY = ["digest", "slot"]
+_HEAD = struct.Struct("<IIB")
 
 
 def boundaries(text: np.ndarray) -> np.ndarray:
@@ -99,8 +98,8 @@ def fill_in_middle(
     spark = docs.sparkSession
     slots = shuffle_partitions(spark)
     text = text_or_empty(text_col)
-    keys = [F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("proof")]
-    rows = checkpointed(docs.select(F.col(id_col).alias("id"), *keys))
+    digest = F.unhex(F.sha2(text, 256)).alias("digest")
+    rows = checkpointed(docs.select(F.col(id_col).alias("id"), digest))
     least = rows.count() // HOT
     # Fewer than HOT digests have more than a HOT-th of all rows.
     hot = [r["digest"] for r in rows.groupBy("digest").count().where(F.col("count") > max(least, 1)).orderBy(F.desc("count")).limit(HOT).collect()] if least else []
@@ -111,18 +110,18 @@ def fill_in_middle(
         return told.withColumn("slot", F.when(F.col("often"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(slots)).cast("int")).otherwise(0)).drop("often")
 
     index_of, cuts_of = F.arrow_udf(_index, "struct<n: long, list: binary>"), F.arrow_udf(_cuts, "struct<first: long, second: long>")
-    texts = dealt(docs.select(F.col(id_col).alias("id"), *keys, text.alias("text"))).groupBy(*KEY).agg(F.first("text").alias("text"))
+    texts = dealt(docs.select(F.col(id_col).alias("id"), digest, text.alias("text"))).groupBy(*KEY).agg(F.first("text").alias("text"))
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     group = lambda i: F.conv(F.substring(h, 8 * i - 7, 8), 16, 10).cast("long")
     marked = F.lit(False)
     for m in marks:
         marked = marked | F.contains("text", F.lit(m))
     lists = texts.select(*KEY, marked.alias("marked"), index_of("text").alias("index"))
-    told = dealt(rows).select("id", *KEY, *(group(i).alias(f"h{i}") for i in range(1, 5))).join(lists, KEY)
+    told = dealt(rows).join(lists, KEY).withColumns({f"h{i}": group(i) for i in range(1, 5)})
     n = F.col("index.n")
     places = [F.col(f"h{i}") % (n + 1) for i in (1, 2)]
     form = F.when((n == 0) | F.col("marked") | (F.col("h3") % 100 >= 100 - plain_percent), "plain").when(F.col("h4") % 100 < spm_percent, "spm").otherwise("psm")
-    # The texts' exchange is used again: they are shuffled once, and never reach Python beside a document.
+    # Exchanges carry little: the lists of distinct texts, then two numbers a document. The texts' exchange is used again: they are shuffled once, and never reach Python beside a document.
     cut = told.select("id", *KEY, n.alias("n"), form.alias("form"), cuts_of(F.col("index.list"), F.least(*places), F.greatest(*places)).alias("cut")).join(texts, KEY)
     first, second = F.col("cut.first"), F.col("cut.second")
     prefix, middle = F.substring("text", F.lit(1), first.cast("int")), F.substring("text", (first + 1).cast("int"), (second - first).cast("int"))
