@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +9,6 @@ from ..functions.encodings import rounded
 from ..operators import kernels as K
 from ..operators import windows as W
 from ..session import table
-from ..sources import container
 from .aggregates import edges
 from .common import SEQ, points, query, r6, sequences
 from .scalars import P
@@ -73,36 +69,6 @@ def adaptive_cut(spark: SparkSession, sf: str) -> DataFrame:
     return K.cut_clips(sequences(spark, sf).select("clip", "frame", "value"), 80.0, 3, 12)
 
 
-def clip_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as frames with bounds and a coded payload."""
-    v = F.col("value")
-    return sequences(spark, sf).select("clip", "frame", *(v.alias(c) for c in ("x0", "y0", "z0")), *((v + 1.0).alias(c) for c in ("x1", "y1", "z1")), F.col("event_type").cast("binary").alias("data"))
-
-
-@query("b01_write_container")
-def write_container(spark: SparkSession, sf: str) -> DataFrame:
-    """Container files of all clips: size, checksum."""
-    return container.write_clips(clip_frames(spark, sf)).select("clip", F.length("content").cast("long").alias("bytes"), F.crc32("content").alias("crc"))
-
-
-@query("a17_scan_chunks")
-def scan_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """The blocks of those containers, read back."""
-
-    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for clip, content in zip(batch.column("clip").to_pylist(), batch.column("content"), strict=True):
-                rows = container.parse(content.as_buffer().to_pybytes())["blocks"]
-                n = len(rows)
-                yield pa.RecordBatch.from_pydict({
-                    "clip": pa.array([clip] * n, pa.int64()), "frame": pa.array([r[0] + r[2] for r in rows], pa.int64()), "intra": pa.array([r[3] == 0 for r in rows]),
-                    "data": pa.array([r[5] for r in rows], pa.binary()),
-                })
-
-    made = container.write_clips(clip_frames(spark, sf))
-    return made.mapInArrow(work, "clip long, frame long, intra boolean, data binary").select("clip", "frame", "intra", F.col("data").cast("string").alias("data"))
-
-
 @query("g11_align_chain")
 def align_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Frames of ten values, each aligned to the aligned one before."""

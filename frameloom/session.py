@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,32 @@ def ship(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp()
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/frameloom_package", "zip", root, "frameloom"))
     spark.sparkContext._frameloom_sent = True
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, with the scheme by which Spark finds it.
+
+    It lies in ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder of this machine.
+    """
+    sc = spark.sparkContext
+    told = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not told:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        told = f"file://{tempfile.gettempdir()}/frameloom-shared"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(told)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{told.rstrip('/')}/frameloom/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, read back from the shared folder from now on."""
+    shared_folder(df.sparkSession, "unused")
+    return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session made by shared_folder()."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

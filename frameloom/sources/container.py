@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MAGIC, CHUNK_MAGIC = b"FLM0", b"CNK0"
 # The record layouts.
@@ -118,35 +116,3 @@ def scan_blocks(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFra
         return {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("frame_start", pa.int64()), ("pts", pa.int64()), ("place", pa.int64()), ("type", pa.int32()), ("track", pa.int32()), ("data", pa.binary())))}
 
     return _decode(spark, path, BLOCK_SCHEMA, decode)
-
-
-def write_clips(frames: DataFrame, fps: float = 30.0, gop_length: int = 4) -> DataFrame:
-    """(clip, content): a container for each clip of frames (clip, frame, x0..z1 bounds, data), gop_length frames to a chunk.
-
-    A clip's chunks are made one group at a time; only its finished chunks meet to be laid out, since a file is one row.
-    """
-    box = F.array(F.min("x0"), F.min("y0"), F.min("z0"), F.max("x1"), F.max("y1"), F.max("z1")).cast("array<double>")
-    held = F.struct("frame", F.col("data").cast("binary").alias("data"))
-    groups = frames.groupBy("clip", F.floor(F.col("frame") / gop_length).alias("gop")).agg(box.alias("box"), F.array_sort(F.collect_list(held)).alias("f"))
-
-    def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            rows = batch.to_pylist()
-            first = [r["f"][0]["frame"] for r in rows]
-            pts = [round(f * 1e6 / fps) for f in first]
-            bodies = [chunk(t, len(r["f"]), tuple(r["box"]), [(0 if k == 0 else 1, 0, x["data"] or b"") for k, x in enumerate(r["f"])]) for t, r in zip(pts, rows, strict=True)]
-            yield pa.RecordBatch.from_pydict({
-                "clip": batch.column("clip"), "frame": pa.array(first, pa.int64()), "pts": pa.array(pts, pa.int64()), "n": pa.array([len(r["f"]) for r in rows], pa.int64()),
-                "box": pa.array([r["box"] for r in rows], pa.list_(pa.float64())), "body": pa.array(bodies, pa.binary()),
-            })
-
-    made = groups.select("clip", "box", "f").mapInArrow(make, "clip long, frame long, pts long, n long, box array<double>, body binary")
-
-    def lay(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for clip, chunks in zip(batch.column("clip").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                ordered = [(c["pts"], c["frame"], c["n"], tuple(c["box"]), c["body"]) for c in sorted(chunks, key=lambda c: c["frame"])]
-                content = assemble(ordered, fps, 14, gop_length, {"clip": str(clip)}, [(0, 0, "RAW0", 0, b"")])
-                yield pa.RecordBatch.from_pydict({"clip": pa.array([clip], pa.int64()), "content": pa.array([content], pa.binary())})
-
-    return made.groupBy("clip").agg(F.collect_list(F.struct("frame", "pts", "n", "box", "body")).alias("c")).mapInArrow(lay, "clip long, content binary")
