@@ -59,6 +59,12 @@ def transformed(m: np.ndarray, p: Sequence[Column], w: Column | float = 1.0) ->
     return [float(r[0]) * p[0] + float(r[1]) * p[1] + float(r[2]) * p[2] + float(r[3]) * w for r in m]
 
 
+def projected(p: Sequence[Column], w: Column) -> list[Column]:
+    """p divided by w; null in the camera's plane, where w is 0."""
+    scale = F.nullif(w, F.lit(0.0))
+    return [c / scale for c in p]
+
+
 def mask_distance(
     p: Sequence[Column], m: np.ndarray, ortho: bool = False, rect: Sequence[float] | None = None, bits: np.ndarray | None = None, band: tuple[float, float] | None = None
 ) -> Column:
@@ -68,7 +74,8 @@ def mask_distance(
     Points behind the camera, outside the depths of ``band`` or, without perspective, of the planes are at 1, as are those beside a bitmap.
     """
     x, y, z, w = transformed(m, p)
-    x, y, z = x / w, y / w, z / w
+    # A point in the camera's plane has no picture; it isn't seen.
+    x, y, z = projected((x, y, z), w)
     if bits is None:
         inside = F.greatest(rect[0] - x, x - rect[2], rect[1] - y, y - rect[3])
     else:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+#: Buckets of a power of two, and parts of a bucket.
+SHARES, PARTS = 256, 4096
 
 
 def median_of_two(x: Column) -> Column:
@@ -30,34 +31,51 @@ def floor_rank(q: float) -> Callable[[Column], Column]:
     return lambda n: F.least(n - 1, F.floor(F.lit(q) * n))
 
 
+def bucket(x: Column) -> Column:
+    """A whole number that never falls as x grows: power of two and SHARES equal parts of it, for either sign.
+
+    A logarithm that is rounded across a power of two gives the same number from the other side.
+    """
+    size = F.abs(x)
+    power = F.floor(F.log2(size))
+    part = power * SHARES + F.floor((size / F.pow(F.lit(2.0), power) - 1) * SHARES) + (1100 * SHARES)
+    finite = F.when(size == 0, 0).when(size == float("inf"), F.lit(1 << 29)).otherwise(part)
+    return F.when(F.isnan(x), F.lit(1 << 30)).otherwise(F.signum(x).cast("long") * finite).cast("long")
+
+
 def ranks(rows: DataFrame, keys: list[str], x: str, **places: Callable[[Column], Column]) -> DataFrame:
     """One row per key: keys and, for each name, the value of x at a place of the key's sorted non-null values.
 
-    places: a zero-based place for the number of values. No key's values meet in one task: counts of equal-wide buckets
-    find the bucket of a place, twice, each time between the least and the largest value that are left, and
-    only the distinct values of that bucket are ordered. Rows with a null key are left out; without keys there is one row, none for an empty table.
+    places: a zero-based place for the number of values. rows are read once, as distinct values with counts, whose exchange all steps share.
+    No key's values meet in one task: counts of buckets of a 256th of a power of two find the bucket of a place, counts of
+    4,096 equal parts of that bucket the part, and only the part's distinct values are ordered. Rows with a null key are left out; without keys there
+    is one row, none for an empty table. Not-a-number is the largest value.
     """
-    by = keys or ["_all"]
-    r = rows.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"))
-    r = r if keys else r.withColumn("_all", F.lit(0))
+    value = F.col(x).cast("double")
+    some = rows.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), bucket(value).alias("_b"))
+    for k in keys:
+        some = some.where(F.col(k).isNotNull())
+    distinct = some.groupBy(*keys, "_b", "_x").agg(F.count("*").alias("m"))
+    counts = distinct.groupBy(*keys, "_b").agg(F.sum("m").alias("m"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    # Without keys this window holds the buckets of the whole table, of which there are few.
+    total = F.sum("m").over(Window.partitionBy(*keys))
+    run = F.sum("m").over(Window.partitionBy(*keys).orderBy("_b"))
     told = F.explode(F.array(*(F.struct(F.lit(name).alias("which"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()))).alias("p")
-    state = r.groupBy(*by).agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    state = state.select(*by, "lo", "hi", F.lit(0).cast("long").alias("before"), told).select(*by, "lo", "hi", "before", "p.*")
-    same = [*by, "which", "place", "before"]
-    for _ in range(2):
-        width = F.col("hi") - F.col("lo")
-        bucket = F.when(width > 0, F.least(F.lit(BUCKETS - 1), F.floor((F.col("_x") - F.col("lo")) / width * BUCKETS))).otherwise(0)
-        inside = r.join(state, by).where("_x between lo and hi")
-        counts = inside.groupBy(*same, bucket.alias("b")).agg(F.count("*").alias("m"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-        state = _reached(counts, by, "b").select(*by, "which", "place", (F.col("run") - F.col("m")).alias("before"), "lo", "hi")
-    values = r.join(state, by).where("_x between lo and hi").groupBy(*same, "_x").agg(F.count("*").alias("m"))
-    found = _reached(values, by, "_x").groupBy(*by).agg(*(F.max(F.when(F.col("which") == name, F.col("_x"))).alias(name) for name in places))
-    return found if keys else found.drop("_all")
+    hit = counts.select("*", total.alias("n"), run.alias("run")).select(*keys, "_b", "lo", "hi", "run", "m", told).where("run > p.place and run - m <= p.place")
+    hit = hit.select(*keys, "_b", "lo", "hi", "p.*", (F.col("run") - F.col("m")).alias("before"))
+    width = F.col("hi").cast("double") - F.col("lo").cast("double")
+    part = F.when((width > 0) & (width < float("inf")), F.least(F.lit(PARTS - 1), F.floor((F.col("_x").cast("double") - F.col("lo").cast("double")) / width * PARTS))).otherwise(0)
+    inside = distinct.join(hit, [*keys, "_b"]).select(*keys, "_b", "_x", "m", "which", "place", "before", part.alias("_part"))
+    same = [*keys, "_b", "which", "place", "before"]
+    parts = _reached(inside.groupBy(*same, "_part").agg(F.sum("m").alias("m")), [*keys, "which"], "_part")
+    left = inside.drop("before").join(parts.select(*keys, "which", "_part", (F.col("run") - F.col("m")).alias("before")), [*keys, "which", "_part"])
+    found = _reached(left, [*keys, "which"], "_x")
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("which") == name, F.col("_x"))).alias(name) for name in places)).where(F.lit(bool(keys)) | F.col(next(iter(places))).isNotNull())
 
 
 def _reached(counts: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Of each key and place the row at which the running count passes the place."""
-    run = F.col("before") + F.sum("m").over(Window.partitionBy(*by, "which").orderBy(order))
+    """Of each key the row at which the running count passes the place."""
+    run = F.col("before") + F.sum("m").over(Window.partitionBy(*by).orderBy(order))
     return counts.withColumn("run", run).where("run > place and run - m <= place")
 
 

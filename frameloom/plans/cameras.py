@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cameras as C
+from ..functions.encodings import rounded
 from .common import PTS, out, points, query, r6
 from .scalars import P
 
@@ -26,21 +27,20 @@ def _rows(m: np.ndarray, p: tuple[str, ...] = P, w: str = "1.0") -> list[str]:
 
 def _seen(m: np.ndarray) -> str:
     x, y, z, w = _rows(m)
-    return f"c AS (SELECT vid, {x} / {w} AS nx, {y} / {w} AS ny, {z} / {w} AS nz, {w} AS w FROM pts)"
+    return f"c AS (SELECT vid, {x} / nullif({w}, 0) AS nx, {y} / nullif({w}, 0) AS ny, {z} / nullif({w}, 0) AS nz, {w} AS w FROM pts)"
 
 
 _AGAIN = _rows(_BACK, ("nx", "ny", "nz"))
 
 
-@query("c26_camera_matrices", f"WITH {PTS}, {_seen(_CLIP)} SELECT vid, {r6('nx')} AS nx, {r6('ny')} AS ny, {r6('nz')} AS nz, " + ", ".join(f"{r6(f'{_AGAIN[k]} / {_AGAIN[3]}', 4)} AS b{c}" for k, c in enumerate(P)) + " FROM c")
+@query("c26_camera_matrices", f"WITH {PTS}, {_seen(_CLIP)} SELECT vid, {r6('nx')} AS nx, {r6('ny')} AS ny, {r6('nz')} AS nz, " + ", ".join(f"{r6(f'{_AGAIN[k]} / nullif({_AGAIN[3]}, 0)', 4)} AS b{c}" for k, c in enumerate(P)) + " FROM c")
 def camera_matrices(spark: SparkSession, sf: str) -> DataFrame:
     """Points in a perspective camera's picture, and back in the world by the inverse."""
     x, y, z, w = C.transformed(_CLIP, [F.col(c) for c in P])
-    seen = points(spark, sf).select("vid", (x / w).alias("nx"), (y / w).alias("ny"), (z / w).alias("nz"))
+    nx, ny, nz = C.projected((x, y, z), w)
+    seen = points(spark, sf).select("vid", nx.alias("nx"), ny.alias("ny"), nz.alias("nz"))
     *again, scale = C.transformed(_BACK, [F.col(c) for c in ("nx", "ny", "nz")])
-    from ..functions.encodings import rounded
-
-    return seen.select("vid", *out(nx=F.col("nx"), ny=F.col("ny"), nz=F.col("nz")), *(rounded(b / scale, 4).alias("b" + c) for b, c in zip(again, P, strict=True)))
+    return seen.select("vid", *out(nx=F.col("nx"), ny=F.col("ny"), nz=F.col("nz")), *(rounded(b, 4).alias("b" + c) for b, c in zip(C.projected(again, scale), P, strict=True)))
 
 
 _INSIDE = f"greatest({_RECT[0]} - nx, nx - {_RECT[2]}, {_RECT[1]} - ny, ny - {_RECT[3]})"

@@ -83,6 +83,26 @@ def test_ranks_against_sorting(spark):
     assert S.ranks(df.where("false"), [], "v", mid=S.upper_median).count() == 0
 
 
+def test_ranks_of_odd_values(spark):
+    """Concentrated values, signs, infinities, not-a-number, whole numbers and no keys; one scan and no product of tables."""
+    rng = random.Random(9)
+    inf = float("inf")
+    values = [1000 + rng.random() * 1e-3 for _ in range(3000)] + [-x for x in (0.5, 0.25, 2.0, 1e-310)] + [0.0, -inf, inf, inf, float("nan"), 5e-324] + [2.0**k for k in range(-60, 60)] + [2.0**k * (1 - 2**-53) for k in range(-60, 60)]
+    df = spark.createDataFrame([(1, v) for v in values], "k long, v double")
+    order = sorted(values, key=lambda v: (v != v, v))
+    for q in (0.0, 0.01, 0.05, 0.3, 0.5, 0.9, 0.97, 0.999, 1.0):
+        want = order[int(q * (len(order) - 1) + 0.5)]
+        for keys in ([], ["k"]):
+            got = S.ranks(df, keys, "v", p=S.nearest_rank(q)).collect()
+            assert [r["p"] for r in got] == [want] or (want != want and got[0]["p"] != got[0]["p"])
+    assert S.ranks(df.where("v > 1e9 and v < 0"), [], "v", p=S.upper_median).count() == 0
+    whole = spark.createDataFrame([(i * (2**40) % 1009, ) for i in range(1009)], "v long")
+    assert S.ranks(whole, [], "v", p=S.upper_median).first()["p"] == 504
+    for name in ("f14_percentiles", "f26_error_stats", "f27_edge_stretch"):
+        plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin BuildRight, Inner\n" not in plan
+
+
 def test_frame_groups_against_the_rule(spark):
     rng = random.Random(7)
     rows, want = [], []
@@ -237,6 +257,16 @@ def test_late_packets_are_dropped(spark, tmp_path):
     assert [(r[2], r[3]) for r in sorted(got, key=lambda r: r[1].start)] == [(2, 4), (2, 4)]
 
 
+def test_a_point_in_the_cameras_plane(spark):
+    """Its w is 0; under ANSI rules a division by it would end the job."""
+    view, projection = C.orbit(0.0, 0.0, 1.0, (0, 0, 0), 1.0)
+    m = projection @ view
+    df = spark.createDataFrame([(0.3, 0.2, 1.0), (0.0, 0.0, 0.0), (0.0, 0.0, 2.0)], "x double, y double, z double")
+    p = [F.col(c) for c in "xyz"]
+    got = df.select(C.mask_distance(p, m, rect=(-1, -1, 1, 1)).alias("d"), C.mask_distance(p, m, bits=np.ones((2, 2), bool)).alias("b"), C.projected(C.transformed(m, p)[:3], C.transformed(m, p)[3])[0].alias("nx")).collect()
+    assert [(r["d"], r["b"]) for r in got] == [(1.0, 1.0), (-1.0, -0.5), (1.0, 1.0)] and got[0]["nx"] is None
+
+
 def test_cameras():
     """The target is in the picture's middle, a point at the right edge of the view height is where it should be, and planes are at depth 0 and 1."""
     for ortho in (False, True):
