@@ -26,6 +26,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 LONGEST, UNIT = 1024, 16
 #: Distinct words that are cut at a time, that a worker remembers scores of, and that it counts before it adds them up.
-CHUNK, REMEMBERED, COUNTED = 8192, 200_000, 100_000
+CHUNK, REMEMBERED, COUNTED = 4096, 300_000, 300_000
 WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 #: Characters of a text that are matched at a time.
 PART = 1 << 20
@@ -133,43 +134,38 @@ def lattices(vocab: Vocabulary, words: list[str]) -> Iterator[tuple[np.ndarray,
         yield part, Lattice(word[first], first - start[word[first]], length, piece, size)
 
 
-def _steps(keys: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of equal keys, smaller keys first."""
-    order = np.argsort(keys, kind="stable")
-    ends = np.flatnonzero(np.append(np.diff(keys[order]) != 0, True)) + 1 if len(keys) else []
-    start = 0
-    for end in ends:
-        yield order[start:end]
-        start = end
-
-
 def _sums(lattice: Lattice, p: np.ndarray, depth: int, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(mantissas, exponents) by word, byte and model: the sum over all segmentations of what stands before a byte, or behind it.
 
-    Whole powers of two are taken out as sums get small, which rounds nothing.
+    Whole powers of two are taken out of long words as sums get small, which rounds nothing.
     """
     n, top, models = len(lattice.sizes), int(lattice.sizes.max()), p.shape[1]
     value, exponent = np.zeros((n, top + 1, models)), np.zeros((n, top + 1), np.int64)
-    rows = np.arange(n)
-    value[rows, lattice.sizes if backward else 0] = 1
-    source, target = (lattice.first + lattice.length, lattice.first) if backward else (lattice.first, lattice.first + lattice.length)
+    value[np.arange(n), lattice.sizes if backward else 0] = 1
+    end = lattice.first + lattice.length
+    source, target = (end, lattice.first) if backward else (lattice.first, end)
     # Pieces of one target and length belong to different words.
     key = ((top - target) if backward else target) * (depth + 1) + lattice.length
-    weight = p[lattice.piece]
-    done = 0
-    for these in _steps(key):
-        w, a, b = lattice.words[these], source[these], target[these]
-        t = int(b[0])
-        if top > 2 * depth and t != done:
-            done = t
-            near = slice(t, t + depth + 1) if backward else slice(max(0, t - depth), t + 1)
-            high = value[:, near].max((1, 2))
-            small = np.flatnonzero((high > 0) & (high < 2.0**-200))
-            if len(small):
-                value[small, near] *= 2.0**200
-                exponent[small, near] -= 200
-        exponent[w, b] = exponent[w, a]
-        value[w, b] += value[w, a] * weight[these]
+    order = np.argsort(key.astype(np.int16 if top * (depth + 1) + depth < 1 << 15 else np.int64), kind="stable")
+    ends = np.flatnonzero(np.append(np.diff(key[order]) != 0, True)) + 1
+    w = lattice.words[order] * (top + 1)
+    a, b, weight = w + source[order], w + target[order], p[lattice.piece[order]]
+    flat, exponents = value.reshape(-1, models), exponent.reshape(-1)
+    start, done = 0, 0
+    for stop in ends.tolist():
+        if top > 2 * depth:
+            t = int(b[start]) % (top + 1)
+            if t != done:
+                done = t
+                near = slice(t, t + depth + 1) if backward else slice(max(0, t - depth), t + 1)
+                high = value[:, near].max((1, 2))
+                small = np.flatnonzero((high > 0) & (high < 2.0**-200))
+                if len(small):
+                    value[small, near] *= 2.0**200
+                    exponent[small, near] -= 200
+            exponents[b[start:stop]] = exponents[a[start:stop]]
+        flat[b[start:stop]] += flat[a[start:stop]] * weight[start:stop]
+        start = stop
     return value, exponent
 
 
@@ -203,11 +199,17 @@ def expected_pieces(vocab: Vocabulary, words: list[str], counts: np.ndarray, p:
     return out
 
 
-def word_counts(text: str) -> Counter[str]:
-    """The lower-cased words of a text and how often each stands in it."""
-    if len(text) <= PART:
-        return Counter(WORD.findall(text.lower()))
-    return Counter(m.group() for m in WORD.finditer(text.lower()))
+def together(texts: list[str]) -> Iterator[str]:
+    """The texts, neighbours joined by a line feed up to PART characters; no word crosses it."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) >= PART:
+            yield "\n".join(held)
+            held, size = [], 0
+        held.append(t)
+        size += len(t) + 1
+    if held:
+        yield "\n".join(held)
 
 
 @dataclass
@@ -237,6 +239,11 @@ def _learn_pass(docs: DataFrame, path: str, languages: list[str] | None, p: np.n
         held: dict[str, Counter[str]] = defaultdict(Counter)
 
         def close() -> None:
+            for name, c in held.items():
+                for w in [w for w in c if not w.isalpha()]:
+                    n = c.pop(w)
+                    if w := _letters(w):
+                        c[w] += n
             words = sorted({w for c in held.values() for w in c})
             place = {w: i for i, w in enumerate(words)}
             names = sorted(held)
@@ -249,13 +256,16 @@ def _learn_pass(docs: DataFrame, path: str, languages: list[str] | None, p: np.n
             held.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                n_docs[lang] += 1
-                for w, n in word_counts(text.as_py() or "").items():
-                    if w := _letters(w):
-                        held[lang][w] += n
-                if sum(map(len, held.values())) > COUNTED:
-                    close()
+            for at in range(0, batch.num_rows, 512):
+                names = np.array(batch.column("lang").slice(at, 512).to_pylist(), object)
+                texts = batch.column("text").slice(at, 512).to_pylist()
+                for name in dict.fromkeys(names.tolist()):
+                    mine = np.flatnonzero(names == name).tolist()
+                    n_docs[name] += len(mine)
+                    for part in together([texts[i] or "" for i in mine]):
+                        held[name].update(WORD.findall(part.lower()))
+                        if sum(map(len, held.values())) > COUNTED:
+                            close()
         close()
         for lang, n in sorted(n_docs.items()):
             some = np.flatnonzero(total[lang])
@@ -274,9 +284,10 @@ def start_model(vocab: Vocabulary) -> np.ndarray:
     return p / p.sum()
 
 
-def learn(docs: DataFrame, path: str, passes: int = 2, smoothing: float = 1000.0, lang_col: str = "lang", text_col: str = "text") -> Model:
+def learn(docs: DataFrame, path: str, passes: int = 1, smoothing: float = 1000.0, lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model of every language of docs, learned on all of them; rows without a language are left out.
 
+    passes: of expectation-maximisation; on the supplied tables the second changes no held-out prediction of whole texts.
     smoothing: pieces of all languages together that are added to each language. There are few languages, each a row of counts on the driver.
     """
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -318,29 +329,35 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if not self.model.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        counted = [word_counts(t) if t else Counter() for t in texts]
+        # Words of short texts one by one, in their order; of long ones each distinct word once.
+        counted = [Counter(m.group() for m in WORD.finditer(t.lower())) if t and len(t) > PART else None for t in texts]
+        lists = [(WORD.findall(t.lower()) if t else []) if c is None else list(c) for t, c in zip(texts, counted, strict=True)]
         if len(self.place) > REMEMBERED:
             self._forget()
-        new = list(dict.fromkeys(w for c in counted for w in c if w not in self.place))
-        real = [x for x in dict.fromkeys(map(_letters, new)) if x and x not in self.place]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        words = list(chain.from_iterable(lists))
+        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        real = [x for x in dict.fromkeys(w if w.isalpha() else _letters(w) for w in new) if x and x not in self.place]
         start = len(self.table)
-        self.place |= {w: start + i for i, w in enumerate(real)}
+        self.place.update(zip(real, range(start, start + len(real)), strict=True))
         for w in new:
-            if w not in self.place:
+            if not w.isalpha():
                 self.place[w] = self.place[x] if (x := _letters(w)) else -1
-        self.table = np.concatenate([self.table, log_words(self.vocab, real, self.model.p)]) if real else self.table
-        languages, scores = [], np.zeros(len(texts))
-        for i, c in enumerate(counted):
-            rows = np.fromiter((self.place[w] for w in c), np.int64, len(c))
-            times = np.fromiter(c.values(), np.float64, len(c))[rows >= 0]
-            if not len(times):
-                languages.append("und")
-                continue
-            total = (self.table[rows[rows >= 0]] * times[:, None]).sum(0) + self.model.prior
-            best = int(total.argmax())
-            scores[i] = 1 / np.exp(total - total[best]).sum()
-            languages.append(self.model.languages[best])
-        return languages, scores
+        if real:
+            self.table = np.concatenate([self.table, log_words(self.vocab, real, self.model.p)])
+        rows = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        times = np.fromiter(chain.from_iterable(repeat(1, n) if c is None else c.values() for n, c in zip(sizes.tolist(), counted, strict=True)), np.float64, len(words)) * (rows >= 0)
+        known = np.zeros(len(texts), bool)
+        total = np.tile(self.model.prior, (len(texts), 1))
+        if len(words) and len(self.table):
+            full = np.flatnonzero(sizes)
+            # Each text's words are added up on their own, in their order in it.
+            starts = (np.cumsum(sizes) - sizes)[full]
+            total[full] += np.add.reduceat(self.table[rows] * times[:, None], starts)
+            known[full] = np.add.reduceat(times, starts) > 0
+        best = total.argmax(1)
+        shares = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        return [self.model.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, shares, 0.0)
 
 
 def held_out(id_col: str) -> Column:
