@@ -7,9 +7,9 @@ URL path and id, neighbours are paired, the last of an odd number joining the pa
 longest common subsequence, and shared lines go.
 
 Zones mend what differencing alone gets wrong: paragraphs that two articles share are content, so shared lines in a declared zone stay; menus,
-adverts and footers that change from page to page are chrome, so they go though nothing shares them. A page of which
-declared lines hold at least as many characters as its other lines left consists of the declared ones; else, as where only
-a teaser is declared, both stay. A page whose open lines are all shared, as a copy's are, keeps them if nothing is declared.
+adverts and footers that change from page to page are chrome, so they go though nothing shares them. Inside ``article`` and ``main`` a class
+or id word says so of containers only, not of paragraphs and headings. Every other line that differencing leaves stays.
+A page whose open lines are all shared, as a copy's are, keeps them if nothing is declared.
 
 Pages are ordered by thin rows of keys and line hashes, written once; a host's ranks come from a range-partitioned sort, so a host with a
 third of all pages is spread over many tasks, and a pair is a group of two or three pages. Only line numbers that
@@ -54,6 +54,8 @@ NEUTRAL = frozenset(
     " links list main media mobile outer page panel post posts primary right row secondary section site sticky stories sub thread top widget wrap wrapper".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# What a class word doesn't take out of an article: it names a style there.
+TEXTS = HEADINGS | {"p"}
 # A list item or cell ends an open one of its kind.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -95,7 +97,7 @@ def _zone(name: str, rest: str, outer: int) -> int:
                     return OUT
                 if value.strip().lower() == "main":
                     inner = DECLARED
-            elif name not in ("html", "body", "main") and _chrome_words(value):
+            elif name not in ("html", "body", "main") and not (outer == DECLARED and name in TEXTS) and _chrome_words(value):
                 return OUT
     if name == "header":
         return HEADER if outer in (DECLARED, HEADER) else OUT
@@ -166,10 +168,8 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
 
 
 def main_text(lines: list[str], zones: list[int], gone: set[int] | frozenset[int] = frozenset()) -> str:
-    """The lines of a page that are left; gone: the numbers of open lines that differencing deletes."""
-    kept = [(x, z) for k, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == DECLARED or (z == OPEN and k not in gone)]
-    size = [sum(len(x) for x, z in kept if z == zone) for zone in (OPEN, DECLARED)]
-    return "\n".join(x for x, z in kept if z == DECLARED or size[DECLARED] < size[OPEN])
+    """The lines of a page that are left, declared or open; gone: the numbers of open lines that differencing deletes."""
+    return "\n".join(x for k, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == DECLARED or (z == OPEN and k not in gone))
 
 
 def shared_open(codes: list[np.ndarray], zones: list[list[int]]) -> list[list[int]]:

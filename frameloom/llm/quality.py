@@ -84,20 +84,40 @@ def repetition(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return 4 * best / np.maximum(size, CELL // 2)
 
 
-def _forward(w: dict[str, np.ndarray], data: np.ndarray, starts: np.ndarray, repeats: np.ndarray) -> dict[str, np.ndarray]:
+def _tables(w: dict[str, np.ndarray]) -> np.ndarray:
+    """What a byte adds to the filters at each of a window's 8 places: embedding and filters folded, summed in fixed order."""
+    blocks = np.concatenate([w["first"], w["second"]]).reshape(2 * STEP, EMBED, FILTERS)
+    out = np.zeros((2 * STEP, 256, FILTERS), w["embed"].dtype)
+    for k in range(EMBED):
+        out += w["embed"][None, :, k, None] * blocks[:, None, k]
+    return out
+
+
+def _forward(w: dict[str, np.ndarray], data: np.ndarray, starts: np.ndarray, repeats: np.ndarray, train: bool = True) -> dict[str, np.ndarray]:
+    """Looked-up rows and columns are added one after the other, so that no sum depends on what else is in the batch."""
     cells = len(data) // CELL
     steps = CELL // STEP
-    x = w["embed"][data].reshape(-1, STEP * EMBED)
-    z = x @ w["first"] + w["bias"]
-    z += _next(x, starts) @ w["second"]
+    places = data.reshape(-1, STEP)
+    tables = _tables(w)
+    z = np.repeat(w["bias"][None], len(places), 0)
+    for k in range(STEP):
+        z += tables[k][places[:, k]]
+    behind = np.append(places[1:], places[:1], 0)
+    last = starts[1:] * steps - 1  # a text's last step has no successor
+    for k in range(STEP):
+        row = tables[STEP + k][behind[:, k]]
+        row[last] = 0
+        z += row
     a = np.maximum(z, 0)
     filled = (data.reshape(cells, steps, STEP)[:, :, 0] != 0).astype(np.float32)
     size = np.maximum(_chunks(filled.sum(1), starts), 1)[:, None]
     pooled = _chunks((a.reshape(cells, steps, -1) * filled[:, :, None]).sum(1), starts) / size
     v = np.concatenate([pooled, repeats[:, None]], 1)
-    # Whole groups of rows, so that a row's sums don't depend on how many rows stand beside it.
-    u = (np.concatenate([v, np.zeros((-cells % 32, v.shape[1]), v.dtype)]) @ w["hidden"])[:cells] + w["hidden_bias"]
+    u = np.repeat(w["hidden_bias"][None], cells, 0)
+    for k in range(v.shape[1]):
+        u += v[:, k, None] * w["hidden"][k]
     h = np.maximum(u, 0)
+    x = w["embed"][data].reshape(-1, STEP * EMBED) if train else None
     return {"x": x, "z": z, "filled": filled, "size": size, "v": v, "u": u, "h": h}
 
 
@@ -204,7 +224,7 @@ def scores(net: Network, texts: Sequence[Buffer]) -> np.ndarray:
 
     def close() -> None:
         data, starts = pack([part for _, part, _, _ in held])
-        h = _forward(net.weights, data, starts, repetition(data, starts))["h"]
+        h = _forward(net.weights, data, starts, repetition(data, starts), train=False)["h"]
         for (k, _, a, b), start in zip(held, starts.tolist(), strict=False):
             top[k] = np.maximum(top[k], h[start + a : start + b].max(0))
 

@@ -626,8 +626,8 @@ def zoned(html):
 
 def test_page_zones():
     declared, rest = zoned(
-        '<html><head><title>t</title></head><body><header>site</header><nav><a>menu</a></nav><article><h1>A &amp; B</h1><p><b>one<br>two</b>  three<p class="ad">buy'
-        '<p>more <span class="ad">x</span>text<div id="comments"><p>reader</div><form>f</form><script>var a="</p>";</script></article><div class="cookie-notice">n</div><footer>f</footer></body></html>'
+        '<html><head><title>t</title></head><body><header>site</header><nav><a>menu</a></nav><article><h1>A &amp; B</h1><p><b>one<br>two</b>  three'
+        '<div class="ad">buy</div><p>more <span class="ad">x</span>text<div id="comments"><p>reader</div><form>f</form><script>var a="</p>";</script></article><div class="cookie-notice">n</div><footer>f</footer></body></html>'
     )
     assert declared == ["A & B", "one two three", "more", "text"] or declared == ["A & B", "one two three", "more text"]
     assert rest == []
@@ -645,7 +645,23 @@ def test_class_words_are_whole_names():
     text = lambda html: html_text.main_text(*html_text.page_lines(html))
     assert text('<h1>Title</h1><p>the body of the page</p><article class="comment">a reader says</article>') == "Title\nthe body of the page"
     assert text('<h1>Title</h1><p>the body of the page</p><article>teaser</article>') == "Title\nthe body of the page\nteaser"
-    assert text('<p>open</p><article>longer declared text</article>') == "longer declared text"
+    assert text('<p>open</p><article>longer declared text</article>') == "open\nlonger declared text"
+
+
+def test_texts_written_by_hand(spark):
+    """Expected texts come from reading the pages, not from the parser."""
+    long = "An article of two hundred characters or more, told at length. " * 4
+    pages = {
+        f"<div><h1>Title of the story</h1><p>Lead paragraph.</p><article><p>{long}</p></article><p>Second part.</p></div>": f"Title of the story\nLead paragraph.\n{long.strip()}\nSecond part.",
+        '<main><h2 id="comments">Comments on the law</h2><p class="social">Social rules</p><p class="comment">A remark</p><div class="comments"><p>reader</p></div><ul class="share"><li>post</li></ul></main>': "Comments on the law\nSocial rules\nA remark",
+        '<body><nav><a>Home</a></nav><article><header><h1>News</h1><p>by A</p></header><p>Body &amp; soul<br>here</p><aside>More</aside></article><div class="cookie-banner">OK?</div><footer>(c)</footer>': "News\nBody & soul here",
+        '<p class="comment">a reader</p><p>Open text</p>': "Open text",
+        "<table><tr><td>one<td>two<tr><td>three</table><pre>a\n  b</pre>": "one\ntwo\nthree\na b",
+        "<script>var x = '<p>no</p>'</script><style>p {}</style><p>yes</p><!-- <p>no</p> -->": "yes",
+    }
+    df = spark.createDataFrame([(i, f"http://h{i}/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert [got[i] for i in range(len(pages))] == list(pages.values())
 
 
 def test_shared_lines_is_longest():
@@ -720,9 +736,7 @@ def brute_force_texts(rows):
                 open_ = {k for k, z in enumerate(zones) if z == html_text.OPEN}
                 if open_ <= less and html_text.DECLARED not in zones:
                     less = set()
-                kept = [(x, z) for k, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == html_text.DECLARED or (k in open_ and k not in less)]
-                size = [sum(len(x) for x, z in kept if z == zone) for zone in (html_text.OPEN, html_text.DECLARED)]
-                out[i, u] = "\n".join(x for x, z in kept if z == html_text.DECLARED or size[1] < size[0])
+                out[i, u] = "\n".join(x for k, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == html_text.DECLARED or (k in open_ and k not in less))
     return out
 
 
