@@ -2,13 +2,13 @@
 
 A .warc.zst file starts with a skippable frame (0x184D2A5D) that holds the dictionary, itself
 a Zstandard frame; each record follows as a frame of its own. The dictionary is built on the driver from a
-bounded number of the records to be archived, those of smallest id hash.
+bounded number of the records to be archived, those of smallest id hash that fit in bounded bytes.
 
 Rows of equal payload are grouped by SHA-1 and length: the row of the largest id is a response, the others
 revisit it. A group's rows are told through slots, so a page with a third of all copies is no hot key.
 
 Cases: null html is the empty payload. A null URL is written as ``urn:null``; control characters and
-spaces in a URL are percent-encoded. Rows with a null id are written with an empty id; if all ids of a
+spaces in a URL are percent-encoded. Ids are percent-encoded, and a null id has no field; if all ids of a
 payload are null, all its rows are responses. Repeated rows of one id and payload get the same type and
 record id. An empty table writes no file. Other columns are not read.
 """
@@ -21,7 +21,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .shared import checkpointed, lookup, shared_path, slot, text_or_empty, write_file
 
 SKIPPABLE = 0x184D2A5D
-#: Records that the dictionary is built from at most, its size, and bytes of a file before the next is begun.
-SAMPLES, DICTIONARY, FILE_BYTES = 200, 112_640, 32 << 20
+#: Records that the dictionary is built from at most, and their bytes; its size, and bytes of a file before the next is begun.
+SAMPLES, SAMPLE_BYTES, DICTIONARY, FILE_BYTES = 200, 8 << 20, 112_640, 32 << 20
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id {id}, payload_bytes long, payload_digest string, record_type string, refers_to {id}"
@@ -53,10 +53,12 @@ def record(page_id: int | str | None, url: str | None, payload: bytes, digest: s
         f"WARC-Target-URI: {'urn:null' if url is None else quote(url, safe=chr(37) + '!#$&()*+,/:;=?@[]~' + chr(39))}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
+    # A null id has no field; an empty one has an empty field.
+    if page_id is not None:
+        head.append(f"X-Page-ID: {quote(str(page_id), safe='')}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {quote(str(refers_to), safe='')}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -135,6 +137,7 @@ def write_warc(
 
     min_revisit_bytes: smaller payloads are all responses. date: WARC-Date of all records, as pages have none.
     """
+    spark = pages.sparkSession
     html = text_or_empty(html_col)
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(html)).alias("digest"), F.octet_length(html).alias("n_bytes"))
     rows = checkpointed(pages.select("id", slot().alias("slot"), "digest", "n_bytes"))
@@ -143,8 +146,14 @@ def write_warc(
     # One row for each id and payload; the ids that revisit and what they refer to.
     revisits = told.where("id is distinct from response and response is not null").select(F.col("id").alias("own"), F.col("digest").alias("of"), "response").distinct()
     # Ids and digests of the sample first, so that no task sends its own candidates' pages to the driver.
-    some = rows.where("n_bytes > 0").select("id", "digest").distinct().orderBy(F.xxhash64("id"), "id", "digest").limit(SAMPLES)
-    picked = pages.join(F.broadcast(some.withColumnRenamed("id", "own").withColumnRenamed("digest", "of")), F.col("id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("of")), "left_semi")
+    some = rows.where("n_bytes > 0").select("id", "digest", "n_bytes").distinct().orderBy(F.xxhash64("id"), "id", "digest").limit(SAMPLES).collect()
+    taken, left = [], SAMPLE_BYTES
+    for r in some:
+        if r["n_bytes"] <= left:
+            taken.append((r["id"], bytes(r["digest"])))
+            left -= r["n_bytes"]
+    chosen = F.broadcast(spark.createDataFrame(taken, f"own {dict(pages.dtypes)['id']}, of binary"))
+    picked = pages.join(chosen, F.col("id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("of")), "left_semi")
     sample = [r["html"].encode() for r in picked.dropDuplicates(["id", "digest"]).orderBy(F.xxhash64("id"), "id", "digest").select("html").collect()]
     dictionary = build_dictionary([record(i, "http://example.com/", p, _sha1(p), None, False, date) for i, p in enumerate(sample)]) if sample else b""
 
@@ -178,8 +187,8 @@ def read_warc(spark: SparkSession, folder: str, id_type: str = "long") -> DataFr
     """
     whole = id_type in ("tinyint", "smallint", "int", "bigint", "long")
 
-    def number(value: str) -> int | str | None:
-        return None if value == "" else int(value) if whole else value
+    def number(value: str | None) -> int | str | None:
+        return None if value is None else int(value) if whole else unquote(value)
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -191,7 +200,7 @@ def read_warc(spark: SparkSession, folder: str, id_type: str = "long") -> DataFr
                     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
                     if kind == "response" and (len(payload) != size or _sha1(payload) != digest):
                         raise ValueError(f"damaged payload of {fields['WARC-Record-ID']}")
-                    found.append((number(fields["X-Page-ID"]), size, digest, kind, number(fields.get("X-Refers-To-Page-ID", ""))))
+                    found.append((number(fields.get("X-Page-ID")), size, digest, kind, number(fields.get("X-Refers-To-Page-ID"))))
                 columns = list(zip(*found, strict=True)) or [[]] * 5
                 ids = pa.int64() if whole else pa.string()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (ids, pa.int64(), pa.string(), pa.string(), ids), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])

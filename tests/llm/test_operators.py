@@ -519,6 +519,17 @@ def test_warc(spark, tmp_path):
     assert warc.archive(pages.where("false")).count() == 0
 
 
+def test_warc_string_ids_and_sample_bytes(spark, tmp_path, monkeypatch):
+    """Line feeds, colons, empty and null ids come back as they were; a page beyond the sample's bytes isn't fetched for it."""
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", 100)
+    ids = ["a\nb", "", None, "x: y", "%41", "é ", "a\r\n\r\nWARC/1.1"]
+    rows = [(i, "u", f"page {k}") for k, i in enumerate(ids)] + [("big", "u", "z" * 5000), ("copy", "u", "page 0")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive(pages, f"file://{tmp_path}/w").collect()), key=str)
+    want = [(i, "response", None) for i in ids if i != "a\nb"] + [("big", "response", None), ("copy", "response", None), ("a\nb", "revisit", "copy")]
+    assert got == sorted(want, key=str)
+
+
 def test_warc_dictionary_helps():
     pages = [f"<html><head><title>{i}</title></head><body><p>common words of all pages {i * 7919}</p></body></html>".encode() * 3 for i in range(150)]
     made = [warc.record(i, "http://a/", p, warc._sha1(p), None, False, "1970-01-01T00:00:00Z") for i, p in enumerate(pages)]
