@@ -1,4 +1,4 @@
-"""Order-dependent algorithms and file formats over the supplied tables; tests hold them against brute force."""
+"""Exponential means over the supplied events."""
 
 from __future__ import annotations
 
@@ -6,51 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.encodings import rounded
-from ..operators import kernels as K
 from ..operators import windows as W
 from ..session import table
-from .aggregates import edges
-from .common import SEQ, points, query, r6, sequences
-from .scalars import P
-
-
-@query("e07_match_nearest")
-def match_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return K.match_nearest(points(spark, sf).select("frame", "vid", *P), 0.35)
-
-
-def frame_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Undirected edges of each frame's triangles."""
-    e = edges(spark, sf).join(points(spark, sf).select(F.col("vid").alias("tid"), "frame"), "tid")
-    return e.select("frame", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
-
-
-@query("f09_boundary_loops")
-def boundary_loops(spark: SparkSession, sf: str) -> DataFrame:
-    once = frame_edges(spark, sf).groupBy("frame", "p", "q").count().where("count = 1")
-    return K.boundary_loops(once.select("frame", "p", "q"))
-
-
-@query("f10_connected_pieces")
-def connected_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """The smallest vertex of each vertex's piece, by frame."""
-    import numpy as np
-    import pandas as pd
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(part[["p", "q"]].to_numpy())
-        at = np.searchsorted(ids, part[["p", "q", "q"]].to_numpy())
-        return pd.DataFrame({"frame": part["frame"].iloc[0], "vid": ids, "piece": ids[K.pieces(len(ids), at)]})
-
-    return frame_edges(spark, sf).groupBy("frame").applyInPandas(work, "frame long, vid long, piece long")
-
-
-@query("j12_taubin")
-def taubin(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf).select("frame", "vid", *P)
-    smooth = K.smooth_meshes(p, frame_edges(spark, sf).distinct(), 3)
-    return smooth.select("frame", "vid", *(rounded(F.col(c)).alias(c) for c in P))
-
+from .common import SEQ, query, r6, sequences
 
 _SWEEP = "sum(b.value * pow(0.7, abs(a.frame - b.frame)) * CASE WHEN b.frame = {} THEN 1.0 ELSE 0.3 END)"
 
@@ -64,27 +22,6 @@ def bidirectional_ema(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("clip", "frame", rounded((F.col("forth") + F.col("backward")) / 2, 4).alias("value"))
 
 
-@query("g22_adaptive_cut")
-def adaptive_cut(spark: SparkSession, sf: str) -> DataFrame:
-    return K.cut_clips(sequences(spark, sf).select("clip", "frame", "value"), 80.0, 3, 12)
-
-
-@query("g11_align_chain")
-def align_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames of ten values, each aligned to the aligned one before."""
-    import numpy as np
-    import pandas as pd
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("vid")
-        n = len(part) // 10
-        x = K.align_chain(part["x"].to_numpy()[: 10 * n].reshape(n, 10))
-        return pd.DataFrame({"frame": part["frame"].iloc[0], "row": np.arange(n), "mean": x.mean(1), "spread": x.std(1)})
-
-    out = points(spark, sf).groupBy("frame").applyInPandas(work, "frame long, row long, mean double, spread double")
-    return out.select("frame", "row", rounded(F.col("mean")).alias("mean"), rounded(F.col("spread")).alias("spread"))
-
-
 @query("f35_ema_by_type", f"WITH o AS (SELECT user_id, event_type, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY ALL) SELECT user_id, event_type, {r6('list_reduce(v, lambda m, x: m * 0.9 + x * 0.1)', 4)} AS ema FROM o")
 def ema_by_type(spark: SparkSession, sf: str) -> DataFrame:
     """Exponential means of the values of each event type of a user."""
