@@ -257,6 +257,36 @@ def scan_index(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFram
     return files.mapInArrow(read, INDEX)
 
 
+def _track_rows(file: str, size: int, magic: bytes) -> list[tuple]:
+    with _open(file) as f:
+        h = _take(HEADER, f.read_at(min(size, HEADER.size), 0), 0)
+        if h[0] != magic:
+            raise Damaged(f"{file}: magic")
+        at, end = h[13], h[14]
+        listing = f.read_at(min(end, size) - at, at)
+        (n,) = _take(struct.Struct("<H"), listing, 0)
+        rows, place = [], 2
+        for _ in range(n):
+            number, kind, code, tier, length = _take(struct.Struct("<HB4sBH"), listing, place)
+            rows.append((file, number, kind, code.decode("latin-1"), tier, listing[place + 10 : place + 10 + length]))
+            place += 10 + length
+        return rows
+
+
+def scan_tracks(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFrame:
+    """(path, track, kind, code, tier, config) of the files below path; only heads are read."""
+    types, names = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary()], ["path", "track", "kind", "code", "tier", "config"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                rows = _track_rows(file, size, magic)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.clip").load(path).select("path", "length")
+    return files.mapInArrow(read, "path string, track int, kind int, code string, tier int, config binary")
+
+
 def scan_chunks(index: DataFrame) -> DataFrame:
     """(path, gop, frame_start, n, pts, box, place, type, track, data): the blocks of the chunks that index rows name, read as byte ranges.
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.sources import clips, container, depth_runs, pieces
+from frameloom.sources import clips, container, depth_runs, mesh_files, meshes, packets, pieces
 
 
 def rows_of(n, clip=1):
@@ -184,3 +184,76 @@ def test_missing_and_repeated_frames_are_refused(spark, run, tmp_path):
     with pytest.raises(Exception, match="has 40 bytes, not 48"):
         depth_runs.write_depth_runs(spark.createDataFrame([("a", 0, [0.0] * 10)], "run string, frame long, d array<float>"), str(tmp_path), 4, 3)
     assert Counter(p.suffix for p in tmp_path.rglob("*") if p.is_file()) == Counter()
+
+
+# Meshes, splats and packets.
+
+
+def mesh_of(spark, n):
+    v = spark.range(n).select(F.lit("m").alias("path"), F.col("id").alias("vid"), *((F.col("id") * k / 7).cast("float").alias(c) for k, c in enumerate("xyz", 1)))
+    return v, v.where(F.col("vid") < n - 2).select("path", F.col("vid").alias("tid"), *((F.col("vid") + k).alias(c) for k, c in enumerate("abc")))
+
+
+def test_meshes_longer_than_a_run(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mesh_files, "RUN", 64)
+    v, t = mesh_of(spark, 1000)
+    v, t = v.repartition(5), t.repartition(3)
+    mesh_files.write_ply_meshes(v, t, str(tmp_path / "p"))
+    mesh_files.write_obj(v, t, str(tmp_path / "o"))
+    content = (tmp_path / "p/m.ply").read_bytes()
+    columns, faces = meshes.ply_data(content, {"x", "y", "z"})
+    assert np.allclose(columns["y"], np.arange(1000) * 2 / 7) and [f.tolist() for f in faces] == [[i, i + 1, i + 2] for i in range(998)]
+    text = (tmp_path / "o/m.obj").read_text().splitlines()
+    assert len(text) == 1 + 1000 + 998 and text[1:3] == ["v 0.0 0.0 0.0", "v 0.14285715 0.2857143 0.42857143"] and text[-1] == "f 998 999 1000"
+    got = meshes.scan_obj(spark, str(tmp_path / "o"))[0].orderBy("vid").collect()
+    assert np.allclose([r["z"] for r in got], np.arange(1000) * 3 / 7)
+    for bad in (v.where("vid != 70"), v.union(v.where("vid = 70"))):
+        with pytest.raises(Exception, match="gaps or repeat|holes or overlap"):
+            mesh_files.write_ply_meshes(bad, t, str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").glob("*.ply"))
+
+
+def test_splats_with_coefficients(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(50):
+        q = rng.normal(0, 1, 4)
+        rows.append(("s", i, *map(float, rng.random(3)), *map(float, 0.01 + rng.random(3)), *map(float, q / np.linalg.norm(q)), float(rng.choice([0.0, 1.0, rng.random()])), *map(float, rng.random(3)), [float(x) for x in rng.random(24)]))
+    df = spark.createDataFrame(rows, meshes.SPLAT_SCHEMA)
+    mesh_files.write_ply_splats(df, str(tmp_path / "p"), coefficients=8)
+    mesh_files.write_splats(df, str(tmp_path / "s"))
+    got = meshes.scan_ply_splats(spark, str(tmp_path / "p")).orderBy("sid").collect()
+    for r, want in zip(got, rows, strict=True):
+        assert np.allclose(list(r)[2:12], want[2:12], atol=1e-5) and abs(r["opacity"] - want[12]) < 2e-6 and np.allclose([r["r"], r["g"], r["b"]], want[13:16], atol=1e-5) and np.allclose(r["sh"], want[16], atol=1e-6)
+    less = meshes.scan_splats(spark, str(tmp_path / "s")).orderBy("sid").collect()
+    assert all(np.allclose([r["qx"], r["qw"]], [w[8], w[11]], atol=0.02) and abs(r["opacity"] - w[12]) <= 1 / 510 + 1e-6 for r, w in zip(less, rows, strict=True))
+    # The whole-file encoder makes the same bytes.
+    whole = bytes(meshes.encode_splat(df).first()["content"])
+    assert (tmp_path / "s/s.splat").read_bytes() == whole
+
+
+def test_packet_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mesh_files, "RUN", 16)
+    data = [bytes([i % 256]) * (i * 37 % 700) for i in range(90)] + [b"x" * 65000]
+    df = spark.createDataFrame([("a", i, i * 10, d) for i, d in enumerate(data)], "path string, n long, pts long, data binary").repartition(4)
+    mesh_files.write_ivf(df.withColumnRenamed("n", "frame"), str(tmp_path))
+    mesh_files.write_ogg(df.select("path", F.col("n").alias("packet"), F.col("pts").alias("granule"), "data"), str(tmp_path))
+    got = packets.scan_ivf(spark, str(tmp_path / "a.ivf")).orderBy("frame").collect()
+    assert [(r["pts"], bytes(r["data"])) for r in got] == [(i * 10, d) for i, d in enumerate(data)]
+    raw = (tmp_path / "a.ogg").read_bytes()
+    found = packets.ogg_packets(raw)
+    assert found["data"] == data
+    assert raw[5] == 2 and raw[raw.rindex(b"OggS") + 5] == 4
+    with pytest.raises(ValueError, match="fit in a page"):
+        mesh_files.ogg_page(1, 0, b"x" * 65025, 0, 0)
+
+
+def test_an_ogg_page_has_the_known_checksum():
+    """Bit by bit, with the checksum's place left zero."""
+    page = mesh_files.ogg_page(7, 3, b"abc", 960, 0)
+    c = 0
+    for byte in page[:22] + bytes(4) + page[26:]:
+        for k in range(7, -1, -1):
+            top = (c >> 31) ^ (byte >> k & 1)
+            c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+    assert page[22:26] == c.to_bytes(4, "little")
