@@ -83,6 +83,18 @@ def cut_runs(rows: DataFrame, keys: Sequence[str], order: str, error: str, limit
     return chained.select(*keys, order, F.col("prefix")[0]["n"].alias("run"))
 
 
+def hold_states(rows: DataFrame, keys: Sequence[str], order: str, x: str, at: float, low: float, high: float) -> DataFrame:
+    """(keys, order, on): a switch that x sets above ``high`` and clears below ``low``, and that keeps its state between; a key's first row sets it above ``at``.
+
+    A row is a table of what either state becomes, and such tables compose.
+    """
+    v, first = F.col(x), F.col(order) == 0
+    becomes = lambda n: F.when(first, (v > at).cast("int")).when(v > high, 1).when(v < low, 0).otherwise(n)
+    step = F.array(*(F.struct(becomes(n).alias("to"), F.lit(0).cast("long").alias("n")) for n in (0, 1)))
+    chained = scan(rows.withColumn("_step", step), keys, order, "_step", state_tables)
+    return chained.select(*keys, order, (F.col("prefix")[0]["to"] == 1).alias("on"))
+
+
 def align_windows(maps: DataFrame, size: int, align: int, overlap: int, key_slot: int) -> DataFrame:
     """(clip, frame, pixel, d): overlapping windows of depth maps, brought to one scale and cross-faded.
 

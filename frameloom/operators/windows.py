@@ -41,7 +41,7 @@ def gaussian(x: Column, reach: int, sigma: float, w: WindowSpec) -> Column:
 def last_ema(rows: DataFrame, keys: list[str], order: list[str], value: str, keep: float) -> DataFrame:
     """(keys, ema): the exponential mean after each key's last row: keep of the mean so far, the rest of the new value.
 
-    A sum with weights by the distance from the end, so values are combined before they move.
+    A sum with weights by the distance from the end. The distance comes from a window over the key, which one task sorts; with rows that are numbered, ema_rows() spreads a key.
     """
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))) - 1
     n = F.count("*").over(Window.partitionBy(*keys))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.encodings import rounded
+from ..operators import scans, splats
 from ..operators import tracks as T
 from ..session import table
 from .aggregates import edges
-from .common import points, query, r6
+from .common import PTS, points, query, r6
 
 _TILES, _RADIUS = 12, 3
 _LINE = "f AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, vec_id, embedding AS e FROM embeddings)"
@@ -89,3 +90,75 @@ def body_colours(spark: SparkSession, sf: str) -> DataFrame:
     v, normals, pictures, sides = body(spark, sf)
     seen = T.seen_vertices(v, normals, pictures, _FX, _FX, _W / 2, _W / 2, _W, _W)
     return T.spread_colours(seen, sides, v.select("clip", "vid")).drop("clip")
+
+
+_EDGE = 0.3
+_SIDES = "sd AS (SELECT * FROM (VALUES ('h', 0, 0, 0, 1), ('v', 0, 0, 1, 0), ('d', 0, 1, 1, 0)) s(kind, ay, ax, dy, dx))"
+_JUMP = "abs(za - zb) / least(za, zb)"
+
+
+@query(
+    "d15_silhouette_hysteresis",
+    f"""WITH RECURSIVE {_LINE}, {_SIDES}, ends AS (SELECT clip, frame, kind, y, x, 1 + 6 * abs(CAST(e[(y + ay) * 8 + x + ax + 1] AS DOUBLE)) AS za, 1 + 6 * abs(CAST(e[(y + dy) * 8 + x + dx + 1] AS DOUBLE)) AS zb
+        FROM f, sd, range(0, 8) a(y), range(0, 8) b(x) WHERE y + greatest(ay, dy) < 8 AND x + greatest(ax, dx) < 8),
+    r AS MATERIALIZED (SELECT clip, frame, kind, y, x, {_JUMP} AS r FROM ends),
+    st(clip, frame, kind, y, x, cut) AS (SELECT clip, frame, kind, y, x, r > {_EDGE} FROM r WHERE frame = 0 UNION ALL
+        SELECT r.clip, r.frame, r.kind, r.y, r.x, CASE WHEN r > {_EDGE * 1.5!r}e0 THEN true WHEN r < {_EDGE * 0.67!r}e0 THEN false ELSE s.cut END FROM st s JOIN r ON r.clip = s.clip AND r.frame = s.frame + 1 AND r.kind = s.kind AND r.y = s.y AND r.x = s.x)
+    SELECT d.clip, d.frame, d.y, d.x, NOT (d.cut OR v.cut OR h.cut) AS upper, NOT (d.cut OR h2.cut OR v2.cut) AS lower
+    FROM st d JOIN st v ON v.clip = d.clip AND v.frame = d.frame AND v.kind = 'v' AND v.y = d.y AND v.x = d.x JOIN st h ON h.clip = d.clip AND h.frame = d.frame AND h.kind = 'h' AND h.y = d.y AND h.x = d.x
+    JOIN st h2 ON h2.clip = d.clip AND h2.frame = d.frame AND h2.kind = 'h' AND h2.y = d.y + 1 AND h2.x = d.x JOIN st v2 ON v2.clip = d.clip AND v2.frame = d.frame AND v2.kind = 'v' AND v2.y = d.y AND v2.x = d.x + 1
+    WHERE d.kind = 'd'""",
+)
+def silhouette_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
+    """Triangles of each cell that are kept, when an edge's cut is set above 1.5 times the limit and cleared below 0.67 times."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    f = table(spark, sf, "embeddings").select(F.col("label").alias("clip"), (F.row_number().over(w) - 1).cast("long").alias("frame"), F.col("embedding").alias("e"))
+    sides = (("h", 0, 0, 0, 1), ("v", 0, 0, 1, 0), ("d", 0, 1, 1, 0))
+    places = [(k, y, x, (y + ay) * 8 + x + ax, (y + dy) * 8 + x + dx) for k, ay, ax, dy, dx in sides for y in range(8 - max(ay, dy)) for x in range(8 - max(ax, dx))]
+    # The lattice's edges: as many as a raster has.
+    edge = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("kind", "y", "x", "p", "q"), place, strict=True))) for place in places))).alias("s")
+    z = lambda c: 1 + 6 * F.abs(F.element_at("e", F.col(c) + 1).cast("double"))
+    jumps = f.select("clip", "frame", "e", edge).select("clip", "frame", "s.*", "e").select("clip", "frame", "kind", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.abs(z("p") - z("q")) / F.least(z("p"), z("q"))).alias("r"))
+    cut = scans.hold_states(jumps, ["clip", "kind", "y", "x"], "frame", "r", _EDGE, _EDGE * 0.67, _EDGE * 1.5)
+    at = ["clip", "frame", "y", "x"]
+    # An edge tells the cells on either side; each triangle meets its three edges in one sum.
+    tell = {"d": ((0, 0, "upper"), (0, 0, "lower")), "h": ((0, 0, "upper"), (-1, 0, "lower")), "v": ((0, 0, "upper"), (0, -1, "lower"))}
+    rows = None
+    for kind, told in tell.items():
+        for dy, dx, half in told:
+            part = cut.where(F.col("kind") == kind).select("clip", "frame", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(half).alias("half"), "on")
+            rows = part if rows is None else rows.union(part)
+    cells = rows.where("y between 0 and 6 and x between 0 and 6").groupBy(*at)
+    return cells.agg(*(~F.max(F.when(F.col("half") == h, F.col("on"))).alias(h) for h in ("upper", "lower"))).toDF(*at, "upper", "lower")
+
+
+_CODED = "CAST(floor(({c} + 1) * {m} + 0.5) AS BIGINT) % {n}"
+_SPLATS = f"{PTS}, s AS (SELECT frame, slot, any_value(p ORDER BY vid) AS p, any_value(o ORDER BY vid) AS o FROM (SELECT frame, vid, vid * 7 % 60 AS slot, {_CODED.format(c='x', m='40000e0', n=65536)} AS p, {_CODED.format(c='o', m='127.5e0', n=256)} AS o FROM pts) GROUP BY frame, slot)"
+
+
+def splat_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """Points as splats of 60 slots a frame, some of them empty."""
+    p = points(spark, sf)
+    code = lambda c, m, n: F.pmod(F.floor((F.col(c) + 1) * m + 0.5), F.lit(n))
+    rows = p.select("frame", "vid", (F.col("vid") * 7 % 60).alias("slot"), code("x", 40000.0, 65536).alias("p"), code("o", 127.5, 256).alias("o"))
+    return rows.groupBy("frame", "slot").agg(F.min_by("p", "vid").alias("p"), F.min_by("o", "vid").alias("o"))
+
+
+@query(
+    "g17_splat_deltas",
+    f"""WITH {_SPLATS}, old AS (SELECT frame + 1 AS frame, slot, p AS p0, o AS o0, row_number() OVER (PARTITION BY frame ORDER BY slot) - 1 AS pos FROM s),
+    b AS (SELECT coalesce(s.frame, old.frame) AS frame, coalesce(s.slot, old.slot) AS slot, CASE WHEN old.slot IS NULL THEN 'birth' WHEN s.slot IS NULL THEN 'death' ELSE 'survivor' END AS kind, p, o, p0, o0, pos FROM s FULL JOIN old ON old.frame = s.frame AND old.slot = s.slot),
+    c AS (SELECT * FROM b WHERE frame IN (SELECT frame FROM s) AND frame > (SELECT min(frame) FROM s))
+    SELECT frame, slot, kind, CASE WHEN kind = 'death' THEN pos - coalesce(lag(pos) OVER (PARTITION BY frame, kind ORDER BY slot), -1) - 1 END AS gap,
+        CASE WHEN kind = 'survivor' THEN ((p - p0 + 32768) % 65536 + 65536) % 65536 - 32768 ELSE p END AS p, CASE WHEN kind = 'survivor' THEN ((o - o0) % 256 + 256) % 256 ELSE o END AS o FROM c""",
+)
+def splat_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return splats.encode_deltas(splat_slots(spark, sf), ["p"], ["o"])
+
+
+@query("g17_splat_decode", f"WITH {_SPLATS} SELECT frame, slot, p, o FROM s")
+def splat_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """The splats again, from the first frame and the changes."""
+    s = splat_slots(spark, sf)
+    first = s.join(F.broadcast(s.agg(F.min("frame").alias("frame"))), "frame")
+    return splats.decode_deltas(first, splats.encode_deltas(s, ["p"], ["o"]), ["p"], ["o"])

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from frameloom.operators import scans, splats
 from frameloom.operators import tracks as T
 from frameloom.plans import tracks as plans
 
@@ -111,3 +112,35 @@ def test_rings_stop_and_the_rest_has_the_mean(spark):
     assert [got["c", i] for i in range(4)] == [(40, 20, i) for i in range(4)]
     assert got["c", 4] == got["c", 9] == (20, 10, -1) and got["c", 20] == (0, 0, 0) and got["empty", 1] == (128, 128, -1)
     assert T.spread_colours(seen.where("false"), sides, vertices).where(F.col("r") != 128).isEmpty()
+
+
+def test_switches_hold_their_state(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, t, float(v)) for k, n in ((1, 300), (2, 1)) for t, v in enumerate(rng.random(n))]
+    got = {(r["k"], r["t"]): r["on"] for r in scans.hold_states(spark.createDataFrame(rows, "k long, t long, v double"), ["k"], "t", "v", 0.5, 0.2, 0.8).collect()}
+    on = None
+    for k, t, v in rows:
+        on = v > 0.5 if t == 0 else True if v > 0.8 else False if v < 0.2 else on
+        assert got[k, t] == on
+
+
+def test_splat_changes_and_back(spark):
+    """Wrapped words and bytes, slots that die and are born again, and an order of deaths."""
+    rng = np.random.default_rng(5)
+    rows = [(f, s, int(rng.choice([0, 65535, 32768, rng.integers(65536)])), int(rng.integers(256))) for f in range(7) for s in range(40) if rng.random() < 0.7]
+    frames = spark.createDataFrame(rows, "frame long, slot long, p long, o long")
+    deltas = splats.encode_deltas(frames, ["p"], ["o"])
+    by = {f: {s: (p, o) for g, s, p, o in rows if g == f} for f in range(7)}
+    for f in range(1, 7):
+        got = deltas.where(F.col("frame") == f).orderBy("slot").collect()
+        assert {r["slot"] for r in got if r["kind"] == "birth"} == set(by[f]) - set(by[f - 1])
+        order, last = sorted(by[f - 1]), -1
+        for r in got:
+            if r["kind"] == "death":
+                last += r["gap"] + 1
+                assert order[last] == r["slot"] and r["slot"] not in by[f]
+            elif r["kind"] == "survivor":
+                assert -32768 <= r["p"] < 32768 and (by[f - 1][r["slot"]][0] + r["p"]) % 65536 == by[f][r["slot"]][0] and 0 <= r["o"] < 256
+    again = splats.decode_deltas(frames.where("frame = 0"), deltas, ["p"], ["o"])
+    assert sorted(map(tuple, again.collect())) == sorted(rows)
+    assert splats.encode_deltas(frames.where("frame = 3"), ["p"], ["o"]).count() == 0
