@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import encodings as E
 from ..session import checkpointed
+from . import statistics as S
+from .graphs import smooth_meshes
 
 AXES = ("x", "y", "z")
 #: Triangles of a leaf and nodes of a parent, as powers of two; rows of a node table up to which it is broadcast.
@@ -144,3 +146,37 @@ def nearest_of_candidates(points: DataFrame, candidates: DataFrame, triangles: D
     pairs = points.select(*by).distinct().join(candidates.select(*keys, "t", "tid").distinct(), [*keys, "t"]).join(triangles, [*keys, "tid"])
     found = _closest(pairs, by, attributes)
     return points.join(found, by, "left").select(*points.columns, *(c for c in found.columns if c not in by))
+
+
+def register(points: DataFrame, sides: DataFrame, triangles: DataFrame, rounds: int, smooth: int, most: int | None = None, least_move: float = 0.0) -> DataFrame:
+    """(frame, vid, x, y, z, tid): points (frame, vid, x, y, z) drawn onto their frame's triangles; tid: the triangle that each was drawn to last.
+
+    sides: frame, p, q, the points' mesh. In a round every point looks for its nearest point on the surface; the field of moves is smoothed along the mesh (``smooth`` double steps to and from the
+    neighbours' mean, in which points at one place at the start count as one) and then done. There are ``rounds`` rounds, and up to ``most`` as long as a point of any frame moves by least_move.
+    """
+    axes = list(AXES)
+    place = points.groupBy("frame", *axes).agg(F.min("vid").alias("canon"))
+    welded = checkpointed(points.join(place, ["frame", *axes]).select("frame", "vid", "canon"))
+    end = lambda c: welded.select("frame", F.col("vid").alias(c), F.col("canon").alias("_" + c))
+    joined = checkpointed(sides.join(end("p"), ["frame", "p"]).join(end("q"), ["frame", "q"]).select("frame", F.col("_p").alias("p"), F.col("_q").alias("q")).distinct())
+    now = points.select("frame", "vid", *axes, F.lit(None).cast(triangles.schema["tid"].dataType).alias("tid"))
+    for done in range(1, max(rounds, most or 0) + 1):
+        # A point without a surface stays where it is.
+        met = checkpointed(nearest_on_surface(now.drop("tid"), triangles).select("frame", "vid", *axes, "tid", *(F.coalesce(F.col("p" + c) - F.col(c), F.lit(0.0)).alias("m" + c) for c in axes)))
+        field = met.join(welded.where("vid = canon").select("frame", "vid"), ["frame", "vid"]).select("frame", "vid", *(F.col("m" + c).alias(c) for c in axes))
+        moves = smooth_meshes(field, joined, smooth).select("frame", F.col("vid").alias("canon"), *(F.col(c).alias("m" + c) for c in axes))
+        moved = met.drop("mx", "my", "mz").join(welded, ["frame", "vid"]).join(moves, ["frame", "canon"])
+        now = checkpointed(moved.select("frame", "vid", *((F.col(c) + F.col("m" + c)).alias(c) for c in axes), "tid", F.sqrt(_dot(*[[F.col("m" + c) for c in axes]] * 2)).alias("_move")))
+        if least_move > 0 and done >= rounds and (now.agg(F.max("_move")).first()[0] or 0.0) < least_move:
+            break
+        if done < max(rounds, most or 0):
+            now = now.drop("_move")
+    return now.select("frame", "vid", *axes, "tid")
+
+
+def surface_error(points: DataFrame, triangles: DataFrame, limit: float) -> DataFrame:
+    """(frame, mean, p95, worst, over): distances of points from their frame's triangles; over: the share of them above limit, in percent."""
+    far = nearest_on_surface(points, triangles).where("d2 is not null").select("frame", F.sqrt("d2").alias("d"))
+    far = checkpointed(far)
+    sums = far.groupBy("frame").agg(F.avg("d").alias("mean"), F.max("d").alias("worst"), (F.count_if(F.col("d") > limit) * 100.0 / F.count("*")).alias("over"))
+    return sums.join(S.ranks(far, ["frame"], "d", p95=S.floor_rank(0.95)), "frame").select("frame", "mean", "p95", "worst", "over")

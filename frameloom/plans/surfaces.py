@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.encodings import rounded
 from ..operators import surfaces as S
-from .aggregates import edges
-from .common import PTS, points, query, r6
+from .aggregates import _EDGE, edges
+from .common import PTS, TRI, points, query, r6
+from .graphs import frame_edges
 from .scalars import P
 
 _UV = ("u", "v")
@@ -34,16 +35,16 @@ def _weight(a: str, b: str, ab: str, c: str, ac: str, bc: str, inside: str) -> s
     )
 
 
-def _nearest_sql(pairs: str, by: str) -> str:
-    """Every pair's closest point, and of each key the nearest."""
+def _nearest_sql(pairs: str, by: str, k: str = "") -> str:
+    """Every pair's closest point, and of each key the nearest, in tables whose names end in k."""
     wb = _weight("0", "1", "coalesce(d1 / nullif(d1 - d3, 0), 0)", "0", "0", f"1 - {_ALONG}", "coalesce(vb / nullif(va + vb + vc, 0), 0)")
     wc = _weight("0", "0", "0", "1", "coalesce(d2 / nullif(d2 - d6, 0), 0)", _ALONG, "coalesce(vc / nullif(va + vb + vc, 0), 0)")
     points_ = ", ".join(f'"a{c}" + wb * ("b{c}" - "a{c}") + wc * ("c{c}" - "a{c}") AS p{c}' for c in P)
     uv = ", ".join(f"(1 - wb - wc) * a{n} + wb * b{n} + wc * c{n} AS t{n}" for n in _UV)
     gap = " + ".join(f"({c} - p{c}) * ({c} - p{c})" for c in P)
     return (
-        f"d AS (SELECT *, {_D} FROM ({pairs})), e AS (SELECT *, d3 * d6 - d5 * d4 AS va, d5 * d2 - d1 * d6 AS vb, d1 * d4 - d3 * d2 AS vc FROM d), w AS (SELECT *, {wb} AS wb, {wc} AS wc FROM e),"
-        f" f AS (SELECT *, {points_}, {uv} FROM w), g AS (SELECT *, {gap} AS d2_ FROM f), n AS (SELECT {by}, arg_min(struct_pack(px := px, py := py, pz := pz, tu := tu, tv := tv, d2_ := d2_), struct_pack(d := d2_, t := tid)) AS s FROM g GROUP BY {by})"
+        f"d{k} AS (SELECT *, {_D} FROM ({pairs})), e{k} AS (SELECT *, d3 * d6 - d5 * d4 AS va, d5 * d2 - d1 * d6 AS vb, d1 * d4 - d3 * d2 AS vc FROM d{k}), w{k} AS (SELECT *, {wb} AS wb, {wc} AS wc FROM e{k}),"
+        f" f{k} AS (SELECT *, {points_}, {uv} FROM w{k}), g{k} AS (SELECT *, {gap} AS d2_ FROM f{k}), n{k} AS MATERIALIZED (SELECT {by}, arg_min(struct_pack(px := px, py := py, pz := pz, tu := tu, tv := tv, d2_ := d2_), struct_pack(d := d2_, t := tid)) AS s FROM g{k} GROUP BY {by})"
     )
 
 
@@ -95,3 +96,26 @@ def nearest_of_candidates(spark: SparkSession, sf: str) -> DataFrame:
     near = candidates(spark, sf)
     found = S.nearest_of_candidates(p.join(near.select("t").distinct(), "t", "left_semi"), near, surface(spark, sf).drop("frame"), attributes=_UV)
     return shown(found, "t")
+
+
+def _registered(rounds: int) -> str:
+    """Rounds of all pairs' nearest points, one double step of smoothing, and the move."""
+    own = TRI.replace(", tri AS", ", tri0 AS") + ", " + _EDGE.replace("ed AS", "ed0 AS").replace("FROM tri", "FROM tri0")
+    parts = [own, "fe AS (SELECT tri0.frame, least(ed0.p, ed0.q) AS p, greatest(ed0.p, ed0.q) AS q FROM ed0 JOIN tri0 USING (tid))", "both_ AS (SELECT frame, p, q FROM fe UNION SELECT frame, q, p FROM fe)", _ALL, "c0 AS (SELECT frame, vid, x, y, z FROM pts)"]
+    for k in range(rounds):
+        parts.append(_nearest_sql(f"SELECT c{k}.vid, c{k}.x, c{k}.y, c{k}.z, tri.* FROM c{k} JOIN tri USING (frame)", "vid", str(k)))
+        parts.append(f"m{k}_0 AS MATERIALIZED (SELECT c{k}.frame, c{k}.vid, " + ", ".join(f"coalesce(n{k}.s.p{c} - c{k}.{c}, 0) AS {c}" for c in P) + f" FROM c{k} LEFT JOIN n{k} USING (vid))")
+        for j, factor in enumerate((0.5, -0.53)):
+            a, b = f"m{k}_{j}", f"m{k}_{j + 1}"
+            moved = ", ".join(f"coalesce({a}.{c} + ({factor}) * (q.{c} - {a}.{c}), {a}.{c}) AS {c}" for c in P)
+            parts.append(f"{b} AS MATERIALIZED (SELECT {a}.frame, {a}.vid, {moved} FROM {a} LEFT JOIN (SELECT e.frame, e.p AS vid, avg(o.x) AS x, avg(o.y) AS y, avg(o.z) AS z FROM both_ e JOIN {a} o ON o.frame = e.frame AND o.vid = e.q GROUP BY e.frame, e.p) q ON q.frame = {a}.frame AND q.vid = {a}.vid)")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c{k}.frame, c{k}.vid, " + ", ".join(f"c{k}.{c} + m{k}_2.{c} AS {c}" for c in P) + f" FROM c{k} JOIN m{k}_2 USING (frame, vid))")
+    return ", ".join(parts)
+
+
+@query("g23_register_chain_frame", f"WITH {_registered(2)} SELECT frame, vid, {', '.join(f'{r6(c, 5)} AS {c}' for c in P)} FROM c2")
+def register_chain_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frame's points drawn onto the next frame's surface in two rounds."""
+    p = points(spark, sf).select("frame", "vid", *P)
+    found = S.register(p, frame_edges(spark, sf), surface(spark, sf), rounds=2, smooth=1)
+    return found.select("frame", "vid", *(rounded(F.col(c), 5).alias(c) for c in P))

@@ -122,3 +122,25 @@ def test_nearest_of_candidates(spark, scene):
     for t in range(10):
         d2 = min(closest(np.array(points[t][1:]), *np.array(r[2:11]).reshape(3, 3))[0] for r in rows[t * 7 : t * 7 + 5])
         assert abs(got[t]["d2"] - d2) < 1e-9 * max(1, d2)
+
+
+def test_points_are_drawn_onto_a_plane(spark):
+    """Above a plane every point comes down; points at one place move together; rounds end as nothing moves."""
+    flat = [(1, i, *map(float, c)) for i, c in enumerate([(-9, -9, 0, 9, -9, 0, -9, 9, 0), (9, 9, 0, 9, -9, 0, -9, 9, 0)])]
+    triangles = spark.createDataFrame(flat, "frame long, tid long, " + ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz"))
+    grid = [(1, 10 * y + x, float(x), float(y), 1.0 + 0.1 * ((x * 7 + y * 3) % 5)) for y in range(5) for x in range(5)]
+    grid += [(1, 99, 2.0, 2.0, next(z for _, v, _, _, z in grid if v == 22)), (2, 1, 0.0, 0.0, 5.0)]
+    points = spark.createDataFrame(grid, "frame long, vid long, x double, y double, z double")
+    sides = spark.createDataFrame([(1, 10 * y + x, 10 * y + x + 1) for y in range(5) for x in range(4)] + [(1, 10 * y + x, 10 * y + x + 10) for y in range(4) for x in range(5)] + [(1, 99, 23)], "frame long, p long, q long")
+    one = {r["vid"]: r for r in S.register(points, sides, triangles, rounds=1, smooth=0).where("frame = 1").collect()}
+    assert all(abs(r["z"]) < 1e-12 for r in one.values()) and one[0]["tid"] == 0
+    soft = {(r["frame"], r["vid"]): r for r in S.register(points, sides, triangles, rounds=1, smooth=3).collect()}
+    assert soft[1, 99]["z"] == soft[1, 22]["z"] != 0 and soft[2, 1]["z"] == 5.0 and soft[2, 1]["tid"] is None
+    height = lambda df: max(abs(r["z"]) for r in df.where("frame = 1").collect())
+    rounds = [height(S.register(points, sides, triangles, rounds=n, smooth=1)) for n in (1, 3)]
+    assert rounds[1] < rounds[0] < 0.3
+    early = S.register(points, sides, triangles, rounds=1, smooth=1, most=6, least_move=0.5)
+    assert abs(height(early) - height(S.register(points, sides, triangles, rounds=2, smooth=1))) < 1e-12
+    error = S.surface_error(points, triangles, 1.15).collect()
+    z = sorted(p[4] for p in grid if p[0] == 1)
+    assert len(error) == 1 and abs(error[0]["mean"] - sum(z) / 26) < 1e-12 and error[0]["worst"] == z[-1] and error[0]["p95"] == z[int(0.95 * 26)] and abs(error[0]["over"] - 100 * sum(v > 1.15 for v in z) / 26) < 1e-9
