@@ -287,7 +287,7 @@ def start_model(vocab: Vocabulary) -> np.ndarray:
 def learn(docs: DataFrame, path: str, passes: int = 1, smoothing: float = 1000.0, lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model of every language of docs, learned on all of them; rows without a language are left out.
 
-    passes: of expectation-maximisation; on the supplied tables the second changes no held-out prediction of whole texts.
+    passes: of expectation-maximisation; on sf0.1 a second one leaves the held-out accuracy on whole texts as it is.
     smoothing: pieces of all languages together that are added to each language. There are few languages, each a row of counts on the driver.
     """
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
