@@ -148,3 +148,42 @@ def edit_store(spark: SparkSession, sf: str) -> DataFrame:
     name = F.regexp_replace(F.lower("p_name"), "[^a-z0-9._-]+", "_")
     writes = table(spark, sf, "part").where(F.octet_length("p_type") <= 16 << 20)
     return writes.groupBy(name.alias("clip")).agg(F.max("p_partkey").alias("version"), F.max_by("p_type", "p_partkey").alias("edits"), F.count("*").alias("writes"))
+
+
+# Frames of 12 x 20 cells whose depth is a line in x, or its inverse, that shifts with y, with outliers; tiles of 4 x 4.
+_SCENE = f"{PTS}, s AS (SELECT vid // 240 AS frame, least((vid % 240 // 20) // 4, 2) AS ty, least((vid % 20) // 4, 4) AS tx, x, CASE WHEN vid // 240 % 2 = 0 THEN 2 + 0.5e0 * x + 0.02e0 * (vid % 20) + 0.01e0 * y ELSE 1 / (0.5e0 + 0.2e0 * x + 0.004e0 * (vid % 20) + 0.002e0 * y) END * CASE WHEN vid % 17 = 3 THEN 3 ELSE 1 END AS z FROM pts)"
+_MISS = "CASE WHEN kind = 'disparity' THEN CASE WHEN a * x + b > 0 THEN abs(z - 1 / nullif(a * x + b, 0)) ELSE 'Infinity'::DOUBLE END ELSE abs(z - (a * x + b)) END"
+
+
+def _robust(name: str, source: str, keys: str) -> str:
+    y = "CASE WHEN kind = 'disparity' THEN 1 / z ELSE z END"
+    line = lambda n, src: f"{n} AS (SELECT {keys}, regr_slope({y}, x) AS a, regr_intercept({y}, x) AS b FROM {src} GROUP BY {keys} HAVING count(*) >= 3 AND var_pop(x) > 1e-12 * greatest(1, avg(x) * avg(x)))"
+    missed = lambda n, src, fit: f"{n} AS (SELECT {src}.*, {_MISS} AS miss FROM {src} JOIN {fit} USING ({keys}))"
+    return ", ".join([
+        line(f"{name}1", source), missed(f"{name}m", source, f"{name}1"), f"{name}t AS (SELECT {keys}, 3 * list_sort(list(miss))[count(*) // 2 + 1] + 0.001e0 AS lim FROM {name}m GROUP BY {keys})",
+        f"{name}k AS (SELECT {name}m.* EXCLUDE (miss) FROM {name}m JOIN {name}t USING ({keys}) WHERE miss <= lim)", line(f"{name}2", f"{name}k"), missed(f"{name}n", f"{name}k", f"{name}2"),
+        f"{name} AS (SELECT {keys}, any_value(a) AS a, any_value(b) AS b, list_sort(list(miss))[count(*) // 2 + 1] AS medres FROM {name}n JOIN {name}2 USING ({keys}) GROUP BY {keys})",
+    ])
+
+
+@query(
+    "f17_tile_model_fit",
+    f"""WITH {_SCENE}, both_ AS (SELECT s.*, kind FROM s JOIN (SELECT frame FROM s GROUP BY frame HAVING count(*) >= 100) USING (frame), (VALUES ('linear'), ('disparity')) k(kind)), {_robust('gl', 'both_', 'frame, kind')},
+    fr AS (SELECT frame, arg_min(struct_pack(kind := kind, a := a, b := b, m := medres), struct_pack(m := medres, k := CASE WHEN kind = 'linear' THEN 0 ELSE 1 END)) AS g FROM gl GROUP BY frame),
+    pool AS (SELECT s.frame, s.ty + j AS ty, s.tx + i AS tx, x, z, fr.g.kind AS kind FROM s JOIN fr USING (frame), range(-1, 2) a(j), range(-1, 2) c(i) WHERE s.ty + j BETWEEN 0 AND 2 AND s.tx + i BETWEEN 0 AND 4),
+    n AS (SELECT frame, ty, tx, count(*) AS n FROM pool GROUP BY ALL HAVING count(*) >= 20), big AS (SELECT pool.* FROM pool JOIN n USING (frame, ty, tx)), {_robust('tl', 'big', 'frame, ty, tx')},
+    mixed AS (SELECT fr.frame, fr.g.kind AS kind, ty, tx, fr.g.a AS ga, fr.g.b AS gb, tl.a AS oa, tl.b AS ob, CASE WHEN tl.a IS NULL THEN 0 ELSE least(1e0, n.n / 80e0) * CASE WHEN tl.medres > 2 * fr.g.m THEN 0.5e0 ELSE 1 END END AS w
+        FROM fr CROSS JOIN (SELECT ty, tx FROM range(0, 3) p(ty), range(0, 5) q(tx)) t LEFT JOIN tl USING (frame, ty, tx) LEFT JOIN n USING (frame, ty, tx)),
+    m2 AS (SELECT *, CASE WHEN w > 0 THEN w * oa + (1 - w) * ga ELSE ga END AS a, CASE WHEN w > 0 THEN w * ob + (1 - w) * gb ELSE gb END AS b FROM mixed)
+    SELECT c.frame, c.kind, CAST(c.ty AS INTEGER) AS ty, CAST(c.tx AS INTEGER) AS tx, {r6('sum((0.25e0 + q.w + CASE WHEN q.ty = c.ty AND q.tx = c.tx THEN 1 ELSE 0 END) * q.a) / sum(0.25e0 + q.w + CASE WHEN q.ty = c.ty AND q.tx = c.tx THEN 1 ELSE 0 END)', 5)} AS a,
+        {r6('sum((0.25e0 + q.w + CASE WHEN q.ty = c.ty AND q.tx = c.tx THEN 1 ELSE 0 END) * q.b) / sum(0.25e0 + q.w + CASE WHEN q.ty = c.ty AND q.tx = c.tx THEN 1 ELSE 0 END)', 5)} AS b, {r6('any_value(c.w)', 5)} AS w
+    FROM m2 c JOIN m2 q ON q.frame = c.frame AND abs(q.ty - c.ty) <= 1 AND abs(q.tx - c.tx) <= 1 GROUP BY c.frame, c.kind, c.ty, c.tx""",
+)
+def tile_model_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of the model that fits a frame better, robust against outliers."""
+    vid, x, y = (F.col(c) for c in ("vid", "x", "y"))
+    gx = vid % 20
+    z = F.when(F.floor(vid / 240) % 2 == 0, 2 + 0.5 * x + 0.02 * gx + 0.01 * y).otherwise(1 / (0.5 + 0.2 * x + 0.004 * gx + 0.002 * y)) * F.when(vid % 17 == 3, 3).otherwise(1)
+    cells = points(spark, sf).select(F.floor(vid / 240).alias("frame"), F.floor(vid % 240 / 20).alias("gy"), gx.alias("gx"), "x", z.alias("z"))
+    found = tiles.fit_tile_models(cells, 4, 3, 5, min_n=20, full=80, min_samples=100)
+    return found.select("frame", "kind", "ty", "tx", *(_round5(F.col(c)).alias(c) for c in "abw"))

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from frameloom.operators import scans, splats
+from frameloom.operators import scans, splats, tiles
 from frameloom.operators import tracks as T
 from frameloom.plans import tracks as plans
 
@@ -144,3 +144,27 @@ def test_splat_changes_and_back(spark):
     again = splats.decode_deltas(frames.where("frame = 0"), deltas, ["p"], ["o"])
     assert sorted(map(tuple, again.collect())) == sorted(rows)
     assert splats.encode_deltas(frames.where("frame = 3"), ["p"], ["o"]).count() == 0
+
+
+def test_tile_models_follow_a_field(spark):
+    """The generating model is picked in spite of outliers, tiles follow a field that shifts across the frame, and few samples give none."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for frame, kind in ((1, "linear"), (2, "disparity")):
+        for y in range(16):
+            for x in range(24):
+                e = float(rng.uniform(0.2, 1))
+                a, b = 0.4 + 0.01 * x, 0.5 + 0.02 * y
+                z = a * e + b if kind == "linear" else 1 / (a * e + b)
+                rows.append((frame, y, x, e, z * (4 if rng.random() < 0.05 else 1)))
+    rows += [(3, 0, x, 0.1 * x, 1.0) for x in range(20)] + [(1, 0, 0, float("nan"), 1.0), (1, 0, 0, 0.5, -1.0), (1, 0, 0, None, 1.0)]
+    cells = spark.createDataFrame(rows, "frame long, gy int, gx int, x double, z double")
+    found = tiles.fit_tile_models(cells, 4, 4, 6, min_n=30, full=60)
+    got = {(r["frame"], r["ty"], r["tx"]): r for r in found.collect()}
+    assert {k[0] for k in got} == {1, 2} and len(got) == 48 and {(r["frame"], r["kind"]) for r in got.values()} == {(1, "linear"), (2, "disparity")}
+    for (frame, ty, tx), r in got.items():
+        if 0 < ty < 3 and 0 < tx < 5:
+            want = (0.4 + 0.01 * (4 * tx + 1.5)) * 0.6 + 0.5 + 0.02 * (4 * ty + 1.5)
+            assert abs(r["a"] * 0.6 + r["b"] - want) < 0.02 and r["w"] == 1.0
+    flat = cells.where("frame = 1").withColumn("x", F.lit(0.5))
+    assert tiles.fit_tile_models(flat, 4, 4, 6).count() == 0
