@@ -24,8 +24,8 @@ from pyspark.sql.types import StructType
 
 from .pieces import save_pieces
 
-# What the sidecar must say, and default names of the planes' files.
-SCHEMA, KINDS = "ares-depth/1", ("relative-disparity", "metric-depth")
+# What the sidecar must say, and default names of the planes' files. Runs of another writer are read by giving its schema's name.
+SCHEMA, KINDS = "depth-run/1", ("relative-disparity", "metric-depth")
 FILES = {"depth": "depth.f32", "mask": "mask.u8", "metric": "metric.f32", "normals": "normals.i8", "intrinsics": "intrinsics.f32", "body": "body.f32", "body_valid": "body-valid.u8", "faces": "body-faces.u32"}
 COLUMNS = {"depth": "d array<float>", "mask": "mask binary", "metric": "metric array<float>", "normals": "normals binary", "intrinsics": "k array<float>", "body": "body array<float>, body_valid boolean"}
 NAMES = {"depth": "d", "intrinsics": "k"}
@@ -67,14 +67,14 @@ def _size(system, path: str) -> int:
     return info.size
 
 
-def open_run(system, folder: str) -> Run:
+def open_run(system, folder: str, schema: str = SCHEMA) -> Run:
     """A run whose named files hold every frame; folder: its path in a pyarrow file system."""
     with system.open_input_file(f"{folder}/depth.json") as f:
         try:
             meta = json.loads(f.read())
         except ValueError as e:
             raise BadRun(f"{folder}/depth.json: {e}") from e
-    if not isinstance(meta, dict) or meta.get("schema") != SCHEMA or meta.get("kind") not in KINDS:
+    if not isinstance(meta, dict) or meta.get("schema") != schema or meta.get("kind") not in KINDS:
         raise BadRun(f"{folder}/depth.json: schema or kind")
     width, height, declared = (_count(meta, k) for k in ("width", "height", "frames"))
     if not isinstance(meta.get("fps"), (int, float)) or not meta["fps"] > 0:
@@ -124,16 +124,16 @@ def _system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _runs(path: str) -> list[tuple[str, Run]]:
+def _runs(path: str, schema: str) -> list[tuple[str, Run]]:
     """(folder, run) of the run at path, or of those in its folders."""
     from pyarrow import fs
 
     system, root = _system(path)
     root = root.rstrip("/")
     if system.get_file_info(f"{root}/depth.json").is_file:
-        return [(root, open_run(system, root))]
+        return [(root, open_run(system, root, schema))]
     found = system.get_file_info(fs.FileSelector(root))
-    return [(f.path, open_run(system, f.path)) for f in sorted(found, key=lambda f: f.path) if not f.is_file and system.get_file_info(f"{f.path}/depth.json").is_file]
+    return [(f.path, open_run(system, f.path, schema)) for f in sorted(found, key=lambda f: f.path) if not f.is_file and system.get_file_info(f"{f.path}/depth.json").is_file]
 
 
 @dataclass
@@ -155,11 +155,11 @@ class DepthReader(DataSourceReader):
         self.path = options["path"]
         self.wanted = options["planes"].split(",")
         self.first, self.end = int(options.get("first", 0)), int(options.get("end", 1 << 62))
-        self.split = int(options.get("split", SPLIT))
+        self.split, self.schema = int(options.get("split", SPLIT)), options.get("schema", SCHEMA)
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        for _, run in _runs(self.path):
+        for _, run in _runs(self.path, self.schema):
             planes = {n: p for n, p in run.planes.items() if n.removesuffix("_valid") in self.wanted}
             each = max(1, self.split // max(1, sum(p.stride for p in planes.values())))
             for a in range(max(0, self.first), min(run.frames, self.end), each):
@@ -207,18 +207,18 @@ class DepthRuns(DataSource):
         return DepthReader(self.options)
 
 
-def scan_depth_runs(spark: SparkSession, path: str, planes: tuple[str, ...] = ("depth", "mask"), first: int = 0, end: int | None = None, split: int = SPLIT) -> DataFrame:
+def scan_depth_runs(spark: SparkSession, path: str, planes: tuple[str, ...] = ("depth", "mask"), first: int = 0, end: int | None = None, split: int = SPLIT, schema: str = SCHEMA) -> DataFrame:
     """One row per frame of the run at path, or of the runs in its folders: run, frame, width, height, kind and the planes.
 
     planes: of depth, mask, metric, normals, intrinsics, body; one that a run doesn't have is null. Frames first to end (excluded) are read.
     """
     spark.dataSource.register(DepthRuns)
-    made = spark.read.format("depth_runs").option("planes", ",".join(planes)).option("first", str(first)).option("split", str(split))
+    made = spark.read.format("depth_runs").option("planes", ",".join(planes)).option("first", str(first)).option("split", str(split)).option("schema", schema)
     return (made if end is None else made.option("end", str(end))).load(path)
 
 
 def write_depth_runs(
-    frames: DataFrame, folder: str, width: int, height: int, fps: float = 30.0, kind: str = "relative-disparity", intrinsics: dict | None = None, vertices: int = 0, faces: np.ndarray | None = None, done: bool = True
+    frames: DataFrame, folder: str, width: int, height: int, fps: float = 30.0, kind: str = "relative-disparity", intrinsics: dict | None = None, vertices: int = 0, faces: np.ndarray | None = None, done: bool = True, schema: str = SCHEMA
 ) -> None:
     """Write a run ``<run>/`` below folder for each run of frames (run, frame from 0 without gaps, and planes named as scan_depth_runs() does).
 
@@ -229,7 +229,7 @@ def write_depth_runs(
     held = [c for c in strides if c in frames.columns]
     if "d" not in held or ("k" in held and not intrinsics) or ("body" in held) != ("body_valid" in held) or ("body" in held and (faces is None or not vertices)):
         raise ValueError("a run needs depth, clip intrinsics for column k, and vertices, faces and body_valid for column body")
-    schema = "file string, at long, data binary"
+    piece = "file string, at long, data binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +255,7 @@ def write_depth_runs(
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                meta = {"schema": SCHEMA, "kind": kind, "width": width, "height": height, "frames": r["frames"], "fps": fps, "done": done}
+                meta = {"schema": schema, "kind": kind, "width": width, "height": height, "frames": r["frames"], "fps": fps, "done": done}
                 meta |= {p: {"file": FILES[p]} for p in ("mask", "metric", "normals") if p in held}
                 if intrinsics:
                     meta["intrinsics"] = {**intrinsics, **({"file": FILES["intrinsics"]} if "k" in held else {})}
@@ -271,4 +271,4 @@ def write_depth_runs(
 
     rows = frames.select(F.col("run").cast("string").alias("run"), F.col("frame").cast("long").alias("frame"), *held)
     runs = rows.groupBy("run").agg((F.max("frame") + 1).alias("frames"))
-    save_pieces(rows.mapInArrow(work, schema).union(runs.mapInArrow(describe, schema)), folder)
+    save_pieces(rows.mapInArrow(work, piece).union(runs.mapInArrow(describe, piece)), folder)

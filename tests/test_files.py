@@ -175,6 +175,13 @@ def test_sidecar_and_sizes(spark, run, tmp_path):
             frames_of(damaged(run, tmp_path, cut, **meta))
 
 
+def test_runs_of_another_schema(spark, run, tmp_path):
+    path = damaged(run, tmp_path, schema="other/2")
+    assert depth_runs.scan_depth_runs(spark, path, schema="other/2").count() == 9
+    depth_runs.write_depth_runs(spark.createDataFrame([("a", 0, [0.0] * 12)], "run string, frame long, d array<float>"), str(tmp_path / "w"), 4, 3, schema="other/2")
+    assert json.loads((tmp_path / "w/a/depth.json").read_text())["schema"] == "other/2"
+
+
 def test_missing_and_repeated_frames_are_refused(spark, run, tmp_path):
     rows = spark.createDataFrame([("a", i, [0.0] * 12) for i in (0, 1, 3)], "run string, frame long, d array<float>")
     for frames in (rows, rows.where("frame < 2").union(rows.where("frame = 1"))):
