@@ -1,21 +1,19 @@
-"""Nearest points on triangle surfaces: an exact search by bounds, and one among neighbours of known triangles."""
+"""Nearest points on triangle surfaces: an exact search by blocks, and one among neighbours of known triangles."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import encodings as E
 from ..session import checkpointed
+from . import blocks as B
 from . import statistics as S
 from .graphs import smooth_meshes
 
 AXES = ("x", "y", "z")
-#: Triangles of a leaf and nodes of a parent, as powers of two; rows of a node table up to which it is broadcast.
-LEAF, FAN, SMALL = 3, 3, 20_000
-_ROW = 33  # the lower bits of monotonically_increasing_id count rows, the upper ones partitions
 
 
 def _dot(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -61,62 +59,83 @@ def _closest(pairs: DataFrame, by: list[str], attributes: Sequence[str]) -> Data
     return best.select(*by, "_s.*")
 
 
+def _closest_pairs(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Squared distances of points from triangles, row by row, by the steps of closest_on_triangle() in the same order."""
+    p, a, b, c = (m.T for m in (p, t[:, :3], t[:, 3:6], t[:, 6:9]))
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    ab, ac = b - a, c - a
+    d1, d2, d3, d4, d5, d6 = (dot(side, p - corner) for corner in (a, b, c) for side in (ab, ac))
+    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+    ratio = lambda x, y: np.where(y == 0, 0.0, x / np.where(y == 0, 1.0, y))
+    along, whole = ratio(d4 - d3, (d4 - d3) + (d5 - d6)), va + vb + vc
+    cases = [(d1 <= 0) & (d2 <= 0), (d3 >= 0) & (d4 <= d3), (vc <= 0) & (d1 >= 0) & (d3 <= 0), (d6 >= 0) & (d5 <= d6), (vb <= 0) & (d2 >= 0) & (d6 <= 0), (va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0)]
+    wb = np.select(cases, [0.0, 1.0, ratio(d1, d1 - d3), 0.0, 0.0, 1 - along], ratio(vb, whole))
+    wc = np.select(cases, [0.0, 0.0, 0.0, 1.0, ratio(d2, d2 - d6), along], ratio(vc, whole))
+    gap = p - (a + wb * ab + wc * ac)
+    return dot(gap, gap)
+
+
+def _nearest_triangles(_: np.ndarray, points: np.ndarray, parts: Iterator[tuple]) -> np.ndarray:
+    """The number of each point's nearest triangle, of equally near ones the smallest.
+
+    A triangle isn't farther than its plane or the ball around it, so only those that pass both are measured; the bounds are widened by what rounding may add.
+    """
+    p = np.ascontiguousarray(points[:, :3])
+    best, found = np.full(len(p), np.inf), np.full(len(p), np.iinfo(np.int64).max)
+    with np.errstate(all="ignore"):
+        for low, number, _, t in parts:
+            if low > best.max() * (1 + 1e-9):
+                continue
+            a, ab, ac = t[:, :3], t[:, 3:6] - t[:, :3], t[:, 6:9] - t[:, :3]
+            middle = (t[:, :3] + t[:, 3:6] + t[:, 6:9]) / 3
+            around = np.sqrt(np.maximum.reduce([((t[:, k : k + 3] - middle) ** 2).sum(1) for k in (0, 3, 6)]))
+            normal = np.cross(ab, ac)
+            size = np.sqrt((normal * normal).sum(1))
+            # A flat triangle has no plane.
+            flat = ~(size > 1e-6 * (ab * ab).sum(1)) | ~(size > 1e-6 * (ac * ac).sum(1)) | ~np.isfinite(t).all(1)
+            normal = np.where(flat[:, None], 0.0, normal / np.where(flat, 1.0, size)[:, None])
+            slack = 1e-9 * (np.abs(p).max(initial=0, where=np.isfinite(p)) + np.abs(t).max(initial=0, where=np.isfinite(t)))
+            reach = np.sqrt(best) * (1 + 1e-9) + slack
+            near = p @ normal.T
+            near -= np.where(flat, 0.0, (normal * a).sum(1))
+            i, j = np.nonzero(~(np.abs(near, out=near) > reach[:, None]))
+            off = p[i] - middle[j]
+            some = ~((off * off).sum(1) > (reach[i] + around[j] * (1 + 1e-9)) ** 2)
+            i, j = i[some], j[some]
+            d2, n = _closest_pairs(p[i], t[j]), number[j]
+            d2[np.isnan(d2)] = np.inf
+            # The first of each point in the order of distance and number.
+            order = np.lexsort((n, d2, i))
+            order = order[np.diff(i[order], prepend=-1) > 0]
+            i, d2, n = i[order], d2[order], n[order]
+            better = (d2 < best[i]) | ((d2 == best[i]) & (n < found[i]))
+            best[i[better]], found[i[better]] = d2[better], n[better]
+    return found
+
+
 def nearest_on_surface(points: DataFrame, triangles: DataFrame, keys: Sequence[str] = ("frame",), attributes: Sequence[str] = ()) -> DataFrame:
     """points (keys, x, y, z, others) with the nearest point of their key's triangles: tid, px, py, pz, d2 and the attributes there.
 
-    triangles: keys, tid, ax to cz and, for each attribute n, the columns an, bn, cn. Without triangles of its key a point has nulls.
+    triangles: keys, tid (a whole number), ax to cz and, for each attribute n, the columns an, bn, cn. Without triangles of its key a point has nulls.
 
-    Triangles are sorted along a Morton curve by range, and each 8 neighbours form a leaf, each 8 leaves a node and so on up
-    to one root for each key and run of partitions, so leaves are small wherever triangles crowd. Points descend from the roots: a
-    node is kept only if its box isn't farther than the nearest known point of the surface (a vertex of each node is one), so no point
-    meets all triangles and the answer is exact. Equal positions are searched once.
+    Points and triangles lie in blocks along Morton curves. A block of points meets the blocks of triangles that may hold a nearest one, in a task that holds its
+    points and lets the triangles stream by, so pairs of points and triangles are never rows: even where all triangles reach across the whole surface and
+    no box excludes any, what is shuffled is triangles times blocks of points. Equal positions are searched once, and the answer is exact.
     """
-    keys, spark = list(keys), points.sparkSession
-    centre = [(F.col("a" + c) + F.col("b" + c) + F.col("c" + c)) / 3 for c in AXES]
-    whole = triangles.where(" AND ".join(f"{n}{c} IS NOT NULL" for n in "abc" for c in AXES))
-    bounds = whole.groupBy(*keys).agg(*(f(m).alias(n + c) for f, n in ((F.min, "_l"), (F.max, "_h")) for c, m in zip(AXES, centre, strict=True)))
-    curve = E.morton(*(E.morton_level(m, F.col("_l" + c), F.col("_h" + c)) for c, m in zip(AXES, centre, strict=True)))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [*keys, "_m", "tid"]
-    told = whole.join(bounds, keys).withColumn("_m", curve).select(*whole.columns, "_m")
-    # Kept, as a range partition that is made again could be cut elsewhere.
-    ordered = checkpointed(told.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    most = ordered.agg(F.max(F.col("_at").bitwiseAND(F.lit((1 << _ROW) - 1)))).first()[0]
-    if most is None:
-        return points.select("*", *(F.lit(None).cast("double").alias(c) for c in ("px", "py", "pz", "d2", *attributes)), F.lit(None).cast("long").alias("tid"))
-    shifts = [LEAF]
-    while shifts[-1] < most.bit_length():
-        shifts.append(shifts[-1] + FAN)
-    # Above the rows of a partition, neighbouring partitions have common parents.
-    up = _ROW
-    while (1 << (up - _ROW)) < n:
-        up += FAN
-        shifts.append(up)
-    corners = {f"{n}{c}": f(*(F.col(k + c) for k in "abc")) for f, n in ((F.least, "_l"), (F.greatest, "_h")) for c in AXES}
-    box = [F.min("_l" + c).alias("_l" + c) for c in AXES] + [F.max("_h" + c).alias("_h" + c) for c in AXES]
-    vertex = F.struct("_at", *("a" + c for c in AXES))
-    node = lambda shift: F.shiftright("_at", shift).alias("_n")
-    leaves = checkpointed(ordered.withColumns(corners).groupBy(*keys, node(LEAF)).agg(*box, F.min(vertex).alias("_s")))
-    levels = [leaves]
-    for low, high in zip(shifts, shifts[1:], strict=False):
-        levels.append(levels[-1].groupBy(*keys, F.shiftright("_n", high - low).alias("_n")).agg(*box, F.min("_s").alias("_s")))
-    sizes = leaves.agg(*(F.countDistinct(*keys, F.shiftright("_n", s - LEAF)).alias(f"n{s}") for s in shifts)).first()
-    small = lambda frame, shift: F.broadcast(frame) if sizes[f"n{shift}"] <= SMALL else frame
+    keys = list(keys)
+    sides = [n + c for n in "abc" for c in (*AXES, *attributes)]
+    whole = triangles.where(" AND ".join(f"{n}{c} IS NOT NULL" for n in "abc" for c in AXES)).select(*keys, "tid", *sides)
+    corners = [[F.col(n + c) for n in "abc"] for c in AXES]
+    place = [F.col(c) for c in AXES]
+    spread = B.blocked(whole, keys, [(a + b + c) / 3 for a, b, c in corners], B.SEARCHED)
     by = [*keys, *AXES]
-    p = [F.col(c) for c in AXES]
-    outside = [F.greatest(F.col("_l" + c) - q, q - F.col("_h" + c), F.lit(0.0)) for c, q in zip(AXES, p, strict=True)]
-    away = [q - F.col("_s.a" + c) for c, q in zip(AXES, p, strict=True)]
-    front = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select(*by).distinct().join(small(levels[-1], shifts[-1]), keys)
-    for k in range(len(shifts) - 1, -1, -1):
-        met = front.select(*by, "_n", _dot(outside, outside).alias("_low"), _dot(away, away).alias("_up"))
-        bound = met.groupBy(*by).agg(F.min("_up").alias("_bound"))
-        # Sums are rounded; a node on the border stays.
-        left = met.join(bound, by).where(F.col("_low") <= F.col("_bound") * (1 + 1e-9)).select(*by, "_n")
-        if k:
-            below = levels[k - 1].withColumnRenamed("_n", "_child").withColumn("_n", F.shiftright("_child", shifts[k] - shifts[k - 1]))
-            front = left.join(small(below, shifts[k - 1]), [*keys, "_n"]).drop("_n").withColumnRenamed("_child", "_n")
-        else:
-            pairs = left.join(ordered.withColumn("_n", node(LEAF)), [*keys, "_n"])
+    asked = B.blocked(points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select(*by).distinct(), keys, place, B.SEARCHING)
+    near = B.near_blocks(B.boxes(asked, keys, "p_", place), B.boxes(spread, keys, "t_", [F.least(*c) for c in corners], [F.greatest(*c) for c in corners]), keys)
+    none, wide = F.lit(0).cast("long"), lambda *c: F.array(*(F.coalesce(x.cast("double"), F.lit(0.0)) for x in c))
+    searching = asked.select(*keys, "_at", "_block", none.alias("_n"), none.alias("_o"), wide(*place, *[F.lit(0.0)] * 6).alias("_v"))
+    searched = spread.select(*keys, "_at", "_block", F.col("tid").cast("long").alias("_n"), none.alias("_o"), wide(*(F.col(n + c) for n in "abc" for c in AXES)).alias("_v"))
+    told = B.meet(searching, searched, near, keys, 9, _nearest_triangles)
+    pairs = asked.join(told, "_at").withColumn("tid", F.col("_found").cast(triangles.schema["tid"].dataType)).select(*by, "tid").join(spread.select(*keys, "tid", *sides), [*keys, "tid"])
     found = _closest(pairs, by, attributes)
     return points.join(found, by, "left").select(*points.columns, *(c for c in found.columns if c not in by))
 

@@ -144,3 +144,22 @@ def test_points_are_drawn_onto_a_plane(spark):
     error = S.surface_error(points, triangles, 1.15).collect()
     z = sorted(p[4] for p in grid if p[0] == 1)
     assert len(error) == 1 and abs(error[0]["mean"] - sum(z) / 26) < 1e-12 and error[0]["worst"] == z[-1] and error[0]["p95"] == z[int(0.95 * 26)] and abs(error[0]["over"] - 100 * sum(v > 1.15 for v in z) / 26) < 1e-9
+
+
+def test_long_triangles_do_not_make_pairs(spark, monkeypatch):
+    """Where every triangle reaches across the cloud no box excludes any, yet a point meets one triangle in a row of its own."""
+    rng = np.random.default_rng(3)
+    t = rng.normal(0, 1, (700, 3, 3))
+    p = rng.normal(0, 1, (300, 3))
+    triangles = spark.createDataFrame([(1, i, *map(float, x.ravel()), 0.0, 0.0, 0.0) for i, x in enumerate(t)], TRIANGLE)
+    points = spark.createDataFrame([(1, i, *map(float, x)) for i, x in enumerate(p)], "frame long, vid long, x double, y double, z double")
+    monkeypatch.setattr(S.B, "SEARCHING", 64)
+    monkeypatch.setattr(S.B, "SEARCHED", 128)
+    met = []
+    real = S.closest_on_triangle
+    monkeypatch.setattr(S, "closest_on_triangle", lambda pairs: (met.append(pairs.count()), real(pairs))[1])
+    got = {r["vid"]: r for r in S.nearest_on_surface(points, triangles).collect()}
+    assert met == [300]
+    every = np.stack([S._closest_pairs(p, np.repeat(x.reshape(1, 9), 300, 0)) for x in t])
+    for i in range(300):
+        assert got[i]["tid"] == every[:, i].argmin() and got[i]["d2"] == every[:, i].min()
