@@ -168,3 +168,17 @@ def test_tile_models_follow_a_field(spark):
             assert abs(r["a"] * 0.6 + r["b"] - want) < 0.02 and r["w"] == 1.0
     flat = cells.where("frame = 1").withColumn("x", F.lit(0.5))
     assert tiles.fit_tile_models(flat, 4, 4, 6).count() == 0
+
+
+def test_no_window_is_read_again_for_every_row(spark, monkeypatch):
+    """A window from the current row to the last one costs the square of a track's length."""
+    frames = spark.createDataFrame([(1, f, "linear" if f % 3 else None, 0.1) for f in range(40)], "clip long, frame long, kind string, medres double")
+    fields = spark.createDataFrame([(1, f, 0, float(f), 1.0, 1.0) for f in range(40) if f % 3], "clip long, frame long, tile long, a double, b double, w double")
+    plans, kept = [], T.checkpointed
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    monkeypatch.setattr(T, "checkpointed", lambda df: (plans.append(plan(df)), kept(df))[1])
+    found = T.smooth_tile_fields(fields, frames, 3)
+    plans.append(plan(found))
+    assert len(plans) == 3 and all("windowspecdefinition" in p for p in plans)
+    assert not any("currentrow$(), unboundedfollowing$()" in p for p in plans)
+    assert found.count() == 40
