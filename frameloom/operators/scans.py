@@ -11,6 +11,8 @@ from ..session import checkpointed
 
 #: Rows that are composed in one array.
 CHUNK = 64
+#: Places of a raster in a whole number.
+WORD = 32
 
 
 def scan(rows: DataFrame, keys: Sequence[str], order: str, step: str, combine: Callable[[Column, Column], Column], chunk: int = CHUNK) -> DataFrame:
@@ -95,6 +97,34 @@ def hold_states(rows: DataFrame, keys: Sequence[str], order: str, x: str, at: fl
     return chained.select(*keys, order, (F.col("prefix")[0]["to"] == 1).alias("on"))
 
 
+def hold_rasters(rows: DataFrame, keys: Sequence[str], order: str, xs: str, at: float, low: float, high: float) -> DataFrame:
+    """(keys, order, on): hold_states() of every place of an array ``xs``, as long in each row of a key; on: whole numbers of WORD bits, see switch(). A null keeps the state.
+
+    A row is two sets of places, those that it sets and those that keep their state, so a key's rows stay as many as they are.
+    """
+    first = F.col(order) == 0
+    above = lambda v, limit: F.coalesce(v > limit, F.lit(False))
+    sets = lambda v: F.when(first, above(v, at)).otherwise(above(v, high))
+    keeps = lambda v: ~first & ~above(v, high) & ~F.coalesce(v < low, F.lit(False))
+    words = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / WORD).cast("int"))
+    packed = lambda is_on: F.transform(words, lambda w: F.aggregate(F.reverse(F.slice(xs, w * WORD + 1, WORD)), F.lit(0).cast("long"), lambda acc, v: acc * 2 + is_on(v).cast("long")))
+    step = F.struct(packed(sets).alias("set"), packed(keeps).alias("keep"))
+    chained = scan(rows.withColumn("_step", step), keys, order, "_step", bit_sets)
+    return chained.select(*keys, order, F.col("prefix.set").alias("on"))
+
+
+def bit_sets(a: Column, b: Column) -> Column:
+    """Bits that are set and bits that are kept: a, then b."""
+    both = lambda x, y: x.bitwiseAND(y)
+    either = lambda x, y: x.bitwiseOR(y)
+    return F.struct(F.zip_with(b["set"], F.zip_with(b["keep"], a["set"], both), either).alias("set"), F.zip_with(a["keep"], b["keep"], both).alias("keep"))
+
+
+def switch(on: str, place: Column) -> Column:
+    """Whether a place (from 0) of hold_rasters() is on."""
+    return F.getbit(F.element_at(on, (F.floor(place / WORD) + 1).cast("int")), (place % WORD).cast("int")) == 1
+
+
 def align_windows(maps: DataFrame, size: int, align: int, overlap: int, key_slot: int) -> DataFrame:
     """(clip, frame, pixel, d): overlapping windows of depth maps, brought to one scale and cross-faded.
 

@@ -115,21 +115,16 @@ def silhouette_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "embeddings").select(F.col("label").alias("clip"), (F.row_number().over(w) - 1).cast("long").alias("frame"), F.col("embedding").alias("e"))
     sides = (("h", 0, 0, 0, 1), ("v", 0, 0, 1, 0), ("d", 0, 1, 1, 0))
     places = [(k, y, x, (y + ay) * 8 + x + ax, (y + dy) * 8 + x + dx) for k, ay, ax, dy, dx in sides for y in range(8 - max(ay, dy)) for x in range(8 - max(ax, dx))]
-    # The lattice's edges: as many as a raster has.
-    edge = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("kind", "y", "x", "p", "q"), place, strict=True))) for place in places))).alias("s")
-    z = lambda c: 1 + 6 * F.abs(F.element_at("e", F.col(c) + 1).cast("double"))
-    jumps = f.select("clip", "frame", "e", edge).select("clip", "frame", "s.*", "e").select("clip", "frame", "kind", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.abs(z("p") - z("q")) / F.least(z("p"), z("q"))).alias("r"))
-    cut = scans.hold_states(jumps, ["clip", "kind", "y", "x"], "frame", "r", _EDGE, _EDGE * 0.67, _EDGE * 1.5)
-    at = ["clip", "frame", "y", "x"]
-    # An edge tells the cells on either side; each triangle meets its three edges in one sum.
-    tell = {"d": ((0, 0, "upper"), (0, 0, "lower")), "h": ((0, 0, "upper"), (-1, 0, "lower")), "v": ((0, 0, "upper"), (0, -1, "lower"))}
-    rows = None
-    for kind, told in tell.items():
-        for dy, dx, half in told:
-            part = cut.where(F.col("kind") == kind).select("clip", "frame", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(half).alias("half"), "on")
-            rows = part if rows is None else rows.union(part)
-    cells = rows.where("y between 0 and 6 and x between 0 and 6").groupBy(*at)
-    return cells.agg(*(~F.max(F.when(F.col("half") == h, F.col("on"))).alias(h) for h in ("upper", "lower"))).toDF(*at, "upper", "lower")
+    # The lattice's edges are an array: a frame stays one row until its cells are told.
+    z = lambda c: 1 + 6 * F.abs(F.element_at("e", c + 1).cast("double"))
+    ends = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for *_, p, q in places))
+    jumps = f.select("clip", "frame", F.transform(ends, lambda s: F.abs(z(s["p"]) - z(s["q"])) / F.least(z(s["p"]), z(s["q"]))).alias("r"))
+    cut = scans.hold_rasters(jumps, ["clip"], "frame", "r", _EDGE, _EDGE * 0.67, _EDGE * 1.5)
+    of = {place[:3]: n for n, place in enumerate(places)}
+    edges_of = lambda y, x: {"y": y, "x": x, "d": of["d", y, x], "v": of["v", y, x], "h": of["h", y, x], "h2": of["h", y + 1, x], "v2": of["v", y, x + 1]}
+    cell = F.explode(F.array(*(F.struct(*(F.lit(n).cast("long" if k in "yx" else "int").alias(k) for k, n in edges_of(y, x).items())) for y in range(7) for x in range(7)))).alias("s")
+    kept = lambda *c: ~(scans.switch("on", F.col(f"s.{c[0]}")) | scans.switch("on", F.col(f"s.{c[1]}")) | scans.switch("on", F.col(f"s.{c[2]}")))
+    return cut.select("clip", "frame", "on", cell).select("clip", "frame", "s.y", "s.x", kept("d", "v", "h").alias("upper"), kept("d", "h2", "v2").alias("lower"))
 
 
 _CODED = "CAST(floor(({c} + 1) * {m} + 0.5) AS BIGINT) % {n}"

@@ -182,3 +182,16 @@ def test_no_window_is_read_again_for_every_row(spark, monkeypatch):
     assert len(plans) == 3 and all("windowspecdefinition" in p for p in plans)
     assert not any("currentrow$(), unboundedfollowing$()" in p for p in plans)
     assert found.count() == 40
+
+
+def test_rasters_hold_each_place_as_a_switch_of_its_own(spark):
+    """More places than a word has bits and more rows than a chunk: the same as one key a place, in as many rows as there are frames."""
+    rng = np.random.default_rng(12)
+    x = rng.random((150, 70))
+    got = {r["t"]: r["on"] for r in scans.hold_rasters(spark.createDataFrame([(1, t, v.tolist()) for t, v in enumerate(x)], "k long, t long, v array<double>"), ["k"], "t", "v", 0.5, 0.2, 0.8).collect()}
+    assert len(got) == 150 and all(len(on) == 3 for on in got.values())
+    state = x[0] > 0.5
+    for t in range(150):
+        if t:
+            state = np.where(x[t] > 0.8, True, np.where(x[t] < 0.2, False, state))
+        assert [bool(got[t][k // scans.WORD] >> k % scans.WORD & 1) for k in range(70)] == state.tolist()
