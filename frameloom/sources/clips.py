@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import remove_folder, shared_folder
 from .container import CHUNK, BLOCK, CHUNK_MAGIC, GOP, HEADER, MAGIC, SUPER, Damaged, _take, chunk
-from .pieces import save_pieces
+from .pieces import BYTES, ROWS, STRETCH, gathered, save_pieces
 
 # Block types and their tracks, and the largest audio packet.
 INTRA, DELTA, TEXTURE, AUDIO = 0, 1, 2, 4
@@ -94,24 +94,32 @@ def chunks(frames: DataFrame, fps: float, gop_length: int, textures: DataFrame |
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for clip, g, items in zip(batch.column("clip").to_pylist(), batch.column("gop").to_pylist(), batch.column("items"), strict=True):
-                some = items.as_py()
-                coded = [x for x in some if x["kind"] == INTRA]
-                sides = list(zip(*(x["box"] for x in coded), strict=True))
-                bounds = [min(s) for s in sides[:3]] + [max(s) for s in sides[3:]]
+            items, made, size = batch.column("items"), [], 0
+            some = dict(zip((f.name for f in items.type.value_type), items.values.flatten(), strict=True))
+            kind, order, key, span, data = (some[c].to_pylist() for c in ("kind", "order", "key", "span", "data"))
+            sides, ends = some["box"].to_pylist(), items.offsets.to_pylist()
+            for clip, g, a, b in zip(batch.column("clip").to_pylist(), batch.column("gop").to_pylist(), ends, ends[1:], strict=False):
+                # Items are in the order of their kinds.
+                t = a + kind[a:b].count(INTRA)
+                u = t + kind[t:b].count(TEXTURE)
+                corners = list(zip(*sides[a:t], strict=True))
+                bounds = [min(s) for s in corners[:3]] + [max(s) for s in corners[3:]]
                 start = round(g * gop_length * 1e6 / fps)
-                blocks = [(INTRA if x["key"] else DELTA, x["data"] or b"") for x in coded]
-                if texture := [(x["data"] or b"", x["key"]) for x in some if x["kind"] == TEXTURE]:
-                    blocks.append((TEXTURE, texture_block(texture)))
-                if packets := [(x["order"], x["span"], x["data"] or b"") for x in some if x["kind"] == AUDIO]:
-                    blocks.append((AUDIO, audio_block(packets, start)))
-                body = chunk(start, len(coded), tuple(bounds), [(k, TRACK[k], d) for k, d in blocks])
-                values = [clip], [g], [coded[0]["order"]], [start], [len(coded)], [bounds], [len(body)], [body]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
+                blocks = [(INTRA if key[i] else DELTA, data[i] or b"") for i in range(a, t)]
+                if t < u:
+                    blocks.append((TEXTURE, texture_block([(data[i] or b"", key[i]) for i in range(t, u)])))
+                if u < b:
+                    blocks.append((AUDIO, audio_block([(order[i], span[i], data[i] or b"") for i in range(u, b)], start)))
+                body = chunk(start, t - a, tuple(bounds), [(k, TRACK[k], d) for k, d in blocks])
+                made.append((clip, g, order[a], start, t - a, bounds, len(body), body))
+                if (size := size + len(body)) >= BYTES:
+                    yield _rows(made, types, names)
+                    made, size = [], 0
+            yield _rows(made, types, names)
 
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.binary()]
     names = ["clip", "gop", "frame", "pts", "n", "box", "length", "body"]
-    return held.select("clip", "gop", "items").mapInArrow(make, "clip long, gop long, frame long, pts long, n long, box array<double>, length long, body binary")
+    return held.select("clip", "gop", "items").mapInArrow(gathered(make), "clip long, gop long, frame long, pts long, n long, box array<double>, length long, body binary")
 
 
 def places(found: DataFrame, head: int) -> DataFrame:
@@ -163,16 +171,21 @@ def write_clips(found: DataFrame, folder: str, fps: float, gop_length: int, bits
 
         def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                rows, size = [], 0
                 for file, at, box, body in zip(batch.column("file").to_pylist(), batch.column("at").to_pylist(), batch.column("box").to_pylist(), batch.column("body"), strict=True):
                     content = body.as_buffer().to_pybytes()
                     if any(moved):
                         content = content[:_BOX_AT] + struct.pack("<6f", *(a + b for a, b in zip(box, moved, strict=True))) + content[_BOX_AT + 24 :]
-                    yield _pieces([(file, at, content)])
+                    rows.append((file, at, content))
+                    if (size := size + len(content)) >= BYTES:
+                        yield _pieces(rows)
+                        rows, size = [], 0
+                yield _pieces(rows)
 
         runs = laid.groupBy("clip", "run").agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(name.alias("file"), "run", "entries")
         full = kept.select("clip", "gop", "box", "body").join(laid.select("clip", "gop", "at"), ["clip", "gop"]).select(name.alias("file"), "at", "box", "body")
         schema = "file string, at long, data binary"
-        save_pieces(clips.mapInArrow(heads, schema).union(runs.mapInArrow(indexes, schema)).union(full.mapInArrow(bodies, schema)), folder)
+        save_pieces(clips.mapInArrow(gathered(heads), schema).union(runs.mapInArrow(gathered(indexes), schema)).union(full.mapInArrow(gathered(bodies), schema)), folder)
     finally:
         remove_folder(spark, stage)
 
@@ -196,7 +209,11 @@ def _pair(key: str, value: str) -> bytes:
 
 
 def _pieces(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["file", "at", "data"])
+    return _rows(rows, [pa.string(), pa.int64(), pa.binary()], ["file", "at", "data"])
+
+
+def _rows(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
 INDEX = "path string, bytes long, fps double, frames long, duration_us long, gop_length int, box array<double>, gop long, pts long, frame_start long, n int, at long, length long"
@@ -254,7 +271,7 @@ def scan_index(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFram
     index_types = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     index_names = [part.split()[0] for part in INDEX.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.clip").load(path).select("path", "length")
-    return files.mapInArrow(read, INDEX)
+    return files.mapInArrow(gathered(read), INDEX)
 
 
 def _track_rows(file: str, size: int, magic: bytes) -> list[tuple]:
@@ -284,17 +301,18 @@ def scan_tracks(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.clip").load(path).select("path", "length")
-    return files.mapInArrow(read, "path string, track int, kind int, code string, tier int, config binary")
+    return files.mapInArrow(gathered(read), "path string, track int, kind int, code string, tier int, config binary")
 
 
 def scan_chunks(index: DataFrame) -> DataFrame:
     """(path, gop, frame_start, n, pts, box, place, type, track, data): the blocks of the chunks that index rows name, read as byte ranges.
 
-    Chunks are dealt out over the shuffle partitions, so one file's chunks are read by many tasks.
+    Stretches of files are dealt out over the shuffle partitions, so many tasks read a long file, and a short one is opened once.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, f = None, None
+        rows, size = [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 if r["path"] != name:
@@ -302,16 +320,20 @@ def scan_chunks(index: DataFrame) -> DataFrame:
                         f.close()
                     name, f = r["path"], _open(r["path"])
                 box, found = _blocks(name, f.read_at(r["length"], r["at"]), r["at"])
-                k = len(found)
-                columns = [*([r[x]] * k for x in ("path", "gop", "frame_start", "n", "pts")), [box] * k, range(k), *([x[i] for x in found] for i in range(3))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], names)
+                rows += [(name, r["gop"], r["frame_start"], r["n"], r["pts"], box, k, *x) for k, x in enumerate(found)]
+                if (size := size + r["length"]) >= BYTES or len(rows) >= ROWS:
+                    yield _rows(rows, types, names)
+                    rows, size = [], 0
+        yield _rows(rows, types, names)
         if f:
             f.close()
 
     types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = ["path", "gop", "frame_start", "n", "pts", "box", "place", "type", "track", "data"]
-    dealt = index.select("path", "gop", "frame_start", "n", "pts", "at", "length").repartition("path", "gop").sortWithinPartitions("path", "gop")
-    return dealt.mapInArrow(read, "path string, gop long, frame_start long, n int, pts long, box array<double>, place long, type int, track int, data binary")
+    # By number, as rows of an index are few bytes and many chunks.
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.select("path", "gop", "frame_start", "n", "pts", "at", "length").repartition(parts, "path", F.floor(F.col("at") / STRETCH)).sortWithinPartitions("path", "gop")
+    return dealt.mapInArrow(gathered(read), "path string, gop long, frame_start long, n int, pts long, box array<double>, place long, type int, track int, data binary")
 
 
 def geometry_frames(blocks: DataFrame) -> DataFrame:
@@ -325,11 +347,10 @@ def texture_frames(blocks: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                rows = [(r["path"], r["frame_start"] + i, key, d) for i, (key, d) in enumerate(texture_entries(r["data"]))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.binary()))], ["path", "frame", "is_key", "data"])
+            rows = [(path, first + i, key, d) for path, first, block in zip(*batch.to_pydict().values(), strict=True) for i, (key, d) in enumerate(texture_entries(block))]
+            yield _rows(rows, [pa.string(), pa.int64(), pa.bool_(), pa.binary()], ["path", "frame", "is_key", "data"])
 
-    return blocks.where(F.col("type") == TEXTURE).select("path", "frame_start", "data").mapInArrow(read, "path string, frame long, is_key boolean, data binary")
+    return blocks.where(F.col("type") == TEXTURE).select("path", "frame_start", "data").mapInArrow(gathered(read), "path string, frame long, is_key boolean, data binary")
 
 
 def audio_packets(blocks: DataFrame) -> DataFrame:
@@ -337,8 +358,7 @@ def audio_packets(blocks: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                rows = [(r["path"], r["pts"] + after, span, d) for after, span, d in audio_entries(r["data"])]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["path", "pts", "duration", "data"])
+            rows = [(path, pts + after, span, d) for path, pts, block in zip(*batch.to_pydict().values(), strict=True) for after, span, d in audio_entries(block)]
+            yield _rows(rows, [pa.string(), pa.int64(), pa.int64(), pa.binary()], ["path", "pts", "duration", "data"])
 
-    return blocks.where(F.col("type") == AUDIO).select("path", "pts", "data").mapInArrow(read, "path string, pts long, duration long, data binary")
+    return blocks.where(F.col("type") == AUDIO).select("path", "pts", "data").mapInArrow(gathered(read), "path string, pts long, duration long, data binary")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from .pieces import save_pieces
+from .pieces import gathered, save_pieces
 
 # What the sidecar must say, and default names of the planes' files. Runs of another writer are read by giving its schema's name.
 SCHEMA, KINDS = "depth-run/1", ("relative-disparity", "metric-depth")
@@ -271,4 +271,4 @@ def write_depth_runs(
 
     rows = frames.select(F.col("run").cast("string").alias("run"), F.col("frame").cast("long").alias("frame"), *held)
     runs = rows.groupBy("run").agg((F.max("frame") + 1).alias("frames"))
-    save_pieces(rows.mapInArrow(work, piece).union(runs.mapInArrow(describe, piece)), folder)
+    save_pieces(rows.mapInArrow(gathered(work), piece).union(runs.mapInArrow(gathered(describe), piece)), folder)

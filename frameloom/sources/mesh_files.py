@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.encodings import SH_C0
 from ..session import remove_folder, shared_folder
 from .meshes import SPLAT_RECORD, _files, is_splat, ply_header
-from .pieces import PIECE, save_pieces
+from .pieces import PIECE, gathered, save_pieces
 
 RUN = 4096
 
@@ -45,7 +45,7 @@ def _records(rows: DataFrame, number: str, columns: Sequence[str | Column], base
                     raise ValueError(f"{batch.column('file')[i]}: numbers {numbers[0]} to {numbers[-1]} have gaps or repeat")
                 yield _batch([(batch.column("file")[i].as_py(), batch.column("at")[i].as_py() + int(numbers[0]) * stride, encode(items))])
 
-    return _runs(rows, number, columns).join(base, "path").select("file", "at", "items").mapInArrow(work, PIECE)
+    return _runs(rows, number, columns).join(base, "path").select("file", "at", "items").mapInArrow(gathered(work), PIECE)
 
 
 def _laid_out(spark: SparkSession, runs: DataFrame, heads: DataFrame, folder: str) -> None:
@@ -145,7 +145,7 @@ def _packed(rows: DataFrame, number: str, columns: Sequence[str], encode: Callab
                 body = b"".join(encode(r) for r in batch.column("items")[i].as_py())
                 yield pa.RecordBatch.from_arrays([batch.column("path").slice(i, 1), pa.array([0], pa.int32()), batch.column("run").slice(i, 1), pa.array([body], pa.binary())], ["path", "part", "run", "body"])
 
-    return _runs(rows, number, columns).select("path", F.col("run").cast("long").alias("run"), "items").mapInArrow(work, "path string, part int, run long, body binary")
+    return _runs(rows, number, columns).select("path", F.col("run").cast("long").alias("run"), "items").mapInArrow(gathered(work), "path string, part int, run long, body binary")
 
 
 def write_ivf(frames: DataFrame, folder: str, code: str = "AV01", width: int = 8, height: int = 8, fps: int = 30) -> None:
@@ -208,4 +208,4 @@ def scan_ply_headers(spark: SparkSession, path: str) -> DataFrame:
                     "properties": pa.array([[p[0] for p in e[2]] for e in elements], pa.list_(pa.string())), "splats": [is_splat(raw)] * n,
                 })
 
-    return _files(spark, path).mapInArrow(work, "path string, format string, element string, count long, properties array<string>, splats boolean")
+    return _files(spark, path).mapInArrow(gathered(work), "path string, format string, element string, count long, properties array<string>, splats boolean")

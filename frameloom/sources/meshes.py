@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encodings import SH_C0
+from .pieces import gathered
 
 # PLY's scalar types, and the properties by which a splat file is known.
 PLY_TYPES = {
@@ -126,7 +127,7 @@ def _decode(spark: SparkSession, path: str, schema: str, decode) -> DataFrame:
                 n = len(next(iter(columns.values())))
                 yield pa.RecordBatch.from_pydict({"path": [name] * n, **columns})
 
-    return _files(spark, path).mapInArrow(work, schema)
+    return _files(spark, path).mapInArrow(gathered(work), schema)
 
 
 def scan_ply_vertices(spark: SparkSession, path: str) -> DataFrame:

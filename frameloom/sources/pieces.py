@@ -1,7 +1,7 @@
 """Files put together from pieces that many tasks write at known offsets, as a Spark data source.
 
 A row is a piece: a file's name below the target folder, the place of its first byte, and its bytes. Tasks write pieces into
-part files of the job; none holds more than one piece, and no piece reaches the driver. Commit happens in two
+part files of the job; none holds more than a megabyte and one piece, and no piece reaches the driver. Commit happens in two
 phases: a task tells how many bytes it wrote to each file, and the driver renames a part file only if its size is the
 sum of what was told, so pieces neither leave holes nor overlap. A task that is run again writes the same bytes to the
 same places. Aborting deletes the job's part files.
@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -25,6 +25,27 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 PIECE = "file string, at long, data binary"
+#: Bytes of a file that go to one task in order, bytes that are written at once, and rows and bytes of a batch.
+STRETCH, AT_ONCE, ROWS, BYTES = 64 << 20, 1 << 20, 8192, 4 << 20
+
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def gathered(work: Work) -> Work:
+    """work whose small batches are put together, as each one that a task hands back costs as much as many rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+        for batch in work(batches):
+            if held and (rows + batch.num_rows > ROWS or size + batch.nbytes > BYTES or batch.schema != held[0].schema):
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows, size = [], 0, 0
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
 
 
 def local_folder(uri: str) -> Path:
@@ -51,20 +72,33 @@ class PieceWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         sizes: Counter[str] = Counter()
         name, handle = None, -1
+        held, start, size = [], 0, 0
+
+        def put() -> None:
+            content, at = memoryview(b"".join(held)), start
+            while len(content):
+                n = os.pwrite(handle, content, at)
+                content, at = content[n:], at + n
+
         try:
             for batch in iterator:
                 for file, at, data in zip(batch.column("file").to_pylist(), batch.column("at").to_pylist(), batch.column("data"), strict=True):
+                    # Pieces that follow each other are written together.
+                    if file != name or at != start + size or size >= AT_ONCE:
+                        put()
+                        held, start, size = [], at, 0
                     if file != name:
                         if handle >= 0:
                             os.close(handle)
                         part = self._part(file)
-                        part.parent.mkdir(parents=True, exist_ok=True)
+                        if name is None or part.parent != self._part(name).parent:
+                            part.parent.mkdir(parents=True, exist_ok=True)
                         name, handle = file, os.open(part, os.O_WRONLY | os.O_CREAT, 0o644)
-                    content = memoryview(data.as_buffer() or b"")
+                    content = data.as_buffer() or b""
+                    held.append(content)
+                    size += len(content)
                     sizes[file] += len(content)
-                    while len(content):
-                        n = os.pwrite(handle, content, at)
-                        content, at = content[n:], at + n
+            put()
         finally:
             if handle >= 0:
                 os.close(handle)
@@ -104,5 +138,7 @@ def save_pieces(pieces: DataFrame, folder: str) -> None:
     """Write the files of pieces (file, at, data) below a folder; existing files of these names are replaced."""
     pieces.sparkSession.dataSource.register(PieceFiles)
     local_folder(folder).mkdir(parents=True, exist_ok=True)
-    pieces.select("file", F.col("at").cast("long").alias("at"), "data").write.format("file_pieces").mode("append").save(folder)
+    # A stretch of a file goes to one task in order, so a short file is opened once, and tasks tell the driver of their own files only.
+    told = pieces.select("file", F.col("at").cast("long").alias("at"), "data").repartition("file", F.floor(F.col("at") / STRETCH)).sortWithinPartitions("file", "at")
+    told.write.format("file_pieces").mode("append").save(folder)
 

@@ -264,3 +264,15 @@ def test_an_ogg_page_has_the_known_checksum():
             top = (c >> 31) ^ (byte >> k & 1)
             c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
     assert page[22:26] == c.to_bytes(4, "little")
+
+
+def test_small_pieces_are_put_together(tmp_path, monkeypatch):
+    """A batch for each chunk and a write for each piece made long clips slow."""
+    one = lambda name, at, data: pa.RecordBatch.from_pydict({"file": [name], "at": pa.array([at], pa.int64()), "data": pa.array([data], pa.binary())})
+    rows = [one("a", 2 * i, b"xy") for i in range(500)] + [one("a", 2000, b"end"), one("b", 0, b"z")]
+    batches = list(pieces.gathered(lambda x: x)(iter(rows)))
+    assert len(batches) == 1 and batches[0].num_rows == 502
+    writes, real = [], pieces.os.pwrite
+    monkeypatch.setattr(pieces.os, "pwrite", lambda h, c, at: (writes.append((at, len(c))), real(h, c, at))[1])
+    told = pieces.PieceWriter({"path": str(tmp_path)}).write(iter(batches))
+    assert writes == [(0, 1000), (2000, 3), (0, 1)] and told.sizes == {"a": 1003, "b": 1}
