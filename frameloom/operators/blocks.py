@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import encodings as E
@@ -36,26 +36,27 @@ def blocked(rows: DataFrame, keys: Sequence[str], centre: Sequence[Column], size
     return checkpointed(ordered.withColumn("_block", F.floor(F.col("_at") / size).cast("long")).drop("_m"))
 
 
-def boxes(rows: DataFrame, keys: Sequence[str], prefix: str, low: Sequence[Column], high: Sequence[Column] | None = None) -> DataFrame:
-    """(keys, block, l and h of each axis, with a prefix) of blocked() rows."""
+def boxes(rows: DataFrame, keys: Sequence[str], prefix: str, low: Sequence[Column], high: Sequence[Column] | None = None, sure: Column | None = None) -> DataFrame:
+    """(keys, block, l and h of each axis, n, with a prefix) of blocked() rows; n counts the rows that whoever searches may find, all unless ``sure`` tells which."""
     sides = [f(m).alias(prefix + n + c) for f, n, side in ((F.min, "l", low), (F.max, "h", high or low)) for c, m in zip(AXES, side, strict=True)]
-    return rows.groupBy(*keys, F.col("_block").alias(prefix + "block")).agg(*sides)
+    return rows.groupBy(*keys, F.col("_block").alias(prefix + "block")).agg(*sides, F.count_if(F.lit(True) if sure is None else sure).alias(prefix + "n"))
 
 
-def near_blocks(searching: DataFrame, searched: DataFrame, keys: Sequence[str], reach: float | None = None) -> DataFrame:
-    """(keys, p_block, t_block, _g, _low): pairs of boxes p_ and t_ that may hold nearest neighbours; _g numbers the searching blocks.
+def near_blocks(searching: DataFrame, searched: DataFrame, keys: Sequence[str], reach: float | None = None, few: int = 1) -> DataFrame:
+    """(keys, p_block, t_block, _g, _low): pairs of boxes p_ and t_ that may hold the ``few`` nearest neighbours within a reach; _g numbers the searching blocks.
 
-    Without a reach, any row of a searched block is within the farthest corners of the two boxes, so what is farther than the least of these is left out.
+    Any row of a searched block is within the farthest corners of the two boxes, so where the blocks up to such a distance surely hold few rows, what is farther is left out.
     """
     keys = list(keys)
     own = checkpointed(searching.withColumn("_g", F.monotonically_increasing_id()))
     pairs = own.join(searched, keys).withColumn("_low", _gap("p_l", "p_h", "t_l", "t_h"))
     if reach is not None:
-        return checkpointed(pairs.where(F.col("_low") <= reach * reach * (1 + 1e-9)).select(*keys, "p_block", "t_block", "_g", "_low"))
+        pairs = pairs.where(F.col("_low") <= reach * reach * (1 + 1e-9))
     wide = [F.greatest(F.col("p_h" + c) - F.col("t_l" + c), F.col("t_h" + c) - F.col("p_l" + c)) for c in AXES]
-    pairs = checkpointed(pairs.select(*keys, "p_block", "t_block", "_g", "_low", (wide[0] * wide[0] + wide[1] * wide[1] + wide[2] * wide[2]).alias("_far")))
-    bound = pairs.groupBy("_g").agg(F.min("_far").alias("_bound"))
-    return pairs.join(bound, "_g").where(F.col("_low") <= F.col("_bound") * (1 + 1e-9)).select(*keys, "p_block", "t_block", "_g", "_low")
+    pairs = checkpointed(pairs.select(*keys, "p_block", "t_block", "_g", "_low", "t_n", (wide[0] * wide[0] + wide[1] * wide[1] + wide[2] * wide[2]).alias("_far")))
+    up_to = pairs.withColumn("_n", F.sum("t_n").over(Window.partitionBy("_g").orderBy("_far")))
+    bound = up_to.where(F.col("_n") >= few).groupBy("_g").agg(F.min("_far").alias("_bound"))
+    return pairs.join(bound, "_g", "left").where(F.col("_bound").isNull() | (F.col("_low") <= F.col("_bound") * (1 + 1e-9))).select(*keys, "p_block", "t_block", "_g", "_low")
 
 
 def meet(searching: DataFrame, searched: DataFrame, near: DataFrame, keys: Sequence[str], width: int, work: Callable[[np.ndarray, np.ndarray, Iterator[tuple]], np.ndarray]) -> DataFrame:
@@ -64,7 +65,24 @@ def meet(searching: DataFrame, searched: DataFrame, near: DataFrame, keys: Seque
     Both tables have columns _n, _o (whole numbers) and _v (``width`` doubles). A searching block goes to one task, which holds it alone; searched rows stream by, those of the nearest
     blocks first and mixed inside equally near ones. work(_n, _v of the block, parts) returns a whole number for each row; a part is (least squared distance, _n, _o, _v) of some hundreds of rows.
     """
-    keys = list(keys)
+    return _met(searching, searched, near, keys, width, "_found long", lambda n, v, parts: [pa.array(found := work(n, v, parts), pa.int64(), mask=found < 0)])
+
+
+def meet_few(searching: DataFrame, searched: DataFrame, near: DataFrame, keys: Sequence[str], width: int, work: Callable[[np.ndarray, np.ndarray, Iterator[tuple]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(_at, _found, _far): as meet(), but work returns some whole numbers and distances for each row, of which arrays hold those at finite distances."""
+
+    def told(n: np.ndarray, v: np.ndarray, parts: Iterator[tuple]) -> list[pa.Array]:
+        found, far = work(n, v, parts)
+        real = np.isfinite(far)
+        ends = pa.array(np.concatenate([[0], real.sum(1).cumsum()]), pa.int32())
+        return [pa.ListArray.from_arrays(ends, pa.array(x[real])) for x in (found, far)]
+
+    return _met(searching, searched, near, keys, width, "_found array<long>, _far array<double>", told)
+
+
+def _met(searching: DataFrame, searched: DataFrame, near: DataFrame, keys: Sequence[str], width: int, schema: str, work: Callable[[np.ndarray, np.ndarray, Iterator[tuple]], list[pa.Array]]) -> DataFrame:
+    """(_at and the columns of a schema) that work makes for the rows of each searching block."""
+    keys, names = list(keys), ["_at", *(part.split()[0] for part in schema.split(", "))]
     parts = int(searching.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = lambda rows, low: rows.select("_g", low.alias("_low"), "_at", "_n", "_o", "_v")
     asks = sent(searching.join(near.select(*keys, F.col("p_block").alias("_block"), "_g").distinct(), [*keys, "_block"]), F.lit(-1.0))
@@ -92,9 +110,9 @@ def meet(searching: DataFrame, searched: DataFrame, near: DataFrame, keys: Seque
             found = work(n, v, rest)
             for _ in rest:
                 pass
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found, pa.int64(), mask=found < 0)], ["_at", "_found"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), *found], names)
 
-    return lined.mapInArrow(run, "_at long, _found long")
+    return lined.mapInArrow(run, f"_at long, {schema}")
 
 
 def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:

@@ -64,6 +64,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows of df, read back from a new shared folder, and that folder, which remove_folder() takes away when it isn't needed any more."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this session made by shared_folder()."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -83,6 +83,21 @@ def test_matches_against_the_loop(spark):
         assert [query[r["vec_id"]] for r in now] == [old[k]["vec_id"] if k >= 0 else -1 for k in want]
 
 
+def test_matches_do_not_make_pairs(spark, monkeypatch):
+    """Where everything is within the radius, pairs would be 600 rows; candidates lie in several parts, and more points ask than there are old ones."""
+    rng = np.random.default_rng(6)
+    frames = [rng.normal(0, 0.1, (20, 3)), rng.normal(0, 0.1, (30, 3))]
+    frames[1][:4] = frames[1][4]
+    rows = [(f, i, *map(float, p)) for f, ps in enumerate(frames) for i, p in enumerate(ps)] + [(1, 1000, float("nan"), 0.0, 0.0), (1, 1001, None, 0.0, 0.0), (None, 1002, 0.0, 0.0, 0.0)]
+    kept, real = [], N.checkpointed
+    monkeypatch.setattr(N, "checkpointed", lambda df: (kept.append((out := real(df)).count()), out)[1])
+    monkeypatch.setattr(N, "SETTLED", 12, raising=False)
+    monkeypatch.setattr(N, "FEW", 64, raising=False)
+    got = {r["vid"]: r["prior"] for r in N.match_nearest(spark.createDataFrame(rows, "frame long, vid long, x double, y double, z double"), 2.0).where("frame = 1 or frame is null").collect()}
+    assert [got[i] for i in range(30)] == brute.greedy_matches(*frames, 2.0).tolist() and sum(got[i] < 0 for i in range(30)) == 10
+    assert all(got[i] == -1 for i in (1000, 1001, 1002)) and max(kept) <= 50
+
+
 def test_followed_masks_against_a_loop(spark):
     rng = np.random.default_rng(5)
     rows, want = [], {}
