@@ -259,6 +259,12 @@ def _blocks(name: str, content: bytes, at: int) -> tuple[list[float], list[tuple
     return list(c[4:10]), [(kind, track, content[where : where + size]) for kind, track, where, size in entries]
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files below path, in no more tasks than a shuffle has, as Spark plans each short file as 4 MB and so a task for every 32."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.clip").load(path).select("path", "length").coalesce(parts)
+
+
 def scan_index(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFrame:
     """One row per chunk of each file below path; only heads are read. A file that isn't a container, or is cut off, ends the job."""
 
@@ -270,7 +276,7 @@ def scan_index(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFram
 
     index_types = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     index_names = [part.split()[0] for part in INDEX.split(", ")]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.clip").load(path).select("path", "length")
+    files = _files(spark, path)
     return files.mapInArrow(gathered(read), INDEX)
 
 
@@ -300,7 +306,7 @@ def scan_tracks(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFra
                 rows = _track_rows(file, size, magic)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.clip").load(path).select("path", "length")
+    files = _files(spark, path)
     return files.mapInArrow(gathered(read), "path string, track int, kind int, code string, tier int, config binary")
 
 

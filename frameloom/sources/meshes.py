@@ -114,7 +114,8 @@ def ply_data(content: bytes, wanted: set[str]) -> tuple[dict[str, np.ndarray], l
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    # In no more tasks than a shuffle has, as Spark plans each short file as 4 MB.
+    return spark.read.format("binaryFile").load(path).select("path", "content").coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _decode(spark: SparkSession, path: str, schema: str, decode) -> DataFrame:

@@ -276,3 +276,13 @@ def test_small_pieces_are_put_together(tmp_path, monkeypatch):
     monkeypatch.setattr(pieces.os, "pwrite", lambda h, c, at: (writes.append((at, len(c))), real(h, c, at))[1])
     told = pieces.PieceWriter({"path": str(tmp_path)}).write(iter(batches))
     assert writes == [(0, 1000), (2000, 3), (0, 1)] and told.sizes == {"a": 1003, "b": 1}
+
+
+def test_many_short_files_are_few_tasks(spark, tmp_path):
+    """A task for every 32 files made the reading of many short clips slow."""
+    for i in range(200):
+        (tmp_path / f"{i}.clip").write_bytes(b"x")
+        (tmp_path / f"{i}.ogg").write_bytes(b"x")
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for found in (clips.scan_index(spark, str(tmp_path)), clips.scan_tracks(spark, str(tmp_path)), packets.scan_ogg(spark, str(tmp_path))):
+        assert found.rdd.getNumPartitions() <= most
