@@ -72,6 +72,12 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this session made by shared_folder()."""
+    """Delete a folder that this session made by shared_folder().
+
+    One of a file system that is mounted here is deleted by this machine's calls, as Hadoop asks its file system several times for each file.
+    """
+    if path.startswith("file:/"):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

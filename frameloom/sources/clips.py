@@ -2,7 +2,7 @@
 
 Writing: items (coded frames, texture frames, audio packets) meet by chunk only, a group of frames each. The chunks' lengths are added up
 in two levels (runs of chunks, then chunks of a run), which gives every chunk's place; header, index runs, track listing and
-chunks are then pieces of one file (see ``pieces``). No task or driver holds more than one chunk's bytes or one run's index entries.
+chunks are then pieces of one file (see ``pieces``). A task goes through a run's chunks in batches; no driver holds chunks or index entries.
 
 Reading: tasks read each file's head and emit its index as rows; chunks are read as byte ranges, dealt out over tasks,
 so a filter on the index reads only the chunks that are left.
@@ -12,15 +12,16 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import remove_folder, shared_folder
-from .container import CHUNK, BLOCK, CHUNK_MAGIC, GOP, HEADER, MAGIC, SUPER, Damaged, _take, chunk
-from .pieces import BYTES, ROWS, STRETCH, gathered, save_pieces
+from .container import CHUNK, BLOCK, CHUNK_MAGIC, GOP, HEADER, MAGIC, SUPER, Damaged, _take
+from .pieces import AT_ONCE, BYTES, PIECE, ROWS, STRETCH, gathered, save_pieces
 
 # Block types and their tracks, and the largest audio packet.
 INTRA, DELTA, TEXTURE, AUDIO = 0, 1, 2, 4
@@ -30,6 +31,11 @@ LARGEST_PACKET = 0xFFFF
 RUN = 4096
 _COUNT, _TEXTURE, _PACKET = struct.Struct("<HH"), struct.Struct("<IB"), struct.Struct("<IHH")
 _BOX_AT = 16
+#: The layouts of GOP, CHUNK and BLOCK as numpy has them.
+_GOP = np.dtype([("pts", "<u8"), ("frame", "<u4"), ("n", "<u2"), ("_", "<u2"), ("at", "<u8"), ("length", "<u4")])
+_CHUNK = np.dtype([("magic", "S4"), ("pts", "<u8"), ("n", "<u2"), ("_", "<u2"), ("box", "<f4", 6), ("blocks", "<u2")])
+_BLOCK = np.dtype([("type", "u1"), ("track", "<u2"), ("at", "<u4"), ("size", "<u4")])
+_CORNERS = ["x0", "y0", "z0", "x1", "y1", "z1"]
 
 
 def texture_block(frames: list[tuple[bytes, bool]]) -> bytes:
@@ -75,71 +81,129 @@ def chunks(frames: DataFrame, fps: float, gop_length: int, textures: DataFrame |
     """
     of = lambda g: F.round(g * gop_length * 1e6 / fps).cast("long")
     none = F.lit(None)
-    corners = ["x0", "y0", "z0", "x1", "y1", "z1"]
-    item = lambda kind, order, key, span, data, *box: F.struct(F.lit(kind).alias("kind"), order.cast("long").alias("order"), key.alias("key"), span.cast("long").alias("span"), data.cast("binary").alias("data"), *box)
-    box = lambda by: F.array(*(F.col(c).cast("double") if by else F.lit(0.0) for c in corners)).alias("box")
+    item = lambda kind, order, key, span, data: F.struct(F.lit(kind).alias("kind"), order.cast("long").alias("order"), key.alias("key"), span.cast("long").alias("span"), data.cast("binary").alias("data")).alias("item")
+    box = lambda by: [(F.col(c) if by else none).cast("double").alias(c) for c in _CORNERS]
     gop = F.floor(F.col("frame") / gop_length)
     first = F.col("frame") % gop_length == 0
-    rows = frames.select("clip", gop.alias("gop"), item(INTRA, F.col("frame"), first, none, F.col("data"), box(True)).alias("item"))
+    rows = frames.select("clip", gop.alias("gop"), item(INTRA, F.col("frame"), first, none, F.col("data")), *box(True))
     if textures is not None:
-        rows = rows.unionByName(textures.select("clip", gop.alias("gop"), item(TEXTURE, F.col("frame"), F.col("is_key"), none, F.col("data"), box(False)).alias("item")))
+        rows = rows.unionByName(textures.select("clip", gop.alias("gop"), item(TEXTURE, F.col("frame"), F.col("is_key"), none, F.col("data")), *box(False)))
     if audio is not None:
         last = frames.groupBy("clip").agg(F.max(gop).alias("last"))
         g = F.floor(F.col("pts") * fps / 1e6 / gop_length)
         # Chunks start at rounded times, which may lie a microsecond beside the quotient.
         near = F.when(F.col("pts") < of(g), g - 1).when(F.col("pts") >= of(g + 1), g + 1).otherwise(g)
-        told = audio.join(last, "clip").select("clip", F.greatest(F.lit(0), F.least("last", near)).cast("long").alias("gop"), item(AUDIO, F.col("pts"), F.lit(False), F.col("duration"), F.col("data"), box(False)).alias("item"))
+        told = audio.join(last, "clip").select("clip", F.greatest(F.lit(0), F.least("last", near)).cast("long").alias("gop"), item(AUDIO, F.col("pts"), F.lit(False), F.col("duration"), F.col("data")), *box(False))
         rows = rows.unionByName(told)
-    held = rows.groupBy("clip", "gop").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    held = rows.groupBy("clip", "gop").agg(F.array_sort(F.collect_list("item")).alias("items"), F.array(*_bounds(F.col)).alias("box"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items, made, size = batch.column("items"), [], 0
-            some = dict(zip((f.name for f in items.type.value_type), items.values.flatten(), strict=True))
-            kind, order, key, span, data = (some[c].to_pylist() for c in ("kind", "order", "key", "span", "data"))
-            sides, ends = some["box"].to_pylist(), items.offsets.to_pylist()
-            for clip, g, a, b in zip(batch.column("clip").to_pylist(), batch.column("gop").to_pylist(), ends, ends[1:], strict=False):
-                # Items are in the order of their kinds.
-                t = a + kind[a:b].count(INTRA)
-                u = t + kind[t:b].count(TEXTURE)
-                corners = list(zip(*sides[a:t], strict=True))
-                bounds = [min(s) for s in corners[:3]] + [max(s) for s in corners[3:]]
-                start = round(g * gop_length * 1e6 / fps)
-                blocks = [(INTRA if key[i] else DELTA, data[i] or b"") for i in range(a, t)]
-                if t < u:
-                    blocks.append((TEXTURE, texture_block([(data[i] or b"", key[i]) for i in range(t, u)])))
-                if u < b:
-                    blocks.append((AUDIO, audio_block([(order[i], span[i], data[i] or b"") for i in range(u, b)], start)))
-                body = chunk(start, t - a, tuple(bounds), [(k, TRACK[k], d) for k, d in blocks])
-                made.append((clip, g, order[a], start, t - a, bounds, len(body), body))
-                if (size := size + len(body)) >= BYTES:
-                    yield _rows(made, types, names)
-                    made, size = [], 0
-            yield _rows(made, types, names)
-
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.binary()]
-    names = ["clip", "gop", "frame", "pts", "n", "box", "length", "body"]
-    return held.select("clip", "gop", "items").mapInArrow(gathered(make), "clip long, gop long, frame long, pts long, n long, box array<double>, length long, body binary")
+            if batch.num_rows:
+                yield from _made(batch, fps, gop_length)
+
+    return held.select("clip", "gop", "items", "box").mapInArrow(gathered(make), "clip long, gop long, frame long, pts long, n long, box array<double>, length long, body binary")
+
+
+def _bounds(of) -> list:
+    """The least of the first three and the largest of the last three corners; of: a corner's column by its name."""
+    return [F.min(of(c)) for c in _CORNERS[:3]] + [F.max(of(c)) for c in _CORNERS[3:]]
+
+
+def _fit(values: np.ndarray, kind: str, what: str) -> np.ndarray:
+    """values as whole numbers of a layout, none of which may be cut."""
+    if len(values) and (values.min() < 0 or values.max() > np.iinfo(kind).max):
+        raise ValueError(f"{what} of {values.min()} to {values.max()} don't fit in {np.dtype(kind).itemsize} bytes")
+    return values.astype(kind)
+
+
+def _made(batch: pa.RecordBatch, fps: float, gop_length: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of (clip, gop, items, box) rows; headers and directories are made for all of them at once."""
+    items, number = batch.column("items"), batch.num_rows
+    some = dict(zip((f.name for f in items.type.value_type), items.values.flatten(), strict=True))
+    kind, order, key = (some[c].to_numpy(zero_copy_only=False) for c in ("kind", "order", "key"))
+    ends = items.offsets.to_numpy().astype(np.int64)
+    first = ends[:-1]
+    # Items are in the order of their kinds.
+    count = lambda k: np.diff(np.concatenate([[0], np.cumsum(kind == k)])[ends])
+    n, textures, packets = (count(k) for k in (INTRA, TEXTURE, AUDIO))
+    box = batch.column("box").flatten().to_numpy(zero_copy_only=False).reshape(-1, 6)
+    if not n.all() or batch.column("box").flatten().null_count:
+        raise ValueError("a chunk has no frames, or none with bounds")
+    low = box.astype("<f4")
+    if (np.isinf(low) & np.isfinite(box)).any():
+        raise ValueError("bounds beyond the range of floats")
+    data = some["data"].fill_null(b"").cast(pa.binary())
+    at = np.frombuffer(data.buffers()[1], "<i4")[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    content = memoryview(data.buffers()[2] or b"")
+    gops = batch.column("gop").to_numpy()
+    pts = np.rint(gops * gop_length * 1e6 / fps).astype(np.int64)
+    # Texture and audio blocks have directories of their own.
+    sides: list[list[bytes]] = [[b""] * number, [b""] * number]
+    for i in np.flatnonzero(textures + packets).tolist():
+        t, u, end = int(first[i] + n[i]), int(first[i] + n[i] + textures[i]), int(ends[i + 1])
+        payload = [bytes(content[at[k] : at[k + 1]]) for k in range(t, end)]
+        if t < u:
+            sides[0][i] = texture_block(list(zip(payload[: u - t], key[t:u], strict=True)))
+        if u < end:
+            sides[1][i] = audio_block(list(zip(order[u:end].tolist(), some["span"][u:end].to_pylist(), payload[u - t :], strict=True)), int(pts[i]))
+    # A block for each frame, then those of the sides.
+    blocks = n + (textures > 0) + (packets > 0)
+    start = np.cumsum(blocks) - blocks
+    listed = np.zeros(int(blocks.sum()), _BLOCK)
+    sizes = np.zeros(len(listed), np.int64)
+    frames = np.flatnonzero(kind == INTRA)
+    own = np.repeat(start - first, n) + frames
+    listed["type"][own] = np.where(key[frames].astype(bool), INTRA, DELTA)
+    sizes[own] = np.diff(at)[frames]
+    for k, there, made in ((TEXTURE, textures > 0, sides[0]), (AUDIO, packets > 0, sides[1])):
+        own = (start + n + ((textures > 0) if k == AUDIO else 0))[there]
+        listed["type"][own] = k
+        sizes[own] = [len(made[i]) for i in np.flatnonzero(there).tolist()]
+    for k in set(TRACK):
+        listed["track"][listed["type"] == k] = TRACK[k]
+    before = np.cumsum(sizes) - sizes
+    where = before + np.repeat(CHUNK.size + BLOCK.size * blocks - before[start], blocks)
+    listed["at"], listed["size"] = _fit(where, "<u4", "places of blocks"), _fit(sizes, "<u4", "sizes of blocks")
+    heads = np.zeros(number, _CHUNK)
+    heads["magic"], heads["pts"], heads["n"], heads["box"], heads["blocks"] = CHUNK_MAGIC, _fit(pts, "<u8", "times"), _fit(n, "<u2", "numbers of frames"), low, _fit(blocks, "<u2", "numbers of blocks")
+    length = CHUNK.size + BLOCK.size * blocks + np.add.reduceat(sizes, start)
+    told = [batch.column("clip"), gops, order[first], pts, n.astype(np.int64), batch.column("box"), length]
+    table = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in told], ["clip", "gop", "frame", "pts", "n", "box", "length"])
+    top, directory, made, size, done = heads.tobytes(), listed.tobytes(), [], 0, 0
+    for i, (a, b, c, d) in enumerate(zip(start.tolist(), (start + blocks).tolist(), at[first].tolist(), at[first + n].tolist(), strict=True)):
+        made.append(b"".join((top[i * CHUNK.size : (i + 1) * CHUNK.size], directory[a * BLOCK.size : b * BLOCK.size], content[c:d], sides[0][i], sides[1][i])))
+        if (size := size + len(made[-1])) >= BYTES or i == number - 1:
+            part = table.slice(done, len(made))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, "body"])
+            done, made, size = i + 1, [], 0
 
 
 def places(found: DataFrame, head: int) -> DataFrame:
-    """found (clip, gop, length, ...) with ``run`` and ``at``: where each chunk starts behind the clip's head and index.
+    """found (clip, gop, n, box, length, ...) with ``run``, ``nth`` (its number there), ``at``: where each chunk starts behind the clip's head and index,
+    and the clip's chunks, frames and box (whole).
 
     Added up over runs, then inside each run, so no task orders more than RUN chunks of a clip, or its runs.
     """
-    runs = found.withColumn("run", F.floor(F.col("gop") / RUN).cast("long"))
-    totals = runs.groupBy("clip", "run").agg(F.sum("length").alias("bytes"), F.count("*").alias("chunks"))
+    run = F.floor(F.col("gop") / RUN).cast("long").alias("run")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    corner = lambda k: F.col("box")[_CORNERS.index(k)]
+    totals = found.groupBy("clip", run).agg(F.sum("length").alias("bytes"), F.count("*").alias("chunks"), F.sum("n").alias("frames"), *(c.alias(name) for name, c in zip(_CORNERS, _bounds(corner), strict=True)))
     before, whole = Window.partitionBy("clip").orderBy("run"), Window.partitionBy("clip")
-    base = totals.select("clip", "run", (F.sum("bytes").over(before) - F.col("bytes")).alias("base"), F.sum("chunks").over(whole).alias("chunks"))
+    sides = F.array(*(c.over(whole) for c in _bounds(F.col))).alias("whole")
+    base = totals.select("clip", "run", (F.sum("bytes").over(before) - F.col("bytes")).alias("base"), *(F.sum(c).over(whole).alias(c) for c in ("chunks", "frames")), sides)
     inside = Window.partitionBy("clip", "run").orderBy("gop")
-    at = F.lit(head) + F.col("chunks") * GOP.size + F.col("base") + F.sum("length").over(inside) - F.col("length")
-    return runs.join(base, ["clip", "run"]).withColumn("at", at.cast("long"))
+    # By number, as rows without bodies are few bytes and many chunks.
+    laid = found.withColumn("run", run).repartition(parts, "clip", "run").withColumn("nth", F.row_number().over(inside) - 1).withColumn("behind", F.sum("length").over(inside) - F.col("length"))
+    at = F.lit(head) + F.col("chunks") * GOP.size + F.col("base") + F.col("behind")
+    return laid.join(base, ["clip", "run"]).withColumn("at", at.cast("long")).drop("base", "behind")
 
 
 def write_clips(found: DataFrame, folder: str, fps: float, gop_length: int, bits: int = 14, magic: bytes = MAGIC, shift: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> None:
     """Write a file ``<clip>.clip`` below a folder for each clip of chunks().
 
     shift: added to all bounds, of clips and chunks, as a clip that is moved once it is known whole. Bodies are kept in the shared folder until the files stand.
+    A task has the chunks of a run in order, so what follows each other in a file is one piece: a short clip is written at once.
     """
     spark = found.sparkSession
     tracks = [(0, 0, "RAW0"), (1, 1, "TEX0"), (2, 2, "AUD0")]
@@ -150,49 +214,57 @@ def write_clips(found: DataFrame, folder: str, fps: float, gop_length: int, bits
         kept = spark.read.schema(found.schema).parquet(stage)
         meta_size = len(_pair("gop_length", str(gop_length)))
         head = HEADER.size + SUPER.size + meta_size + 4 + len(listing)
-        laid = places(kept.drop("body"), head)
-        name = F.concat(F.col("clip").cast("string"), F.lit(".clip"))
-        bounds = [F.min(F.col("box")[k]) for k in range(3)] + [F.max(F.col("box")[k]) for k in range(3, 6)]
-        clips = kept.groupBy("clip").agg(F.sum("n").alias("frames"), F.count("*").alias("chunks"), F.array(*bounds).alias("box"))
+        laid = places(kept, head).sortWithinPartitions("clip", "run", "gop")
         moved = [*shift, *shift]
-
-        def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    yield _pieces(_head(r, moved, fps, bits, gop_length, magic, listing))
-
         index_at = head - len(listing)
-        entry = F.struct("gop", "pts", "frame", "n", "at", "length")
 
-        def indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    yield _pieces([_index_run(r, index_at)])
+                if batch.num_rows:
+                    yield from _laid(batch, moved, index_at, lambda r: _head(r, moved, fps, bits, gop_length, magic, listing))
 
-        def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows, size = [], 0
-                for file, at, box, body in zip(batch.column("file").to_pylist(), batch.column("at").to_pylist(), batch.column("box").to_pylist(), batch.column("body"), strict=True):
-                    content = body.as_buffer().to_pybytes()
-                    if any(moved):
-                        content = content[:_BOX_AT] + struct.pack("<6f", *(a + b for a, b in zip(box, moved, strict=True))) + content[_BOX_AT + 24 :]
-                    rows.append((file, at, content))
-                    if (size := size + len(content)) >= BYTES:
-                        yield _pieces(rows)
-                        rows, size = [], 0
-                yield _pieces(rows)
-
-        runs = laid.groupBy("clip", "run").agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(name.alias("file"), "run", "entries")
-        full = kept.select("clip", "gop", "box", "body").join(laid.select("clip", "gop", "at"), ["clip", "gop"]).select(name.alias("file"), "at", "box", "body")
-        schema = "file string, at long, data binary"
-        save_pieces(clips.mapInArrow(gathered(heads), schema).union(runs.mapInArrow(gathered(indexes), schema)).union(full.mapInArrow(gathered(bodies), schema)), folder)
+        columns = ["clip", "run", "nth", "pts", "frame", "n", "at", "length", "box", "body", "chunks", "frames", "whole"]
+        save_pieces(laid.select(*columns).mapInArrow(gathered(work), PIECE), folder, dealt=True)
     finally:
         remove_folder(spark, stage)
 
 
+def _laid(batch: pa.RecordBatch, moved: list[float], index_at: int, top: Callable[[dict], list[tuple[str, int, bytes]]]) -> Iterator[pa.RecordBatch]:
+    """The pieces of chunks in the order of their clips and runs, whose places and totals are known; top: the pieces around a clip's index."""
+    clip, run, nth, at, length = (batch.column(c).to_numpy() for c in ("clip", "run", "nth", "at", "length"))
+    body = batch.column("body").cast(pa.binary())
+    ends = np.frombuffer(body.buffers()[1], "<i4")[body.offset : body.offset + len(body) + 1].astype(np.int64)
+    content = body.buffers()[2]
+    if any(moved):
+        content = np.frombuffer(content, "u1").copy()
+        sides = (batch.column("box").flatten().to_numpy().reshape(-1, 6) + moved).astype("<f4")
+        content[ends[:-1, None] + _BOX_AT + np.arange(24)] = sides.view("u1").reshape(-1, 24)
+    content = memoryview(content)
+    entries = np.zeros(len(clip), _GOP)
+    for c, kind in (("pts", "<u8"), ("frame", "<u4"), ("n", "<u2"), ("at", "<u8"), ("length", "<u4")):
+        entries[c] = _fit(batch.column(c).to_numpy(), kind, c)
+    listed = entries.tobytes()
+    new = np.flatnonzero((np.diff(clip) != 0) | (np.diff(run) != 0)) + 1
+    # Bodies that follow each other are a piece, of a megabyte unless one body is longer.
+    filled = (ends[:-1] - ends[0]) // AT_ONCE
+    cuts = np.union1d(new, np.flatnonzero((at[1:] != at[:-1] + length[:-1]) | (np.diff(filled) != 0)) + 1)
+    rows, size = [], 0
+    for i, j in zip([0, *new.tolist()], [*new.tolist(), len(clip)], strict=True):
+        file = f"{clip[i]}.clip"
+        around = top({k: batch.column(k)[i].as_py() for k in ("clip", "chunks", "frames", "whole")}) if run[i] == 0 and nth[i] == 0 else []
+        put = [*around[:1], (file, index_at + int(run[i] * RUN + nth[i]) * GOP.size, listed[i * GOP.size : j * GOP.size]), *around[1:]]
+        own = [i, *cuts[np.searchsorted(cuts, i, "right") : np.searchsorted(cuts, j)].tolist(), j]
+        put += [(file, int(at[a]), bytes(content[ends[a] : ends[b]])) for a, b in zip(own, own[1:], strict=False)]
+        rows += put
+        if (size := size + sum(len(d) for _, _, d in put)) >= BYTES:
+            yield _pieces(rows)
+            rows, size = [], 0
+    yield _pieces(rows)
+
+
 def _head(clip: dict, moved: list[float], fps: float, bits: int, gop_length: int, magic: bytes, listing: bytes) -> list[tuple[str, int, bytes]]:
     """The pieces before and behind a clip's index."""
-    top = SUPER.pack(*(a + b for a, b in zip(clip["box"], moved, strict=True)), bits, 16, 0, 0, gop_length, 0, 0, 0, 0, 0, 0, 1) + _pair("gop_length", str(gop_length))
+    top = SUPER.pack(*(a + b for a, b in zip(clip["whole"], moved, strict=True)), bits, 16, 0, 0, gop_length, 0, 0, 0, 0, 0, 0, 1) + _pair("gop_length", str(gop_length))
     index = HEADER.size + len(top)
     listed = index + 4 + GOP.size * clip["chunks"]
     plain = HEADER.pack(magic, 0, 2, 0, 0, 0, 2, 1, fps, clip["frames"], round(clip["frames"] * 1e6 / fps), HEADER.size, index, listed, listed + len(listing), 0)
@@ -200,10 +272,6 @@ def _head(clip: dict, moved: list[float], fps: float, bits: int, gop_length: int
     return [(file, 0, plain[:60] + struct.pack("<I", zlib.crc32(plain[:60])) + top + struct.pack("<I", clip["chunks"])), (file, listed, listing)]
 
 
-def _index_run(run: dict, index_at: int) -> tuple[str, int, bytes]:
-    return run["file"], index_at + run["run"] * RUN * GOP.size, b"".join(GOP.pack(e["pts"], e["frame"], e["n"], 0, e["at"], e["length"]) for e in run["entries"])
-
-
 def _pair(key: str, value: str) -> bytes:
     return b"".join(struct.pack("<H", len(x)) + x for x in (key.encode(), value.encode()))
 

@@ -4,7 +4,7 @@ A row is a piece: a file's name below the target folder, the place of its first
 part files of the job; none holds more than a megabyte and one piece, and no piece reaches the driver. Commit happens in two
 phases: a task tells how many bytes it wrote to each file, and the driver renames a part file only if its size is the
 sum of what was told, so pieces neither leave holes nor overlap. A task that is run again writes the same bytes to the
-same places. Aborting deletes the job's part files.
+same places. Aborting deletes the job's part files, which lie in a hidden folder of their own.
 
 Writing at an offset needs a file system with random access (local, NFS, Lustre and the like, under the scheme ``file``).
 """
@@ -12,7 +12,9 @@ Writing at an offset needs a file system with random access (local, NFS, Lustre
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -27,6 +29,8 @@ from pyspark.sql.types import StructType
 PIECE = "file string, at long, data binary"
 #: Bytes of a file that go to one task in order, bytes that are written at once, and rows and bytes of a batch.
 STRETCH, AT_ONCE, ROWS, BYTES = 64 << 20, 1 << 20, 8192, 4 << 20
+#: Folders that the part files of a job are spread over.
+FOLDERS = 256
 
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -65,13 +69,15 @@ class PieceWriter(DataSourceArrowWriter):
         self.root = local_folder(options["path"])
         self.job = uuid.uuid4().hex
 
-    def _part(self, name: str) -> Path:
-        final = self.root / name
-        return final.with_name(f".{final.name}.{self.job}.part")
+        self.parts = f"{self.root}/.{self.job}.part"
+
+    def _part(self, name: str) -> str:
+        # In one folder tasks wait for each other to make a file.
+        return f"{self.parts}/{zlib.crc32(name.encode()) % FOLDERS:02x}/{name}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         sizes: Counter[str] = Counter()
-        name, handle = None, -1
+        name, folders, handle = None, set(), -1
         held, start, size = [], 0, 0
 
         def put() -> None:
@@ -91,8 +97,9 @@ class PieceWriter(DataSourceArrowWriter):
                         if handle >= 0:
                             os.close(handle)
                         part = self._part(file)
-                        if name is None or part.parent != self._part(name).parent:
-                            part.parent.mkdir(parents=True, exist_ok=True)
+                        if (folder := os.path.dirname(part)) not in folders:
+                            os.makedirs(folder, exist_ok=True)
+                            folders.add(folder)
                         name, handle = file, os.open(part, os.O_WRONLY | os.O_CREAT, 0o644)
                     content = data.as_buffer() or b""
                     held.append(content)
@@ -110,16 +117,20 @@ class PieceWriter(DataSourceArrowWriter):
             if m:
                 total.update(m.sizes)
         for name, size in total.items():
-            if (found := self._part(name).stat().st_size) != size:
+            if (found := os.stat(self._part(name)).st_size) != size:
                 self.abort(messages)
                 raise ValueError(f"{name}: pieces of {size} bytes leave holes or overlap in a file of {found}")
         # What describes other files comes last.
+        folders = set()
         for name in sorted(total, key=lambda n: (n.endswith(".json"), n)):
-            os.replace(self._part(name), self.root / name)
+            if (folder := os.path.dirname(name)) not in folders:
+                os.makedirs(f"{self.root}/{folder}", exist_ok=True)
+                folders.add(folder)
+            os.replace(self._part(name), f"{self.root}/{name}")
+        shutil.rmtree(self.parts, ignore_errors=True)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for part in self.root.rglob(f".*.{self.job}.part"):
-            part.unlink(missing_ok=True)
+        shutil.rmtree(self.parts, ignore_errors=True)
 
 
 class PieceFiles(DataSource):
@@ -134,11 +145,15 @@ class PieceFiles(DataSource):
         return PieceWriter(self.options)
 
 
-def save_pieces(pieces: DataFrame, folder: str) -> None:
-    """Write the files of pieces (file, at, data) below a folder; existing files of these names are replaced."""
+def save_pieces(pieces: DataFrame, folder: str, dealt: bool = False) -> None:
+    """Write the files of pieces (file, at, data) below a folder; existing files of these names are replaced.
+
+    dealt: pieces of a stretch are in one task already, in their order.
+    """
     pieces.sparkSession.dataSource.register(PieceFiles)
     local_folder(folder).mkdir(parents=True, exist_ok=True)
-    # A stretch of a file goes to one task in order, so a short file is opened once, and tasks tell the driver of their own files only.
-    told = pieces.select("file", F.col("at").cast("long").alias("at"), "data").repartition("file", F.floor(F.col("at") / STRETCH)).sortWithinPartitions("file", "at")
+    told = pieces.select("file", F.col("at").cast("long").alias("at"), "data")
+    if not dealt:
+        # A stretch of a file goes to one task in order, so a short file is opened once, and tasks tell the driver of their own files only.
+        told = told.repartition("file", F.floor(F.col("at") / STRETCH)).sortWithinPartitions("file", "at")
     told.write.format("file_pieces").mode("append").save(folder)
-

@@ -286,3 +286,32 @@ def test_many_short_files_are_few_tasks(spark, tmp_path):
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for found in (clips.scan_index(spark, str(tmp_path)), clips.scan_tracks(spark, str(tmp_path)), packets.scan_ogg(spark, str(tmp_path))):
         assert found.rdd.getNumPartitions() <= most
+
+
+def test_a_short_clip_is_written_at_once(spark, tmp_path, monkeypatch):
+    """Index entries in one task, a piece for each chunk and parts in one folder made many short clips slow."""
+    laid, real = [], clips.save_pieces
+    monkeypatch.setattr(clips, "save_pieces", lambda df, folder, **k: (laid.extend((r[0], r[1], len(r[2]), r[3]) for r in df.select("file", "at", "data", F.spark_partition_id()).collect()), real(df, folder, **k)))
+    df = spark.range(4000).select((F.col("id") % 200).alias("clip"), F.floor(F.col("id") / 200).alias("frame"), *(F.lit(0.0).alias(c) for c in ("x0", "y0", "z0", "x1", "y1", "z1")), F.lit(b"abc").alias("data"))
+    clips.write_clips(clips.chunks(df, 30.0, 2), str(tmp_path), 30.0, 2)
+    assert Counter(p[0] for p in laid) == {f"{c}.clip": 4 for c in range(200)} and len({p[3] for p in laid}) > 1
+    for a, b in zip(laid, laid[1:]):
+        assert a[0] != b[0] or a[1] + a[2] == b[1]
+    assert [b[5] for b in container.parse((tmp_path / "7.clip").read_bytes())["blocks"]] == [b"abc"] * 20
+
+
+def test_values_that_no_layout_holds_are_refused(spark, tmp_path):
+    good = {"clip": 1, "frame": 0, "x0": 0.0, "y0": 0.0, "z0": 0.0, "x1": 1.0, "y1": 1.0, "z1": 1.0, "data": b"a"}
+    for changed in ({"x1": 1e300}, {"x0": None}, {"frame": 1 << 33}):
+        bad = spark.createDataFrame([tuple((good | changed).values())], FRAMES)
+        with pytest.raises(Exception, match="range of floats|no frames|don't fit"):
+            clips.write_clips(clips.chunks(bad, 30.0, 1), str(tmp_path), 30.0, 1)
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_part_files_are_spread_over_folders(tmp_path):
+    w = pieces.PieceWriter({"path": str(tmp_path)})
+    told = w.write(iter([batch(*((f"{i}.clip", 0, b"x") for i in range(300)), ("d/9.clip", 0, b"x"))]))
+    assert len({p.parent for p in tmp_path.rglob("*.clip")}) > 100
+    w.commit([told])
+    assert len(list(tmp_path.glob("*.clip"))) == 300 and (tmp_path / "d/9.clip").exists() and not list(tmp_path.rglob("*.part"))
