@@ -70,8 +70,7 @@ _F32 = lambda x: f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
 def write_container_streaming(spark: SparkSession, sf: str) -> DataFrame:
     """Bounds of chunks and clips that were moved when the clip was known whole."""
     folder = written(spark, sf, shift=(100.0, 0.0, 0.0))
-    index = clips.scan_index(spark, folder)
-    boxes = clips.scan_chunks(index).where("place = 0").join(index.select("path", "gop", F.col("box").alias("whole")), ["path", "gop"])
+    boxes = clips.scan_chunks(clips.scan_index(spark, folder).withColumnRenamed("box", "whole"), keep=["whole"]).where("place = 0")
     two = lambda c: rounded(c.cast("double"), 2)
     return read_once(boxes.select(clip_of(), "gop", two(F.col("box")[0]).alias("low"), two(F.col("box")[3]).alias("high"), two(F.col("whole")[0]).alias("clip_low")), folder)
 

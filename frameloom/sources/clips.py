@@ -10,9 +10,10 @@ so a filter on the index reads only the chunks that are left.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import remove_folder, shared_folder
-from .container import CHUNK, BLOCK, CHUNK_MAGIC, GOP, HEADER, MAGIC, SUPER, Damaged, _take
+from .container import BLOCK, CHUNK, CHUNK_MAGIC, GOP, HEADER, MAGIC, SUPER, Damaged, _take
 from .pieces import AT_ONCE, BYTES, PIECE, ROWS, STRETCH, gathered, save_pieces
 
 # Block types and their tracks, and the largest audio packet.
@@ -287,44 +288,87 @@ def _rows(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.R
 INDEX = "path string, bytes long, fps double, frames long, duration_us long, gop_length int, box array<double>, gop long, pts long, frame_start long, n int, at long, length long"
 
 
-def _open(path: str):
-    from pyarrow import fs
+class _File:
+    """A file that is read by places; its first bytes are read with one call."""
 
-    if path.startswith("file:") or "://" not in path:
-        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
-    system, place = fs.FileSystem.from_uri(path)
-    return system.open_input_file(place)
+    def __init__(self, path: str, first: int = 0) -> None:
+        self.handle, self.remote = -1, None
+        if path.startswith("file:") or "://" not in path:
+            self.handle = os.open("/" + path.removeprefix("file:").lstrip("/"), os.O_RDONLY)
+        else:
+            from pyarrow import fs
 
+            system, place = fs.FileSystem.from_uri(path)
+            self.remote = system.open_input_file(place)
+        self.first = b""
+        if first:
+            self.first = self.read_at(first, 0)
 
-def _index_rows(file: str, size: int, magic: bytes) -> Iterator[list]:
-    """Columns of INDEX for each run of a file's chunks."""
-    with _open(file) as f:
-        h = _take(HEADER, f.read_at(min(size, HEADER.size), 0), 0)
-        if h[0] != magic or h[-1] not in (0, zlib.crc32(f.read_at(60, 0))) or h[1] > 0:
+    def read_at(self, size: int, at: int) -> bytes:
+        if at + size <= len(self.first):
+            return self.first[at : at + size]
+        if self.remote:
+            return self.remote.read_at(size, at)
+        made = os.pread(self.handle, size, at)
+        while 0 < len(made) < size and (more := os.pread(self.handle, size - len(made), at + len(made))):
+            made += more
+        return made
+
+    def close(self) -> None:
+        if self.remote:
+            self.remote.close()
+        else:
+            os.close(self.handle)
+
+    def __enter__(self) -> _File:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+#: Bytes of a file's head that are read at once.
+_FIRST = 1 << 14
+
+
+def _index_runs(file: str, size: int, magic: bytes) -> Iterator[tuple[tuple, int, np.ndarray]]:
+    """((path, bytes, fps, frames, duration, gop_length, box), number of the first, index entries) for each run of a file's chunks."""
+    with _File(file, min(size, _FIRST)) as f:
+        top = f.read_at(min(size, HEADER.size), 0)
+        h = _take(HEADER, top, 0)
+        if h[0] != magic or h[-1] not in (0, zlib.crc32(top[:60])) or h[1] > 0:
             raise Damaged(f"{file}: magic, checksum or version")
         fps, frames, duration, super_at, gop_at = h[8:13]
+        if max(super_at, gop_at) > size:
+            raise Damaged(f"{file}: an index beyond the file")
         s = _take(SUPER, f.read_at(SUPER.size, super_at), 0)
         (n,) = _take(struct.Struct("<I"), f.read_at(4, gop_at), 0)
         if gop_at + 4 + n * GOP.size > size:
             raise Damaged(f"{file}: {n} chunks")
         for first in range(0, n, RUN):
             k = min(RUN, n - first)
-            rows = list(GOP.iter_unpack(f.read_at(k * GOP.size, gop_at + 4 + first * GOP.size)))
-            if any(at + length > size for *_, at, length in rows):
+            content = f.read_at(k * GOP.size, gop_at + 4 + first * GOP.size)
+            if len(content) < k * GOP.size:
+                raise Damaged(f"{file}: {n} chunks")
+            rows = np.frombuffer(content, _GOP)
+            if (rows["at"] > size).any() or (rows["length"] > size - rows["at"].astype(np.int64)).any() or (rows["pts"] >> 63).any():
                 raise Damaged(f"{file}: a chunk ends beyond the file")
-            pts, frame, count, _, at, length = zip(*rows, strict=True)
-            yield [[file] * k, [size] * k, [fps] * k, [frames] * k, [duration] * k, [s[10]] * k, [list(s[:6])] * k, range(first, first + k), pts, frame, count, at, length]
+            yield (file, size, fps, frames, duration, s[10], s[:6]), first, rows
 
 
-def _blocks(name: str, content: bytes, at: int) -> tuple[list[float], list[tuple[int, int, bytes]]]:
-    """(box, (type, track, payload) of each block) of a chunk."""
-    c = _take(CHUNK, content, 0)
-    if c[0] != CHUNK_MAGIC:
-        raise Damaged(f"{name}: no chunk at {at}")
-    entries = [_take(BLOCK, content, CHUNK.size + k * BLOCK.size) for k in range(c[-1])]
-    if any(where + size > len(content) for _, _, where, size in entries):
-        raise Damaged(f"{name}: a block ends beyond its chunk")
-    return list(c[4:10]), [(kind, track, content[where : where + size]) for kind, track, where, size in entries]
+def _index_batch(runs: list[tuple[tuple, int, np.ndarray]]) -> pa.RecordBatch:
+    """Runs as rows of INDEX."""
+    n = [len(rows) for _, _, rows in runs]
+    of = np.repeat(np.arange(len(runs)), n)
+    rows = np.concatenate([rows for _, _, rows in runs])
+    file, size, fps, frames, duration, gop_length, box = zip(*(head for head, _, _ in runs), strict=True)
+    each = lambda values, kind: pa.array(values, kind).take(pa.array(of))
+    gop = np.concatenate([np.arange(first, first + len(r)) for _, first, r in runs])
+    boxes = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype="<i4") * 6), pa.array(np.array(box, "<f8")[of].ravel()))
+    whole = lambda c, kind: pa.array(rows[c].astype(kind))
+    columns = [each(file, pa.string()), each(size, pa.int64()), each(fps, pa.float64()), each(frames, pa.int64()), each(duration, pa.int64()), each(gop_length, pa.int32()), boxes]
+    columns += [pa.array(gop), whole("pts", "<i8"), whole("frame", "<i8"), whole("n", "<i4"), whole("at", "<i8"), whole("length", "<i8")]
+    return pa.RecordBatch.from_arrays(columns, [part.split()[0] for part in INDEX.split(", ")])
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -337,23 +381,28 @@ def scan_index(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFram
     """One row per chunk of each file below path; only heads are read. A file that isn't a container, or is cut off, ends the job."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for file, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                for columns in _index_rows(file, size, magic):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, index_types, strict=True)], index_names)
+            for file, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                for run in _index_runs(file, length, magic):
+                    held.append(run)
+                    if (size := size + len(run[2])) >= ROWS:
+                        yield _index_batch(held)
+                        held, size = [], 0
+        if held:
+            yield _index_batch(held)
 
-    index_types = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    index_names = [part.split()[0] for part in INDEX.split(", ")]
-    files = _files(spark, path)
-    return files.mapInArrow(gathered(read), INDEX)
+    return _files(spark, path).mapInArrow(gathered(read), INDEX)
 
 
 def _track_rows(file: str, size: int, magic: bytes) -> list[tuple]:
-    with _open(file) as f:
+    with _File(file, min(size, _FIRST)) as f:
         h = _take(HEADER, f.read_at(min(size, HEADER.size), 0), 0)
         if h[0] != magic:
             raise Damaged(f"{file}: magic")
         at, end = h[13], h[14]
+        if not at <= min(end, size):
+            raise Damaged(f"{file}: tracks beyond the file")
         listing = f.read_at(min(end, size) - at, at)
         (n,) = _take(struct.Struct("<H"), listing, 0)
         rows, place = [], 2
@@ -369,45 +418,94 @@ def scan_tracks(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFra
     types, names = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary()], ["path", "track", "kind", "code", "tier", "config"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for batch in batches:
             for file, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                rows = _track_rows(file, size, magic)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+                rows += _track_rows(file, size, magic)
+                if len(rows) >= ROWS:
+                    yield _rows(rows, types, names)
+                    rows = []
+        yield _rows(rows, types, names)
 
     files = _files(spark, path)
     return files.mapInArrow(gathered(read), "path string, track int, kind int, code string, tier int, config binary")
 
 
-def scan_chunks(index: DataFrame) -> DataFrame:
+def _blocks(chunks: pa.RecordBatch, content: bytes, start: np.ndarray, kept: list[str]) -> pa.RecordBatch:
+    """The blocks of chunks (path, gop, frame_start, n, pts, at, length, ...), whose bytes begin at start; all are taken apart at once."""
+    bytes_, length = np.frombuffer(content, "u1"), chunks.column("length").to_numpy()
+    name = lambda i: f"{chunks.column('path')[int(i)]}: "
+    short = np.flatnonzero(length < CHUNK.size)
+    if len(short):
+        raise Damaged(f"{name(short[0])}no chunk at {chunks.column('at')[int(short[0])]}")
+    heads = bytes_[start[:, None] + np.arange(CHUNK.size)].reshape(-1).view(_CHUNK)
+    other = np.flatnonzero(heads["magic"] != CHUNK_MAGIC)
+    if len(other):
+        raise Damaged(f"{name(other[0])}no chunk at {chunks.column('at')[int(other[0])]}")
+    count = heads["blocks"].astype(np.int64)
+    of = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    beyond = CHUNK.size + count * BLOCK.size > length
+    if not beyond.any():
+        entries = bytes_[(start[of] + CHUNK.size + place * BLOCK.size)[:, None] + np.arange(BLOCK.size)].reshape(-1).view(_BLOCK)
+        where, size = entries["at"].astype(np.int64), entries["size"].astype(np.int64)
+        beyond = np.bincount(of, where + size > length[of], len(count)) > 0
+    if beyond.any():
+        raise Damaged(f"{name(np.flatnonzero(beyond)[0])}a block ends beyond its chunk")
+    first = start[of] + where
+    data = [content[a:b] for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)]
+    taken = chunks.take(pa.array(of))
+    boxes = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype="<i4") * 6), pa.array(heads["box"].astype("<f8")[of].ravel()))
+    columns = [*(taken.column(c) for c in _CHUNK_KEYS), boxes, pa.array(place), *(pa.array(entries[c].astype("<i4")) for c in ("type", "track")), pa.array(data, pa.binary()), *(taken.column(c) for c in kept)]
+    return pa.RecordBatch.from_arrays(columns, [*_CHUNK_KEYS, "box", "place", "type", "track", "data", *kept])
+
+
+_CHUNK_KEYS = ["path", "gop", "frame_start", "n", "pts"]
+
+
+def scan_chunks(index: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(path, gop, frame_start, n, pts, box, place, type, track, data): the blocks of the chunks that index rows name, read as byte ranges.
 
-    Stretches of files are dealt out over the shuffle partitions, so many tasks read a long file, and a short one is opened once.
+    keep: further columns of index that come along. Stretches of files are dealt out over the shuffle partitions, so many tasks read a long file,
+    and a short one is opened once; chunks that follow each other are read together.
     """
+    kept = list(keep)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, f = None, None
-        rows, size = [], 0
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["path"] != name:
-                    if f:
-                        f.close()
-                    name, f = r["path"], _open(r["path"])
-                box, found = _blocks(name, f.read_at(r["length"], r["at"]), r["at"])
-                rows += [(name, r["gop"], r["frame_start"], r["n"], r["pts"], box, k, *x) for k, x in enumerate(found)]
-                if (size := size + r["length"]) >= BYTES or len(rows) >= ROWS:
-                    yield _rows(rows, types, names)
-                    rows, size = [], 0
-        yield _rows(rows, types, names)
-        if f:
-            f.close()
-
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["path", "gop", "frame_start", "n", "pts", "box", "place", "type", "track", "data"]
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                at, length = (batch.column(c).to_numpy() for c in ("at", "length"))
+                code = batch.column("path").dictionary_encode().indices.to_numpy()
+                before = np.cumsum(length) - length
+                # A read is of a megabyte, unless a chunk is longer.
+                cuts = (np.flatnonzero((np.diff(code) != 0) | (at[1:] != at[:-1] + length[:-1]) | (np.diff(before // AT_ONCE) != 0)) + 1).tolist()
+                held, size, done = [], 0, 0
+                for i, j in zip([0, *cuts], [*cuts, len(at)], strict=True):
+                    path = batch.column("path")[i].as_py()
+                    if path != name:
+                        if f:
+                            f.close()
+                        name, f = path, _File(path)
+                    n = int(length[i:j].sum())
+                    held.append(f.read_at(n, int(at[i])))
+                    if len(held[-1]) < n:
+                        raise Damaged(f"{name}: a chunk ends beyond the file")
+                    if (size := size + n) >= BYTES or j == len(at):
+                        yield _blocks(batch.slice(done, j - done), b"".join(held), before[done:j] - before[done], kept)
+                        held, size, done = [], 0, j
+        finally:
+            if f:
+                f.close()
+
+    schema = "path string, gop long, frame_start long, n int, pts long, box array<double>, place long, type int, track int, data binary"
     # By number, as rows of an index are few bytes and many chunks.
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = index.select("path", "gop", "frame_start", "n", "pts", "at", "length").repartition(parts, "path", F.floor(F.col("at") / STRETCH)).sortWithinPartitions("path", "gop")
-    return dealt.mapInArrow(gathered(read), "path string, gop long, frame_start long, n int, pts long, box array<double>, place long, type int, track int, data binary")
+    dealt = index.select(*_CHUNK_KEYS, "at", "length", *kept).repartition(parts, "path", F.floor(F.col("at") / STRETCH)).sortWithinPartitions("path", "gop")
+    extra = "".join(f", `{c}` {index.schema[c].dataType.simpleString()}" for c in kept)
+    return dealt.mapInArrow(gathered(read), schema + extra)
 
 
 def geometry_frames(blocks: DataFrame) -> DataFrame:

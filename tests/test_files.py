@@ -1,6 +1,7 @@
 """Clip files and depth runs: against a whole-file writer and parser, cut files, ranges, holes and tasks that run twice."""
 
 import json
+import os
 from collections import Counter
 
 import numpy as np
@@ -315,3 +316,30 @@ def test_part_files_are_spread_over_folders(tmp_path):
     assert len({p.parent for p in tmp_path.rglob("*.clip")}) > 100
     w.commit([told])
     assert len(list(tmp_path.glob("*.clip"))) == 300 and (tmp_path / "d/9.clip").exists() and not list(tmp_path.rglob("*.part"))
+
+
+def test_a_short_clip_is_read_with_one_call(spark, frames, tmp_path, monkeypatch):
+    """Four calls and a batch for each file, a call for each chunk and a second look at the index made many short clips slow."""
+    clips.write_clips(clips.chunks(frames, 30.0, 4), str(tmp_path), 30.0, 4)
+    reads, real = [], os.pread
+    monkeypatch.setattr(os, "pread", lambda h, size, at: (reads.append((size, at)), real(h, size, at))[1])
+    path = str(tmp_path / "1.clip")
+    size = os.path.getsize(path)
+    runs = list(clips._index_runs(path, size, container.MAGIC))
+    assert reads == [(size, 0)] and clips._index_batch(runs * 3).column("gop").to_pylist() == [*range(6)] * 3
+    index = clips.scan_index(spark, str(tmp_path))
+    got = clips.scan_chunks(index.withColumnRenamed("box", "whole"), keep=["whole"]).where("place = 0").collect()
+    want = {(r["path"], r["gop"]): r["box"] for r in index.collect()}
+    assert {(r["path"], r["gop"]): r["whole"] for r in got} == want and len(got) == len(want) == 9
+
+
+def test_damaged_chunks(spark, frames, tmp_path):
+    clips.write_clips(clips.chunks(frames, 30.0, 4), str(tmp_path), 30.0, 4)
+    path = tmp_path / "1.clip"
+    whole = path.read_bytes()
+    at = container.parse(whole)["gops"][3][4]
+    entry = at + container.CHUNK.size
+    for changed in (whole[:at] + b"XXXX" + whole[at + 4 :], whole[: at + 40] + b"\xff\xff" + whole[at + 42 :], whole[: entry + 7] + b"\xff\xff\xff\xff" + whole[entry + 11 :]):
+        path.write_bytes(changed)
+        with pytest.raises(Exception, match="Damaged"):
+            clips.scan_chunks(clips.scan_index(spark, str(tmp_path))).collect()
