@@ -8,8 +8,8 @@ repeated number leaves a hole or an overlap, which the commit refuses.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.encodings import SH_C0
 from ..session import remove_folder, shared_folder
 from .meshes import SPLAT_RECORD, _files, is_splat, ply_header
-from .pieces import PIECE, gathered, save_pieces
+from .pieces import BYTES, PIECE, gathered, save_pieces
 
 RUN = 4096
 
@@ -30,7 +30,10 @@ def _batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
 
 def _runs(rows: DataFrame, number: str, columns: Sequence[str | Column]) -> DataFrame:
     """(path, run, items): runs of rows in the order of their numbers."""
-    return rows.groupBy("path", F.floor(F.col(number) / RUN).alias("run")).agg(F.array_sort(F.collect_list(F.struct(F.col(number).cast("long").alias("_k"), *columns))).alias("items"))
+    # By number, as many packets may be few bytes in a shuffle.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_run", F.floor(F.col(number) / RUN)).repartition(parts, "path", "_run")
+    return dealt.groupBy("path", F.col("_run").alias("run")).agg(F.array_sort(F.collect_list(F.struct(F.col(number).cast("long").alias("_k"), *columns))).alias("items"))
 
 
 def _records(rows: DataFrame, number: str, columns: Sequence[str | Column], base: DataFrame, stride: int, encode: Callable[[pa.StructArray], bytes]) -> DataFrame:
@@ -141,9 +144,13 @@ def write_obj(vertices: DataFrame, triangles: DataFrame, folder: str) -> None:
 def _packed(rows: DataFrame, number: str, columns: Sequence[str], encode: Callable[[dict], bytes]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                body = b"".join(encode(r) for r in batch.column("items")[i].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column("path").slice(i, 1), pa.array([0], pa.int32()), batch.column("run").slice(i, 1), pa.array([body], pa.binary())], ["path", "part", "run", "body"])
+            size, start, bodies = 0, 0, []
+            for i, row in enumerate(batch.column("items")):
+                bodies.append(b"".join(encode(r) for r in row.values.to_pylist()))
+                if (size := size + len(bodies[-1])) >= BYTES or i == batch.num_rows - 1:
+                    path, run = (batch.column(c).slice(start, len(bodies)) for c in ("path", "run"))
+                    yield pa.RecordBatch.from_arrays([path, pa.array([0] * len(bodies), pa.int32()), run, pa.array(bodies, pa.binary())], ["path", "part", "run", "body"])
+                    size, start, bodies = 0, i + 1, []
 
     return _runs(rows, number, columns).select("path", F.col("run").cast("long").alias("run"), "items").mapInArrow(gathered(work), "path string, part int, run long, body binary")
 
@@ -160,28 +167,23 @@ def write_ivf(frames: DataFrame, folder: str, code: str = "AV01", width: int = 8
     _laid_out(frames.sparkSession, runs, known, folder)
 
 
-@lru_cache(maxsize=1)
-def _ogg_table() -> list[int]:
-    """By byte, for the page checksum's polynomial 0x04C11DB7, high bit first."""
-    out = []
-    for byte in range(256):
-        c = byte << 24
-        for _ in range(8):
-            c = (c << 1 ^ (0x04C11DB7 if c >> 31 else 0)) & 0xFFFFFFFF
-        out.append(c)
-    return out
+#: Every byte with its bits turned round.
+_TURNED = bytes(int(f"{byte:08b}"[::-1], 2) for byte in range(256))
+
+
+def _ogg_checksum(page: bytes) -> int:
+    """The checksum with the polynomial 0x04C11DB7, high bit first, from 0: zlib's runs low bit first, over inverted sums."""
+    c = zlib.crc32(page.translate(_TURNED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int.from_bytes(c.to_bytes(4, "little").translate(_TURNED), "big")
 
 
 def ogg_page(serial: int, number: int, packet: bytes, granule: int, flags: int) -> bytes:
     """A page of one packet, of at most 65,024 bytes, with its checksum."""
-    sizes = [255] * (len(packet) // 255) + [len(packet) % 255]
-    if len(sizes) > 255:
+    full, rest = divmod(len(packet), 255)
+    if full > 254:
         raise ValueError(f"a packet of {len(packet)} bytes doesn't fit in a page")
-    page = b"OggS" + struct.pack("<BBqIII", 0, flags, granule, serial, number, 0) + bytes([len(sizes), *sizes]) + packet
-    table, c = _ogg_table(), 0
-    for byte in page:
-        c = (c << 8 & 0xFFFFFFFF) ^ table[c >> 24 ^ byte]
-    return page[:22] + struct.pack("<I", c) + page[26:]
+    page = b"OggS" + struct.pack("<BBqIII", 0, flags, granule, serial, number, 0) + bytes([full + 1]) + b"\xff" * full + bytes([rest]) + packet
+    return page[:22] + struct.pack("<I", _ogg_checksum(page)) + page[26:]
 
 
 def write_ogg(packets: DataFrame, folder: str, serial: int = 1) -> None:

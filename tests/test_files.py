@@ -343,3 +343,11 @@ def test_damaged_chunks(spark, frames, tmp_path):
         path.write_bytes(changed)
         with pytest.raises(Exception, match="Damaged"):
             clips.scan_chunks(clips.scan_index(spark, str(tmp_path))).collect()
+
+
+def test_packets_are_packed_by_several_tasks(spark):
+    """Packets of repeated bytes are so few bytes in a shuffle that one task had all of them."""
+    df = spark.range(2000).select((F.col("id") % 100).cast("string").alias("path"), F.floor(F.col("id") / 100).alias("n"), F.lit(b"a" * 100).alias("data"))
+    runs = mesh_files._packed(df, "n", ["data"], lambda r: r["data"]).select("path", F.length("body").alias("length"), F.spark_partition_id().alias("task")).collect()
+    assert {(r["path"], r["length"]) for r in runs} == {(str(k), 2000) for k in range(100)} and len(runs) == 100
+    assert len({r["task"] for r in runs}) > 1
