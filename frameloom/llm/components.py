@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import checkpointed, slot
@@ -21,15 +21,19 @@ def stars(links: DataFrame) -> DataFrame:
         links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct().withColumn("slot", slot())
     )
     while True:
-        ends = now.select(F.col("hi").alias("u"), F.lit(1).alias("up")).union(now.select("lo", F.lit(0)))
+        ends = _twice(now, ("hi", F.lit(1)), ("lo", F.lit(0)), "u", "up")
         # In a star a vertex hangs on one other, or others hang on it.
         if ends.groupBy("u").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 0 and n > 1").isEmpty():
             return now.drop("slot")
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
+        both = _twice(now, ("hi", F.col("lo")), ("lo", F.col("hi")), "u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u").toDF("lo", "m")
         told = now.select("slot", "lo").distinct().join(least, "lo")
         large = now.join(told, ["slot", "lo"], "left").select("hi", F.coalesce("m", "lo").alias("lo"))
         small = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
-        now = checkpointed(
-            small.select("hi", "m").union(small.select("lo", "m")).toDF("hi", "lo").where(F.col("hi") != F.col("lo")).distinct().withColumn("slot", slot())
-        )
+        now = checkpointed(_twice(small, ("hi", F.col("m")), ("lo", F.col("m")), "hi", "lo").where(F.col("hi") != F.col("lo")).distinct().withColumn("slot", slot()))
+
+
+def _twice(rows: DataFrame, first: tuple[str, Column], second: tuple[str, Column], *names: str) -> DataFrame:
+    """Two rows for each one; a union would run all that rows come from a second time."""
+    pair = lambda of: F.struct(*(x.alias(n) for x, n in zip((F.col(of[0]), of[1]), names, strict=True)))
+    return rows.select(F.explode(F.array(pair(first), pair(second))).alias("x")).select("x.*")

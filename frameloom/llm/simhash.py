@@ -186,18 +186,17 @@ def _nodes(starts: np.ndarray, keys: np.ndarray, fan: int) -> np.ndarray:
 def forest(
     prints: np.ndarray, keys: np.ndarray, radius: int = 3, wide: np.ndarray | None = None, wide_radius: int = 0, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Links, as indices, that connect all fingerprints of equal key within radius of each other.
+    """Links (child, root), as indices, that connect all fingerprints of equal key within radius of each other.
 
     wide: further words of each fingerprint; then a pair must also differ in at most wide_radius of these bits.
     check: tells which of the pairs (a, b), as indices, are links after all; the nearest are asked about first, and
-    pairs that are connected already never are. Without it links are (child, root).
+    pairs that are connected already never are.
     """
     order = np.lexsort((gray_rank(prints), keys))
     prints, keys = prints[order], keys[order]
     wide = None if wide is None else wide[order]
     n = len(prints)
     label = np.arange(n)
-    checked: list[tuple[np.ndarray, np.ndarray]] = []
 
     def join(x: np.ndarray, y: np.ndarray) -> None:
         while (label[x] != label[y]).any():
@@ -262,13 +261,9 @@ def forest(
             asked = (_rank(label[a]) < most) | (_rank(label[b]) < most)
             x, y = a[asked], b[asked]
             good = check(order[x], order[y])
-            checked.append((x[good], y[good]))
             join(x[good], y[good])
             left = ~asked & (label[a] != label[b])
             a, b, most = a[left], b[left], 4 * most
-    if check is not None:
-        a, b = (np.concatenate([c[k] for c in checked] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        return order[a], order[b]
     child = np.flatnonzero(label != np.arange(n))
     return order[child], order[label[child]]
 
@@ -320,17 +315,20 @@ def links(vertices: DataFrame, prints: list[str], radius: int = 3, wide_radius:
         for v, p, key, *rest in _by_key(parts, ["v", "p", "key", *others]):
             words = np.stack([np.asarray(c) for c in rest], 1).view(np.uint64) if rest else None
             child, root = forest(np.asarray(p).view(np.uint64), np.asarray(key), radius, words, wide_radius or 0)
-            v = np.asarray(v)
-            # All hang on the smallest vertex, which the blocks of a group mostly share, so their links repeat each other.
-            roots, tree = np.unique(root, return_inverse=True)
-            least = v[roots]
-            np.minimum.at(least, tree, v[child])
-            a, b = np.concatenate([v[child], v[roots]]), np.concatenate([least[tree], least])
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+            yield _hanging(np.asarray(v), child, root)
 
     return hung.repartition(n, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
 
+def _hanging(v: np.ndarray, child: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    """(a, b): a forest's links by their vertices, where all of a tree hang on its smallest one, so that those of several blocks or sections repeat each other."""
+    roots, tree = np.unique(root, return_inverse=True)
+    least = v[roots]
+    np.minimum.at(least, tree, v[child])
+    a, b = np.concatenate([v[child], v[roots]]), np.concatenate([least[tree], least])
+    return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+
 def _meetings(v: Column, sections: Column) -> Column:
     """The pairs of sections, (low, high), in which a vertex is searched: its own with each other, or with itself if there is one only."""
     own = F.pmod(F.xxhash64(v), sections)
@@ -443,8 +441,7 @@ def _verified(docs: DataFrame, grouped: DataFrame, names: list[str], words: int,
                 return good
 
             bits = np.stack([np.asarray(c) for c in prints], 1).view(np.uint64)
-            a, b = forest(bits[:, 0].copy(), np.asarray(key), radius, bits, wide_radius, similar)
-            v = np.asarray(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], ["a", "b"])
+            # A group of one section is a star already, and takes no round.
+            yield _hanging(np.asarray(v), *forest(bits[:, 0].copy(), np.asarray(key), radius, bits, wide_radius, similar))
 
     return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")

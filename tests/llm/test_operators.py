@@ -162,6 +162,17 @@ def test_forest_asks_until_all_links_are_found():
     assert labels(zip(a.tolist(), b.tolist(), strict=True)) == labels(np.argwhere(linked).tolist()) and 0 < len(a) < 300
 
 
+def test_a_candidate_group_takes_no_round(spark, monkeypatch):
+    """Texts that are chained by their similarity: what one task has linked hangs on one vertex, so only candidates are searched in rounds."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[3 * k : 3 * k + 200])) for k in range(20)]
+    made = []
+    monkeypatch.setattr(simhash, "stars", lambda links: made.append(links.distinct().collect()) or components.stars(links))
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    candidates, linked = made
+    assert set(got.values()) == {0} and len({r["b"] for r in linked}) == 1 and len(linked) == 19
+
+
 @pytest.mark.parametrize("bits,n", [(64, 300), (12, 900)])
 def test_forest_is_complete(bits, n):
     rng = np.random.default_rng(bits)
