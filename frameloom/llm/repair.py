@@ -24,18 +24,19 @@ def _frequent(pairs: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.
     """
     bits = max(8, min(20, int(len(pairs)).bit_length()))
     bucket = ((pairs * (np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * turn))) >> np.uint64(64 - bits)).astype(np.int32)
-    owner = np.empty(1 << bits, np.int32)
-    owner[bucket[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
-    same = pairs[owner[bucket]] == pairs
+    # The pairs themselves, as their places would be looked up all over the pairs.
+    owner = np.empty(1 << bits, np.uint64)
+    owner[bucket[::-1]] = pairs[::-1]
+    same = owner[bucket] == pairs
     counts = np.bincount(bucket[same], minlength=1 << bits)
     often = np.flatnonzero(counts >= LEAST)
-    often = often[np.lexsort((pairs[owner[often]], -counts[often]))]
+    often = often[np.lexsort((owner[often], -counts[often]))]
     rank = np.full(1 << bits, len(often), np.int32)
     rank[often] = np.arange(len(often), dtype=np.int32)
     other = bucket[~same]
     waits = np.zeros(len(pairs), bool)
     waits[~same] = (np.bincount(other, minlength=1 << bits) >= LEAST)[other]
-    return pairs[owner[often]], np.where(same, rank[bucket], np.int32(len(often))), waits
+    return owner[often], np.where(same, rank[bucket], np.int32(len(often))), waits
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

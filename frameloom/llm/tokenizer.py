@@ -22,7 +22,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -149,14 +149,17 @@ class _Encoder:
     def _entries(self, kind: int, names: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The entries of distinct names; new ones are encoded first."""
         known = self.known[kind]
-        new = [n for n in names if n not in known]
-        if new:
+        found = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [names[i] for i in missing.tolist()]
             flat, length = encode(new)
-            known.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
+            found[missing] = len(self.length) + np.arange(len(new))
+            known.update(zip(new, found[missing].tolist(), strict=True))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length])
             self.flat = np.concatenate([self.flat, flat])
-        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        return found
 
     def _simple(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each piece that is a word with punctuation behind it the entries of both; -1 for others."""

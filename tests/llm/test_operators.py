@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.llm import ann, components, exact_dedup, html_text, mixing, packing, quality, repair, simhash, token_binary, token_counts, warc
+from frameloom.llm import ann, components, exact_dedup, html_text, mixing, packing, quality, repair, simhash, token_binary, token_counts, tokenizer, warc
 from frameloom.llm.tokenizer import encoder, public_spec
 
 DATA = "/root/testdata/sf0.001"
@@ -814,3 +815,30 @@ def test_nearest_of_huge_and_tiny_vectors(spark):
     rows = [(0, [3e200, 4e200]), (1, [4e-200, 3e-200]), (2, [-1e300, 0.0]), (3, [1e-310, 1e-310])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [3, 1, 2] and np.allclose([r["score"] for r in got], [7 / 50**0.5, 24 / 25, -3 / 5], atol=1e-12)
+
+
+def test_an_encoder_looks_each_piece_up_once():
+    """Pieces that are known already take one lookup each, and new ones no second."""
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            Counted.looked += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            Counted.looked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return super().__getitem__(key)
+
+    encode = tokenizer._Encoder(tokenizer.public_spec("word_bpe_49k.json"))
+    encode.known[0] = Counted()
+    texts = pa.array(["one two three", "three four one"])
+    for n in (4, 8):
+        ids, before = encode.ids(texts)
+        want = encode.library(texts.to_pylist())
+        assert [ids[a:b].tolist() for a, b in zip(before[:-1], before[1:], strict=True)] == want and Counted.looked == n
